@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.llm import multiset_hash, simhash
+from presage.llm import bpe, multiset_hash, packing, simhash, topk_search, warc
 from presage.llm.common import table
 
 
@@ -16,13 +16,70 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_embeddings(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_exact_topk": op6_exact_topk,
     "op7_multiset_hash": op7_multiset_hash,
+    "op8_warc_chain": op8_warc_chain,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as w
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+         cast(list_sum(list_transform(range(1, len(q.w) + 1), i -> q.w[i] * c.w[i])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored
+)
+select query_id, cast(r as int) as rank, vec_id, score from ranked where r <= 20
+"""
+
+# Base32 of a digest: 40 bits of the hex text at a time, 5 bits to a character.
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, h, sha1(h) as hex, strlen(h) as n, min(page_id) over (partition by h) as first from p)
+select page_id, cast(n as bigint) as payload_bytes,
+  list_aggregate(list_transform(range(0, 32), i ->
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      cast(((cast(concat('0x', substr(hex, 1 + 10 * (i // 8), 10)) as bigint) >> (35 - 5 * (i % 8))) & 31) + 1 as bigint), 1)),
+    'string_agg', '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id = first then null else first end as refers_to
+from d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": _TOPK_SQL, "op8_warc_chain": _WARC_SQL}
