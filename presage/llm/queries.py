@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.llm import bpe, multiset_hash, packing, simhash, topk_search, warc
+from presage.llm import bpe, multiset_hash, packing, prefix_tree, simhash, topk_search, warc
 from presage.llm.common import table
 
 
+def op1_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
+    return prefix_tree.read_back(prefix_tree.format_conversations(rows.unionByName(extra)))
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -45,6 +52,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_tree_chat": op1_prefix_tree_chat,
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_exact_topk": op6_exact_topk,
@@ -55,12 +63,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TOPK_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as w
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as w
   from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), scored as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-         cast(list_sum(list_transform(range(1, len(q.w) + 1), i -> q.w[i] * c.w[i])) as bigint) as score
+         cast(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i])) as bigint) as score
   from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
 ), ranked as (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored
@@ -73,7 +81,7 @@ _WARC_SQL = """
 with p as (select page_id, coalesce(html, '') as h from pages),
 d as (select page_id, h, sha1(h) as hex, strlen(h) as n, min(page_id) over (partition by h) as first from p)
 select page_id, cast(n as bigint) as payload_bytes,
-  list_aggregate(list_transform(range(0, 32), i ->
+  list_aggregate(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
       cast(((cast(concat('0x', substr(hex, 1 + 10 * (i // 8), 10)) as bigint) >> (35 - 5 * (i % 8))) & 31) + 1 as bigint), 1)),
     'string_agg', '') as payload_digest,
