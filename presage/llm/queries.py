@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.llm import bpe, multiset_hash, packing, prefix_tree, simhash, topk_search, warc
-from presage.llm.common import table
+from presage.llm import bpe, byte_cnn, multiset_hash, packing, prefix_tree, simhash, topk_search, warc
+from presage.llm.common import crc_mod, table
 
 
 def op1_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op8_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = byte_cnn.quality(docs, table(spark, sf_dir, "labels"), held_out=5)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_topk": op6_exact_topk,
     "op7_multiset_hash": op7_multiset_hash,
     "op8_warc_chain": op8_warc_chain,
+    "op9_byte_cnn_quality": op9_byte_cnn_quality,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
