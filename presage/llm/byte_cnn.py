@@ -89,13 +89,13 @@ class Network:
         h = np.maximum(f @ self.p["w1"] + self.p["b1"], 0)
         return float(1 / (1 + np.exp(-np.clip(float(h @ self.p["w2"] + self.p["b2"][0]), -30, 30))))
 
-    def gradient(self, data: np.ndarray, label: int) -> tuple[dict[str, np.ndarray], float]:
+    def gradient(self, data: np.ndarray, label: int, weight: float = 1.0) -> tuple[dict[str, np.ndarray], float]:
         p = self.p
         f, parts, pooled, places = self.features(data)
         z = f @ p["w1"] + p["b1"]
         h = np.maximum(z, 0)
         y = 1 / (1 + np.exp(-np.clip(h @ p["w2"] + p["b2"][0], -30, 30)))
-        d = np.float32(y - label)
+        d = np.float32((y - label) * weight)
         dz = d * p["w2"] * (z > 0)
         df = p["w1"] @ dz
         g = {"w2": d * h, "b2": np.array([d]), "w1": np.outer(f, dz), "b1": dz}
@@ -123,6 +123,8 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, batch: i
     data = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    share = sum(labels) / len(labels)
+    weights = (min(4.0, max(1.0, share / max(1 - share, 1e-9))), 1.0)  # the rarer label 0 counts more, up to 4 times
     step, total = 0, epochs * -(-len(data) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(data))
@@ -130,7 +132,7 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, batch: i
             chosen = order[at : at + batch]
             sums = {k: np.zeros_like(x) for k, x in net.p.items()}
             for i in chosen:
-                for k, x in net.gradient(data[i], labels[i])[0].items():
+                for k, x in net.gradient(data[i], labels[i], weights[labels[i]])[0].items():
                     sums[k] += x
             step += 1
             now = rate * (1 - 0.95 * step / total)
