@@ -152,7 +152,8 @@ def edited_fingerprints(docs: DataFrame, pattern: str = PIECES) -> DataFrame:
     its near_next compares with an empty text.
     """
     # The one exchange by doc_id serves both joins.
-    own = docs.select("doc_id", _clean(F.col("text")).alias("text"))
+    every = docs.select("doc_id", _clean(F.col("text")).alias("text"))
+    own = every.where(F.col("doc_id").isNotNull())
     sizes = docs.select("doc_id", F.char_length(_clean(F.col("text"))).alias("n"))
     links = (
         following(docs, "doc_id")
@@ -174,7 +175,8 @@ def edited_fingerprints(docs: DataFrame, pattern: str = PIECES) -> DataFrame:
     kept = F.substring(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int"))
     # A repeated doc_id may need less of the head than its longest row.
     head = F.substring(_clean(F.col("next.head")), F.lit(1), F.floor(n / 2).cast("int"))
-    joined = own.join(heads.hint("shuffle_hash"), F.col("doc_id") == F.col("owner"), "left").select(
+    alone = every.where(F.col("doc_id").isNull()).withColumn("owner", F.col("doc_id")).withColumn("next", F.lit(None).cast(heads.schema["next"].dataType))
+    joined = own.join(heads.hint("shuffle_hash"), F.col("doc_id") == F.col("owner"), "left").unionByName(alone).select(
         "doc_id", n.cast("bigint").alias("n_chars"), "text", F.concat(kept, head).alias("edited"), F.col("next.next_vector").alias("nv")
     )
     vectors = joined.select(
