@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.llm import bpe, byte_cnn, multiset_hash, packing, prefix_tree, simhash, topk_search, warc
+from presage.llm import bpe, byte_cnn, language_mixture, multiset_hash, ngram_trie, packing, prefix_tree, simhash, topk_search, warc
 from presage.llm.common import crc_mod, table
 
 
@@ -34,6 +34,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_mixture.languages(docs, held_out=4, remainder=2)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, facts = ngram_trie.train(docs, crc_mod("doc_id", 7) != 2)
+    found = ngram_trie.score(docs, path, facts)
+    return found.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search_embeddings(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -61,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_tree_chat": op1_prefix_tree_chat,
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_mixture": op4_language_mixture,
+    "op5_ngram_trie": op5_ngram_trie,
     "op6_exact_topk": op6_exact_topk,
     "op7_multiset_hash": op7_multiset_hash,
     "op8_warc_chain": op8_warc_chain,
