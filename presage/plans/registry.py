@@ -1,10 +1,6 @@
 """Registered queries of the reference operators and their SQL."""
 
-from __future__ import annotations
+from presage.plans import q_joins, q_models, q_scalars, q_stats, q_text  # noqa: F401
+from presage.plans.core import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
