@@ -1,0 +1,376 @@
+"""Queries of Naive Bayes, calibration, information, clusters, funds and the query language."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from presage.operators import bayes, information, lift, ranking
+from presage.plans.core import CLASSES, FEATURES, FIRMS_SQL, FOLDS, LONG_SQL, PRESENT_SQL, firms, query, rounded
+from presage.plans.facade import Engine, response
+
+_NAMES = "['" + "', '".join(CLASSES) + "']"
+
+#: Held-out log-likelihoods (k, id, cls, c, field, ll): every fold trained on the others.
+_CV_SQL = f"""{FIRMS_SQL}, {LONG_SQL}, c as (select unnest({_NAMES}) as c), k as (select unnest([0, 1, 2, 3, 4]) as k),
+  cell as (select fold, field, value, cls, count(*) as n from u group by all),
+  grid as (select k.k, d.field, d.value, c.c, sum(case when cell.cls = c.c and cell.fold <> k.k then cell.n else 0 end) as n
+    from (select distinct field, value from u) d, k, c, cell where cell.field = d.field and cell.value = d.value group by all),
+  nc as (select k.k, c.c, sum((f.cls = c.c and f.fold <> k.k)::int) as n from k, c, firms f group by all),
+  v as (select k, field, count(*) as v from (select k, field, value from grid group by all having sum(n) > 0) group by all),
+  ll as (select g.k, g.field, g.value, g.c, ln((g.n + 1.0::double) / (nc.n + v.v + 1)) as ll from grid g join nc on nc.k = g.k and nc.c = g.c join v on v.k = g.k and v.field = g.field),
+  prior as (select k, c, ln((n + 1.0::double) / (sum(n) over (partition by k) + 5)) as lp from nc),
+  each as (select u.id, u.fold, u.cls, u.field, ll.c, ll.ll from u join ll on ll.k = u.fold and ll.field = u.field and ll.value = u.value),
+  s as (select e.id, e.cls, e.c, sum(e.ll) + min(p.lp) as s from each e join prior p on p.k = e.fold and p.c = e.c group by all),
+  x as (select *, exp(s - max(s) over (partition by id)) as e from s),
+  p as (select id, cls, c, e / sum(e) over (partition by id) as p, cast(c[1] as int) - 1 as r from x)"""
+
+_JUDGED_SQL = f"""{_CV_SQL}, j as (select id, cls, cast(cls[1] as int) - 1 as t, max(p) as conf, arg_max(r, (round(p, 12), -r)) as pred, max(p) filter (where c = cls) as pt,
+  sum(p) filter (where r <= 1) as good, sum(power(p - (c = cls)::int, 2)) as b from p group by all)"""
+
+
+def _scored(spark, sf_dir):
+    return bayes.cross_validate(firms(spark, sf_dir), FEATURES, CLASSES, FOLDS)
+
+
+@query("nb_cv", f"with {_CV_SQL} select id, c, round(p, 6) as p from p")
+def nb_cv(spark, sf_dir):
+    return rounded(bayes.long(_scored(spark, sf_dir), CLASSES), "p")
+
+
+@query("nb_predict", f"with {_CV_SQL} select id, c, round(p, 6) as p from p where id in (select id from firms where fold = 0)")
+def nb_predict(spark, sf_dir):
+    f = firms(spark, sf_dir)
+    return rounded(bayes.long(bayes.predict(f.where("fold <> 0"), f.where("fold = 0"), FEATURES, CLASSES), CLASSES), "p")
+
+
+@query(
+    "nb_binary",
+    f"""with {FIRMS_SQL}, {LONG_SQL}, f as (select id, rank = 0 as y from firms), l as (select u.field, u.value, sum(y::int) as a, sum((not y)::int) as b from u join f using (id) group by all),
+        n as (select sum(y::int) as a, sum((not y)::int) as b, count(*) as t from f), v as (select field, count(*) as v from l group by 1),
+        s as (select u.id, sum(ln((l.a + 1.0::double) / (n.a + v.v + 1))) + min(ln((n.a + 1.0::double) / (n.t + 2))) as sa, sum(ln((l.b + 1.0::double) / (n.b + v.v + 1))) + min(ln((n.b + 1.0::double) / (n.t + 2))) as sb
+          from u join l using (field, value) join v using (field), n group by 1)
+        select id, round(1 / (1 + exp(sb - sa)), 6) as p from s""",
+)
+def nb_binary(spark, sf_dir):
+    f = firms(spark, sf_dir).withColumn("cls", F.when(F.col("rank") == 0, "yes").otherwise("no"))
+    return bayes.predict(f, f, FEATURES, ["yes", "no"]).select("id", F.round(F.col("p")[0], 6).alias("p"))
+
+
+@query(
+    "nb_explain",
+    f"""with {FIRMS_SQL}, {LONG_SQL}, c as (select unnest({_NAMES}) as c), l as (select field, value, c.c, sum((cls = c.c)::int) as n, count(*) as t from u, c group by all),
+        n as (select c.c, sum((f.cls = c.c)::int) as n, count(*) as t from c, firms f group by 1), v as (select field, count(distinct value) as v from l group by 1),
+        e as (select l.field, l.value, l.c, (l.n + 1.0::double) / (n.n + v.v + 1) / (l.t / n.t) as lift from l join n on n.c = l.c join v using (field))
+        select u.id, e.c, u.field, u.value, round(e.lift, 6) as lift from u join e using (field, value) where u.fold = 0 and u.id % 10 = 1""",
+)
+def nb_explain(spark, sf_dir):
+    f = firms(spark, sf_dir)
+    return rounded(bayes.explain(f, f.where("fold = 0 and id % 10 = 1"), FEATURES, CLASSES), "lift")
+
+
+@query(
+    "nb_metrics",
+    f"""with {_JUDGED_SQL}, e as (select sum(abs(c - h)) as e from (select greatest(0, ceil(conf * 10) - 1) as bin, sum(conf) as c, sum((pred = t)::int) as h from j group by 1))
+        select count(*) as n, round(avg(-ln(greatest(pt, 1e-12))), 6) as logloss, round(avg((pred = t)::int), 6) as accuracy, round(avg(conf), 6) as mean_conf, round(avg(conf) - avg((pred = t)::int), 6) as overconfidence,
+          round(avg(good) - avg((t <= 1)::int), 6) as optimism, round(avg(b), 6) as brier, round(min(e.e) / count(*), 6) as ece from j, e""",
+)
+def nb_metrics(spark, sf_dir):
+    m = bayes.metrics(_scored(spark, sf_dir), CLASSES, CLASSES[:2])
+    return rounded(m, *[c for c in m.columns if c != "n"])
+
+
+@query(
+    "info_gain",
+    f"""with {_JUDGED_SQL}, m as (select cls, count(*) as m, row_number() over (order by count(*) desc, cls) - 1 as br from j group by 1),
+        r as (select p.id, sum((p.p > j.pt)::int) as r from p join j using (id) group by 1), h as (select sum(-m::double / t * log2(m::double / t)) as h, max(m) / max(t) as ba, sum(br * m) / max(t) as bmr from m, (select count(*) as t from j)),
+        a as (select count(*) as n, avg((pred = t)::int) as acc, avg(-log2(greatest(pt, 1e-12))) as x from j)
+        select n, round(acc, 6) as accuracy, round(ba, 6) as base_accuracy, round(h - x, 6) as info_gain, round(power(2, h - x), 6) as geom_mean_lift, round((select avg(r) from r), 6) as mean_rank, round(bmr, 6) as base_mean_rank from a, h""",
+)
+def info_gain(spark, sf_dir):
+    m = bayes.evaluate(_scored(spark, sf_dir), CLASSES)
+    return rounded(m, *[c for c in m.columns if c != "n"])
+
+
+@query(
+    "reliability_bins",
+    f"""with {_JUDGED_SQL} select cast(greatest(0, ceil(conf * 10) - 1) as int) as bin, count(*) as n, round(avg(conf), 6) as mean_conf, round(avg((pred = t)::int), 6) as accuracy, round(avg(conf) - avg((pred = t)::int), 6) as gap from j group by 1""",
+)
+def reliability_bins(spark, sf_dir):
+    j = bayes.judged(_scored(spark, sf_dir), CLASSES).withColumn("hit", F.col("true_rank") == F.col("pred_rank"))
+    return rounded(ranking.reliability(j, "conf", "hit"), "mean_conf", "accuracy", "gap")
+
+
+@query(
+    "calibration_deciles",
+    f"""with {_CV_SQL}, r as (select id, p, (cls = c)::int as hit, row_number() over (order by round(p, 9), id) - 1 as r, count(*) over () as n from p where r = 0)
+        select cast(least(9, floor(r / greatest(1, n // 10))) as int) as bin, count(*) as n, round(avg(p), 6) as predicted, round(avg(hit), 6) as actual from r group by 1""",
+)
+def calibration_deciles(spark, sf_dir):
+    s = _scored(spark, sf_dir).select("id", F.round(F.col("p")[0], 9).alias("p"), (F.col("cls") == CLASSES[0]).alias("hit"))
+    return rounded(ranking.calibration(s, "p", "hit", "id"), "predicted", "actual")
+
+
+@query("brier", f"with {_CV_SQL} select count(*) as n, round(avg(power(p - (cls = c)::int, 2)), 6) as brier from p where r = 0")
+def brier(spark, sf_dir):
+    s = _scored(spark, sf_dir).select(F.col("p")[0].alias("p"), (F.col("cls") == CLASSES[0]).alias("hit"))
+    return rounded(ranking.brier(s, "p", "hit"), "brier")
+
+
+_ORDER = ["region", "segment", "size", "status"]
+
+
+@query(
+    "feature_sweep",
+    f"""with {_CV_SQL}, sw as (select z.k, e.id, e.cls, e.c, sum(e.ll) + min(q.lp) as s from each e join prior q on q.k = e.fold and q.c = e.c, (select unnest([1, 2, 4]) as k) z
+          where list_position(['{"', '".join(_ORDER)}'], e.field) <= z.k group by all),
+        sx as (select *, exp(s - max(s) over (partition by k, id)) as e from sw), sp as (select k, id, cls, c, e / sum(e) over (partition by k, id) as p from sx)
+        select k, count(*) as n, round(avg(-ln(greatest(pt, 1e-12))), 6) as logloss, round(avg((top = cls)::int), 6) as accuracy
+        from (select k, id, cls, max(p) filter (where c = cls) as pt, arg_max(c, (round(p, 12), -cast(c[1] as int))) as top from sp group by all) group by 1""",
+)
+def feature_sweep(spark, sf_dir):
+    out = bayes.prefix_scores(firms(spark, sf_dir), _ORDER, CLASSES, FOLDS, [1, 2, 4])
+    return rounded(out, "logloss", "accuracy")
+
+
+@query(
+    "prob_fallback",
+    f"""with {FIRMS_SQL}, pr as (select cls, count(*) / (select count(*) from firms) as p from firms group by 1)
+        select id, round(case when id % 3 = 0 then (select p from pr where cls = '1-URGENT') when id % 3 = 1 then 0.2 else 0.1 / 0.5 end, 6) as p from firms""",
+)
+def prob_fallback(spark, sf_dir):
+    f = firms(spark, sf_dir)
+    n = f.agg(*[F.avg((F.col("cls") == c).cast("double")).alias(f"p{i}") for i, c in enumerate(CLASSES)])
+    priors = n.select(F.array(*[F.col(f"p{i}") for i in range(5)]).alias("p"))
+    own = F.when(F.col("id") % 3 == 1, F.array_repeat(F.lit(0.0), 5)).when(F.col("id") % 3 == 2, F.array_repeat(F.lit(0.1), 5))
+    return bayes.with_fallback(f.select("id", own.alias("p")), priors, CLASSES).select("id", F.round(F.col("p")[0], 6).alias("p"))
+
+
+_MI_SQL = f"""{FIRMS_SQL}, w as (select coalesce(segment, '(missing)') as segment, status, region, size from firms),
+  pr as (select unnest([('segment', 'status', segment, status), ('segment', 'region', segment, region), ('segment', 'size', segment, size), ('status', 'region', status, region), ('status', 'size', status, size), ('region', 'size', region, size)]) as x from w),
+  ce as (select x[1] as fa, x[2] as fb, x[3] as va, x[4] as vb, count(*)::double as n from pr group by all),
+  a as (select fa, fb, va, sum(n) as n from ce group by all), b as (select fa, fb, vb, sum(n) as n from ce group by all), t as (select count(*)::double as t from w),
+  mi as (select ce.fa, ce.fb, greatest(0, sum(ce.n / t * ln(ce.n * t / (a.n * b.n)))) as mi from ce join a using (fa, fb, va) join b using (fa, fb, vb), t group by all),
+  ha as (select fa, fb, sum(-n / t * ln(n / t)) as h, count(*) as k from a, t group by all), hb as (select fa, fb, sum(-n / t * ln(n / t)) as h, count(*) as k from b, t group by all),
+  m as (select mi.fa, mi.fb, cast(t as bigint) as n, mi.mi, case when ha.h * hb.h > 0 then mi.mi / sqrt(ha.h * hb.h) else 0 end as nmi, t * mi.mi / ln(2) - 0.5 * (ha.k - 1) * (hb.k - 1) * log2(t) as gain from mi join ha using (fa, fb) join hb using (fa, fb), t)"""
+
+
+@query("mi_pairs", f"with {_MI_SQL} select fa, fb, n, round(mi, 8) as mi, round(nmi, 8) as nmi from m")
+def mi_pairs(spark, sf_dir):
+    return rounded(information.mutual_information(firms(spark, sf_dir), FEATURES).drop("mdl_gain"), "mi", "nmi", digits=8)
+
+
+@query("mdl_gain", f"with {_MI_SQL} select fa, fb, round(gain, 4) as mdl_gain from m")
+def mdl_gain(spark, sf_dir):
+    return information.mutual_information(firms(spark, sf_dir), FEATURES).select("fa", "fb", F.round("mdl_gain", 4).alias("mdl_gain"))
+
+
+@query("redundant_pairs", f"with {_MI_SQL} select fa, fb, round(nmi, 8) as nmi from m order by nmi desc, fa, fb limit 3")
+def redundant_pairs(spark, sf_dir):
+    return rounded(information.redundant_pairs(firms(spark, sf_dir), FEATURES, 3).select("fa", "fb", "nmi"), "nmi", digits=8)
+
+
+@query("cluster_features")
+def cluster_features(spark, sf_dir):
+    """Clusters of features of which two are made to agree with others."""
+    f = firms(spark, sf_dir).withColumns({"segment2": F.lower("segment"), "region2": F.substring("nation", 1, 3)})
+    found = information.cluster_features(f, [*FEATURES, "segment2", "region2"])
+    return spark.createDataFrame([(i, len(c), "|".join(c)) for i, c in enumerate(found)], "cluster int, size int, features string")
+
+
+_CLUSTERS = {"market": ["segment", "region"], "deal": ["status", "size"]}
+_THEME_SQL = f"""{FIRMS_SQL}, {LONG_SQL}, th as (select *, case when field in ('segment', 'region') then 'market' else 'deal' end as theme from u), k as (select unnest([0, 1, 2, 3, 4]) as k),
+  tm as (select k.k, field, value, avg(rank) filter (where fold <> k.k) as m from th, k group by all),
+  rw as (select tm.k, th.id, th.fold, th.theme, avg(tm.m) as raw from th join tm using (field, value) group by all),
+  ed as (select k, theme, quantile_cont(round(raw, 12), [0.25, 0.5, 0.75]) as edges from rw where fold <> k group by all),
+  te as (select r.id, r.fold, r.theme, r.raw, concat('L', len(list_filter(edges, lambda e: e <= round(r.raw, 12)))) as level from rw r join ed using (k, theme) where r.fold = r.k)"""
+
+
+def _themes(spark, sf_dir):
+    return information.theme_encode(firms(spark, sf_dir), _CLUSTERS, "rank", FOLDS)
+
+
+@query("theme_encode", f"with {_THEME_SQL} select id, theme, round(raw, 6) as raw, level from te")
+def theme_encode(spark, sf_dir):
+    return rounded(_themes(spark, sf_dir).select("id", "theme", "raw", "level"), "raw")
+
+
+@query("clustered_nb")
+def clustered_nb(spark, sf_dir):
+    """Naive Bayes on themes: each cluster of features votes once."""
+    f = firms(spark, sf_dir)
+    wide = _themes(spark, sf_dir).groupBy("id").pivot("theme", list(_CLUSTERS)).agg(F.first("level"))
+    scored = bayes.cross_validate(f.select("id", "fold", "cls").join(wide, "id"), list(_CLUSTERS), CLASSES, FOLDS)
+    return rounded(bayes.long(scored, CLASSES), "p")
+
+
+_SCORE_SQL = f"{_CV_SQL}, sc as (select id, round(sum(p * (4 - r)), 9) as score from p group by 1), fs as (select f.*, score from firms f join sc using (id))"
+
+
+def _funds(spark, sf_dir):
+    p = F.col("p")
+    score = sum((p[i] * (4 - i) for i in range(1, 5)), p[0] * 4)
+    return firms(spark, sf_dir).join(_scored(spark, sf_dir).select("id", F.round(score, 9).alias("score")), "id")
+
+
+@query(
+    "fund_stats",
+    f"""with {_SCORE_SQL}, b as (select avg(balance) as b from fs), t as (select *, row_number() over (order by score desc, id) as r, row_number() over (order by score, id desc) as q from fs),
+        g as (select 'top20' as fund, balance from t where r <= 20 union all select 'top50', balance from t where r <= 50 union all select 'top100', balance from t where r <= 100 union all select 'bottom20', balance from t where q <= 20)
+        select fund, count(*) as n, round(avg(balance), 4) as mean, round(median(balance), 4) as median, round(avg(balance) - min(b.b), 4) as excess, round(avg((balance > 0)::int), 6) as hit_rate from g, b group by 1""",
+)
+def fund_stats(spark, sf_dir):
+    out = ranking.fund_stats(_funds(spark, sf_dir), "score", "id", "balance")
+    return rounded(rounded(out, "hit_rate"), "mean", "median", "excess", digits=4)
+
+
+@query(
+    "per_vintage_topn",
+    f"""with {_SCORE_SQL}, t as (select *, row_number() over (partition by vintage order by score desc, id) as r from fs)
+        select vintage, count(*) filter (where r <= 20) as n, round(avg(balance) filter (where r <= 20), 4) as fund_mean, round(avg(balance), 4) as market_mean, round(avg(balance) filter (where r <= 20) - avg(balance), 4) as excess from t group by 1""",
+)
+def per_vintage_topn(spark, sf_dir):
+    out = ranking.top_by_group(_funds(spark, sf_dir), "vintage", "score", "id", "balance")
+    return rounded(out, "fund_mean", "market_mean", "excess", digits=4)
+
+
+@query(
+    "basket_relate",
+    f"""with {_SCORE_SQL}, t as (select id, row_number() over (order by score desc, id) <= 100 as y from fs), {PRESENT_SQL.replace("u as", "pu as")}
+        select field, value, count(*) as n, round(avg(y::int) / (select avg(y::int) from t), 6) as lift from pu join t using (id) group by 1, 2""",
+)
+def basket_relate(spark, sf_dir):
+    f = _funds(spark, sf_dir)
+    basket = f.orderBy(F.desc("score"), "id").limit(100).select("id", F.lit(True).alias("y"))  # the top hundred
+    return rounded(lift.lift_table(f.join(basket, "id", "left"), FEATURES, F.coalesce("y", F.lit(False))), "lift")
+
+
+@query(
+    "error_scopes",
+    f"""with {_JUDGED_SQL}, {PRESENT_SQL.replace("u as", "pu as")}, so as (select id, pred <> t as y, 'all' as scope from j union all select id, pred <> t, concat('actual ', cls) from j union all select id, pred <> t, concat('predicted ', pred) from j),
+        ba as (select scope, avg(y::int) as b from so group by 1)
+        select so.scope, field, value, count(*) as n, round(avg(y::int) / min(b), 6) as lift from so join pu using (id) join ba on ba.scope = so.scope where b > 0 group by all""",
+)
+def error_scopes(spark, sf_dir):
+    f = firms(spark, sf_dir)
+    j = bayes.judged(_scored(spark, sf_dir), CLASSES).select("id", "true_rank", "pred_rank")
+    scopes = {"all": F.lit(True)} | {f"actual {c}": F.col("cls") == c for c in CLASSES} | {f"predicted {i}": F.col("pred_rank") == i for i in range(5)}
+    return rounded(lift.scoped_lift(f.join(j, "id"), FEATURES, F.col("true_rank") != F.col("pred_rank"), scopes), "lift")
+
+
+@query(
+    "regression_shrunk",
+    f"""with {FIRMS_SQL}, {LONG_SQL}, g as (select avg(price) as g from firms), m as (select u.field, u.value, count(*) as n, avg(f.price) as m from u join (select id, price from firms) f using (id) group by 1, 2)
+        select field, value, n, round(n / (n + 10.0::double) * (m - g), 4) as effect from m, g""",
+)
+def regression_shrunk(spark, sf_dir):
+    return rounded(information.shrunk_effects(firms(spark, sf_dir), FEATURES, F.col("price")), "effect", digits=4)
+
+
+@query(
+    "expected_cagr",
+    f"""with {_CV_SQL}, m as (select k.k, cls, avg(balance) filter (where fold <> k.k) as m from firms, k group by all)
+        select p.id, round(sum(p.p * m.m), 4) as expected from p join firms f on f.id = p.id join m on m.k = f.fold and m.cls = p.c group by 1""",
+)
+def expected_cagr(spark, sf_dir):
+    f = firms(spark, sf_dir)
+    own = f.groupBy("fold", "cls").agg(F.sum("balance").alias("s"), F.count("*").alias("n"))
+    total = own.groupBy("cls").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    means = own.join(total, "cls").select("fold", F.col("cls").alias("c"), ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("m"))
+    scored = _scored(spark, sf_dir)
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in CLASSES]).alias("c"), F.col("p").alias("p"))).alias("x")
+    each = scored.select("id", "fold", pairs).select("id", "fold", "x.c", "x.p").join(means, ["fold", "c"])
+    return each.groupBy("id").agg(F.round(F.sum(F.col("p") * F.col("m")), 4).alias("expected"))
+
+
+@query("schools")
+def schools(spark, sf_dir):
+    """Feature sets as investing schools: the mean of each one's best 20, 50 and 100, and the decay between."""
+    sets = {"value": ["size", "status"], "quality": ["segment", "region"], "growth": ["size", "region"], "composite": FEATURES}
+    f, out = firms(spark, sf_dir), None
+    for name, fields in sets.items():
+        p = F.col("p")
+        scored = bayes.cross_validate(f, fields, CLASSES, FOLDS).select("id", F.round(sum((p[i] * (4 - i) for i in range(1, 5)), p[0] * 4), 9).alias("score"))
+        means = ranking.fund_stats(f.join(scored, "id"), "score", "id", "balance").where("fund <> 'bottom20'")
+        row = means.groupBy(F.lit(name).alias("school")).pivot("fund", ["top20", "top50", "top100"]).agg(F.round(F.first("mean"), 4))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("decay", F.round(F.col("top100") - F.col("top20"), 4))
+
+
+@query(
+    "similarity",
+    f"""with {FIRMS_SQL}, {PRESENT_SQL}, w as (select field, value, ln((select count(*) from firms) / count(*)) as w from u group by 1, 2),
+        s as (select a.id as focal, b.id, sum(w.w) as score from u a join u b using (field, value) join w using (field, value) where a.id % 3000 = 1 and a.id <> b.id and b.id in (select id from firms where vintage < 2000) group by 1, 2)
+        select focal, id, round(score, 6) as score, cast(r as int) as rank from (select *, row_number() over (partition by focal order by round(score, 9) desc, id) as r from s) where r <= 6""",
+)
+def similarity(spark, sf_dir):
+    f = firms(spark, sf_dir).withColumn("outcome", F.when(F.col("vintage") < 2000, F.col("cls")))
+    # The weights are all rows'; the focal rows are a stated few.
+    return rounded(ranking.similar(f, f.where("id % 3000 = 1"), "id", FEATURES, 6, "outcome"), "score")
+
+
+def _engine(spark, sf_dir) -> Engine:
+    f = firms(spark, sf_dir).withColumn("note", F.concat_ws(" ", "nation", "status", "size"))
+    return Engine(spark, {"companies": f}, {"note"})
+
+
+@query(
+    "query_predict",
+    f"""with {FIRMS_SQL}, {LONG_SQL}, c as (select unnest({_NAMES}) as c), g as (select * from (values ('region', 'ASIA'), ('size', 'large')) g(field, value)),
+        n as (select c.c, sum((f.cls = c.c)::int) as n, count(*) as t from c, firms f group by 1), v as (select field, count(distinct value) as v from u group by 1),
+        s as (select c.c, sum(ln(((select count(*) from u where u.field = g.field and u.value = g.value and u.cls = c.c) + 1.0::double) / (n.n + v.v + 1))) + min(ln((n.n + 1.0::double) / (n.t + 5))) as s from c, g join v using (field), n where n.c = c.c group by 1)
+        select c as feature, round(exp(s) / sum(exp(s)) over (), 6) as p from s""",
+)
+def query_predict(spark, sf_dir):
+    hits = _engine(spark, sf_dir).run("predict", {"from": "companies", "where": {"region": "ASIA", "size": {"$has": "large"}}, "predict": "cls"})
+    return rounded(response(hits, "feature", "p", CLASSES).select("feature", "p"), "p")
+
+
+@query(
+    "query_relate",
+    f"""with {FIRMS_SQL}, {PRESENT_SQL}, f as (select id, (region = 'ASIA' or price >= 200000 and price < 400000) as y from firms where status = 'F')
+        select field, value, count(*) as n, round(avg(y::int) / (select avg(y::int) from f), 6) as lift from u join f using (id) where field in ('segment', 'size') group by 1, 2 having count(*) >= 20""",
+)
+def query_relate(spark, sf_dir):
+    where = {"$on": {"prop": {"$or": [{"region": "ASIA"}, {"price": {"$gte": 200000, "$lt": 400000}}]}, "on": {"status": "F"}}}
+    return rounded(_engine(spark, sf_dir).run("relate", {"from": "companies", "where": where, "relate": ["segment", "size"], "support": 20}), "lift")
+
+
+@query(
+    "query_match",
+    f"with {FIRMS_SQL} select region as feature, round(count(*) / (select count(*) from firms), 6) as score from firms group by 1",
+)
+def query_match(spark, sf_dir):
+    return rounded(_engine(spark, sf_dir).run("match", {"from": "companies", "match": "region"}), "score")
+
+
+@query(
+    "query_similarity",
+    f"""with {FIRMS_SQL}, {PRESENT_SQL}, w as (select field, value, ln((select count(*) from firms) / count(*)) as w from u group by 1, 2)
+        select id, round(sum(w), 6) as score from u join w using (field, value) where (field, value) in (('region', 'EUROPE'), ('size', 'small')) group by 1 order by round(sum(w), 9) desc, id limit 10""",
+)
+def query_similarity(spark, sf_dir):
+    body = {"from": "companies", "similarity": {"region": "EUROPE", "size": "small"}, "key": "id", "limit": 10}
+    return rounded(_engine(spark, sf_dir).run("similarity", body), "score")
+
+
+@query(
+    "query_search",
+    f"""with {FIRMS_SQL} select id, ticker, vintage from firms where size = 'large' and vintage >= 1997 and status in ('F', 'O') and not (region = 'ASIA')""",
+)
+def query_search(spark, sf_dir):
+    body = {
+        "from": "companies",
+        "where": {"note": "large", "vintage": {"$gte": 1997}, "status": {"$or": ["F", "O"]}, "$not": {"region": "ASIA"}},
+        "orderBy": {"price": "desc"},
+        "ties": ["id"],
+        "select": ["id", "ticker", "vintage"],
+    }
+    return _engine(spark, sf_dir).run("search", body)
+
+
+@query("query_evaluate")
+def query_evaluate(spark, sf_dir):
+    """Held-out metrics of one fold, trained on the others."""
+    body = {"test": {"fold": 0}, "evaluate": {"from": "companies", "where": {f: {"$get": f} for f in FEATURES}, "predict": "cls"}}
+    m = _engine(spark, sf_dir).run("evaluate", body)
+    return rounded(m, *[c for c in m.columns if c != "n"])
