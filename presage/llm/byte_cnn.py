@@ -141,9 +141,29 @@ def fit(texts: list[str], labels: list[int], epochs: int | None = None, batch: i
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
                 net.p[k] -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    _settle(net, data, np.array(labels), np.array(weights))
     return net
 
 
+def _settle(net: Network, data: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, penalty: float = 0.02) -> None:
+    """Brings the last layer to its optimum on the learned features, by Newton steps on the penalised weighted log loss."""
+    f = np.array([net.features(x)[0] for x in data])
+    h = np.maximum(f @ net.p["w1"] + net.p["b1"], 0).astype(np.float64)
+    scale = h.std(axis=0) + 1e-6
+    x = np.column_stack((h / scale, np.ones(len(h))))
+    w, ridge, beta = weights[labels], np.eye(x.shape[1]) * penalty * np.sqrt(len(x)), np.zeros(x.shape[1])
+    ridge[-1, -1] = 1e-6
+    for _ in range(25):
+        y = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (w * (y - labels)) + ridge @ beta
+        curve = (x * (w * y * (1 - y))[:, None]).T @ x + ridge
+        step = np.linalg.solve(curve, slope)
+        beta -= step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    net.p["w2"], net.p["b2"] = (beta[:-1] / scale).astype(np.float32), beta[-1:].astype(np.float32)
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
     """Whole texts and labels of at most `rows` documents and `sample_bytes`, by hash of the id."""
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))

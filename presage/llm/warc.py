@@ -204,8 +204,8 @@ def entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
 def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_digest, payload_bytes, html) of every record.
 
-    A revisit's digest and length are its header's, its html is null; a response's
-    are taken from its payload.
+    A revisit's digest and length are its header's, its html is null; any other
+    record's are taken from its payload, which is its block behind an HTTP header.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,17 +214,17 @@ def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
                 held, weight = [], 0
                 for head, block in _walk(*row):
                     fields = dict(_FIELD.findall(head[len(MAGIC) - 2 :].decode("utf-8", "replace")))
-                    payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    own = fields["WARC-Type"] == "response"
-                    said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+                    own = fields.get("WARC-Type") != "revisit"
+                    said = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
                     held.append(
                         {
                             "page_id": _page(fields.get("WARC-Record-ID")),
                             "url": fields.get("WARC-Target-URI") or None,
-                            "record_type": fields["WARC-Type"],
+                            "record_type": fields.get("WARC-Type"),
                             "refers_to": _page(fields.get("WARC-Refers-To")),
                             "payload_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode() if own else said,
-                            "payload_bytes": len(payload) if own else int(fields["WARC-Payload-Length"]),
+                            "payload_bytes": len(payload) if own else int(fields.get("WARC-Payload-Length", 0)),
                             "html": payload.decode("utf-8", "replace") if own else None,
                         }
                     )
