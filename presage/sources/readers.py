@@ -68,7 +68,8 @@ def html_tables(pages: DataFrame, html: str = "html", key: str = "page_id") -> D
     """(key, table, row, cells): the cells' text of every table row."""
     tables = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table", "t"))
     rows = tables.select(key, "table", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
-    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: html_to_text(c))
+    strip = lambda c: F.regexp_replace(html_to_text(c), r"^\s+|\s+$", "")
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip)
     return rows.select(key, "table", "row", cells.alias("cells"))
 
 
