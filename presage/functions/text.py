@@ -190,3 +190,9 @@ def within_budget(sections: dict[str, Column], max_tokens: Column | int, per_tok
 
 def with_banners(kind: str, sections: Column) -> Column:
     return F.array_join(F.transform(sections, lambda s: F.concat(F.lit(f"== {kind} / "), s["name"], F.lit(" ==\n"), F.trim(s["body"]), F.lit("\n"))), "\n")
+
+
+def combined_excerpt(annual: dict[str, Column], proxy: dict[str, Column], max_tokens: int) -> Column:
+    """Sections of an annual report and a proxy statement in one text: three quarters of the budget for the first."""
+    parts = [(with_banners("annual", within_budget(annual, max_tokens * 3 // 4))), with_banners("proxy", within_budget(proxy, max_tokens // 4))]
+    return F.concat_ws("\n", *parts)

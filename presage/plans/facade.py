@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presage.functions.text import keyword_signals
 from presage.operators import bayes, lift
 
 KINDS = ("predict", "relate", "match", "similarity", "search", "evaluate")
@@ -111,6 +112,15 @@ class Engine:
         scored = bayes.predict(known.select("cls", *given), row, list(given), classes)
         return bayes.long(scored, classes).select(F.col("c").alias("feature"), "p").orderBy(F.desc("p"), "feature")
 
+    def classify(self, name: str, text: str, target: str, least: int = 40) -> DataFrame:
+        """(feature, p) of the target for a text: its keyword signals that say something are the given fields."""
+        if len(text) < least:
+            raise QueryError(f"a text has at least {least} characters")
+        fields = [c for c in keyword_signals(F.lit("")) if c in self.tables[name].columns]
+        signals = self.spark.range(1).select(*[keyword_signals(F.lit(text))[c].alias(c) for c in fields]).first().asDict()
+        where = {k: v for k, v in signals.items() if v not in ("not_stated", "none")}
+        return self.predict({"from": name, "where": where, "predict": target})
+
     def relate(self, body: dict) -> DataFrame:
         """(field, value, n, lift) of the fields' values toward the condition, greatest lift first.
 

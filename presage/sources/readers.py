@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,15 @@ def history(prices: DataFrame, ts: str, since: object, until: object) -> DataFra
     return prices.where((F.col(ts) >= F.lit(since)) & (F.col(ts) < F.lit(until)))
 
 
+def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; made and written first if there is none."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def subset(df: DataFrame, key: str, keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Rows of the named keys, at most `limit` in key order: for looking at a part by hand."""
     out = df.where(F.col(key).isin(keys)) if keys else df

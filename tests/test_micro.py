@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presage.functions import buckets, finance, text
-from presage.operators import bayes, events, information, joins, lift, ranking
+from presage.operators import bayes, events, grading, information, joins, lift, ranking
 from presage.plans.facade import Engine, QueryError
 from presage.sources import readers, sinks
 from presage.streaming import windows
@@ -231,3 +231,34 @@ def test_streaming_matches_batch(spark, tmp_path):
 def test_lift_of_an_empty_table(spark):
     df = spark.createDataFrame([], "f string, y boolean")
     assert lift.lift_table(df, ["f"], F.col("y")).count() == 0
+
+
+def test_classify_and_grading(spark):
+    docs = spark.createDataFrame([("record growth beat expectations this quarter, raise outlook", "up"), ("we miss and lower guidance after a decline in orders", "down")] * 5, "text string, bucket string")
+    e = Engine(spark, {"t": grading.by_keywords(docs, "text")})
+    hit = e.classify("t", "a strong quarter with record revenue, we raise guidance again", "bucket").first()
+    assert hit["feature"] == "up" and hit["p"] > 0.5
+    with pytest.raises(QueryError):
+        e.classify("t", "too short", "bucket")
+    out = grading.graded(docs, lambda b: b.assign(n=b["text"].str.len())[["bucket", "n"]], "bucket string, n bigint")
+    assert out.count() == 10
+    runs = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("a", 2, "y"), ("b", 0, "q"), ("b", 1, "p")], "k string, run int, g string")
+    assert {r["k"]: r["g"] for r in grading.modal(runs, ["k"], "g", "run").collect()} == {"a": "y", "b": "q"}
+
+
+def test_combined_excerpt_keeps_its_budget(spark):
+    df = spark.createDataFrame([("a" * 5_000, "b" * 5_000)], "x string, y string")
+    got = df.select(text.combined_excerpt({"head": F.col("x")}, {"head": F.col("y")}, 400).alias("t")).first()["t"]
+    assert got.count("a" * 100) == 12 and got.count("b") == 400
+
+
+def test_read_through(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert readers.read_through(spark, f"file://{tmp_path}/c", make).count() == 3
+    assert made == [1]
