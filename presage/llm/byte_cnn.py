@@ -183,10 +183,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, sample_bytes: i
     return [r["text"] for r in got], [r["quality"] for r in got]
 
 
-def classify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with `score`."""
+def classify(docs: DataFrame, net: Network | None, out: str = "score") -> DataFrame:
+    """docs with the score in column `out`, which replaces one of that name."""
     from pyspark.sql.types import DoubleType, StructType
 
+    docs = docs.drop(out)
     shared, names = docs.sparkSession.sparkContext.broadcast(net), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +195,13 @@ def classify(docs: DataFrame, net: Network | None) -> DataFrame:
         at = names.index("text")
         for b in batches:
             scores = [model.score(t.as_py()) if model else 0.5 for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out, DoubleType()))
 
 
-def quality(docs: DataFrame, labels: DataFrame, held_out: int | None = 5, rows: int = ROWS) -> DataFrame:
-    """docs with `score`, fitted on labelled rows whose crc32(doc_id) mod held_out is not 0 (None: all)."""
+def quality(docs: DataFrame, labels: DataFrame, held_out: int | None = 5, rows: int = ROWS, out: str = "score") -> DataFrame:
+    """docs with the score in column `out`, fitted on labelled rows whose crc32(doc_id) mod held_out is not 0 (None: all)."""
     known = labels if held_out is None else labels.where(crc_mod("doc_id", held_out) != 0)
     texts, marks = sample(docs, known, rows)
-    return classify(docs, fit(texts, marks))
+    return classify(docs, fit(texts, marks), out)

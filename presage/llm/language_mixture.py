@@ -138,10 +138,11 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Mixture:
     return Mixture(names, counts)
 
 
-def identify(docs: DataFrame, model: Mixture) -> DataFrame:
-    """docs with lang_pred and score, from text alone."""
+def identify(docs: DataFrame, model: Mixture, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the prediction and the score, from text alone, in columns `out`, which replace any of those names."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    docs = docs.drop(*out)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +150,14 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
         for b in batches:
             found = [m.predict(t.as_py()) for t in b.column(names.index("text"))]
             arrays = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*names, *out])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out[0], StringType()).add(out[1], DoubleType()))
 
 
-def languages(docs: DataFrame, held_out: int | None = 4, remainder: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """docs with lang_pred and score; learns where crc32(doc_id) mod held_out is not remainder (None: everywhere)."""
+def languages(
+    docs: DataFrame, held_out: int | None = 4, remainder: int = 2, sample: int = SAMPLE, out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """docs with the columns `out`; learns where crc32(doc_id) mod held_out is not remainder (None: everywhere)."""
     learn = F.lit(True) if held_out is None else crc_mod("doc_id", held_out) != remainder
-    return identify(docs, fit(docs, learn, sample))
+    return identify(docs, fit(docs, learn, sample), out)

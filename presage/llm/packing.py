@@ -100,6 +100,7 @@ def _ranked(df: DataFrame, length: str) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """pieces with sequence_id and offset, for lengths from 1 to capacity."""
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset", "_task", "_nth", "_rank")  # the results' names
     known = materialize(_ranked(pieces, length), "pieces")
     counts = known.groupBy("_task", length).agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum("n")).collect()}  # at most `capacity` rows
