@@ -55,19 +55,25 @@ def _softmax(scores: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def _score(test: DataFrame, features: list[str], classes: list[str], table: DataFrame, alpha: float) -> DataFrame:
-    """(id, fold, cls, p array) of test(id, fold, cls, features)."""
+def _score(test: DataFrame, features: list[str], classes: list[str], table: DataFrame, alpha: float, closed: bool = False) -> DataFrame:
+    """(id, fold, cls, p array) of test(id, fold, cls, features).
+
+    closed: every value of test is in the table, as in cross-validation; then the
+    small table is read once. Otherwise a value without training rows takes the
+    formula at count 0 from its field's facts.
+    """
     k = len(classes)
     u = unpivot(test, ["id", "fold", "cls"], features, missing=True)
-    joined = u.join(table.select("fold", "field", "value", "ll"), ["fold", "field", "value"], "left")
-    # A value without training rows: the formula at count 0, from its field's facts.
-    facts = table.select("fold", "field", "v", "sizes").distinct()
-    zero = F.transform("sizes", lambda c: F.ln(F.lit(alpha) / (c + alpha * (F.col("v") + 1))))
-    joined = joined.join(facts, ["fold", "field"]).withColumn("ll", F.coalesce("ll", zero))
-    sums = joined.groupBy("id", "fold", "cls").agg(*[F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(k)])
-    prior = table.select("fold", "prior").distinct()
-    scored = sums.join(F.broadcast(prior), "fold")  # a row a fold
-    return scored.select("id", "fold", "cls", _softmax(F.array(*[F.col(f"s{i}") + F.col("prior")[i] for i in range(k)])).alias("p"))
+    if closed:
+        joined = u.join(table.select("fold", "field", "value", "ll", "prior"), ["fold", "field", "value"])
+    else:
+        facts = table.select("fold", "field", "v", "sizes", "prior").distinct()
+        zero = F.transform("sizes", lambda c: F.ln(F.lit(alpha) / (c + alpha * (F.col("v") + 1))))
+        joined = u.join(table.select("fold", "field", "value", "ll"), ["fold", "field", "value"], "left")
+        joined = joined.join(facts, ["fold", "field"]).withColumn("ll", F.coalesce("ll", zero))
+    # A row's fold has one prior; its k log-likelihoods are summed as k numbers with map-side combination.
+    sums = joined.groupBy("id", "fold", "cls").agg(*[F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(k)], *[F.max(F.col("prior")[i]).alias(f"q{i}") for i in range(k)])
+    return sums.select("id", "fold", "cls", _softmax(F.array(*[F.col(f"s{i}") + F.col(f"q{i}") for i in range(k)])).alias("p"))
 
 
 def long(scored: DataFrame, classes: list[str]) -> DataFrame:
@@ -84,7 +90,7 @@ def predict(train: DataFrame, test: DataFrame, features: list[str], classes: lis
 
 def cross_validate(base: DataFrame, features: list[str], classes: list[str], folds: list[int], alpha: float = ALPHA) -> DataFrame:
     """Held-out probabilities of base(id, fold, cls, features); all folds are trained in one pass."""
-    return _score(base, features, classes, _log_likelihoods(base, features, classes, folds, alpha), alpha)
+    return _score(base, features, classes, _log_likelihoods(base, features, classes, folds, alpha), alpha, closed=True)
 
 
 def explain(train: DataFrame, test: DataFrame, features: list[str], classes: list[str], alpha: float = ALPHA) -> DataFrame:
@@ -157,13 +163,10 @@ def prefix_scores(base: DataFrame, ranked: list[str], classes: list[str], folds:
     table = _log_likelihoods(base, ranked, classes, folds, alpha)
     u = unpivot(base, ["id", "fold", "cls"], ranked, missing=True)
     place = F.array_position(F.array(*[F.lit(f) for f in ranked]), F.col("field"))
-    each = u.join(table.select("fold", "field", "value", "ll"), ["fold", "field", "value"]).withColumn("place", place)
+    each = u.join(table.select("fold", "field", "value", "ll", "prior"), ["fold", "field", "value"]).withColumn("place", place)
     each = each.withColumn("k", F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("place"))))
-    sums = each.groupBy("id", "fold", "cls", "k").agg(*[F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(k)])
-    prior = table.select("fold", "prior").distinct()
-    scored = sums.join(F.broadcast(prior), "fold").select(
-        "id", "fold", "cls", "k", _softmax(F.array(*[F.col(f"s{i}") + F.col("prior")[i] for i in range(k)])).alias("p")
-    )
+    sums = each.groupBy("id", "fold", "cls", "k").agg(*[F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(k)], *[F.max(F.col("prior")[i]).alias(f"q{i}") for i in range(k)])
+    scored = sums.select("id", "fold", "cls", "k", _softmax(F.array(*[F.col(f"s{i}") + F.col(f"q{i}") for i in range(k)])).alias("p"))
     true = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cls")).cast("int")
     top = F.array_position("p", F.array_max("p")).cast("int")
     return scored.groupBy("k").agg(
