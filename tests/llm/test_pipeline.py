@@ -1,7 +1,10 @@
 """The pipeline's stages against their operators on a small corpus, planted cases, and edge cases."""
 
+import re
+from collections import Counter
+
 import corpus_pipeline
-from presage.llm import queries, simhash
+from presage.llm import near_copies, queries, simhash
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -54,3 +57,44 @@ def test_every_query_is_registered(spark):
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(names)
+
+
+def test_near_copies_at_eight_tenths(spark):
+    """The stage against all pairs of five-word shingle sets, and pairs on both sides of 0.8."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    word = lambda a, b: [f"w{i}" for i in range(a, b)]
+    planted = {
+        10**6: word(0, 100), 10**6 + 1: word(0, 90) + word(1000, 1010),  # 86 of 106 shingles: 0.811
+        10**6 + 2: word(2000, 2100), 10**6 + 3: word(2000, 2089) + word(3000, 3011),  # 85 of 107: 0.794
+    }
+    extra = spark.createDataFrame([(d, " ".join(w), "en", "s", 1) for d, w in planted.items()], docs.schema)
+    docs = docs.unionByName(extra)
+    sets, postings = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().lower())
+        sets[r["doc_id"]] = s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        for x in s:
+            postings.setdefault(x, []).append(r["doc_id"])
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d, s in sorted(sets.items()):
+        for e, n in Counter(e for x in s for e in postings[x] if e < d).items():
+            a, b = find(d), find(e)
+            if a != b and 5 * n >= 4 * (len(s) + len(sets[e]) - n):
+                root[max(a, b)] = min(a, b)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()}
+    assert kept == {find(d) for d in sets}
+    assert kept & set(planted) == {10**6, 10**6 + 2, 10**6 + 3}
+
+
+def test_near_copies_of_large_cells(spark, monkeypatch):
+    """A cell dealt into parts gives the groups of the cell held whole."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 500")
+    whole = sorted(tuple(r) for r in near_copies.near_copies(docs).select("doc_id", "component_id").collect())
+    monkeypatch.setattr(near_copies, "SHINGLES", 100)
+    assert sorted(tuple(r) for r in near_copies.near_copies(docs).select("doc_id", "component_id").collect()) == whole
