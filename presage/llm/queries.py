@@ -42,7 +42,7 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path, facts = ngram_trie.train(docs, crc_mod("doc_id", 7) != 2)
+    path, facts = ngram_trie.train(docs, crc_mod("doc_id", 7) != 2, min_count=1)
     found = ngram_trie.score(docs, path, facts)
     return found.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -507,3 +507,38 @@ def test_bpe_fast_path_equals_the_library(path):
     pieces = ["don't", " ", "  ", "\n", "\n\n", "\t", " \n", "word", "Ünï", "123", "4", "!!", "...", "'ll", "\xa0", "–", "Ÿ", "x_y", "²", "日", "\x1c", "\x85", "é", "<|", "İ"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(3000)]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_language_model_query_holds_ngrams_seen_once(spark, tmp_path):
+    """op5_ngram_trie against the model of all n-grams, those seen once too."""
+    docs = docs_of(spark).select("doc_id", "text").orderBy("doc_id").limit(60)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r["doc_id"]: [*WORD.findall((r["text"] or "").translate(LOWER)), None] for r in docs.collect()}
+    c, c2, c3 = Counter(), Counter(), Counter()
+    for d, t in texts.items():
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            c.update(t)
+            c2.update(zip(t, t[1:]))
+            c3.update(zip(t, t[1:], t[2:]))
+    after1, after2, n, v = Counter(a for a, _ in c2), Counter(x[:2] for x in c3), sum(c.values()), len(c)
+
+    def p1(w):
+        return (c[w] + 1) / (n + v + 1)
+
+    def p2(a, w):
+        return p1(w) if not c[a] else max(c2[a, w] - 0.75, 0) / c[a] + (1 - (sum2[a] - 0.75 * after1[a]) / c[a]) * p1(w)
+
+    def p3(a, b, w):
+        m = c2[a, b]
+        return p2(b, w) if not m else max(c3[a, b, w] - 0.75, 0) / m + max(1 - (sum3[a, b] - 0.75 * after2[a, b]) / m, 1e-9) * p2(b, w)
+
+    sum2, sum3 = Counter(), Counter()
+    for (a, _), m in c2.items():
+        sum2[a] += m
+    for x, m in c3.items():
+        sum3[x[:2]] += m
+    got = {r["doc_id"]: r for r in queries.op5_ngram_trie(spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        want = sum(math.log10(p1(w) if i == 0 else p2(t[0], w) if i == 1 else p3(t[i - 2], t[i - 1], w)) for i, w in enumerate(t))
+        assert abs(got[d]["score"] - want) <= 0.03 * len(t)  # quantisation
