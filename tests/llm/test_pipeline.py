@@ -98,3 +98,13 @@ def test_near_copies_of_large_cells(spark, monkeypatch):
     whole = sorted(tuple(r) for r in near_copies.near_copies(docs).select("doc_id", "component_id").collect())
     monkeypatch.setattr(near_copies, "SHINGLES", 100)
     assert sorted(tuple(r) for r in near_copies.near_copies(docs).select("doc_id", "component_id").collect()) == whole
+
+
+def test_repeated_doc_id_keeps_each_groups_text(spark):
+    """Rows of one doc_id in different groups: each group keeps one of its own texts, whatever the order."""
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = [(3, a), (5, a + " end"), (5, b), (5, b + " end"), (5, b)]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in some], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+        got = sorted((r["doc_id"], r["text"][:2]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+        assert got == [(3, "a0"), (5, "b0")]
