@@ -254,17 +254,17 @@ def test_languages(spark, odd, none):
 # 5: language model
 
 
-def slow_scores(texts, train):
+def slow_scores(texts, train, least):
     """The model of ngram_trie, unquantised, in dictionaries."""
     toks = [[*WORD.findall((t or "").translate(LOWER)), None] for t in texts]
     c, c2, c3 = Counter(), Counter(), Counter()
     for t in (toks[i] for i in train):
         c.update(t)
         c2.update(zip(t, t[1:]))
-    k2 = {p: n for p, n in c2.items() if n >= 2}
+    k2 = {p: n for p, n in c2.items() if n >= least}
     for t in (toks[i] for i in train):
         c3.update(x for x in zip(t, t[1:], t[2:]) if x[:2] in k2 and x[1:] in k2)
-    k3 = {p: n for p, n in c3.items() if n >= 2}
+    k3 = {p: n for p, n in c3.items() if n >= least}
     n, v = sum(c.values()), len(c)
     b1, b2 = {}, {}
     for (a, _), m in k2.items():
@@ -279,7 +279,7 @@ def slow_scores(texts, train):
         return max(k2.get((a, w), 0.75) - 0.75, 0) / max(c[a], 1) + b1.get(a, 1) * p1(w)
 
     def p3(a, b, w):
-        return p2(b, w) if (a, b) not in k2 else max(k3.get((a, b, w), 0.75) - 0.75, 0) / c2[a, b] + b2.get((a, b), 1) * p2(b, w)
+        return p2(b, w) if (a, b) not in k2 else max(k3.get((a, b, w), 0.75) - 0.75, 0) / c2[a, b] + max(b2.get((a, b), 1), 1e-9) * p2(b, w)
 
     out = []
     for t in toks:
@@ -288,15 +288,16 @@ def slow_scores(texts, train):
     return out, (c, p3)
 
 
-@pytest.mark.parametrize("shard", [1 << 22, 3000])
-def test_language_model(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "words", "least"), [(1 << 22, 1 << 22, 1), (3000, 500, 1), (3000, 1 << 22, 2)])
+def test_language_model(spark, monkeypatch, shard, words, least):
     monkeypatch.setattr(ngram_trie, "TOKENS", shard)
+    monkeypatch.setattr(ngram_trie, "WORDS", words)
     rows = [(r["doc_id"], r["text"]) for r in docs_of(spark).collect()] + [(i + 10_000 if i is not None else None, t) for i, t in ODD]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, score string")
-    path, facts = ngram_trie.train(df, crc_mod("doc_id", 7) != 2)
+    path, facts = ngram_trie.train(df, crc_mod("doc_id", 7) != 2, min_count=least)
     got = [tuple(r)[1:] for r in ngram_trie.score(df, path, facts).collect()]
     train = [i for i, (d, _) in enumerate(rows) if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
-    want, (c, p3) = slow_scores([t for _, t in rows], train)
+    want, (c, p3) = slow_scores([t for _, t in rows], train, least)
     assert len(got) == len(want)
     for g, w in zip(sorted(got), sorted(want)):
         assert g[:3] == w[:3]
@@ -329,6 +330,16 @@ def test_elias_fano():
         q = np.concatenate((v, rng.integers(0, u, 500), [0, u, -1]))
         for x, p in zip(q.tolist(), e.find(q).tolist()):
             assert (p >= 0) == (x in own) and (p < 0 or v[p] == x)
+        assert (e.all() == v).all()
+        low, high = np.sort(rng.integers(0, len(v) + 1, (2, len(q))), axis=0)
+        for x, p, i, j in zip(q.tolist(), e.find(q, low, high).tolist(), low.tolist(), high.tolist()):
+            assert (p >= 0) == (x in own and i <= np.searchsorted(v, x) < j) and (p < 0 or v[p] == x)
+    # Contexts in the high parts and children in the low: a long run of children, and contexts without any.
+    v = np.sort(np.concatenate((rng.choice(1 << 12, 900, replace=False) + (3 << 12), rng.choice(40 << 12, 60, replace=False))))
+    v = np.unique(v)
+    e = elias_fano.EliasFano(elias_fano.EliasFano.arrays(v, 12))
+    assert e.find(v).tolist() == list(range(len(v))) and (e.get(np.arange(len(v))) == v).all()
+    assert all(p < 0 for x, p in zip(range(1 << 14), e.find(np.arange(1 << 14)).tolist()) if x not in set(v.tolist()))
     assert elias_fano.EliasFano(elias_fano.EliasFano.arrays(np.zeros(0, np.int64))).find(np.array([3])).tolist() == [-1]
 
 
