@@ -46,3 +46,23 @@ def components(edges: DataFrame) -> DataFrame:
             break
     # At the end every edge runs from a node to its component's least node.
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+#: Rows of one component are dealt over so many tasks where its name is put to them.
+SALT = 16
+
+
+def named(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, root, name) of nodes(node, least): name is the least `least` of the node's component, joined(node, root).
+
+    A node without an edge is its own root. A component may hold most of all
+    nodes: its name comes from a min() with map-side combination, and goes back
+    to its nodes by salted keys.
+    """
+    joined = joined.select("node", "root").unionByName(joined.select(F.col("root").alias("node"), "root").distinct())  # a root has no edge of its own
+    many = nodes.join(joined, "node")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    names = many.groupBy("root").agg(F.min("least").alias("name")).select("root", "name", salts)
+    many = many.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(names, ["root", "salt"]).select("node", "root", "name")
+    alone = nodes.join(joined, "node", "left_anti").select("node", F.col("node").alias("root"), F.col("least").alias("name"))
+    return many.unionByName(alone)

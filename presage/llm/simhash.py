@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presage.llm.common import ASCII_LOWER, materialize
-from presage.llm.components import components
+from presage.llm.components import components, named
 
 RADIUS = 4
 SEGMENTS, GROUPS = 32, 7
@@ -208,10 +208,7 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable by links."""
     known = materialize(fingerprints(docs, width), "fingerprints")
-    least = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     joined = components(links(least))
-    # Roots are fingerprints; the component's name is its members' least doc_id.
-    root = least.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    name = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(name, "root").select("fp", "component_id")
-    return known.join(named, "fp").select("doc_id", "fp", "component_id")
+    name = named(least.withColumnRenamed("fp", "node"), joined).select(F.col("node").alias("fp"), F.col("name").alias("component_id"))
+    return known.join(name, "fp").select("doc_id", "fp", "component_id")

@@ -4,12 +4,39 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from presage.llm import near_copies, queries, simhash
+import numpy as np
+from presage.llm import near_copies, queries
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
 
+def eight_tenths(texts):
+    """Groups of ids by all pairs of five-word shingle sets that share a shingle."""
+    sets, postings = {}, {}
+    for d, text in texts.items():
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets[d] = s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        for x in s:
+            postings.setdefault(x, []).append(d)
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d, s in sorted(sets.items()):
+        for e, n in Counter(e for x in s for e in postings[x] if e < d).items():
+            a, b = find(d), find(e)
+            if a != b and 5 * n >= 4 * (len(s) + len(sets[e]) - n):
+                root[max(a, b)] = min(a, b)
+    groups = {}
+    for d in sets:
+        groups.setdefault(find(d), []).append(d)
+    return list(groups.values())
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -21,9 +48,9 @@ def test_stages(spark):
     spoken = corpus_pipeline.language(spark, docs, SF)
     assert spoken.columns == docs.columns and spoken.count() >= 0.99 * docs.count()
     single = corpus_pipeline.near_duplicates(spark, docs, SF)
-    groups = simhash.near_duplicates(docs).select("component_id").distinct()
+    least = [min(g) for g in eight_tenths({r["doc_id"]: r["text"] for r in docs.collect()})]
     assert single.columns == docs.columns
-    assert {r[0] for r in single.select("doc_id").collect()} == {r[0] for r in groups.collect()}
+    assert sorted(r[0] for r in single.select("doc_id").collect()) == sorted(least)
     packed = corpus_pipeline.pack(spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == docs.count()
 
@@ -69,37 +96,38 @@ def test_near_copies_at_eight_tenths(spark):
     }
     extra = spark.createDataFrame([(d, " ".join(w), "en", "s", 1) for d, w in planted.items()], docs.schema)
     docs = docs.unionByName(extra)
-    sets, postings = {}, {}
-    for r in docs.select("doc_id", "text").collect():
-        w = re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().lower())
-        sets[r["doc_id"]] = s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-        for x in s:
-            postings.setdefault(x, []).append(r["doc_id"])
-    root = {d: d for d in sets}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for d, s in sorted(sets.items()):
-        for e, n in Counter(e for x in s for e in postings[x] if e < d).items():
-            a, b = find(d), find(e)
-            if a != b and 5 * n >= 4 * (len(s) + len(sets[e]) - n):
-                root[max(a, b)] = min(a, b)
+    groups = eight_tenths({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()}
-    assert kept == {find(d) for d in sets}
+    assert kept == {min(g) for g in groups}
     assert kept & set(planted) == {10**6, 10**6 + 2, 10**6 + 3}
 
 
-def test_near_copies_of_large_cells(spark, monkeypatch):
-    """A cell dealt into parts gives the groups of the cell held whole."""
+def test_near_copies_of_large_cells_and_groups(spark, monkeypatch):
+    """Cells and groups dealt into parts give the groups of those held whole."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 500")
+    base = [f"w{i}" for i in range(400)]
+    near = [(10**6 + i, " ".join(base[: 390 - i] + [f"x{i}"] + base[391 - i :]), "en", "s", 1) for i in range(40)]
+    docs = docs.unionByName(spark.createDataFrame(near, docs.schema))
     whole = sorted(tuple(r) for r in near_copies.near_copies(docs).select("doc_id", "component_id").collect())
+    assert all(c == 10**6 for d, c in whole if d >= 10**6)
     monkeypatch.setattr(near_copies, "SHINGLES", 100)
+    monkeypatch.setattr(near_copies, "CELL", 3)
     assert sorted(tuple(r) for r in near_copies.near_copies(docs).select("doc_id", "component_id").collect()) == whole
 
 
+def test_near_copies_candidates_against_all_pairs():
+    """Planted pairs at similarity 0.8: how many share a cell and lie within the radius."""
+    rng = np.random.default_rng(4)
+    found, pairs, chosen = 0, 400, near_copies.grids(200_000)
+    for _ in range(pairs):
+        own = rng.integers(0, 1 << 62, 360).astype(np.uint64)
+        fps = [near_copies.fingerprint(np.unique(x)) for x in (own[:324], own[36:])]  # 288 of 360: 0.8
+        bits = [np.unpackbits(f.view(np.uint8), bitorder="little") for f in fps]
+        share = any((bits[0][at] == bits[1][at]).all() for at in chosen)
+        found += share and bool(near_copies.near(fps[0][None, :2], fps[1][None, :2])[0])
+    assert found >= 0.92 * pairs
+
+
 def test_repeated_doc_id_keeps_each_groups_text(spark):
     """Rows of one doc_id in different groups: each group keeps one of its own texts, whatever the order."""
     a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
