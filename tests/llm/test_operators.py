@@ -393,14 +393,52 @@ def test_multiset_hash_edited_texts(spark, odd, none):
     assert one["near_next"] == 1
 
 
+def slow_vector(text):
+    """(count, 128 sign counts, 4 strong sums) of a text's pieces."""
+    pieces = [p.strip(" ") for p in re.split(multiset_hash.PIECES, text or "")]
+    pieces = [p.encode() for p in pieces if p]
+    sha = [hashlib.sha256(p).hexdigest() for p in pieces]
+    hashes = [[xxhash.xxh64_intdigest(p, 42) for p in pieces], [xxhash.xxh64_intdigest(h, 42) for h in sha]]
+    signs = [sum(h >> k & 1 for h in own) % 2**16 for own in hashes for k in range(64)]
+    return len(pieces), signs, [sum(int(h[15 * i : 15 * i + 15], 16) for h in sha) % 2**60 for i in range(4)]
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * s - v[0] for s in v[1]] for v in (a, b))
+    whole = sum(p * p for p in x) + sum(p * p for p in y)
+    return max(0.0, min(1.0, 2 * sum(p * q for p, q in zip(x, y)) / whole)) if whole else 0.0
+
+
+def test_multiset_hash_against_brute_force(spark, odd):
+    docs = docs_of(spark).select("doc_id", "text").limit(60).unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.where("doc_id is not null").distinct().collect()))
+    got = {r["doc_id"]: r for r in multiset_hash.edited_fingerprints(docs).collect()}
+    for (d, t), (_, n) in zip(rows, [*rows[1:], rows[0]]):
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        vectors = [slow_vector(x) for x in (t, edited, n)]
+        for name, (count, signs, strong) in zip(("fingerprint", "edited_fingerprint"), vectors):
+            longs = [int(got[d][name][i : i + 16], 16) for i in range(0, len(got[d][name]), 16)]
+            lanes = [[x >> at & 0xFFFF for x in longs[1:33]] for at in (0, 32, 16, 48)]
+            assert longs[0] == count and [x for part in lanes for x in part] == signs and longs[33:] == strong
+        assert got[d]["near_edited"] == pytest.approx(slow_likeness(vectors[0], vectors[1]), abs=1e-9)
+        assert got[d]["near_next"] == pytest.approx(slow_likeness(vectors[0], vectors[2]), abs=1e-9)
+
+
 def test_multiset_hash_is_homomorphic_and_order_free(spark):
-    df = spark.createDataFrame([("a.\nb.\nc.\n", "c.\na.\nb.\n", "a.\n", "b.\nc.\n")], "x string, y string, p string, q string")
-    v = {c: multiset_hash.fingerprint(F.col(c)) for c in df.columns}
-    r = df.select(
-        (v["x"] == v["y"]).alias("order"), (multiset_hash.insert(v["p"], v["q"]) == v["x"]).alias("insert"), (multiset_hash.delete(v["x"], v["p"]) == v["q"]).alias("delete"),
-        (v["x"] == v["q"]).alias("same"), multiset_hash.likeness(v["x"], v["y"]).alias("like"),
-    ).first()
-    assert r["order"] and r["insert"] and r["delete"] and not r["same"] and r["like"] == 1
+    same = [("a.\n\nb.\n\nc.", "c.\n\na.\n\nb."), ("para one\npara two", "para two\npara one"), ("a. b.", "b. a."), ("x.\ny.", "x.\r\n y. ")]
+    df = multiset_hash.fingerprinted(multiset_hash.fingerprinted(spark.createDataFrame(same, "x string, y string"), "x", "v"), "y", "w")
+    assert all(r["v"] == r["w"] for r in df.collect())
+    apart = spark.createDataFrame([("a. b.", "a. a. b."), ("a b", "b a"), ("ab", "a\nb")], "x string, y string")
+    df = multiset_hash.fingerprinted(multiset_hash.fingerprinted(apart, "x", "v"), "y", "w")
+    assert not any(r["v"] == r["w"] for r in df.collect())
+    df = spark.createDataFrame([("a.\nb.\nc.\nd.\n" * 9, "a.\n" * 9, "b.\nc.\nd.\n" * 9), ("", "", ""), ("x\n" * 70_000 + "y", "x\n" * 70_000, "y")], "x string, p string, q string")
+    for c in df.columns:
+        df = multiset_hash.fingerprinted(df, c, f"v{c}")
+    v = {c: F.col(f"v{c}") for c in "xpq"}
+    r = df.select((multiset_hash.insert(v["p"], v["q"]) == v["x"]).alias("insert"), (multiset_hash.delete(v["x"], v["p"]) == v["q"]).alias("delete"), multiset_hash.likeness(v["x"], v["x"]).alias("like"))
+    assert all(r["insert"] and r["delete"] and r["like"] == 1 for r in r.collect())
 
 
 # 8: WARC
