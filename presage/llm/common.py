@@ -14,19 +14,33 @@ from pyspark.sql import functions as F
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Application folders that are marked for deletion.
+_KEPT: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
+    """The application's folder where all executors share files, under ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local session), a temporary folder is made
-    and put into the session, and removed when the driver exits.
+    What lies in it is needed until the results are read, so it is deleted when
+    the driver's JVM ends. Where the setting is absent a local session gets a
+    temporary folder; on a cluster that would be wrong without notice, so it is
+    an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="presage-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    own = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _KEPT:
+        _KEPT.add(own)
+        system, target = _file_system(spark, own)
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+    return own
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -44,10 +58,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
 
 
 def crc_mod(column: str, modulus: int) -> Column:

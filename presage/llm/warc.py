@@ -7,9 +7,11 @@ every hit as a candidate record, whose Content-Length names its successor; it
 follows successors to the first one beyond its range. Pointer jumping from each
 file's start, doubling the stride each round, leaves the candidates at which a
 range is really entered, so magic inside payloads is never reached. Tasks then
-walk the records of their range from its entry.
+walk the records of their range from its entry. A header has no greatest length:
+tasks read on until its empty line.
 
-Defined results: a null html counts as empty and a null url as absent; a payload
+Defined results: a null html counts as empty and a null url as absent; line ends
+in a url become %0A; extra columns are ignored; a payload
 of fewer than min_bytes is always a response; rows that repeat the least page_id
 of a payload are all responses; an empty table gives no records; an archive
 whose chain breaks before its end raises an error.
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.llm.common import materialize, new_path
+from presage.llm.common import materialize, new_path, remove_path
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
-#: Bytes of a range, and of the longest header.
-RANGE, HEADER = 8 << 20, 1 << 16
+#: Bytes of a range, and those read behind it at first for its last header.
+RANGE, AHEAD = 8 << 20, 1 << 16
+#: Ranges are dealt to as many tasks as there are ranges, up to this number.
+TASKS = 10_000
 #: Rows of the table of payloads held by more than one page up to which it is broadcast (under 32 MB).
 BROADCAST_ROWS = 200_000
 
@@ -115,23 +119,39 @@ class _File:
         return self.handle.read(n)
 
 
-def _header(data: bytes, at: int) -> tuple[int, int] | None:
-    """(offset behind the header, Content-Length), if a record's header stands at `at`."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
-    found = re.search(rb"\r\nContent-Length: *(\d{1,18})\r\n", data[at : end + 2]) if end >= 0 else None
-    return (end + 4, int(found[1])) if found else None
+class _Window:
+    """The bytes of a file from `start` on, of which more are read as headers need them."""
+
+    def __init__(self, file: _File, length: int, start: int, size: int):
+        self.file, self.length, self.start = file, length, start
+        self.data = file.read(start, size)
+        self.blank = -1  # the empty line found last
+
+    def header(self, at: int) -> tuple[int, int] | None:
+        """(offset behind the header, Content-Length), if a record's header stands at `at`; both ends count from start."""
+        if self.blank < at:
+            begin = at
+            while (end := self.data.find(b"\r\n\r\n", begin)) < 0:
+                have = self.start + len(self.data)
+                if have >= self.length:
+                    return None
+                begin = max(at, len(self.data) - 3)
+                self.data += self.file.read(have, max(AHEAD, len(self.data)))
+            self.blank = end
+        found = re.search(rb"\r\nContent-Length: *(\d{1,18})\r\n", self.data[at : self.blank + 2])
+        return (self.blank + 4, int(found[1])) if found else None
 
 
 def _candidates(path: str, length: int, start: int, end: int) -> list[tuple[int, int]]:
     """(offset, the first offset on its chain that is not in the range; -1: the chain breaks)."""
-    with _File(path) as f:
-        data = f.read(start, end - start + HEADER)
     hits: list[tuple[int, int]] = []
-    at = data.find(MAGIC)
-    while 0 <= at < end - start:
-        if (found := _header(data, at)) and (successor := start + found[0] + found[1] + len(END)) <= length:
-            hits.append((start + at, successor))
-        at = data.find(MAGIC, at + 1)
+    with _File(path) as f:
+        window = _Window(f, length, start, end - start + AHEAD)
+        at = window.data.find(MAGIC)
+        while 0 <= at < end - start:
+            if (found := window.header(at)) and (successor := start + found[0] + found[1] + len(END)) <= length:
+                hits.append((start + at, successor))
+            at = window.data.find(MAGIC, at + 1)
     leave: dict[int, int] = {}
     for offset, successor in reversed(hits):
         leave[offset] = successor if successor >= end else leave.get(successor, -1)
@@ -141,13 +161,13 @@ def _candidates(path: str, length: int, start: int, end: int) -> list[tuple[int,
 def _walk(path: str, length: int, start: int, end: int, entry: int) -> Iterator[tuple[bytes, bytes]]:
     """(header, block) of the records that begin in the range."""
     with _File(path) as f:
-        data, at = f.read(start, end - start + HEADER), entry
+        window, at = _Window(f, length, start, end - start + AHEAD), entry
         while at < end:
-            found = _header(data, at - start) if data.startswith(MAGIC, at - start) else None
+            found = window.header(at - start) if window.data.startswith(MAGIC, at - start) else None
             if not found:
                 raise ValueError(f"{path}: no record at {at}")
-            head, (body, size) = data[at - start : found[0]], found
-            block = data[body : body + size]
+            head, (body, size) = window.data[at - start : found[0]], found
+            block = window.data[body : body + size]
             if len(block) < size:
                 block = f.read(start + body, size)
             yield head, block
@@ -179,28 +199,41 @@ def entries(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
                 arrays = [pa.array([path_] * len(found), pa.string()), *(pa.array(c, pa.int64()) for c in cols)]
                 yield pa.RecordBatch.from_arrays(arrays, ["path", "offset", "jump"])
 
-    dealt = ranges.repartition("path", "start")
-    jumps, old = dealt.mapInArrow(scan, "path string, offset bigint, jump bigint"), []
-    reached = files.select("path", F.lit(0).cast("bigint").alias("at"))
-    jumps, reached = materialize(jumps, "jumps"), materialize(reached, "reached")
+    def save(df: DataFrame) -> tuple[DataFrame, str]:
+        place = new_path(spark, "chain")
+        df.write.parquet(place)
+        return spark.read.schema(df.schema).parquet(place), place
+
+    jumps, jumps_path = save(_dealt(ranges).mapInArrow(scan, "path string, offset bigint, jump bigint"))
+    reached, reached_path = save(files.select("path", F.lit(0).cast("bigint").alias("at")))
     known = reached.count()
     while True:
         # One stride more for all that is reached, and strides twice as long for the next round.
         more = reached.join(jumps, (reached["path"] == jumps["path"]) & (F.col("at") == F.col("offset")))
         more = more.where("jump >= 0").select(reached["path"], F.col("jump").alias("at"))
-        reached = materialize(reached.unionByName(more).distinct(), "reached")
+        old = reached_path
+        reached, reached_path = save(reached.unionByName(more).distinct())
+        remove_path(spark, old)
         n = reached.count()
         if n == known:
             break
         known = n
         further = jumps.select(F.col("path").alias("p"), F.col("offset").alias("o"), F.col("jump").alias("j"))
-        jumps = jumps.join(further, (F.col("path") == F.col("p")) & (F.col("jump") == F.col("o")), "left")
+        further = jumps.join(further, (F.col("path") == F.col("p")) & (F.col("jump") == F.col("o")), "left")
         # A stride beyond the file's end or into nothing stays where it got.
-        jumps = materialize(jumps.select("path", "offset", F.coalesce("j", "jump").alias("jump")), "jumps")
+        old = jumps_path
+        jumps, jumps_path = save(further.select("path", "offset", F.coalesce("j", "jump").alias("jump")))
+        remove_path(spark, old)
+    remove_path(spark, jumps_path)
     first = reached.select(F.col("path").alias("p"), "at", (F.floor(F.col("at") / size) * size).cast("bigint").alias("s"))
     return ranges.join(first, (F.col("path") == F.col("p")) & (F.col("start") == F.col("s"))).where("at < length").select(*ranges.columns, F.col("at").alias("entry"))
 
 
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """Ranges, each dealt to a task of its own: their number is given, since rows so small would be put together."""
+    return ranges.repartition(max(1, min(TASKS, ranges.count())), "path", "start")
+
+
 def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_digest, payload_bytes, html) of every record.
 
@@ -239,7 +272,7 @@ def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
         [("page_id", number), ("url", text), ("record_type", text), ("refers_to", number), ("payload_digest", text), ("payload_bytes", number), ("html", text)]
     )
     out = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, html string"
-    return entries(spark, path, size).repartition("path", "start").mapInArrow(run, out)
+    return _dealt(materialize(entries(spark, path, size), "entries")).mapInArrow(run, out)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -247,6 +280,3 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     path = new_path(pages.sparkSession, "warc")
     write(pages, path, min_bytes)
     return read(pages.sparkSession, path)
-
-
-

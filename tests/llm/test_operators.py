@@ -464,6 +464,25 @@ def test_warc_round_trip(spark, size):
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["html"]) for r in got) == want
 
 
+@pytest.mark.parametrize("size", [8 << 20, 5000])
+def test_warc_long_headers(spark, size):
+    """Headers longer than what is read ahead, with empty lines and magic in what follows."""
+    rows = [(1, "data:" + "x" * 100_000, "a"), (2, "u", MAGIC * 50), (3, "y" * 70_000, MAGIC), (4, "data:" + "z" * 300_000, None)]
+    path = queries.warc.new_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+    got = {r["page_id"]: (r["url"], r["html"]) for r in warc.read(spark, path, size).collect()}
+    assert got == {p: (u, h or "") for p, u, h in rows}
+
+
+def test_warc_ranges_are_read_by_many_tasks(spark):
+    rows = [(i, "u", f"{i} " * 500) for i in range(400)]
+    path = queries.warc.new_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+    back = warc.read(spark, path, 20_000)
+    tasks = back.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 10 and back.count() == 400
+
+
 def test_warc_small_payloads_and_empty_table(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id bigint, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.round_trip(df, min_bytes=3).collect()}
