@@ -1,16 +1,23 @@
-"""BPE encoding with the tokenizers library: a memo over pre-tokens, and tree concatenation.
+"""BPE encoding with the tokenizers library: a memo over pre-tokens, and tree concatenation of long texts.
 
 BPE encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in
 turn. Texts of common Latin characters are cut by a pattern here and each
 distinct pre-token is encoded once a worker; any other text goes to the library
-whole. A pre-token of over LEAF characters (long unsplit text) is halved until
-its parts are small; the parts are encoded in parallel tasks, and at each join a
-growing window of tokens is encoded anew until its first and last token agree
-with the sides. Adjacent tokens of one BPE encoding are valid wherever each pair
-of neighbours is, hence the result is the encoding of the whole.
+whole.
+
+A text of over `longest` characters is halved, wherever that falls, until its
+parts are small, and the parts are encoded in parallel tasks. At each join a
+window grows on both sides until its ends are places where any text is cut alike
+(between a printable character and a space before another), is encoded anew, and
+takes the place of its tokens: outside it both sides agree with the whole. A text
+with an unsplit stretch longer than a part is cut into pre-tokens first and the
+long ones are halved; there the window grows until its first and last token
+agree with the sides. Adjacent tokens of one BPE encoding are valid wherever each
+pair of neighbours is, hence the result is the encoding of the whole.
 
 Defined results: a null text counts as empty; empty texts have no ids; every row
-gives a row, repeated or not.
+gives a row, repeated or not; an empty table gives no rows; extra columns are
+ignored; the ids of a very long text, 4 bytes each, are joined in one task.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of an unsplit part that is encoded at once.
-LEAF = 4096
+#: Characters of a text that is encoded at once, and of a part of a longer one.
+LONGEST, LEAF = 1 << 15, 4096
 #: Pre-tokens kept by a worker before its memo starts anew.
 MEMO = 400_000
 
@@ -198,13 +205,46 @@ def join_ids(left: list[int], right: list[int], encode: Callable[[str], list[int
         k *= 2
 
 
-def join_tree(parts: list[list[int]], encode: Callable[[str], list[int]], token: Callable[[int], str]) -> list[int]:
+def join_tree(parts: list[list[int]], join: Callable[[list[int], list[int]], list[int]]) -> list[int]:
     """Joins neighbours pairwise until one encoding is left."""
     while len(parts) > 1:
-        parts = [join_ids(*parts[i : i + 2], encode, token) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        parts = [join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     return parts[0] if parts else []
 
 
+def join_texts(left: list[int], right: list[int], encode: Callable[[str], list[int]], table: list[bytes]) -> list[int]:
+    """The encoding of two neighbouring parts of a text from the parts' encodings."""
+    if not left or not right:
+        return left + right
+
+    def sure(i: int, j: int) -> bool:
+        """Whether any text that holds tokens i and j side by side is cut between them."""
+        a, b = table[i], table[j]
+        return 0x21 <= a[-1] <= 0x7E and len(b) > 1 and b[0] == 0x20 and 0x21 <= b[1] <= 0x7E
+
+    k = m = 1
+    while k < len(left) and not sure(left[-k - 1], left[-k]):
+        k += 1
+    while m < len(right) and not sure(right[m - 1], right[m]):
+        m += 1
+    window = encode(b"".join(map(table.__getitem__, left[-k:] + right[:m])).decode())
+    return left[: len(left) - k] + window + right[m:]
+
+
+#: A place where any text is cut alike.
+_SURE = re.compile("[!-~] (?=[!-~])")
+
+
+def _splits(text: str, leaf: int) -> bool:
+    """Whether no stretch of over `leaf` characters lacks a place where any text is cut alike."""
+    at = 0
+    for found in _SURE.finditer(text):
+        if found.start() - at > leaf:
+            return False
+        at = found.start()
+    return len(text) - at <= leaf
+
+
 def _model(path: str) -> tuple[Callable[[str], list[int]], Callable[[int], str]]:
     tokenizer = encoder(path).tokenizer
     model = tokenizer.model
@@ -224,11 +264,15 @@ def _pretokens(text: str, path: str) -> Iterator[tuple[str, bool]]:
                 yield piece, False
 
 
-def encode_digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+#: Piece numbers of parts that are pre-tokens in turn, and of parts of a text halved anywhere.
+_WHOLE, _HALVED = -1, -2
+
+
+def encode_digests(docs: DataFrame, path: str, leaf: int = LEAF, longest: int = LONGEST) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row under a byte-level tokenizer.
 
-    Rows with a stretch of over `leaf` characters and no white space go by tree
-    concatenation: their parts are rows of their own, dealt over all tasks.
+    Rows of over `longest` characters go by tree concatenation: their parts are
+    rows of their own, dealt over all tasks.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     digests = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -242,63 +286,83 @@ def encode_digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (row, doc_id, part, piece, text): parts of long pieces, and stretches of other pieces one to a part."""
+        """Rows (row, doc_id, part, piece, text): parts of the text or of long pre-tokens, and runs of other pre-tokens."""
         schema = pa.schema([("row", pa.int64()), ("doc_id", out_id), ("part", pa.int32()), ("piece", pa.int32()), ("text", pa.list_(pa.string()))])
+
+        def parts(text: str) -> Iterator[tuple[int, list[str]]]:
+            if encoder(path).kind == "byte" and _splits(text, leaf):
+                yield from ((_HALVED, [x]) for x in leaves(text, leaf))
+                return
+            run: list[str] = []
+            for i, (piece, special) in enumerate(_pretokens(text, path)):
+                if not special and len(piece) > leaf:
+                    yield _WHOLE, run
+                    yield from ((i, [x]) for x in leaves(piece, leaf))
+                    run = []
+                else:
+                    if len(run) >= leaf:
+                        yield _WHOLE, run
+                        run = []
+                    run.append(piece)
+            yield _WHOLE, run
+
         for b in batches:
             for row, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                part, run = 0, []
-                for i, (piece, special) in enumerate(_pretokens(text, path)):
-                    if not special and len(piece) > leaf:
-                        todo = ([(-1, run)] if run else []) + [(i, [x]) for x in leaves(piece, leaf)]
-                        run = []
-                    elif len(run) >= leaf:
-                        todo, run = [(-1, run)], [piece]
-                    else:
-                        todo = []
-                        run.append(piece)
-                    for p, x in todo:
-                        yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc, "part": part, "piece": p, "text": x}], schema)
-                        part += 1
-                yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc, "part": part, "piece": -1, "text": run}], schema)
+                for part, (piece, x) in enumerate(parts(text)):
+                    yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc, "part": part, "piece": piece, "text": x}], schema)
 
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, _ = _model(path)
         tokenizer = encoder(path).tokenizer
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         for b in batches:
-            out = [[i for x in pieces for i in ([special[x]] if x in special else ids(x))] for pieces in b.column(4).to_pylist()]
+            out = []
+            for piece, parts in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+                if piece == _HALVED:
+                    out.append(np.frombuffer(next(encoder(path).encode(parts)), "<u4").tolist())
+                else:
+                    out.append([i for x in parts for i in ([special[x]] if x in special else ids(x))])
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.int32()))], ["row", "doc_id", "part", "piece", "ids"])
 
     def assemble(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
         encode, token = _model(path)
         whole: list[int] = []
-        piece, held = -1, []
+        piece, held = _WHOLE, []
+
+        def again(text: str) -> list[int]:
+            return np.frombuffer(next(encoder(path).encode([text])), "<u4").tolist()
+
+        def joined() -> list[int]:
+            if piece == _HALVED:
+                return join_tree(held, lambda a, b: join_texts(a, b, again, decoder(path).table))
+            return join_tree(held, lambda a, b: join_ids(a, b, encode, token))
+
         for p, ids in zip(table["piece"].to_pylist(), table["ids"].to_pylist()):
             if p != piece:
-                whole += join_tree(held, encode, token)
-                held = []
-            piece = p
-            if p < 0:
+                whole += joined()
+                piece, held = p, []
+            if p == _WHOLE:
                 whole += ids
             else:
                 held.append(ids)
-        whole += join_tree(held, encode, token)
+        whole += joined()
         n, a, b = decoder(path).digest(np.array(whole, "<u4").tobytes())
         return pa.table({"doc_id": table["doc_id"][:1], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     out_id = to_arrow_type(docs.schema["doc_id"].dataType)
-    stretch = F.coalesce(F.col("text").rlike(f"\\S{{{leaf + 1},}}"), F.lit(False))
+    far = F.coalesce(F.char_length("text") > longest, F.lit(False))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text")
     long = (
-        rows.where(stretch)
+        rows.where(far)
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
         .mapInArrow(cut, f"row bigint, doc_id {kind}, part int, piece int, text array<string>")
-        .repartition("row", "part")
+        .repartition(tasks, "row", "part")  # a given number, since parts so few and small would be put together
         .mapInArrow(encode_parts, f"row bigint, doc_id {kind}, part int, piece int, ids array<int>")
         .groupBy("row")
         .applyInArrow(assemble, digests)
     )
-    return rows.where(~stretch).mapInArrow(short, digests).unionByName(long)
+    return rows.where(~far).mapInArrow(short, digests).unionByName(long)

@@ -551,8 +551,8 @@ def test_bpe_round_trip(spark, odd, none):
         ids = t.encode(r["text"] or "", add_special_tokens=False).ids
         text = t.decode(ids, skip_special_tokens=False)
         want[r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
-    for leaf in (bpe.LEAF, 40):
-        assert Counter(map(tuple, bpe.encode_digests(source, BYTE, leaf).collect())) == want
+    for leaf, longest in ((bpe.LEAF, bpe.LONGEST), (40, 100), (8, 0), (bpe.LEAF, 5000)):
+        assert Counter(map(tuple, bpe.encode_digests(source, BYTE, leaf, longest).collect())) == want
     assert bpe.encode_digests(none, BYTE).count() == 0
 
 
@@ -564,7 +564,22 @@ def test_bpe_trees_equal_whole_encodings():
         for _ in range(15):
             s = "".join(rng.choices(["the", "ing", "é", "a", "zzz", "ation", "日", "q", "--", "0"], k=400))
             s = "".join(stand_in[b] for b in s.encode())
-            assert bpe.join_tree([encode(x) for x in bpe.leaves(s, leaf)], encode, token) == encode(s)
+            assert bpe.join_tree([encode(x) for x in bpe.leaves(s, leaf)], lambda a, b: bpe.join_ids(a, b, encode, token)) == encode(s)
+
+
+def test_bpe_halved_texts_equal_whole_encodings():
+    """Texts halved anywhere: in words, contractions, runs of white space, special tokens and characters of many bytes."""
+    from tokenizers import Tokenizer
+
+    t, e, rng = Tokenizer.from_file(BYTE), bpe.encoder(BYTE), random.Random(7)
+    table, one = bpe.decoder(BYTE).table, lambda x: np.frombuffer(next(e.encode([x])), "<u4").tolist()
+    pieces = ["don't", " ", "  ", "\n", "\n\n", " \n", " word", " words.", " Ünï", " 123", "!!", "'ll", "\xa0", "日本", "<|endoftext|>", " a b", "\u3000", " (x)", "é"]
+    for leaf in (1, 3, 17, 60):
+        for _ in range(150):
+            s = "".join(rng.choices(pieces, k=rng.randint(1, 60)))
+            parts = [one(x) for x in bpe.leaves(s, leaf)]
+            assert bpe.join_tree(parts, lambda a, b: bpe.join_texts(a, b, one, table)) == t.encode(s, add_special_tokens=False).ids
+    assert bpe._splits("a b " * 3000, 100) and not bpe._splits("a b " * 10 + "x" * 101 + " y", 100) and not bpe._splits(" " * 200, 100)
 
 
 @pytest.mark.parametrize("path", [BYTE, WORDS])
