@@ -6,13 +6,17 @@ filter's greatest activation is the chunk's feature. The means and maxima of
 the features over a document's chunks, with the log of its length, pass through
 one hidden layer into one probability.
 
-The network is fitted on at most `rows` labelled documents of at most
-`sample_bytes` together, chosen by a hash of the id; scoring reads every byte of
-every document, with a chunk in memory at a time.
+The network is fitted on about `rows` labelled documents of at most
+`sample_bytes` together, taken in the order of a hash of the id; a text that
+would exceed the bytes is left out of the sample and the next ones are tried.
+Scoring reads every byte of every document, with a chunk in memory at a time.
 
 Defined results: a null text counts as empty; an empty text is scored from the
-zero features; without usable labels every score is 0.5; repeated rows score
-alike; an empty table gives no rows.
+zero features; without usable labels every score is 0.5; of labels that differ
+for one doc_id the least counts; rows repeated whole count once in the sample
+and score alike; rows that share a doc_id and differ in text share its label; an
+empty table gives no rows; extra columns pass through, but for one of the
+score's name, which the score replaces.
 """
 
 from __future__ import annotations
@@ -165,21 +169,25 @@ def _settle(net: Network, data: list[np.ndarray], labels: np.ndarray, weights: n
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most `rows` documents and `sample_bytes`, by hash of the id."""
-    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    """Whole texts and labels of at most `rows` labels' documents and `sample_bytes`, by hash of the id."""
+    spark = docs.sparkSession
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    chosen = known.dropDuplicates(["doc_id"]).select("*", order.alias("rank")).orderBy("rank", "doc_id").limit(rows)
+    chosen = known.select("*", order.alias("rank")).orderBy("rank", "doc_id").limit(rows)
     # At most `rows` short rows: bounded by the parameter, so they are broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sizes = found.select("doc_id", "rank", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("rank", "doc_id").limit(2 * rows).collect()
-    cut, total = -1, 0
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    sizes = found.where(F.col("n") <= sample_bytes).select("rank", "doc_id", "key", "n").distinct().orderBy("rank", "doc_id", "key").limit(2 * rows).collect()
+    taken, total = [], 0
     for r in sizes:
-        total += r["n"]
-        if total > sample_bytes:
-            break
-        cut = r["rank"]
-    got = found.where(F.col("rank") <= cut).select("rank", "doc_id", "text", "quality").limit(2 * rows).collect()
-    got.sort(key=lambda r: (r["rank"], r["doc_id"]))
+        if total + r["n"] <= sample_bytes:
+            total += r["n"]
+            taken.append((r["doc_id"], r["key"]))
+    if not taken:
+        return [], []
+    wanted = spark.createDataFrame(taken, found.select("doc_id", "key").schema)
+    got = found.join(F.broadcast(wanted), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("rank", "doc_id", "key", "text", "quality").collect()
+    got.sort(key=lambda r: (r["rank"], r["doc_id"], r["key"]))
     return [r["text"] for r in got], [r["quality"] for r in got]
 
 

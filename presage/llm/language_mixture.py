@@ -11,8 +11,9 @@ score is that share.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or
 if no labels exist; ties go to the language first by name; rows with a null
-lang are not learned from; repeated rows score alike; an empty table gives no
-rows.
+lang are not learned from; repeated rows score alike; a text of over 4 BUCKETS
+trigrams is inferred from its counts, with the same result; an empty table gives
+no rows; extra columns pass through, but for those of the results' names.
 """
 
 from __future__ import annotations

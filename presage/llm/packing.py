@@ -8,8 +8,9 @@ Pieces then take their slots by rank within their length. Ranks come from counts
 by task and length, so that no task has to see all pieces of a length.
 
 Defined results: a null text counts as empty (it holds the end id alone); ties
-within a length may take each other's slots; repeated rows are packed each; an
-empty table gives no rows.
+within a length may take each other's slots; repeated rows are packed each; a
+very long text is cut into pieces; an empty table gives no rows; extra columns
+of documents are ignored, those of pieces pass through but for the results' names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Defined results: a vector that is null or holds a null, NaN or infinity takes no
 part; shorter vectors count as padded by zeros; the rows that share a query's id
 are not its candidates; queries repeated exactly are answered once, candidates
 that repeat count each; fewer than k candidates are all returned. Scores are
-exact, and clipped to 64 bits beyond them.
+exact, and clipped to 64 bits beyond them. An empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations

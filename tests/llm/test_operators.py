@@ -251,6 +251,59 @@ def test_languages(spark, odd, none):
     assert len(unlabelled) == len(ODD) and all(r["lang_pred"] == "und" for r in unlabelled)
 
 
+def slow_mixture(model, text):
+    """Shares of the selected languages, a trigram at a time."""
+    raw = b" " + text.encode().lower() + b" "
+    rows = []
+    for i in range(len(raw) - 2):
+        h = raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]
+        rows.append([float(x) for x in model.table[(h * 2654435761 % 2**32) >> 16]])
+
+    def em(chosen, share):
+        for _ in range(12 if len(chosen) > 1 else 0):
+            moved = [0.0] * len(chosen)
+            for p in rows:
+                whole = sum(p[c] * s for c, s in zip(chosen, share))
+                moved = [m + p[c] * s / whole for m, c, s in zip(moved, chosen, share)]
+            new = [m / len(rows) for m in moved]
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(math.log(sum(p[c] * s for c, s in zip(chosen, share))) for p in rows)
+
+    full, _ = em(range(len(model.names)), [1 / len(model.names)] * len(model.names))
+    order = sorted(range(len(full)), key=lambda c: -full[c])
+    chosen, share = order[:1], [1.0]
+    best = em(chosen, share)[1]
+    for extra in order[1:]:
+        start = [max(full[c], 1e-4) for c in [*chosen, extra]]
+        new, fit = em([*chosen, extra], [s / sum(start) for s in start])
+        if fit - best <= 4 * math.log(len(rows) + 1):
+            break
+        chosen, share, best = [*chosen, extra], new, fit
+    return dict(zip(chosen, share))
+
+
+def test_language_mixture_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 1500")
+    model = language_mixture.fit(docs, F.lit(True))
+    by = {}
+    for r in docs.collect():
+        by.setdefault(r["lang"], []).append(r["text"])
+    names = sorted(by)
+    texts = [by[x][0] for x in names] + [by[a][1] + " " + by[b][2] for a, b in zip(names, names[1:])] + ["A", "x1"]
+    for text in texts:
+        want, got = slow_mixture(model, text), model.infer(text)
+        assert set(got) == set(want) and all(got[c] == pytest.approx(want[c], abs=5e-3) for c in want)
+    # Over 4 BUCKETS trigrams a text is its counts.
+    long = " ".join(texts[:2]) * 300
+    assert len(language_mixture.trigrams(long)) > 4 * language_mixture.BUCKETS
+    whole = model.infer(long)
+    share = slow_mixture(model, " ".join(texts[:2]) * 4)
+    assert set(whole) == set(share) and all(whole[c] == pytest.approx(share[c], abs=0.02) for c in whole)
+
+
 # 5: language model
 
 
@@ -538,6 +591,45 @@ def test_quality_network_covers_the_text_and_its_gradient_is_right():
         assert g[name][at] == pytest.approx((loss[0] - loss[1]) / (2 * step), rel=0.05, abs=2e-3)
 
 
+def slow_quality(net, data):
+    """The network's probability, one filter and place at a time."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    means, tops, at = [], [], 0
+    while at == 0 or at < len(data) - byte_cnn.OVERLAP:
+        chunk = list(data[at : at + byte_cnn.CHUNK])
+        chunk += [0] * (max(byte_cnn.WIDTH, -(-len(chunk) // byte_cnn.STEP) * byte_cnn.STEP) - len(chunk))
+        seen = np.array([p["embed"][chunk[i : i + byte_cnn.WIDTH]].ravel() for i in range(0, len(chunk) - byte_cnn.WIDTH + 1, byte_cnn.STEP)])
+        means.append([max(0.0, max(row @ p["filters"][:, f] for row in seen) + p["bias"][f]) if len(data) else 0.0 for f in range(byte_cnn.FILTERS)])
+        at += byte_cnn.CHUNK - byte_cnn.OVERLAP
+    f = [*np.mean(means, axis=0), *np.max(means, axis=0), math.log1p(len(data)) / 10]
+    h = [max(0.0, sum(x * w for x, w in zip(f, p["w1"][:, j])) + p["b1"][j]) for j in range(byte_cnn.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(x * w for x, w in zip(h, p["w2"])) - p["b2"][0]))
+
+
+def test_quality_against_brute_force(spark):
+    docs, labels = docs_of(spark).select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts, marks = byte_cnn.sample(docs, labels)
+    net = byte_cnn.fit(texts, marks, epochs=2)
+    cases = [*texts[:6], "", "a", "é" * 5, "word " * 3000, "x" * (byte_cnn.CHUNK + 1)]
+    got = [r["score"] for r in byte_cnn.classify(spark.createDataFrame([(t,) for t in cases], "text string").coalesce(1), net).collect()]
+    assert got == pytest.approx([slow_quality(net, t.encode()) for t in cases], abs=1e-4)
+
+
+def test_quality_sample_is_bounded_and_settled(spark):
+    """A text over the bound is passed over; labels that differ and rows that repeat have one result in any order."""
+    docs = [(i, f"text {i} " * 20) for i in range(40)] + [(7, "other text of 7"), (8, "text 8 " * 20)]
+    labels = [(i, i % 2) for i in range(40)] + [(3, 0), (5, 0), (5, None)]
+    first = min(range(40), key=lambda i: spark.range(1).select(F.pmod(F.xxhash64(F.lit("sample"), F.lit(i).cast("bigint")), F.lit(1 << 30))).first()[0])
+    docs[first] = (first, "long " * 20_000)
+    got = []
+    for d, n in ((docs, labels), (docs[::-1], labels[::-1])):
+        d, n = spark.createDataFrame(d, "doc_id bigint, text string"), spark.createDataFrame(n, "doc_id bigint, quality int")
+        got.append(byte_cnn.sample(d, n, sample_bytes=50_000))
+    assert got[0] == got[1] and len(got[0][0]) == 40 and "long " * 20_000 not in got[0][0]
+    assert dict(zip(*got[0]))["text 3 " * 20] == 0 and dict(zip(*got[0]))["text 5 " * 20] == 0
+    assert len(byte_cnn.sample(d, n, rows=10)[0]) <= 11
+
+
 # 10: BPE
 
 
