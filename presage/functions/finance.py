@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presage.functions.buckets import BANDS
+
 
 def ratio(a: Column, b: Column, digits: int | None = 4) -> Column:
     out = F.try_divide(a, b)
@@ -46,10 +48,6 @@ def full_year(start: Column, end: Column) -> Column:
     return start.isNull() | F.datediff(end, start).between(350, 380)
 
 
-# Ceilings of the yearly return of each outcome.
-CEILINGS = [("disaster", -0.10), ("poor", 0.0), ("market", 0.07), ("good", 0.13)]
-
-
 def range_labels(years: Column) -> dict[str, Column]:
     """For each outcome, its range of total returns over so many years, as text."""
 
@@ -57,7 +55,7 @@ def range_labels(years: Column) -> dict[str, Column]:
         return F.format_string("%+.0f%%", (F.pow(F.lit(1 + rate), years) - 1) * 100)
 
     out, below = {}, None
-    for label, ceiling in CEILINGS:
+    for _, ceiling, label in BANDS["outcome"][0]:
         out[label] = F.concat(F.lit("< "), total(ceiling)) if below is None else F.concat(total(below), F.lit(" to "), total(ceiling))
         below = ceiling
     return out | {"great": F.concat(F.lit(">= "), total(below))}

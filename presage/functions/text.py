@@ -71,8 +71,25 @@ def category(value: Column) -> Column:
 
 
 def label(field: str, value: Column) -> Column:
-    """`field = value`, whole floats as integers."""
-    return F.concat(F.lit(f"{field} = "), value)
+    """`field = value`; a number without decimals as an integer, text as it is."""
+    said = value.cast("string")
+    number = F.when(F.rlike(said, F.lit(r"^-?\d+(\.0|\.\d+E\d+)$")), said.try_cast("double"))
+    whole = F.when(number == F.floor(number), number.cast("bigint").cast("string"))
+    return F.concat(F.lit(f"{field} = "), F.coalesce(whole, said))
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """The template with each {NAME} replaced by its value as text; a null value fills in nothing."""
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def columns_like(names: list[str], *parts: str) -> list[str]:
+    """The columns whose names hold one of the parts, in any case, in order; a name that repeats comes once."""
+    found = [n for n in names if any(p.lower() in n.lower() for p in parts)]
+    return list(dict.fromkeys(found))
 
 
 def fold_of(key: Column, k: int = 5) -> Column:
@@ -97,6 +114,27 @@ def html_to_text(html: Column) -> Column:
 # Words that tell of bad and of good news.
 BAD = ["miss", "below expectations", "decline", "lower", "cut guidance", "disappoint"]
 GOOD = ["record", "beat", "raise", "exceeded", "strong", "growth"]
+# Words that settle a signal of a press release, first come first served, and what it is without any.
+SIGNALS = {
+    "reported_beat": ([(["miss"], "miss"), (["beat"], "beat")], "not_stated"),
+    "guidance": ([(["lower", "cut"], "lowered"), (["raise"], "raised")], "none"),
+    "revenue_direction": ([(["record revenue", "revenue grew"], "up")], "not_stated"),
+    "one_time_items": ([(["charge", "impairment"], "charges")], "none"),
+}
+# Predictions by rule, likeliest first.
+RULED = {
+    "down": [("down", 0.55), ("flat", 0.28), ("up", 0.17)],
+    "up": [("up", 0.5), ("flat", 0.28), ("down", 0.22)],
+    "flat": [("flat", 0.4), ("up", 0.32), ("down", 0.28)],
+}
+# Parts of the file names of press releases and of commentaries.
+RELEASE_NAMES = ["pr.htm", "press", "ex99", "ex-99", "earnings", "release", "results"]
+COMMENTARY_NAMES = ["commentary", "cfo"]
+# Sections of reports as characters to skip and to take, where the text is long enough; headers as patterns.
+BODY, MDA, MDA_FROM, ANNUAL_HEAD, PROXY_HEAD = (9_000, 8_000, 42_000), (90_000, 80_000, 30_000), 50_000, 40_000, 30_000
+MDA_HEADER = r"(?im)^\s*management.s\s+discussion\s+and\s+analysis"
+PAY_HEADER = r"compensation\s+discussion\s+and\s+analysis"
+PEOPLE_HEADER = r"(?:director|executive\s+officer)s?\s+(?:biographies|of\s+the\s+registrant)"
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -110,50 +148,42 @@ def keyword_signals(text: Column) -> dict[str, Column]:
     """Signals of a press release from its words alone."""
     t = F.lower(text)
     bad, good = _any(t, BAD), _any(t, GOOD)
-    return {
-        "headline_signal": F.when(bad & ~good, "clearly_negative").when(good & ~bad, "clearly_positive").otherwise("mixed"),
-        "reported_beat": F.when(_any(t, ["miss"]), "miss").when(_any(t, ["beat"]), "beat").otherwise("not_stated"),
-        "guidance": F.when(_any(t, ["lower", "cut"]), "lowered").when(_any(t, ["raise"]), "raised").otherwise("none"),
-        "eps_direction": F.when(bad & ~good, "down").otherwise("up"),
-        "revenue_direction": F.when(_any(t, ["record revenue", "revenue grew"]), "up").otherwise("not_stated"),
-        "one_time_items": F.when(_any(t, ["charge", "impairment"]), "charges").otherwise("none"),
-        "tone": F.when(bad, "cautious").otherwise("confident"),
-    }
+
+    def settled(name: str) -> Column:
+        rules, otherwise = SIGNALS[name]
+        return F.coalesce(*[F.when(_any(t, words), F.lit(label)) for words, label in rules], F.when(t.isNotNull(), F.lit(otherwise)), F.lit(otherwise))
+
+    only_bad = F.coalesce(bad & ~good, F.lit(False))
+    headline = F.when(only_bad, "clearly_negative").when(good & ~bad, "clearly_positive").otherwise("mixed")
+    rest = {"eps_direction": F.when(only_bad, "down").otherwise("up"), "tone": F.when(bad, "cautious").otherwise("confident")}
+    return {"headline_signal": headline} | {name: settled(name) for name in SIGNALS} | rest
 
 
 def rule_prediction(guidance: Column, beat: Column, headline: Column) -> Column:
     """array<struct<bucket, p>>, most likely first: the prediction where no model is at hand."""
 
-    def ranked(*pairs: tuple[str, float]) -> Column:
-        return F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).alias("p")) for b, p in pairs])
+    def ranked(name: str) -> Column:
+        return F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).alias("p")) for b, p in RULED[name]])
 
     down = (guidance == "lowered") | (beat == "miss") | (headline == "clearly_negative")
     up = (guidance == "raised") | (headline == "clearly_positive")
-    return (
-        F.when(down, ranked(("down", 0.55), ("flat", 0.28), ("up", 0.17)))
-        .when(up, ranked(("up", 0.5), ("flat", 0.28), ("down", 0.22)))
-        .otherwise(ranked(("flat", 0.4), ("up", 0.32), ("down", 0.28)))
-    )
+    return F.when(down, ranked("down")).when(up, ranked("up")).otherwise(ranked("flat"))
 
 
 def release_rank(name: Column) -> Column:
     """0 for a press release's file name, 1 for commentary, else 2."""
     low = F.lower(name)
-    return (
-        F.when(_any(low, ["pr.htm", "press", "ex99", "ex-99", "earnings", "release", "results"]), 0)
-        .when(_any(low, ["commentary", "cfo"]), 1)
-        .otherwise(2)
-    )
+    return F.when(_any(low, RELEASE_NAMES), 0).when(_any(low, COMMENTARY_NAMES), 1).otherwise(2)
 
 
 def annual_sections(text: Column) -> dict[str, Column]:
     """Windows of an annual report: business and risks; management's discussion; else the head."""
     n = F.char_length(text)
-    body = F.when(n > 9_000, F.substring(text, 8_001, 42_000))
-    late = F.substring(text, F.lit(50_001), F.greatest(n - 50_000, F.lit(0)))
-    anchor = F.regexp_instr(late, F.lit(r"(?im)^\s*management.s\s+discussion\s+and\s+analysis"))
-    mda = F.when(anchor > 0, F.substring(late, anchor, F.lit(30_000))).when(n > 90_000, F.substring(text, 80_001, 30_000))
-    return {"business_and_risks": body, "mda": mda, "head": F.when(body.isNull() & mda.isNull(), F.substring(text, 1, 40_000))}
+    window = lambda w: F.when(n > w[0], F.substring(text, w[1] + 1, w[2]))
+    body, late = window(BODY), F.substring(text, F.lit(MDA_FROM + 1), F.greatest(n - MDA_FROM, F.lit(0)))
+    anchor = F.regexp_instr(late, F.lit(MDA_HEADER))
+    mda = F.coalesce(F.when(anchor > 0, F.substring(late, anchor, F.lit(MDA[2]))), window(MDA))
+    return {"business_and_risks": body, "mda": mda, "head": F.when(body.isNull() & mda.isNull(), F.substring(text, 1, ANNUAL_HEAD))}
 
 
 def last_window(text: Column, pattern: str, size: int = 20_000, least: int = 1_000) -> Column:
@@ -165,9 +195,8 @@ def last_window(text: Column, pattern: str, size: int = 20_000, least: int = 1_0
 
 def proxy_sections(text: Column) -> dict[str, Column]:
     """The two sections of a proxy statement from their last headers on; else the head."""
-    pay = last_window(text, r"compensation\s+discussion\s+and\s+analysis")
-    people = last_window(text, r"(?:director|executive\s+officer)s?\s+(?:biographies|of\s+the\s+registrant)")
-    return {"cd_a": pay, "biographies": people, "head": F.when(pay.isNull() & people.isNull(), F.substring(text, 1, 30_000))}
+    pay, people = last_window(text, PAY_HEADER), last_window(text, PEOPLE_HEADER)
+    return {"cd_a": pay, "biographies": people, "head": F.when(pay.isNull() & people.isNull(), F.substring(text, 1, PROXY_HEAD))}
 
 
 def within_budget(sections: dict[str, Column], max_tokens: Column | int, per_token: int = 4) -> Column:

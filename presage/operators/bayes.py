@@ -1,19 +1,125 @@
-"""Naive Bayes over categorical features: prediction, cross-validation in one pass, explanation, metrics."""
+"""Naive Bayes over categorical features: prediction, cross-validation in one pass, explanation, metrics.
+
+A model is its count table: a row for each (fold, class, field, value). Up to
+BOUND rows it is brought to the driver and scoring is one stage: each feature is
+looked up by (fold, value) in a table of that size, which Spark broadcasts, and a
+row's sums are columns. A larger table stays where it is; then rows are taken
+apart by feature, joined and summed by id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from presage.functions.text import category
 from presage.operators.lift import unpivot
+from presage.operators.ranking import grouped_rank
 
 ALPHA = 1.0
+#: Rows of a count table that the driver takes.
+BOUND = 100_000
+
+
+def stratified_fold(df: DataFrame, label: str, key: str, k: int = 5, out: str = "fold") -> DataFrame:
+    """df with a fold from 0: position within the class in order of key, modulo k."""
+    return grouped_rank(df, [label], [F.col(key)], "_place").withColumn(out, ((F.col("_place") - 1) % k).cast("int")).drop("_place")
 
 
-def stratified_fold(label: str, key: str, k: int = 5) -> Column:
-    """Fold from 0: position within the class in order of key, modulo k."""
-    return ((F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k).cast("int")
+class Counts:
+    """A count table on the driver: what smoothed probabilities need, for each held-out fold.
+
+    Training counts of a fold are all counts less its own; fold None is one model
+    of all rows.
+    """
+
+    def __init__(self, rows: list, features: list[str], classes: list[str], folds: list[int] | None, alpha: float):
+        self.features, self.classes, self.folds, self.alpha = features, classes, folds if folds is not None else [None], alpha
+        zero = lambda: [0] * len(classes)
+        own, total = defaultdict(zero), defaultdict(zero)
+        place = {c: i for i, c in enumerate(classes)}
+        for fold, cls, field, value, n in rows:
+            if cls in place:
+                own[fold, field, value][place[cls]] += n
+                total[field, value][place[cls]] += n
+        self.values: dict[tuple, list[int]] = {}
+        for f in self.folds:
+            for (field, value), n in total.items():
+                self.values[f, field, value] = n if f is None else [a - b for a, b in zip(n, own.get((f, field, value), zero()))]
+        self.sizes = {f: self.values.get((f, None, None), zero()) for f in self.folds}
+        seen = defaultdict(int)
+        for (f, field, _), n in self.values.items():
+            seen[f, field] += sum(n) > 0
+        self.seen = seen
+
+    def prior(self, fold: int | None) -> list[float]:
+        n, k = sum(self.sizes[fold]), len(self.classes)
+        return [math.log((c + self.alpha) / (n + self.alpha * k)) for c in self.sizes[fold]]
+
+    def likelihoods(self, fold: int | None, field: str, value: str | None) -> list[float]:
+        """log P(value | class) for each class; a value without training rows has count 0."""
+        counts = self.values.get((fold, field, value), [0] * len(self.classes))
+        return [math.log((n + self.alpha) / (c + self.alpha * (self.seen[fold, field] + 1))) for n, c in zip(counts, self.sizes[fold])]
+
+    def table(self, spark: SparkSession, field: str) -> DataFrame:
+        """(fold, value, array of one double a class) of a field, and a row of value null for what is unseen."""
+        rows = [(f, v, self.likelihoods(f, field, v)) for f, g, v in self.values if g == field]
+        rows += [(f, None, self.likelihoods(f, field, None)) for f in self.folds]
+        return spark.createDataFrame(rows, "_f int, _v string, _ll array<double>")
+
+
+def counted(base: DataFrame, features: list[str]) -> DataFrame:
+    """(fold, cls, field, value, n) of base(fold, cls, features); field null: the class itself."""
+    parts = [F.struct(F.lit(f).alias("field"), category(F.col(f)).alias("value")) for f in features]
+    whole = F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
+    long = base.select("fold", "cls", F.explode(F.array(whole, *parts)).alias("_p")).select("fold", "cls", "_p.field", "_p.value")
+    return long.groupBy("fold", "cls", "field", "value").agg(F.count("*").alias("n"))
+
+
+def fit(base: DataFrame, features: list[str], classes: list[str] | None, folds: list[int] | None = None, alpha: float = ALPHA, bound: int | None = None) -> Counts | None:
+    """The counts of base(fold if folds, cls, features); None if they are over the bound. classes None: those there are, in order."""
+    base = base if folds is not None else base.withColumn("fold", F.lit(None).cast("int"))
+    limit = BOUND if bound is None else bound
+    rows = [tuple(r) for r in counted(base.where(F.col("cls").isNotNull()), features).limit(limit + 1).collect()]
+    if len(rows) > limit:
+        return None
+    names = classes if classes is not None else sorted({r[1] for r in rows})
+    return Counts(rows, features, names, folds, alpha)
+
+
+def _looked_up(df: DataFrame, model: Counts, fields: list[str]) -> DataFrame:
+    """df(fold, fields) with `_prior` and, for the i-th field, `_ll{i}`: arrays over classes."""
+    spark, folded = df.sparkSession, model.folds != [None]
+    same = (lambda t: F.col("fold") == F.col(f"{t}._f")) if folded else (lambda t: F.lit(True))
+    for i, f in enumerate(fields):
+        whole = model.table(spark, f)
+        seen = whole.where("_v is not null").alias(f"t{i}")
+        df = df.join(seen, (category(F.col(f)) == F.col(f"t{i}._v")) & same(f"t{i}"), "left").withColumn(f"_ll{i}", F.col(f"t{i}._ll")).drop("_f", "_v", "_ll")
+    unseen = {(f): [model.likelihoods(f, g, None) for g in fields] for f in model.folds}
+    lits = lambda x: F.array(*[F.lit(v) for v in x])
+
+    def by_fold(make) -> Column:
+        if not folded:
+            return make(None)
+        out = F.when(F.lit(False), make(model.folds[0]))
+        for f in model.folds:
+            out = out.when(F.col("fold") == f, make(f))
+        return out
+
+    df = df.withColumn("_prior", by_fold(lambda f: lits(model.prior(f))))
+    return df.withColumns({f"_ll{i}": F.coalesce(f"_ll{i}", by_fold(lambda f, i=i: lits(unseen[f][i]))) for i in range(len(fields))})
+
+
+def _probabilities(parts: list[str], k: int) -> Column:
+    """The softmax of a sum of arrays of k doubles, a column each."""
+    scores = [sum((F.col(p)[i] for p in parts[1:]), F.col(parts[0])[i]) for i in range(k)]
+    top = F.greatest(*scores) if k > 1 else scores[0]
+    e = F.array(*[F.exp(x - top) for x in scores])
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
 def _log_likelihoods(base: DataFrame, features: list[str], classes: list[str], folds: list[int] | None, alpha: float) -> DataFrame:
@@ -82,23 +188,86 @@ def long(scored: DataFrame, classes: list[str]) -> DataFrame:
     return scored.select("id", F.explode(pairs).alias("x")).select("id", "x.c", "x.p")
 
 
-def predict(train: DataFrame, test: DataFrame, features: list[str], classes: list[str], alpha: float = ALPHA) -> DataFrame:
+def predict(train: DataFrame, test: DataFrame, features: list[str], classes: list[str], alpha: float = ALPHA, bound: int | None = None) -> DataFrame:
     """Probabilities of test(id, cls, features) from train(cls, features)."""
+    model = fit(train, features, classes, None, alpha, bound)
+    if model:
+        return apply(test.withColumn("fold", F.lit(-1)), model)
     table = _log_likelihoods(train.withColumn("fold", F.lit(-1)), features, classes, None, alpha)
     return _score(test.withColumn("fold", F.lit(-1)), features, classes, table, alpha)
 
 
-def cross_validate(base: DataFrame, features: list[str], classes: list[str], folds: list[int], alpha: float = ALPHA) -> DataFrame:
+def apply(test: DataFrame, model: Counts) -> DataFrame:
+    """(id, fold, cls, p) of test(id, fold, cls, features) under a model of the driver, in one stage."""
+    fields = model.features
+    looked = _looked_up(test.select("id", "fold", "cls", *fields), model, fields)
+    return looked.select("id", "fold", "cls", _probabilities(["_prior", *[f"_ll{i}" for i in range(len(fields))]], len(model.classes)).alias("p"))
+
+
+def cross_validate(
+    base: DataFrame, features: list[str], classes: list[str], folds: list[int], alpha: float = ALPHA, bound: int | None = None
+) -> DataFrame:
     """Held-out probabilities of base(id, fold, cls, features); all folds are trained in one pass."""
+    model = fit(base, features, classes, folds, alpha, bound)
+    if model:
+        return apply(base.where(F.col("fold").isin(folds)), model)
     return _score(base, features, classes, _log_likelihoods(base, features, classes, folds, alpha), alpha, closed=True)
 
 
-def explain(train: DataFrame, test: DataFrame, features: list[str], classes: list[str], alpha: float = ALPHA) -> DataFrame:
+def cross_validate_clustered(
+    base: DataFrame, clusters: dict[str, list[str]], classes: list[str], folds: list[int], beta: float = 0.0, alpha: float = ALPHA, bound: int | None = None
+) -> DataFrame:
+    """Held-out probabilities of base(id, fold, cls, a level column a cluster, features): clusters vote once.
+
+    Each feature adds beta times what it says beyond its cluster's level:
+    ln P(value | level, class) - ln P(value | level), smoothed like the rest.
+    """
+    themes = list(clusters)
+    if not beta:
+        return cross_validate(base.select("id", "fold", "cls", *themes), themes, classes, folds, alpha, bound)
+    pair = {f"{t}|{f}": F.concat_ws("|", category(F.col(t)), category(F.col(f))) for t, fields in clusters.items() for f in fields}
+    wide = base.select("id", "fold", "cls", *[category(F.col(t)).alias(t) for t in themes], *[c.alias(n) for n, c in pair.items()])
+    model = fit(wide, [*themes, *pair], classes, folds, alpha, bound)
+    if model is None:
+        raise ValueError("the clusters' count table is over the bound")
+    residual = _Residual(model, clusters, beta)
+    return apply(wide.where(F.col("fold").isin(folds)), residual)
+
+
+class _Residual(Counts):
+    """Counts whose paired features answer with beta times their residual."""
+
+    def __init__(self, model: Counts, clusters: dict[str, list[str]], beta: float):
+        self.__dict__.update(model.__dict__)
+        self.beta, self.own = beta, {f"{t}|{f}": t for t, fields in clusters.items() for f in fields}
+        distinct: dict[tuple, set] = defaultdict(set)
+        for (f, field, value), n in self.values.items():
+            if field in self.own and sum(n):
+                distinct[f, field].add(value.partition("|")[2])
+        self.distinct = {k: len(v) for k, v in distinct.items()}
+
+    def likelihoods(self, fold: int | None, field: str, value: str | None) -> list[float]:
+        if field not in self.own:
+            return super().likelihoods(fold, field, value)
+        counts = self.values.get((fold, field, value), [0] * len(self.classes))
+        level = self.values.get((fold, self.own[field], (value or "").partition("|")[0]), [0] * len(self.classes))
+        more = self.alpha * (self.distinct.get((fold, field), 0) + 1)
+        whole = math.log((sum(counts) + self.alpha) / (sum(level) + more))
+        return [self.beta * (math.log((n + self.alpha) / (m + more)) - whole) for n, m in zip(counts, level)]
+
+
+def explain(train: DataFrame, test: DataFrame, features: list[str], classes: list[str], alpha: float = ALPHA, bound: int | None = None) -> DataFrame:
     """(id, c, field, value, lift): P(value | class) / P(value) of each of test's values, the factors of a prediction."""
-    table = _log_likelihoods(train.withColumn("fold", F.lit(-1)), features, classes, None, alpha)
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
-    n = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)
-    lifts = table.select("field", "value", F.transform("ll", lambda x: F.exp(x) / (total / n)).alias("lifts"))
+    model = fit(train, features, classes, None, alpha, bound)
+    if model:
+        n = sum(model.sizes[None])
+        rows = [(g, v, [math.exp(x) * n / sum(c) for x in model.likelihoods(None, g, v)]) for (_, g, v), c in model.values.items() if g]
+        lifts = train.sparkSession.createDataFrame(rows, "field string, value string, lifts array<double>")
+    else:
+        table = _log_likelihoods(train.withColumn("fold", F.lit(-1)), features, classes, None, alpha)
+        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+        n = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)
+        lifts = table.select("field", "value", F.transform("ll", lambda x: F.exp(x) / (total / n)).alias("lifts"))
     u = unpivot(test, ["id"], features, missing=True).join(lifts, ["field", "value"])
     pairs = F.arrays_zip(F.array(*[F.lit(c) for c in classes]).alias("c"), F.col("lifts").alias("lift"))
     return u.select("id", "field", "value", F.explode(pairs).alias("x")).select("id", "x.c", "field", "value", "x.lift")
@@ -136,7 +305,7 @@ def metrics(scored: DataFrame, classes: list[str], good: list[str], bins: int =
 
 
 def evaluate(scored: DataFrame, classes: list[str]) -> DataFrame:
-    """One row: n, accuracy, base_accuracy, info_gain (bits), geom_mean_lift, mean_rank, base_mean_rank.
+    """One row: n, accuracy, base_accuracy, their difference, info_gain (bits) and its parts h and mxe, geom_mean_lift, mean_rank, base_mean_rank.
 
     The base distribution is the test rows' own class frequencies; ranks are from 0.
     """
@@ -153,12 +322,34 @@ def evaluate(scored: DataFrame, classes: list[str]) -> DataFrame:
         (F.sum("r") / n).alias("mean_rank"), (F.sum(F.col("br") * F.col("m")) / n).alias("base_mean_rank"),
         F.sum(F.col("m") * F.log2("m")).alias("mlogm"),
     )
-    gain = F.log2("n") - F.col("mlogm") / F.col("n") - F.col("mxe")
-    return total.select("n", "accuracy", "base_accuracy", gain.alias("info_gain"), F.pow(F.lit(2.0), gain).alias("geom_mean_lift"), "mean_rank", "base_mean_rank")
+    h = F.log2("n") - F.col("mlogm") / F.col("n")
+    gain = h - F.col("mxe")
+    return total.select(
+        "n", "accuracy", "base_accuracy", (F.col("accuracy") - F.col("base_accuracy")).alias("accuracy_gain"), gain.alias("info_gain"), "mxe", h.alias("h"),
+        F.pow(F.lit(2.0), gain).alias("geom_mean_lift"), "mean_rank", "base_mean_rank",
+    )
 
 
-def prefix_scores(base: DataFrame, ranked: list[str], classes: list[str], folds: list[int], sizes: list[int], alpha: float = ALPHA) -> DataFrame:
+def prefix_scores(
+    base: DataFrame, ranked: list[str], classes: list[str], folds: list[int], sizes: list[int], alpha: float = ALPHA, bound: int | None = None
+) -> DataFrame:
     """(k, n, logloss, accuracy): held-out quality of the first k ranked features, all k in one pass."""
+    k, model = len(classes), fit(base, ranked, classes, folds, alpha, bound)
+    if model:
+        looked = _looked_up(base.where(F.col("fold").isin(folds)).select("id", "fold", "cls", *ranked), model, ranked)
+        parts = ["_prior", *[f"_ll{i}" for i in range(len(ranked))]]
+        each = F.array(*[F.struct(F.lit(s).alias("k"), _probabilities(parts[: s + 1], k).alias("p")) for s in sizes])
+        scored = looked.select("id", "fold", "cls", F.explode(each).alias("x")).select("id", "fold", "cls", "x.k", "x.p")
+    else:
+        scored = _large_prefixes(base, ranked, classes, folds, sizes, alpha)
+    true = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cls")).cast("int")
+    top = F.array_position("p", F.array_max("p")).cast("int")
+    return scored.groupBy("k").agg(
+        F.count("*").alias("n"), F.avg(-F.ln(F.greatest(F.element_at("p", true), F.lit(1e-12)))).alias("logloss"), F.avg((true == top).cast("double")).alias("accuracy")
+    )
+
+
+def _large_prefixes(base: DataFrame, ranked: list[str], classes: list[str], folds: list[int], sizes: list[int], alpha: float) -> DataFrame:
     k = len(classes)
     table = _log_likelihoods(base, ranked, classes, folds, alpha)
     u = unpivot(base, ["id", "fold", "cls"], ranked, missing=True)
@@ -166,12 +357,12 @@ def prefix_scores(base: DataFrame, ranked: list[str], classes: list[str], folds:
     each = u.join(table.select("fold", "field", "value", "ll", "prior"), ["fold", "field", "value"]).withColumn("place", place)
     each = each.withColumn("k", F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("place"))))
     sums = each.groupBy("id", "fold", "cls", "k").agg(*[F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(k)], *[F.max(F.col("prior")[i]).alias(f"q{i}") for i in range(k)])
-    scored = sums.select("id", "fold", "cls", "k", _softmax(F.array(*[F.col(f"s{i}") + F.col(f"q{i}") for i in range(k)])).alias("p"))
-    true = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cls")).cast("int")
-    top = F.array_position("p", F.array_max("p")).cast("int")
-    return scored.groupBy("k").agg(
-        F.count("*").alias("n"), F.avg(-F.ln(F.greatest(F.element_at("p", true), F.lit(1e-12)))).alias("logloss"), F.avg((true == top).cast("double")).alias("accuracy")
-    )
+    return sums.select("id", "fold", "cls", "k", _softmax(F.array(*[F.col(f"s{i}") + F.col(f"q{i}") for i in range(k)])).alias("p"))
+
+
+def peak(sweep: DataFrame) -> DataFrame:
+    """The k of least log loss, the smallest of equals: one row of a sweep."""
+    return sweep.orderBy("logloss", "k").limit(1)
 
 
 def with_fallback(p: DataFrame, priors: DataFrame, classes: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presage.functions.buckets import verdict
+from presage.operators.ranking import quantiles
+from presage.operators.staging import materialize
 
 HORIZONS = (1, 5, 20, 252)
 
@@ -15,21 +17,22 @@ def percent(later: Column, earlier: Column) -> Column:
     return F.when(earlier > 0, (later / earlier - 1) * 100)
 
 
-def reactions(prices: DataFrame, events: DataFrame, key: str, ts: str, close: str, event_ts: str, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+def reactions(prices: DataFrame, events: DataFrame, key: str, ts: str, close: str, event_ts: str, horizons: tuple[int, ...] = HORIZONS, tie: str | None = None) -> DataFrame:
     """events with r_k: the close k rows after the first one at or after the event, against the last close before it.
 
     An event without an earlier close, or with one of 0 or less, gives no row.
     Each price row carries the closes ahead of it; an event finds its row by one
-    pass over the key's merged timeline.
+    pass over the key's merged timeline. Prices of one time are in order of tie.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    ahead = prices.select(key, F.col(ts).alias("_ts"), F.struct(F.lag(close).over(w).alias("anchor"), *[F.lead(close, h).over(w).alias(f"c{h}") for h in horizons]).alias("_p"))
+    w = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))
+    prices = prices.withColumn("_tie", F.col(tie) if tie else F.lit(0))
+    ahead = prices.select(key, F.col(ts).alias("_ts"), "_tie", F.struct(F.lag(close).over(w).alias("anchor"), *[F.lead(close, h).over(w).alias(f"c{h}") for h in horizons]).alias("_p"))
     extra = [c for c in events.columns if c != key]
     # First price row at or after the event: the first one behind it on the timeline, prices after events of the same time.
-    both = ahead.select(key, "_ts", F.lit(1).alias("_side"), "_p", F.lit(None).cast(events.select(F.struct(*extra)).schema[0].dataType).alias("_e")).unionByName(
-        events.select(key, F.col(event_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(ahead.schema["_p"].dataType).alias("_p"), F.struct(*extra).alias("_e"))
+    both = ahead.select(key, "_ts", "_tie", F.lit(1).alias("_side"), "_p", F.lit(None).cast(events.select(F.struct(*extra)).schema[0].dataType).alias("_e")).unionByName(
+        events.select(key, F.col(event_ts).alias("_ts"), F.lit(None).cast(ahead.schema["_tie"].dataType).alias("_tie"), F.lit(0).alias("_side"), F.lit(None).cast(ahead.schema["_p"].dataType).alias("_p"), F.struct(*extra).alias("_e"))
     )
-    line = Window.partitionBy(key).orderBy("_ts", "_side").rowsBetween(0, Window.unboundedFollowing)
+    line = Window.partitionBy(key).orderBy("_ts", "_side", "_tie").rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumn("_f", F.first("_p", ignorenulls=True).over(line)).where("_side = 0 and _f.anchor > 0")
     return found.select(key, "_e.*", *[percent(F.col(f"_f.c{h}"), F.col("_f.anchor")).alias(f"r_{h}") for h in horizons])
 
@@ -58,21 +61,35 @@ def forward_return(prices: DataFrame, key: str, ts: str, close: str, days: int =
 
 def theme_stats(events: DataFrame, theme: str, r1: str, r20: str, r252: str, least: int = 30) -> DataFrame:
     """Per theme of at least `least` events: n, mean, median, share up, correlation of day one with day 20, cohort medians, gap and verdict."""
+    known = materialize(events.where(F.col(r1).isNotNull()).select(theme, r1, r20, r252), "reactions")
     up, down = F.col(r1) > 0, F.col(r1) < 0
-    med = lambda c, x: F.median(F.when(c, F.col(x)))
-    out = events.where(F.col(r1).isNotNull()).groupBy(theme).agg(
-        F.count("*").alias("n"), F.avg(r1).alias("mean_1d"), F.median(r1).alias("median_1d"), F.avg(up.cast("double")).alias("share_up"),
+    out = known.groupBy(theme).agg(
+        F.count("*").alias("n"), F.avg(r1).alias("mean_1d"), F.avg(up.cast("double")).alias("share_up"),
         F.corr(r1, r20).alias("corr"), F.count(F.when(up, 1)).alias("n_up"), F.count(F.when(down, 1)).alias("n_down"),
-        (med(up, r1) - med(down, r1)).alias("gap_1d"), (med(up, r252) - med(down, r252)).alias("gap_1yr"),
-    )
-    return out.where(F.col("n") >= least).withColumn("verdict", verdict(F.col("gap_1yr"), F.col("gap_1d"), F.col("n_up"), F.col("n_down")))
+    ).where(F.col("n") >= least)
+    parts = {"all": (F.lit(True), r1), "up": (up, r1), "down": (down, r1), "up_1yr": (up, r252), "down_1yr": (down, r252)}
+    mid = _medians(known, [theme], {name: F.when(c, F.col(x)) for name, (c, x) in parts.items()})
+    out = out.alias("l").join(mid.alias("r"), F.col(f"l.{theme}").eqNullSafe(F.col(f"r.{theme}")), "left").select("l.*", *[f"r.{name}" for name in parts])
+    out = out.withColumns({"gap_1d": F.col("up") - F.col("down"), "gap_1yr": F.col("up_1yr") - F.col("down_1yr")})
+    out = out.withColumn("verdict", verdict(F.col("gap_1yr"), F.col("gap_1d"), F.col("n_up"), F.col("n_down")))
+    return out.select(theme, "n", "mean_1d", F.col("all").alias("median_1d"), "share_up", "corr", "n_up", "n_down", "gap_1d", "gap_1yr", "verdict")
+
+
+def _medians(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """(by..., a column a measure): medians of what each measure has in each group, all measures in one ranking."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), x.cast("double").alias("_x")) for name, x in measures.items()]))
+    found = quantiles(df.select(*by, each.alias("_e")).select(*by, "_e.*"), [*by, "_name"], "_x", [0.5])
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("q")[0])).alias(name) for name in measures])
 
 
 def cohort_paths(events: DataFrame, theme: str, first: str, horizons: list[str]) -> DataFrame:
     """(theme, cohort, n, median of each horizon) of the up and the down cohort by the sign of the first reaction."""
     cohort = F.when(F.col(first) > 0, "up").when(F.col(first) < 0, "down")
-    rows = events.withColumn("cohort", cohort).where(F.col("cohort").isNotNull())
-    return rows.groupBy(theme, "cohort").agg(F.count("*").alias("n"), *[F.median(h).alias(f"median_{h}") for h in horizons])
+    rows = materialize(events.select(theme, cohort.alias("cohort"), *horizons).where(F.col("cohort").isNotNull()), "cohorts")
+    sizes = rows.groupBy(theme, "cohort").agg(F.count("*").alias("n"))
+    mid = _medians(rows, [theme, "cohort"], {f"median_{h}": F.col(h) for h in horizons})
+    same = F.col(f"l.{theme}").eqNullSafe(F.col(f"r.{theme}")) & (F.col("l.cohort") == F.col("r.cohort"))
+    return sizes.alias("l").join(mid.alias("r"), same, "left").select("l.*", *[f"r.median_{h}" for h in horizons])
 
 
 def terminal_return(prices: DataFrame, holdings: DataFrame, key: str, ts: str, close: str, start: str, end: str) -> DataFrame:

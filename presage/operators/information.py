@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from presage.functions.buckets import level
 from presage.functions.text import category
 from presage.operators.lift import unpivot
+from presage.operators.ranking import quantiles
 
 
 def mutual_information(df: DataFrame, features: list[str]) -> DataFrame:
@@ -43,29 +44,37 @@ def mutual_information(df: DataFrame, features: list[str]) -> DataFrame:
     return sums.select("fa", "fb", "n", "mi", F.when(root > 0, F.col("mi") / root).otherwise(0.0).alias("nmi"), gain.alias("mdl_gain"))
 
 
-def cluster_features(df: DataFrame, features: list[str], linkage: str = "complete", min_nmi: float = 0.0) -> list[list[str]]:
-    """Clusters of features, largest first: those of greatest linked NMI merge while the linked MDL gain is positive.
+#: NMI that features of one cluster have at least.
+NMI_FLOOR = 0.30
 
-    The pair matrix (a row for each two features) comes from Spark; the merging
-    is control flow over it.
-    """
-    rows = {frozenset((r["fa"], r["fb"])): (r["nmi"], r["mdl_gain"]) for r in mutual_information(df, features).collect()}
-    link = min if linkage == "complete" else lambda x: sum(x) / len(x)
 
-    def linked(a: list[str], b: list[str]) -> tuple[float, float]:
-        found = [rows[frozenset((x, y))] for x in a for y in b]
-        return link([f[0] for f in found]), link([f[1] for f in found])
+def cluster_features(df: DataFrame, features: list[str], linkage: str = "complete", min_nmi: float = NMI_FLOOR) -> list[list[str]]:
+    """Clusters of features, largest first and then by name: the closest two merge while the MDL still gains.
 
-    clusters = [[f] for f in features]
-    while True:
-        options = [(linked(clusters[i], clusters[j]), i, j) for i, j in combinations(range(len(clusters)), 2)]
-        options = [(nmi, i, j) for (nmi, gain), i, j in options if gain > 0 and nmi >= min_nmi]
-        if not options:
-            break
-        _, i, j = max(options, key=lambda o: (o[0], -o[1], -o[2]))
-        clusters[i] = clusters[i] + clusters[j]
-        del clusters[j]
-    return sorted(clusters, key=lambda c: (-len(c), c[0]))
+    The pair table, a row for each two features, comes from Spark. A merge
+    updates the table: with complete linkage the union is as near to another
+    cluster as the farther part, with average linkage as both parts weighted by
+    their sizes. Of equally near pairs the one whose features come first merges.
+    """
+    place = {f: i for i, f in enumerate(features)}
+    near = {tuple(sorted((place[r["fa"]], place[r["fb"]]))): (r["nmi"], r["mdl_gain"]) for r in mutual_information(df, features).collect()}
+    members = {i: [f] for i, f in enumerate(features)}
+
+    def union(x: tuple[float, float], y: tuple[float, float], m: int, n: int) -> tuple[float, float]:
+        if linkage == "complete":
+            return min(x[0], y[0]), min(x[1], y[1])
+        return tuple((m * a + n * b) / (m + n) for a, b in zip(x, y))
+
+    while fit := {p: v for p, v in near.items() if v[1] > 0 and v[0] >= min_nmi}:
+        best = max(v[0] for v in fit.values())
+        i, j = min(p for p, v in fit.items() if v[0] == best)
+        m, n = len(members[i]), len(members[j])
+        for o in members.keys() - {i, j}:
+            to, gone = tuple(sorted((i, o))), tuple(sorted((j, o)))
+            near[to] = union(near[to], near.pop(gone), m, n)
+        del near[i, j]
+        members[i] += members.pop(j)
+    return sorted(members.values(), key=lambda c: (-len(c), c[0]))
 
 
 def theme_encode(base: DataFrame, clusters: dict[str, list[str]], rank: str, folds: list[int] | None = None, levels: int = 4) -> DataFrame:
@@ -91,7 +100,7 @@ def theme_encode(base: DataFrame, clusters: dict[str, list[str]], rank: str, fol
         scored = u.join(means, ["field", "value"])
     raw = scored.groupBy("model", "id", "fold", F.element_at(of, F.col("field")).alias("theme")).agg(F.avg("m").alias("raw"))
     train = raw if folds is None else raw.where("fold <> model")
-    edges = train.groupBy("model", "theme").agg(F.percentile("raw", F.array(*[F.lit(i / levels) for i in range(1, levels)])).alias("edges"))
+    edges = quantiles(train, ["model", "theme"], "raw", [i / levels for i in range(1, levels)], "edges")
     out = raw if folds is None else raw.where("fold = model")
     return out.join(edges, ["model", "theme"]).select("id", "fold", "theme", "raw", level(F.col("raw"), F.col("edges")).alias("level"))
 
@@ -107,3 +116,10 @@ def shrunk_effects(df: DataFrame, fields: list[str], y: Column, weight: float =
     g = known.agg(F.avg("_y").alias("g"))
     means = unpivot(known, ["_y"], fields, missing=True).groupBy("field", "value").agg(F.count("*").alias("n"), F.avg("_y").alias("m"))
     return means.crossJoin(F.broadcast(g)).select("field", "value", "n", (F.col("n") / (F.col("n") + weight) * (F.col("m") - F.col("g"))).alias("effect"))
+
+
+def additive_scores(df: DataFrame, effects: DataFrame, key: str, fields: list[str], mean: float | Column) -> DataFrame:
+    """(key, score): the whole mean and the sum of the effects of a row's values; an unknown value has no effect."""
+    u = unpivot(df, [key], fields, missing=True).join(effects.select("field", "value", "effect"), ["field", "value"], "left")
+    sums = u.groupBy(key).agg(F.coalesce(F.sum("effect"), F.lit(0.0)).alias("s"))
+    return sums.select(key, ((mean if isinstance(mean, Column) else F.lit(mean)) + F.col("s")).alias("score"))

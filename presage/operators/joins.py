@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from presage.functions.buckets import bucket
+from presage.functions.finance import cagr_from_total_return
+
 
 def left_merge(base: DataFrame, others: list[DataFrame], keys: list[str]) -> DataFrame:
     """base left-joined with each of others on keys; a column that is there already is not taken again."""
@@ -28,11 +31,26 @@ def lookup(df: DataFrame, table: DataFrame, key: str, column: str, out: str, ove
     return df.join(o, key, "left").withColumn(out, F.coalesce("_over", "_own")).drop("_own", "_over")
 
 
-def overlay(df: DataFrame, patch: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """df with the columns of matching patch rows put over its own, where the patch has a value."""
-    p = patch.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in columns])
+def overlay(df: DataFrame, patch: DataFrame, keys: list[str], columns: list[str], clears: str | None = None) -> DataFrame:
+    """df with the columns of matching patch rows put over its own, where the patch has a value.
+
+    clears: a boolean column of the patch; where it holds, the patch's nulls count as values too.
+    """
+    p = patch.select(*keys, (F.col(clears) if clears else F.lit(False)).alias("_clears"), *[F.col(c).alias(f"_p_{c}") for c in columns])
     out = df.join(p, keys, "left")
-    return out.withColumns({c: F.coalesce(f"_p_{c}", c) for c in columns}).drop(*[f"_p_{c}" for c in columns])
+    put = {c: F.when(F.col("_clears"), F.col(f"_p_{c}")).otherwise(F.coalesce(f"_p_{c}", c)) for c in columns}
+    return out.withColumns(put).drop("_clears", *[f"_p_{c}" for c in columns])
+
+
+def overlay_outcomes(df: DataFrame, patch: DataFrame, keys: list[str], total_return: str, start: str, end: str) -> DataFrame:
+    """df with a patch's start, end and total return (percent) put over, and window, yearly growth and outcome made anew.
+
+    The window is the years between, at least a hundredth.
+    """
+    out = overlay(df, patch, keys, [total_return, start, end])
+    out = out.withColumn("window", F.greatest(F.datediff(end, start) / 365.25, F.lit(0.01)))
+    out = out.withColumn("cagr", cagr_from_total_return(F.col(total_return), F.col("window")))
+    return out.withColumn("outcome", bucket("outcome", F.col("cagr")))
 
 
 def backfill(df: DataFrame, constants: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -73,12 +91,25 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, cutoff: str, ts:
 
 
 def asof_by(left: DataFrame, right: DataFrame, keys: list[str], cutoff: str, filed: str, order: str, value: str) -> DataFrame:
-    """left with `value` of the key's right row filed before the cutoff of greatest order; of equals, the earliest filed."""
-    ids = [c for c in left.columns]
-    pairs = left.join(right.select(*keys, filed, order, value), keys, "left").where(F.col(filed).isNull() | (F.col(filed) < F.col(cutoff)))
-    w = Window.partitionBy(*ids).orderBy(F.desc(order), filed)
-    found = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return left.join(found.select(*ids, order, value), ids, "left")
+    """left with `order` and `value` of the key's right row filed before the cutoff of greatest order; of equals, the earliest filed.
+
+    A running maximum over the keys' merged timeline, linear in its rows. Every
+    left row comes back once, repeated ones and those with nulls included.
+    """
+    extra = [c for c in left.columns if c not in (*keys, cutoff)]
+    early = -F.unix_micros(F.col(filed).cast("timestamp"))
+    own = F.struct(F.col(order).alias("order"), early.alias("early"), F.col(value).alias("value"))
+    r = right.where(F.col(filed).isNotNull() & F.col(order).isNotNull())
+    r = r.select(*keys, F.col(filed).alias("_at"), F.lit(1).alias("_side"), own.alias("_own"))
+    kinds = {f.name: f.dataType for f in left.schema.fields}
+    both = r.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in extra]).unionByName(
+        left.select(*keys, F.col(cutoff).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(r.schema["_own"].dataType).alias("_own"), *extra)
+    )
+    line = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_best", F.max("_own").over(line)).where("_side = 0")
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]) & F.col("_at").isNotNull()  # a null key or cutoff matches nothing
+    best = F.when(known, F.col("_best"))
+    return seen.select(*keys, F.col("_at").alias(cutoff), *extra, best["order"].alias(order), best["value"].alias(value)).select(*left.columns, order, value)
 
 
 def first_filed(points: DataFrame, keys: list[str], end: str, filed: str) -> DataFrame:
@@ -88,14 +119,15 @@ def first_filed(points: DataFrame, keys: list[str], end: str, filed: str) -> Dat
 
 
 def periods_back(left: DataFrame, points: DataFrame, keys: list[str], cutoff: str, filed: str, end: str, value: str, n: int) -> DataFrame:
-    """left with the value whose end-year is n before the latest known end-year, as of the cutoff."""
-    ids = [*left.columns]
-    known = left.join(points.select(*keys, filed, end, value), keys).where(F.col(filed) < F.col(cutoff))
-    latest = F.max(F.year(end)).over(Window.partitionBy(*ids))
-    back = known.withColumn("_latest", latest).where(F.year(end) == F.col("_latest") - n)
-    w = Window.partitionBy(*ids).orderBy(F.desc(end), filed)
-    found = back.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*ids, value)
-    return left.join(found, ids, "left")
+    """left with the value whose end-year is n before the latest known end-year, as of the cutoff.
+
+    Two running maxima: the latest known year, then the greatest end of the year
+    that is asked for (of equals, the earliest filed).
+    """
+    years = points.withColumns({"_year": F.year(end), "_end": F.col(end)})
+    latest = asof_by(left, years.withColumn("_none", F.lit(0)), keys, cutoff, filed, "_year", "_none").drop("_none")
+    asked = latest.withColumn("_year", F.col("_year") - n)
+    return asof_by(asked, years, [*keys, "_year"], cutoff, filed, "_end", value).select(*left.columns, value)
 
 
 def first_known(columns: list[Column]) -> Column:

@@ -54,6 +54,17 @@ def drift(lifts: DataFrame, by: str, groups: int = 2) -> DataFrame:
     return out.where(F.col("_n") >= groups).drop("_n").withColumn("drift", spread)
 
 
+def mean_drift(drifts: DataFrame) -> DataFrame:
+    """One row: how many lifts there are in two groups or more, and the mean of their drifts."""
+    return drifts.agg(F.count("*").alias("n"), F.avg("drift").alias("mean_drift"))
+
+
+def by_strength(lifts: DataFrame, *keys: str) -> DataFrame:
+    """Lifts in order of |ln lift|, greatest first; one of 0 or less counts as no news."""
+    strength = F.when(F.col("lift") > 0, F.abs(F.ln("lift"))).otherwise(0.0)
+    return lifts.withColumn("strength", strength).orderBy(F.desc(F.round("strength", 9)), *keys)
+
+
 def mode(df: DataFrame, keys: list[str], value: str, position: str) -> DataFrame:
     """The most frequent value of each key; of equals, the one seen first."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(position).alias("first"))
@@ -68,9 +79,20 @@ def top_absolute(df: DataFrame, by: list[str], value: str, key: str, k: int = 8)
 
 
 def column_profile(df: DataFrame, fields: list[str], most: int = 12) -> DataFrame:
-    """(field, cardinality, values): the sorted distinct values where there are at most `most`."""
-    distinct = unpivot(df, [], fields).distinct()
-    ranked = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("field").orderBy("value")))
-    return ranked.groupBy("field").agg(
-        F.count("*").alias("cardinality"), F.array_sort(F.collect_list(F.when(F.col("_r") <= most + 1, F.col("value")))).alias("_v")
-    ).select("field", "cardinality", F.when(F.col("cardinality") <= most, F.array_join("_v", "|")).alias("values"))
+    """(field, cardinality, values): the sorted distinct values where there are at most `most`.
+
+    A field's values are dealt over many parts; each brings its count and its
+    first `most` + 1 values.
+    """
+    distinct = unpivot(df, [], fields).distinct().withColumn("_b", F.pmod(F.xxhash64("value"), F.lit(64)))
+    first = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("field", "_b").orderBy("value")))
+    parts = first.groupBy("field", "_b").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("_r") <= most + 1, F.col("value"))).alias("v"))
+    out = parts.groupBy("field").agg(F.sum("n").alias("cardinality"), F.array_sort(F.flatten(F.collect_list("v"))).alias("v"))
+    return out.select("field", "cardinality", F.when(F.col("cardinality") <= most, F.array_join("v", "|")).alias("values"))
+
+
+def separation(df: DataFrame, fields: list[str], outcomes: list[str], least: int = 15) -> DataFrame:
+    """(field, values, sep_<outcome>...): the greatest less the least mean of each outcome over a field's values of `least` rows or more."""
+    u = unpivot(df, outcomes, fields).groupBy("field", "value").agg(F.count("*").alias("_n"), *[F.avg(o).alias(o) for o in outcomes])
+    out = u.where(F.col("_n") >= least).groupBy("field").agg(F.count("*").alias("values"), *[(F.max(o) - F.min(o)).alias(f"sep_{o}") for o in outcomes])
+    return out.where(F.col("values") >= 2)

@@ -1,35 +1,61 @@
-"""Calibration of probabilities, confusion, ranked funds and similar rows."""
+"""Ranks and quantiles without a task that sees a whole group; calibration, confusion, ranked funds and similar rows."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presage.functions.buckets import equal_count_bin, equal_width_bin, quantile_bin
 from presage.operators.lift import unpivot
+from presage.operators.staging import materialize
+
+
+def _same(left: str, right: str, keys: list[str]) -> Column:
+    """Equality of both sides' keys, nulls being equal."""
+    return reduce(Column.__and__, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
-def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """df with out: each row's place from 1 in a total order, without one task that sees all rows.
+def grouped_rank(df: DataFrame, by: list[str], order: list[Column], out: str, total: str | None = None) -> DataFrame:
+    """df with out: each row's place from 1 in its group's order; and with total, the group's size.
 
-    Rows are dealt by range of the order; each range numbers its own, and the
-    ranges' sizes (a row for each partition) are summed ahead.
+    Rows are dealt by range of (by, order), so that a group of any size is spread
+    over tasks. Each task numbers its part of a group, and the sizes of the parts
+    before it, a row for each task and group, are summed ahead. The dealt rows are
+    a table, so that both uses see the same ranges.
     """
-    # Kept on disk, so that both uses below see the same ranges.
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    dealt = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(out, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+    dealt = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    keys = ["_part", *by]
+    placed = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    sizes = dealt.groupBy(*keys).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*[F.col(c) for c in by])
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, before.alias("_before"), F.sum("_n").over(group).alias("_all"))
+    joined = placed.alias("l").join(sizes.alias("r"), _same("l", "r", keys))
+    extra = [F.col("r._all").alias(total)] if total else []
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._nth")).alias(out), *extra)
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], out: str = "q") -> DataFrame:
+    """(by..., out): the exact linear quantiles of x as an array, for each group that has any x; without `by` always one row."""
+    rows = grouped_rank(df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias(x)), by, [F.col(x)], "_rn", "_total")
+    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
+    place = F.col("_rn") - 1
+    near = reduce(Column.__or__, [(place == F.floor(a)) | (place == F.ceil(a)) for a in at])
+    ends = [f(F.when(place == g(a), F.col(x))).alias(f"_{n}{i}") for i, a in enumerate(at) for n, f, g in (("a", F.max, F.floor), ("b", F.max, F.ceil))]
+    few = rows.where(near)
+    found = few.groupBy(*by).agg(F.max("_total").alias("_total"), *ends) if by else few.agg(F.max("_total").alias("_total"), *ends)
+    value = [F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]
+    return found.select(*by, F.array(*value).alias(out))
 
 
 def calibration(df: DataFrame, p: str, hit: str, key: str, bins: int = 10) -> DataFrame:
     """(bin, n, predicted, actual) over bins of equal count in order of (p, key)."""
-    placed = ranked(df, [F.col(p), F.col(key)], "_rn")
-    total = df.agg(F.count("*").alias("_total"))
-    binned = placed.crossJoin(F.broadcast(total)).withColumn("bin", equal_count_bin(F.col("_rn"), F.col("_total"), bins))  # one row
+    placed = grouped_rank(df.select(p, hit, key), [], [F.col(p), F.col(key)], "_rn", "_total")
+    binned = placed.withColumn("bin", equal_count_bin(F.col("_rn"), F.col("_total"), bins))
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg(F.col(hit).cast("double")).alias("actual"))
 
 
@@ -64,16 +90,18 @@ def ordinal_error(df: DataFrame, true_rank: Column, pred_rank: Column) -> DataFr
 
 def deciles(df: DataFrame, x: str, bins: int = 10, out: str = "decile") -> DataFrame:
     """df with x's bin between linear quantiles, from 1."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins)])).alias("_edges"))
+    edges = quantiles(df, [], x, [i / bins for i in range(bins)], "_edges")
     return df.crossJoin(F.broadcast(edges)).withColumn(out, quantile_bin(F.col(x), F.col("_edges"))).drop("_edges")  # one row
 
 
 def fund_stats(df: DataFrame, score: str, key: str, ret: str, sizes: tuple[int, ...] = (20, 50, 100), bottom: int = 20) -> DataFrame:
     """(fund, n, mean, median, excess, hit_rate) of the best `sizes` by score and the worst `bottom`; ties by key.
 
-    The top and the bottom are two bounded top-k plans; no row number over all rows.
+    The top and the bottom are two bounded top-k plans; no row number over all
+    rows. The scores are computed once, into a table.
     """
     most = max(sizes)
+    df = materialize(df.select(key, score, ret), "scores")
     top = df.orderBy(F.desc(score), key).limit(most)  # a top-k report
     top = top.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(score), key)))
     funds = F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(f"top{s}").alias("fund")) for s in sizes]), lambda f: f["s"] >= F.col("_r"))
@@ -86,24 +114,45 @@ def fund_stats(df: DataFrame, score: str, key: str, ret: str, sizes: tuple[int,
 
 def top_by_group(df: DataFrame, group: str, score: str, key: str, ret: str, k: int = 20) -> DataFrame:
     """(group, n, fund_mean, market_mean, excess): each group's k best against the group's mean."""
+    df = materialize(df.select(group, key, score, ret), "scores")
     best = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))).where(F.col("_r") <= k)
     fund = best.groupBy(group).agg(F.count("*").alias("n"), F.avg(ret).alias("fund_mean"))
     market = df.groupBy(group).agg(F.avg(ret).alias("market_mean"))
     return fund.join(market, group).withColumn("excess", F.col("fund_mean") - F.col("market_mean"))
 
 
+def beats(funds: DataFrame) -> DataFrame:
+    """One row: groups, and the share of them whose fund has a positive excess."""
+    return funds.agg(F.count("*").alias("groups"), F.avg((F.col("excess") > 0).cast("double")).alias("share_beating"))
+
+
 def similar(df: DataFrame, focal: DataFrame, key: str, fields: list[str], k: int = 6, outcome: str | None = None) -> DataFrame:
     """(focal, key, score, rank): for each focal row the k rows that share most, a shared value counting ln(N / its rows).
 
     The focal row itself, and rows without an outcome if one is named, are left
-    out before the k are taken.
+    out before the k are taken. Rows of the same values score alike, so what is
+    compared are the distinct tuples of values: each brings its k + 1 first keys,
+    each focal tuple takes the k + 1 best of those, and a focal row drops itself.
+    Rows that share nothing have no score and are not reported.
     """
-    n = df.agg(F.count("*").alias("_n"))
-    u = unpivot(df, [key, *([outcome] if outcome else [])], fields)
-    weight = u.groupBy("field", "value").agg(F.count("*").alias("_c")).crossJoin(F.broadcast(n))  # one row
+    tuple_ = [F.col(f).cast("string").alias(f) for f in fields]
+    rows = materialize(df.select(key, (F.col(outcome).isNotNull() if outcome else F.lit(True)).alias("_known"), *tuple_), "rows")
+    tuples = rows.groupBy(*fields).agg(F.count("*").alias("_c"))
+    tuples = materialize(tuples.withColumn("_t", F.xxhash64(F.struct(*[F.struct(F.col(f).isNull(), F.col(f)) for f in fields]))), "tuples")
+    hashed = F.xxhash64(F.struct(*[F.struct(F.col(f).isNull(), F.col(f)) for f in fields]))
+    n = tuples.agg(F.sum("_c").alias("_n"))
+    long = unpivot(tuples, ["_t", "_c"], fields)
+    weight = long.groupBy("field", "value").agg(F.sum("_c").alias("_c")).crossJoin(F.broadcast(n))  # one row
     weight = weight.select("field", "value", F.ln(F.col("_n") / F.col("_c")).alias("w"))
-    asked = unpivot(focal, [key], fields).withColumnRenamed(key, "focal").join(weight, ["field", "value"])
-    rows = u.where(F.col(outcome).isNotNull()) if outcome else u
-    scored = rows.join(asked, ["field", "value"]).where(F.col("focal") != F.col(key)).groupBy("focal", key).agg(F.sum("w").alias("score"))
+    # The first keys of a tuple: of each of many parts of it first.
+    known = rows.where("_known").select(key, hashed.alias("_t"), F.pmod(F.xxhash64(key), F.lit(64)).alias("_b"))
+    for part in (["_t", "_b"], ["_t"]):
+        known = known.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy(key))).where(F.col("_r") <= k + 1).drop("_r")
+    asked = focal.select(key, *tuple_).select(F.col(key).alias("focal"), hashed.alias("_f"))
+    wanted = long.select(F.col("_t").alias("_f"), "field", "value").join(asked.select("_f").distinct(), "_f", "left_semi").join(weight, ["field", "value"])
+    scores = wanted.join(long.select("_t", "field", "value"), ["field", "value"]).groupBy("_f", "_t").agg(F.sum("w").alias("score"))
+    best = Window.partitionBy("_f").orderBy(F.desc(F.round("score", 9)), key)
+    lists = scores.join(known.select("_t", key), "_t").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
+    found = asked.join(lists.select("_f", key, "score"), "_f").where(F.col("focal") != F.col(key))
     w = Window.partitionBy("focal").orderBy(F.desc(F.round("score", 9)), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("focal", key, "score", "rank")

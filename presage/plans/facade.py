@@ -1,34 +1,61 @@
 """A JSON query language over tables: predict, relate, match, similarity, search, evaluate.
 
 A body names its table in `from` and its conditions in `where`; each query is one
-Spark plan. Conditions: equality; text tokens (tables of `text_fields`);
-{"$gt", "$gte", "$lt", "$lte"}; {"$or": [..]}, {"$and": [..]}, {"$not": ..};
-{"$has": v}; and {"$on": {"prop": .., "on": ..}}, which restricts the population
-to `on`. A null satisfies neither a condition nor its negation.
+Spark plan, but for the count tables of predict and match, which the engine keeps.
+Conditions: equality; text tokens (fields named in `text_fields`); {"$gt", "$gte",
+"$lt", "$lte"}; {"$or": [..]}, {"$and": [..]}, {"$not": ..}; {"$has": v}; and
+{"$on": {"prop": .., "on": ..}}, at the top or in $and, which restricts the
+population to `on`. A null satisfies neither a condition nor its negation.
+
+predict and match take each condition as evidence: an equality is its field's
+value, a text one proposition a token, a range, $or or $not one proposition that
+is true, and $and all of its parts. Numbers with decimals count as the decile of
+their field. With {"config": {"ai": "high"}} conditions whose fields are
+correlated are one proposition, that they hold together. `select` picks result
+columns in every kind; "$why" among them asks for a prediction's factors.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.functions.text import keyword_signals
-from presage.operators import bayes, lift
+from presage.functions.buckets import quantile_bin
+from presage.functions.text import category, keyword_signals
+from presage.operators import bayes, information, lift, ranking
 
 KINDS = ("predict", "relate", "match", "similarity", "search", "evaluate")
+_COMPARE = {"$gt": Column.__gt__, "$gte": Column.__ge__, "$lt": Column.__lt__, "$lte": Column.__le__, "$has": Column.__eq__}
+#: Result columns by their names in `select`.
+_SELECT = {"$p": "p", "$score": "score", "$why": "why"}
+_WHY = "array<struct<kind: string, proposition: string, value: double>>"
 
 
 class QueryError(ValueError):
     """A body that does not make a query."""
 
 
+@dataclass
+class Proposition:
+    """Evidence: a category column of the table, and the category that the query states."""
+
+    name: str
+    column: Column
+    value: str
+
+
 class Engine:
     """Queries over registered tables. text_fields: fields matched by their tokens."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], text_fields: set[str] | None = None):
         self.spark, self.tables, self.text_fields = spark, tables, text_fields or set()
+        self._models: dict[tuple, bayes.Counts | None] = {}
+        self._edges: dict[tuple[str, str], list[float]] = {}
 
     def table(self, body: dict) -> DataFrame:
         name = body.get("from")
@@ -36,58 +63,122 @@ class Engine:
             raise QueryError(f"unknown table {name!r}")
         return self.tables[name]
 
-    def _literal(self, df: DataFrame, field: str, value: object) -> Column:
+    def _field(self, df: DataFrame, field: str) -> Column:
         if field not in df.columns:
             raise QueryError(f"unknown field {field!r}")
+        return F.col(field)
+
+    def _literal(self, df: DataFrame, field: str, value: object) -> Column:
+        self._field(df, field)
         return F.lit(value).cast(df.schema[field].dataType)
 
-    def condition(self, df: DataFrame, where: object) -> Column:
+    def condition(self, df: DataFrame, where: object, top: bool = True) -> Column:
         """The condition of a where clause."""
         if not isinstance(where, dict):
             raise QueryError("a condition is an object")
         parts = []
         for field, value in where.items():
             if field in ("$and", "$or"):
-                if not value:
-                    raise QueryError(f"{field} needs conditions")
-                parts.append(reduce(Column.__and__ if field == "$and" else Column.__or__, [self.condition(df, v) for v in value]))
+                if not isinstance(value, list) or not value:
+                    raise QueryError(f"{field} needs a list of conditions")
+                parts.append(reduce(Column.__and__ if field == "$and" else Column.__or__, [self.condition(df, v, top and field == "$and") for v in value]))
             elif field == "$not":
-                parts.append(~self.condition(df, value))
+                parts.append(~self.condition(df, value, False))
             elif field == "$on":
+                if not top:
+                    raise QueryError("$on stands at the top or in $and: it restricts the whole population")
                 parts.append(self.condition(df, value["prop"]))
             elif isinstance(value, dict):
                 parts.append(self._operators(df, field, value))
             elif field in self.text_fields:
-                parts.append(F.size(F.array_intersect(tokens(F.col(field)), F.array(*[F.lit(t) for t in str(value).lower().split()]))) > 0)
+                parts.append(F.size(F.array_intersect(tokens(self._field(df, field)), F.array(*[F.lit(t) for t in _words(value)]))) > 0)
             else:
-                parts.append(F.col(field) == self._literal(df, field, value))
+                parts.append(self._field(df, field) == self._literal(df, field, value))
         return reduce(Column.__and__, parts, F.lit(True))
 
     def _operators(self, df: DataFrame, field: str, ops: dict) -> Column:
-        table = {"$gt": Column.__gt__, "$gte": Column.__ge__, "$lt": Column.__lt__, "$lte": Column.__le__, "$has": Column.__eq__}
         parts = []
         for op, value in ops.items():
             if op == "$or":
-                parts.append(F.col(field).isin([v for v in value]))
+                parts.append(reduce(Column.__or__, [self.condition(df, {field: v}, False) for v in value]))
             elif op == "$not":
-                parts.append(~(F.col(field) == self._literal(df, field, value)) if not isinstance(value, dict) else ~self._operators(df, field, value))
-            elif op in table:
-                parts.append(table[op](F.col(field), self._literal(df, field, value)))
+                parts.append(~self.condition(df, {field: value}, False))
+            elif op in _COMPARE:
+                parts.append(_COMPARE[op](self._field(df, field), self._literal(df, field, value)))
             else:
                 raise QueryError(f"unknown operator {op!r}")
         return reduce(Column.__and__, parts, F.lit(True))
 
     def population(self, df: DataFrame, where: dict) -> DataFrame:
         """df restricted by the `on` part of $on conditions."""
-        for value in [where.get("$on"), *[w.get("$on") for w in where.get("$and", []) if isinstance(w, dict)]]:
-            if value and "on" in value:
-                df = df.where(self.condition(df, value["on"]))
+        if "$on" in where and "on" in where["$on"]:
+            df = df.where(self.condition(df, where["$on"]["on"]))
+        for part in where.get("$and", []):
+            df = self.population(df, part)
         return df
 
+    def _decimal(self, df: DataFrame, field: str) -> bool:
+        kind = df.schema[field].dataType.simpleString() if field in df.columns else ""
+        return kind in ("double", "float") or kind.startswith("decimal") and not kind.endswith(",0)")
+
+    def binned(self, name: str, field: str, value: Column) -> Column:
+        """The decile of a value among the field's: bin 1 to bin 10."""
+        if (name, field) not in self._edges:
+            [row] = ranking.quantiles(self.tables[name], [], field, [i / 10 for i in range(10)]).collect()
+            self._edges[name, field] = row["q"]
+        edges = F.array(*[F.lit(e).cast("double") for e in self._edges[name, field]])
+        return F.when(value.isNotNull(), F.concat(F.lit("bin "), quantile_bin(value.cast("double"), edges).cast("string")))
+
+    def propositions(self, name: str, where: dict) -> list[Proposition]:
+        """The evidence that a where clause states."""
+        df, out = self.tables[name], []
+
+        def holds(label: str, condition: Column) -> Proposition:
+            return Proposition(label, condition.cast("string"), "true")
+
+        for field, value in where.items():
+            if field == "$and":
+                self.condition(df, {field: value})
+                for part in value:
+                    out += self.propositions(name, part)
+            elif field == "$on":
+                out += self.propositions(name, value["prop"])
+            elif field in ("$or", "$not"):
+                out.append(holds(json.dumps({field: value}, sort_keys=True), self.condition(df, {field: value}, False)))
+            elif isinstance(value, dict) and set(value) != {"$has"}:
+                out.append(holds(json.dumps({field: value}, sort_keys=True), self._operators(df, field, value)))
+            elif field in self.text_fields:
+                given = value["$has"] if isinstance(value, dict) else value
+                out += [holds(f"{field} has {t}", F.array_contains(tokens(self._field(df, field)), t)) for t in _words(given)]
+            else:
+                literal = self._literal(df, field, value["$has"] if isinstance(value, dict) else value)
+                column = F.col(field)
+                if self._decimal(df, field):
+                    column, literal = self.binned(name, field, column), self.binned(name, field, literal)
+                [given] = self.spark.range(1).select(category(literal).alias("v")).collect()
+                out.append(Proposition(field, category(column), given["v"]))
+        names = [p.name for p in out]
+        return [p for i, p in enumerate(out) if p.name not in names[:i]]
+
+    def _grouped(self, known: DataFrame, given: list[Proposition]) -> list[Proposition]:
+        """Propositions of one cluster of correlated columns as one: that all of them hold."""
+        wide = known.select(*[p.column.alias(f"x{i}") for i, p in enumerate(given)])
+        out = []
+        for cluster in information.cluster_features(wide, wide.columns):
+            own = [given[int(c[1:])] for c in cluster]
+            all_ = reduce(Column.__and__, [p.column == p.value for p in own])
+            out.append(own[0] if len(own) == 1 else Proposition(" and ".join(f"{p.name} = {p.value}" for p in own), all_.cast("string"), "true"))
+        return out
+
     def run(self, kind: str, body: dict) -> DataFrame:
         if kind not in KINDS:
             raise QueryError(f"unknown kind {kind!r}")
         out = getattr(self, kind)(body)
+        if "select" in body:
+            names = [_SELECT.get(c, c) for c in body["select"]]
+            if missing := [c for c in names if c not in out.columns]:
+                raise QueryError(f"no result column {missing[0]!r}")
+            out = out.select(*names)
         return out.limit(int(body["limit"])) if "limit" in body else out
 
     def classes(self, df: DataFrame, target: str) -> list[str]:
@@ -98,19 +189,32 @@ class Engine:
         return sorted(found)
 
     def predict(self, body: dict) -> DataFrame:
-        """(feature, p), likeliest first: the target's value given the fields of where."""
-        df, target, where = self.table(body), body["predict"], body.get("where", {})
-        given = {f: v["$has"] if isinstance(v, dict) and "$has" in v else v for f, v in where.items()}
-        for f, v in given.items():
-            self._literal(df, f, v)
+        """(feature, p, why), likeliest first: the target's value given the conditions of where.
+
+        why, where it is selected, are the factors whose product is p: baseP, the
+        lift of each proposition, those that tell most first, and the normaliser.
+        """
+        name, target, where = body.get("from"), body["predict"], body.get("where", {})
+        df = self.population(self.table(body), where)
+        self._field(df, target)
         known = df.where(F.col(target).isNotNull()).withColumn("cls", F.col(target).cast("string"))
-        classes = self.classes(df, target)
-        if not given:
-            n = known.agg(F.count("*").alias("t"))
-            return known.groupBy(F.col("cls").alias("feature")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).select("feature", (F.col("n") / F.col("t")).alias("p")).orderBy(F.desc("p"), "feature")
-        row = self.spark.range(1).select(F.col("id"), F.lit(None).cast("string").alias("cls"), *[self._literal(df, f, v).alias(f) for f, v in given.items()])
-        scored = bayes.predict(known.select("cls", *given), row, list(given), classes)
-        return bayes.long(scored, classes).select(F.col("c").alias("feature"), "p").orderBy(F.desc("p"), "feature")
+        given = self.propositions(name, where)
+        if body.get("config", {}).get("ai") == "high" and len(given) > 1:
+            given = self._grouped(known, given)
+        scope = json.dumps([w.get("$on", {}).get("on") for w in (where, *where.get("$and", []))], sort_keys=True)
+        asked = (name, target, scope, *[p.name for p in given])
+        columns = [p.column.alias(f"x{i}") for i, p in enumerate(given)]
+        if asked not in self._models:
+            self._models[asked] = bayes.fit(known.select("cls", *columns), [f"x{i}" for i in range(len(given))], None)
+        model = self._models[asked]
+        if model is None:  # a count table too large for the driver
+            classes = self.classes(df, target)
+            row = self.spark.range(1).select("id", F.lit(None).cast("string").alias("cls"), *[F.lit(p.value).alias(f"x{i}") for i, p in enumerate(given)])
+            scored = bayes.predict(known.select("cls", *columns), row, [f"x{i}" for i in range(len(given))], classes)
+            return bayes.long(scored, classes).select(F.col("c").alias("feature"), "p").orderBy(F.desc("p"), "feature")
+        return self.spark.createDataFrame(_predicted(model, given), f"feature string, p double, why {_WHY}").orderBy(F.desc("p"), "feature").drop(
+            *([] if "$why" in body.get("select", []) else ["why"])
+        )
 
     def classify(self, name: str, text: str, target: str, least: int = 40) -> DataFrame:
         """(feature, p) of the target for a text: its keyword signals that say something are the given fields."""
@@ -127,44 +231,105 @@ class Engine:
         The base rate is the whole population's; only $on restricts that.
         """
         df, where = self.table(body), body.get("where", {})
-        df = self.population(df, where)
-        found = lift.lift_table(df, list(body["relate"]), F.coalesce(self.condition(df, where), F.lit(False)), int(body.get("support", 1)))
+        holds = F.coalesce(self.condition(df, where), F.lit(False))
+        df = self.population(df, where).withColumn("_holds", holds)
+        fields = list(body["relate"])
+        for f in fields:
+            self._field(df, f)
+        df = df.withColumns({f: self.binned(body["from"], f, F.col(f)) for f in fields if self._decimal(df, f)})
+        found = lift.lift_table(df, fields, F.col("_holds"), int(body.get("support", 1)))
         return found.orderBy(F.desc(F.round("lift", 9)), "field", "value")
 
     def match(self, body: dict) -> DataFrame:
         """(feature, score): the field's values, each scored by its naive-Bayes probability given where."""
-        return self.predict({"from": body["from"], "where": body.get("where", {}), "predict": body["match"]}).withColumnRenamed("p", "score")
+        return self.predict({**body, "predict": body["match"]}).withColumnRenamed("p", "score")
 
     def similarity(self, body: dict) -> DataFrame:
-        """Rows that share most with the given values: `$key` names the table's id."""
-        df, given, key = self.table(body), body["similarity"], body["key"]
-        focal = self.spark.range(1).select(F.lit(None).cast(df.schema[key].dataType).alias(key), *[self._literal(df, f, v).alias(f) for f, v in given.items()])
-        n = df.agg(F.count("*").alias("_n"))
-        u = lift.unpivot(df, [key], list(given))
-        w = u.groupBy("field", "value").agg(F.count("*").alias("_c")).crossJoin(F.broadcast(n)).select("field", "value", F.ln(F.col("_n") / F.col("_c")).alias("w"))
-        asked = lift.unpivot(focal, [], list(given)).join(w, ["field", "value"])
-        return u.join(asked, ["field", "value"]).groupBy(key).agg(F.sum("w").alias("score")).orderBy(F.desc(F.round("score", 9)), key)
+        """Rows that share most with the given values: `key` names the table's id."""
+        df, key, name = self.table(body), body["key"], body["from"]
+        score = self._relevance(name, {f: {"$has": v} for f, v in body["similarity"].items()})
+        return df.select(F.col(key), score.alias("score")).where("score > 0").orderBy(F.desc(F.round("score", 9)), key)
+
+    def _relevance(self, name: str, where: dict) -> Column:
+        """The sum of ln(N / its rows) over the propositions that a row satisfies."""
+        given, df = self.propositions(name, where), self.tables[name]
+        counts = df.agg(F.count("*").alias("n"), *[F.count(F.when(p.column == p.value, 1)).alias(f"c{i}") for i, p in enumerate(given)]).first()
+        weights = [math.log(counts["n"] / counts[f"c{i}"]) if counts[f"c{i}"] else 0.0 for i in range(len(given))]
+        return sum((F.when(p.column == p.value, F.lit(w)).otherwise(0.0) for p, w in zip(given, weights)), F.lit(0.0))
 
     def search(self, body: dict) -> DataFrame:
-        """Rows under where, in the order of orderBy: a field, or {field: "desc"}."""
-        df = self.table(body)
-        out = df.where(self.condition(df, body.get("where", {})))
-        order = body.get("orderBy")
-        for f in [order] if isinstance(order, (str, dict)) else order or []:
-            name, down = (f, False) if isinstance(f, str) else next((k, v == "desc") for k, v in f.items())
-            out = out.orderBy(F.desc(name) if down else F.asc(name), *[c for c in body.get("ties", [])])
-        return out.select(*body["select"]) if "select" in body else out
+        """Rows under where, by orderBy: a field, {field: "desc"}, {"field": f, "desc": true}, "$similarity", or a list of those."""
+        df, where = self.table(body), body.get("where", {})
+        out, keys, order = df.where(self.condition(df, where)), [], body.get("orderBy") or []
+        for f in [order] if isinstance(order, (str, dict)) else order:
+            if f == "$similarity":
+                out = out.withColumn("score", self._relevance(body["from"], where))
+                keys.append(F.desc(F.round("score", 9)))
+            elif isinstance(f, dict) and "field" in f:
+                keys.append(F.desc(f["field"]) if f.get("desc") else F.asc(f["field"]))
+            else:
+                keys += [F.asc(f)] if isinstance(f, str) else [F.desc(k) if v == "desc" else F.asc(k) for k, v in f.items()]
+        keys += [F.asc(c) for c in body.get("ties", [])]
+        return out.orderBy(*keys) if keys else out
 
     def evaluate(self, body: dict) -> DataFrame:
         """One row of metrics: trained where the test condition does not hold, tested where it does."""
         query = body["evaluate"]
         df, target = self.table(query), query["predict"]
-        fields = list(query.get("where", {}))
+        fields = {f: v["$get"] if isinstance(v, dict) and "$get" in v else f for f, v in query.get("where", {}).items()}
+        columns = {f: self.binned(query["from"], g, F.col(g)) if self._decimal(df, g) else self._field(df, g) for f, g in fields.items()}
         known = df.where(F.col(target).isNotNull()).withColumn("cls", F.col(target).cast("string"))
         test = F.coalesce(self.condition(df, body["test"]), F.lit(False))
         classes = self.classes(df, target)
-        rows = known.where(test).select(F.monotonically_increasing_id().alias("id"), "cls", *fields)
-        return bayes.evaluate(bayes.predict(known.where(~test).select("cls", *fields), rows, fields, classes), classes)
+        named = [c.alias(f) for f, c in columns.items()]
+        rows = known.where(test).select(F.monotonically_increasing_id().alias("id"), "cls", *named)
+        return bayes.evaluate(bayes.predict(known.where(~test).select("cls", *named), rows, list(fields), classes), classes)
+
+
+def _predicted(model: bayes.Counts, given: list[Proposition]) -> list[tuple]:
+    """(class, p, factors) of what the propositions state; without any, the classes' shares."""
+    if not given:
+        n = sum(model.sizes[None])
+        return [(c, m / n, [("baseP", None, m / n)]) for c, m in zip(model.classes, model.sizes[None])]
+    prior, n = model.prior(None), sum(model.sizes[None])
+    parts = [model.likelihoods(None, f"x{i}", p.value) for i, p in enumerate(given)]
+    sums = [q + sum(x[c] for x in parts) for c, q in enumerate(prior)]
+    top = max(sums, default=0.0)
+    whole = sum(math.exp(s - top) for s in sums)
+    out = []
+    shares = []
+    for i, p in enumerate(given):
+        seen = sum(model.values.get((None, f"x{i}", p.value), [0]))
+        shares.append(math.log(seen / n) if seen else math.log(model.alpha / (n + model.alpha * (model.seen[None, f"x{i}"] + 1))))
+    for c, name in enumerate(model.classes):
+        lifts = sorted(((p.name, p.value, x[c] - s) for p, x, s in zip(given, parts, shares)), key=lambda y: (-round(abs(y[2]), 9), y[0]))
+        factors = [("baseP", None, math.exp(prior[c]))]
+        factors += [("relatedPropositionLift", a if v == "true" else f"{a} = {v}", math.exp(x)) for a, v, x in lifts]
+        factors.append(("normalizer", None, math.exp(sum(shares) - top) / whole))
+        out.append((name, math.exp(sums[c] - top) / whole, factors))
+    return out
+
+
+class Gateway:
+    """The checked way in for others' bodies: one table, four kinds, and a status with each answer."""
+
+    def __init__(self, engine: Engine, table: str = "companies", kinds: tuple[str, ...] = KINDS[:4]):
+        self.engine, self.name, self.kinds = engine, table, kinds
+
+    def post(self, kind: str, body: object) -> tuple[int, DataFrame | str]:
+        """(200, rows), (400, why the kind or table is refused) or (422, why the body makes no query)."""
+        if kind not in self.kinds:
+            return 400, f"kind {kind!r} is not served"
+        if not isinstance(body, dict) or body.get("from") != self.name:
+            return 400, f"only table {self.name!r} is served"
+        try:
+            return 200, self.engine.run(kind, body)
+        except (QueryError, KeyError, TypeError) as e:
+            return 422, str(e)
+
+
+def _words(value: object) -> list[str]:
+    return [w for w in str(value).lower().split() if w]
 
 
 def tokens(text: Column) -> Column:

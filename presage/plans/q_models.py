@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from presage.operators import bayes, information, lift, ranking
 from presage.plans.core import CLASSES, FEATURES, FIRMS_SQL, FOLDS, LONG_SQL, PRESENT_SQL, firms, query, rounded
-from presage.plans.facade import Engine, response
+from presage.plans.facade import Engine, Gateway, response
 
 _NAMES = "['" + "', '".join(CLASSES) + "']"
 
-#: Held-out log-likelihoods (k, id, cls, c, field, ll): every fold trained on the others.
-_CV_SQL = f"""{FIRMS_SQL}, {LONG_SQL}, c as (select unnest({_NAMES}) as c), k as (select unnest([0, 1, 2, 3, 4]) as k),
+def _cv_sql(long: str, folds: str = "[0, 1, 2, 3, 4]") -> str:
+    """Held-out probabilities p(id, cls, c, p, r) over the rows u(id, fold, cls, field, value) of `long`: every fold trained on the others."""
+    return f"""{long}, c as (select unnest({_NAMES}) as c), k as (select unnest({folds}) as k),
   cell as (select fold, field, value, cls, count(*) as n from u group by all),
   grid as (select k.k, d.field, d.value, c.c, sum(case when cell.cls = c.c and cell.fold <> k.k then cell.n else 0 end) as n
     from (select distinct field, value from u) d, k, c, cell where cell.field = d.field and cell.value = d.value group by all),
@@ -24,6 +25,9 @@ _CV_SQL = f"""{FIRMS_SQL}, {LONG_SQL}, c as (select unnest({_NAMES}) as c), k as
   x as (select *, exp(s - max(s) over (partition by id)) as e from s),
   p as (select id, cls, c, e / sum(e) over (partition by id) as p, cast(c[1] as int) - 1 as r from x)"""
 
+
+_CV_SQL = _cv_sql(f"{FIRMS_SQL}, {LONG_SQL}")
+
 _JUDGED_SQL = f"""{_CV_SQL}, j as (select id, cls, cast(cls[1] as int) - 1 as t, max(p) as conf, arg_max(r, (round(p, 12), -r)) as pred, max(p) filter (where c = cls) as pt,
   sum(p) filter (where r <= 1) as good, sum(power(p - (c = cls)::int, 2)) as b from p group by all)"""
 
@@ -61,11 +65,11 @@ def nb_binary(spark, sf_dir):
     f"""with {FIRMS_SQL}, {LONG_SQL}, c as (select unnest({_NAMES}) as c), l as (select field, value, c.c, sum((cls = c.c)::int) as n, count(*) as t from u, c group by all),
         n as (select c.c, sum((f.cls = c.c)::int) as n, count(*) as t from c, firms f group by 1), v as (select field, count(distinct value) as v from l group by 1),
         e as (select l.field, l.value, l.c, (l.n + 1.0::double) / (n.n + v.v + 1) / (l.t / n.t) as lift from l join n on n.c = l.c join v using (field))
-        select u.id, e.c, u.field, u.value, round(e.lift, 6) as lift from u join e using (field, value) where u.fold = 0 and u.id % 10 = 1""",
+        select u.id, e.c, u.field, u.value, round(e.lift, 6) as lift from u join e using (field, value) """,
 )
 def nb_explain(spark, sf_dir):
     f = firms(spark, sf_dir)
-    return rounded(bayes.explain(f, f.where("fold = 0 and id % 10 = 1"), FEATURES, CLASSES), "lift")
+    return rounded(bayes.explain(f, f, FEATURES, CLASSES), "lift")
 
 
 @query(
@@ -88,6 +92,7 @@ def nb_metrics(spark, sf_dir):
 )
 def info_gain(spark, sf_dir):
     m = bayes.evaluate(_scored(spark, sf_dir), CLASSES)
+    m = m.select("n", "accuracy", "base_accuracy", "info_gain", "geom_mean_lift", "mean_rank", "base_mean_rank")
     return rounded(m, *[c for c in m.columns if c != "n"])
 
 
@@ -171,15 +176,15 @@ def redundant_pairs(spark, sf_dir):
 
 @query("cluster_features")
 def cluster_features(spark, sf_dir):
-    """Clusters of features of which two are made to agree with others."""
+    """Clusters of features of which two are made to agree with others; the merging is held against brute force in the tests."""
     f = firms(spark, sf_dir).withColumns({"segment2": F.lower("segment"), "region2": F.substring("nation", 1, 3)})
     found = information.cluster_features(f, [*FEATURES, "segment2", "region2"])
     return spark.createDataFrame([(i, len(c), "|".join(c)) for i, c in enumerate(found)], "cluster int, size int, features string")
 
 
 _CLUSTERS = {"market": ["segment", "region"], "deal": ["status", "size"]}
-_THEME_SQL = f"""{FIRMS_SQL}, {LONG_SQL}, th as (select *, case when field in ('segment', 'region') then 'market' else 'deal' end as theme from u), k as (select unnest([0, 1, 2, 3, 4]) as k),
-  tm as (select k.k, field, value, avg(rank) filter (where fold <> k.k) as m from th, k group by all),
+_THEME_SQL = f"""{FIRMS_SQL}, {LONG_SQL}, th as (select *, case when field in ('segment', 'region') then 'market' else 'deal' end as theme from u), tk as (select unnest([0, 1, 2, 3, 4]) as k),
+  tm as (select tk.k, field, value, avg(rank) filter (where fold <> tk.k) as m from th, tk group by all),
   rw as (select tm.k, th.id, th.fold, th.theme, avg(tm.m) as raw from th join tm using (field, value) group by all),
   ed as (select k, theme, quantile_cont(round(raw, 12), [0.25, 0.5, 0.75]) as edges from rw where fold <> k group by all),
   te as (select r.id, r.fold, r.theme, r.raw, concat('L', len(list_filter(edges, lambda e: e <= round(r.raw, 12)))) as level from rw r join ed using (k, theme) where r.fold = r.k)"""
@@ -194,12 +199,41 @@ def theme_encode(spark, sf_dir):
     return rounded(_themes(spark, sf_dir).select("id", "theme", "raw", "level"), "raw")
 
 
-@query("clustered_nb")
+_CLUSTERED_SQL = _cv_sql(
+    _THEME_SQL.replace("u as (", "plain as (", 1).replace("from u)", "from plain)") + ", u as (select te.id, te.fold, f.cls, te.theme as field, te.level as value from te join firms f using (id))"
+)
+
+
+def _levels(spark, sf_dir):
+    """Firms with a column of its level for each theme."""
+    wide = _themes(spark, sf_dir).groupBy("id").pivot("theme", list(_CLUSTERS)).agg(F.first("level"))
+    return firms(spark, sf_dir).join(wide, "id")
+
+
+@query("clustered_nb", f"with {_CLUSTERED_SQL} select id, c, round(p, 6) as p from p")
 def clustered_nb(spark, sf_dir):
     """Naive Bayes on themes: each cluster of features votes once."""
-    f = firms(spark, sf_dir)
-    wide = _themes(spark, sf_dir).groupBy("id").pivot("theme", list(_CLUSTERS)).agg(F.first("level"))
-    scored = bayes.cross_validate(f.select("id", "fold", "cls").join(wide, "id"), list(_CLUSTERS), CLASSES, FOLDS)
+    scored = bayes.cross_validate(_levels(spark, sf_dir).select("id", "fold", "cls", *_CLUSTERS), list(_CLUSTERS), CLASSES, FOLDS)
+    return rounded(bayes.long(scored, CLASSES), "p")
+
+
+#: The share of what a feature says beyond its theme: ln P(value | theme, class) / P(value | theme), smoothed.
+_RESIDUAL_SQL = f"""{_CLUSTERED_SQL},
+  w as (select plain.id, plain.fold, plain.cls, plain.field, plain.value, u.field as theme, u.value as level from plain join u on u.id = plain.id and u.field = case when plain.field in ('segment', 'region') then 'market' else 'deal' end),
+  wc as (select k.k, theme, level, field, value, c.c, sum((w.cls = c.c and w.fold <> k.k)::int) as n from w, k, c group by all),
+  lc as (select k.k, field as theme, value as level, c.c, sum((u.cls = c.c and u.fold <> k.k)::int) as n from u, k, c group by all),
+  wv as (select k, field, count(distinct value) as v from wc where n > 0 group by all),
+  rs as (select wc.*, ln((wc.n + 1.0::double) / (lc.n + wv.v + 1)) - ln((sum(wc.n) over w1 + 1.0::double) / (sum(lc.n) over w1 + wv.v + 1)) as res
+    from wc join lc on lc.k = wc.k and lc.theme = wc.theme and lc.level = wc.level and lc.c = wc.c join wv on wv.k = wc.k and wv.field = wc.field
+    window w1 as (partition by wc.k, wc.theme, wc.level, wc.field, wc.value)),
+  s2 as (select s.id, s.cls, s.c, min(s.s) + 0.5 * sum(rs.res) as s from s join w on w.id = s.id join rs on rs.k = w.fold and rs.theme = w.theme and rs.level = w.level and rs.field = w.field and rs.value = w.value and rs.c = s.c group by all),
+  x2 as (select *, exp(s - max(s) over (partition by id)) as e from s2)"""
+
+
+@query("clustered_residual", f"with {_RESIDUAL_SQL} select id, c, round(e / sum(e) over (partition by id), 6) as p from x2")
+def clustered_residual(spark, sf_dir):
+    """Clustered Naive Bayes in which features add half of what they say beyond their theme."""
+    scored = bayes.cross_validate_clustered(_levels(spark, sf_dir), _CLUSTERS, CLASSES, FOLDS, beta=0.5)
     return rounded(bayes.long(scored, CLASSES), "p")
 
 
@@ -282,12 +316,24 @@ def expected_cagr(spark, sf_dir):
     return each.groupBy("id").agg(F.round(F.sum(F.col("p") * F.col("m")), 4).alias("expected"))
 
 
-@query("schools")
+_SCHOOLS = {"value": ["size", "status"], "quality": ["segment", "region"], "growth": ["size", "region"], "composite": FEATURES}
+_SCHOOL_ROWS = ", ".join(f"('{name}', '{f}')" for name, fields in _SCHOOLS.items() for f in fields)
+
+
+@query(
+    "schools",
+    f"""with {_CV_SQL}, sets as (select * from (values {_SCHOOL_ROWS}) v(school, field)),
+        sw as (select sets.school, e.id, e.c, sum(e.ll) + min(q.lp) as s from each e join sets using (field) join prior q on q.k = e.fold and q.c = e.c group by all),
+        sx as (select *, exp(s - max(s) over (partition by school, id)) as e from sw), sp as (select school, id, c, e / sum(e) over (partition by school, id) as p from sx),
+        sc as (select school, id, round(sum(p * (5 - cast(c[1] as int))), 9) as score from sp group by all),
+        r as (select sc.school, f.balance, row_number() over (partition by sc.school order by sc.score desc, sc.id) as r from sc join firms f using (id)),
+        m as (select school, round(avg(balance) filter (where r <= 20), 4) as top20, round(avg(balance) filter (where r <= 50), 4) as top50, round(avg(balance) filter (where r <= 100), 4) as top100 from r group by 1)
+        select school, top20, top50, top100, round(top100 - top20, 4) as decay from m""",
+)
 def schools(spark, sf_dir):
     """Feature sets as investing schools: the mean of each one's best 20, 50 and 100, and the decay between."""
-    sets = {"value": ["size", "status"], "quality": ["segment", "region"], "growth": ["size", "region"], "composite": FEATURES}
     f, out = firms(spark, sf_dir), None
-    for name, fields in sets.items():
+    for name, fields in _SCHOOLS.items():
         p = F.col("p")
         scored = bayes.cross_validate(f, fields, CLASSES, FOLDS).select("id", F.round(sum((p[i] * (4 - i) for i in range(1, 5)), p[0] * 4), 9).alias("score"))
         means = ranking.fund_stats(f.join(scored, "id"), "score", "id", "balance").where("fund <> 'bottom20'")
@@ -299,13 +345,13 @@ def schools(spark, sf_dir):
 @query(
     "similarity",
     f"""with {FIRMS_SQL}, {PRESENT_SQL}, w as (select field, value, ln((select count(*) from firms) / count(*)) as w from u group by 1, 2),
-        s as (select a.id as focal, b.id, sum(w.w) as score from u a join u b using (field, value) join w using (field, value) where a.id % 3000 = 1 and a.id <> b.id and b.id in (select id from firms where vintage < 2000) group by 1, 2)
+        s as (select a.id as focal, b.id, sum(w.w) as score from u a join u b using (field, value) join w using (field, value) where a.id % 20 = 0 and a.id <> b.id and b.id in (select id from firms where vintage < 2000) group by 1, 2)
         select focal, id, round(score, 6) as score, cast(r as int) as rank from (select *, row_number() over (partition by focal order by round(score, 9) desc, id) as r from s) where r <= 6""",
 )
 def similarity(spark, sf_dir):
     f = firms(spark, sf_dir).withColumn("outcome", F.when(F.col("vintage") < 2000, F.col("cls")))
-    # The weights are all rows'; the focal rows are a stated few.
-    return rounded(ranking.similar(f, f.where("id % 3000 = 1"), "id", FEATURES, 6, "outcome"), "score")
+    # A search: the rows whose id is divisible by 20 against all rows.
+    return rounded(ranking.similar(f, f.where("id % 20 = 0"), "id", FEATURES, 6, "outcome"), "score")
 
 
 def _engine(spark, sf_dir) -> Engine:
@@ -313,6 +359,141 @@ def _engine(spark, sf_dir) -> Engine:
     return Engine(spark, {"companies": f}, {"note"})
 
 
+def _nb_sql(columns: dict[str, str], given: dict[str, str], scope: str = "true", classes: str = _NAMES, cls: str = "cls") -> str:
+    """The probabilities r(feature, p, base, lifts) of one query: columns are categories of firms, given their stated values."""
+    long = " union all ".join(f"select {cls} as cls, '{name}' as field, coalesce(cast({sql} as varchar), '(missing)') as value from fs" for name, sql in columns.items())
+    values = ", ".join(f"('{name}', '{value}')" for name, value in given.items())
+    return f"""{FIRMS_SQL}, note as (select id, regexp_split_to_array(lower(concat_ws(' ', nation, status, size)), '[^a-z]+') as words from firms), fs as (select f.*, note.words from firms f join note using (id) where {scope}),
+  u as ({long}), c as (select unnest({classes}) as c), g as (select * from (values {values}) g(field, value)),
+  n as (select c.c, sum((fs.{cls} = c.c)::int) as n, count(*) as t from c, fs group by 1), v as (select field, count(distinct value) as v from u group by 1),
+  l as (select c.c, g.field, g.value, (count(u.cls) filter (where u.cls = c.c) + 1.0::double) / (min(n.n) + min(v.v) + 1) as pc, count(u.cls) / min(n.t)::double as pv
+    from c join n on n.c = c.c cross join g join v on v.field = g.field left join u on u.field = g.field and u.value = g.value group by all),
+  s as (select l.c, sum(ln(pc)) + min(ln((n.n + 1.0::double) / (n.t + (select count(*) from c)))) as s from l join n on n.c = l.c group by 1),
+  r as (select c as feature, exp(s - max(s) over ()) / sum(exp(s - (select max(s) from s))) over () as p from s)"""
+
+
+#: Conditions of every kind, as a body and as columns of SQL.
+_RICH = {"$and": [{"price": {"$gte": 100000, "$lt": 250000}}, {"$or": [{"region": "ASIA"}, {"region": "EUROPE"}]}], "$not": {"segment": "BUILDING"}, "note": "large china", "status": {"$has": "F"}}
+_RICH_COLUMNS = {
+    "price": "price >= 100000 and price < 250000", "either": "region = 'ASIA' or region = 'EUROPE'", "not": "not (segment = 'BUILDING')",
+    "large": "list_contains(words, 'large')", "china": "list_contains(words, 'china')", "status": "status",
+}
+_RICH_GIVEN = {"price": "true", "either": "true", "not": "true", "large": "true", "china": "true", "status": "F"}
+
+
+@query("query_predict_conditions", f"with {_nb_sql(_RICH_COLUMNS, _RICH_GIVEN)} select feature, round(p, 6) as p from r")
+def query_predict_conditions(spark, sf_dir):
+    """Ranges, $and, $or, $not, tokens and $has as evidence of one prediction."""
+    return rounded(_engine(spark, sf_dir).run("predict", {"from": "companies", "where": _RICH, "predict": "cls", "select": ["feature", "$p"]}), "p")
+
+
+@query(
+    "query_match_conditions",
+    f"""with {_nb_sql({"price": "price < 200000", "size": "size"}, {"price": "true", "size": "small"}, "vintage >= 1995", "(select list(distinct region) from firms)", "region")} select feature, round(p, 6) as score from r""",
+)
+def query_match_conditions(spark, sf_dir):
+    where = {"price": {"$lt": 200000}, "size": "small", "$on": {"prop": {}, "on": {"vintage": {"$gte": 1995}}}}
+    return rounded(_engine(spark, sf_dir).run("match", {"from": "companies", "where": where, "match": "region"}), "score")
+
+
+@query(
+    "query_why",
+    f"""with {_nb_sql({"region": "region", "size": "size", "price": "price >= 200000"}, {"region": "ASIA", "size": "large", "price": "true"})},
+        b as (select c as feature, 'baseP' as kind, cast(null as varchar) as proposition, (n + 1.0::double) / (t + 5) as value from n),
+        f as (select c as feature, 'relatedPropositionLift' as kind, case field when 'price' then '{{"price": {{"$gte": 200000}}}}' else concat(field, ' = ', l.value) end as proposition, pc / pv as value from l),
+        z as (select r.feature, 'normalizer' as kind, cast(null as varchar) as proposition, r.p / min(b.value) / product(f.value) as value from r join b using (feature) join f using (feature) group by r.feature, r.p),
+        a as (select *, 1 as place from b union all select *, 1 + row_number() over (partition by feature order by round(abs(ln(value)), 9) desc, proposition) from f union all select *, 5 from z)
+        select feature, place, kind, proposition, round(value, 6) as value from a""",
+)
+def query_why(spark, sf_dir):
+    """The factors of each class's probability, those that tell most first."""
+    body = {"from": "companies", "where": {"region": "ASIA", "size": "large", "price": {"$gte": 200000}}, "predict": "cls", "select": ["feature", "$why"]}
+    why = _engine(spark, sf_dir).run("predict", body).select("feature", F.posexplode("why").alias("place", "w"))
+    return rounded(why.select("feature", (F.col("place") + 1).alias("place"), "w.kind", "w.proposition", "w.value"), "value")
+
+
+@query(
+    "query_grouped_votes",
+    f"""with {_nb_sql({"price": "price >= 300000 and size = 'large'", "region": "region"}, {"price": "true", "region": "ASIA"})} select feature, round(p, 6) as p from r""",
+)
+def query_grouped_votes(spark, sf_dir):
+    """config.ai = high: size and the price it is made from agree, so they vote once, together."""
+    body = {"from": "companies", "where": {"price": {"$gte": 300000}, "size": "large", "region": "ASIA"}, "predict": "cls", "config": {"ai": "high"}}
+    return rounded(_engine(spark, sf_dir).run("predict", body), "p")
+
+
+_DECILE = "(select quantile_cont(price, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) from firms)"
+_BIN = "concat('bin ', greatest(1, len(list_filter({edges}, lambda e: e < {x}))))"
+
+
+@query(
+    "query_binned",
+    f"""with {FIRMS_SQL}, q as (select {_DECILE} as edges), b as (select f.cls, {_BIN.format(edges="q.edges", x="f.price")} as value from firms f, q), g as (select {_BIN.format(edges="q.edges", x="123456.7::double")} as value from q),
+        c as (select unnest({_NAMES}) as c), n as (select c.c, sum((f.cls = c.c)::int) as n, count(*) as t from c, firms f group by 1), v as (select count(distinct value) as v from b),
+        s as (select n.c, (sum((b.cls = n.c)::int) + 1.0::double) / (min(n.n) + min(v.v) + 1) * (min(n.n) + 1) / (min(n.t) + 5) as e from n, b, g, v where b.value = g.value group by 1)
+        select c as feature, round(e / sum(e) over (), 6) as p from s""",
+)
+def query_binned(spark, sf_dir):
+    """A number with decimals stands for its decile."""
+    return rounded(_engine(spark, sf_dir).run("predict", {"from": "companies", "where": {"price": 123456.7}, "predict": "cls"}), "p")
+
+
+@query(
+    "query_relate_binned",
+    f"""with {FIRMS_SQL}, q as (select {_DECILE} as edges), b as (select {_BIN.format(edges="q.edges", x="f.price")} as value, cls = '1-URGENT' as y from firms f, q)
+        select 'price' as field, value, round(avg(y::int) / (select avg(y::int) from b), 6) as lift from b group by 2""",
+)
+def query_relate_binned(spark, sf_dir):
+    body = {"from": "companies", "where": {"cls": "1-URGENT"}, "relate": ["price"], "select": ["field", "value", "lift"]}
+    return rounded(_engine(spark, sf_dir).run("relate", body), "lift")
+
+
+@query(
+    "query_search_order",
+    f"""with {FIRMS_SQL} select id, vintage, round(price, 2) as price, cast(row_number() over (order by vintage desc, price, id) as int) as place from firms where region = 'AFRICA' and size <> 'small' order by vintage desc, price, id limit 40""",
+)
+def query_search_order(spark, sf_dir):
+    """Two sort keys and a tie-break; the place shows the order."""
+    body = {"from": "companies", "where": {"region": "AFRICA", "size": {"$not": "small"}}, "orderBy": [{"field": "vintage", "desc": True}, "price"], "ties": ["id"], "select": ["id", "vintage", "price"], "limit": 40}
+    rows = _engine(spark, sf_dir).run("search", body)
+    return rows.select("id", "vintage", F.round("price", 2).alias("price"), (F.monotonically_increasing_id() + 1).cast("int").alias("place"))  # the limit's one partition, in order
+
+
+@query(
+    "query_search_similarity",
+    f"""with {FIRMS_SQL}, w as (select f.*, regexp_split_to_array(lower(concat_ws(' ', nation, status, size)), '[^a-z]+') as words from firms f),
+        n as (select count(*) as n, count(*) filter (where list_contains(words, 'large')) as a, count(*) filter (where list_contains(words, 'japan')) as b from w),
+        t as (select case when a > 0 then ln(n / a) else 0 end as a, case when b > 0 then ln(n / b) else 0 end as b from n)
+        select id, round(list_contains(words, 'large')::int * a + list_contains(words, 'japan')::int * b, 6) as score from w, t where list_contains(words, 'large') or list_contains(words, 'japan')
+        order by round(list_contains(words, 'large')::int * a + list_contains(words, 'japan')::int * b, 9) desc, id limit 50""",
+)
+def query_search_similarity(spark, sf_dir):
+    body = {"from": "companies", "where": {"note": "Large Japan"}, "orderBy": "$similarity", "ties": ["id"], "select": ["id", "$score"], "limit": 50}
+    return rounded(_engine(spark, sf_dir).run("search", body), "score")
+
+
+@query(
+    "query_on_scope",
+    f"""with {_nb_sql({"size": "size"}, {"size": "large"}, "status = 'F'")} select feature, round(p, 6) as p from r""",
+)
+def query_on_scope(spark, sf_dir):
+    """$on restricts the population that a prediction learns from."""
+    where = {"$and": [{"$on": {"prop": {"size": "large"}, "on": {"status": "F"}}}]}
+    return rounded(_engine(spark, sf_dir).run("predict", {"from": "companies", "where": where, "predict": "cls"}), "p")
+
+
+@query("query_gateway", "select * from (values (200, 'match'), (200, 'predict'), (400, 'search'), (400, 'table'), (422, 'field'), (422, 'operator')) v(status, asked)")
+def query_gateway(spark, sf_dir):
+    """What the gateway answers to good and bad bodies."""
+    gate = Gateway(_engine(spark, sf_dir))
+    asked = {
+        "match": ("match", {"from": "companies", "match": "region"}), "predict": ("predict", {"from": "companies", "where": {"size": "large"}, "predict": "cls"}),
+        "search": ("search", {"from": "companies"}), "table": ("predict", {"from": "other", "predict": "cls"}),
+        "field": ("predict", {"from": "companies", "where": {"nope": 1}, "predict": "cls"}), "operator": ("relate", {"from": "companies", "where": {"price": {"$like": 1}}, "relate": ["size"]}),
+    }
+    return spark.createDataFrame([(gate.post(*body)[0], name) for name, body in asked.items()], "status int, asked string")
+
+
 @query(
     "query_predict",
     f"""with {FIRMS_SQL}, {LONG_SQL}, c as (select unnest({_NAMES}) as c), g as (select * from (values ('region', 'ASIA'), ('size', 'large')) g(field, value)),
@@ -368,9 +549,51 @@ def query_search(spark, sf_dir):
     return _engine(spark, sf_dir).run("search", body)
 
 
-@query("query_evaluate")
+@query(
+    "query_evaluate",
+    f"""with {_JUDGED_SQL}, j0 as (select j.* from j join firms f using (id) where f.fold = 0), m as (select cls, count(*) as m, row_number() over (order by count(*) desc, cls) - 1 as br from j0 group by 1),
+        r as (select p.id, sum((p.p > j0.pt)::int) as r from p join j0 using (id) group by 1), h as (select sum(-m::double / t * log2(m::double / t)) as h, max(m) / max(t) as ba, sum(br * m) / max(t) as bmr from m, (select count(*) as t from j0)),
+        a as (select count(*) as n, avg((pred = t)::int) as acc, avg(-log2(greatest(pt, 1e-12))) as x from j0)
+        select n, round(acc, 6) as accuracy, round(ba, 6) as base_accuracy, round(acc - ba, 6) as accuracy_gain, round(h - x, 6) as info_gain, round(x, 6) as mxe, round(h, 6) as h, round(power(2, h - x), 6) as geom_mean_lift,
+          round((select avg(r) from r), 6) as mean_rank, round(bmr, 6) as base_mean_rank from a, h""",
+)
 def query_evaluate(spark, sf_dir):
     """Held-out metrics of one fold, trained on the others."""
     body = {"test": {"fold": 0}, "evaluate": {"from": "companies", "where": {f: {"$get": f} for f in FEATURES}, "predict": "cls"}}
     m = _engine(spark, sf_dir).run("evaluate", body)
     return rounded(m, *[c for c in m.columns if c != "n"])
+
+
+@query(
+    "sweep_peak",
+    f"""with {_CV_SQL}, sw as (select z.k, e.id, e.cls, e.c, sum(e.ll) + min(q.lp) as s from each e join prior q on q.k = e.fold and q.c = e.c, (select unnest([1, 2, 3, 4]) as k) z
+          where list_position(['{"', '".join(_ORDER)}'], e.field) <= z.k group by all),
+        sx as (select *, exp(s - max(s) over (partition by k, id)) as e from sw), sp as (select k, id, cls, c, e / sum(e) over (partition by k, id) as p from sx)
+        select k, n, round(logloss, 6) as logloss from (select k, count(*) as n, avg(-ln(greatest(p, 1e-12))) as logloss from sp where c = cls group by 1) order by logloss, k limit 1""",
+)
+def sweep_peak(spark, sf_dir):
+    """The number of ranked features at which held-out log loss is least."""
+    out = bayes.peak(bayes.prefix_scores(firms(spark, sf_dir), _ORDER, CLASSES, FOLDS, [1, 2, 3, 4]))
+    return rounded(out.select("k", "n", "logloss"), "logloss")
+
+
+@query(
+    "additive_score",
+    f"""with {FIRMS_SQL}, {LONG_SQL}, g as (select avg(price) as g from firms), m as (select u.field, u.value, count(*) as n, avg(f.price) as m from u join (select id, price from firms) f using (id) group by 1, 2),
+        e as (select field, value, n / (n + 10.0::double) * (m - g) as effect from m, g) select u.id, round(min(g) + sum(e.effect), 4) as score from u join e using (field, value), g group by 1""",
+)
+def additive_score(spark, sf_dir):
+    """The whole mean and the shrunk effects of a row's values, summed."""
+    f = firms(spark, sf_dir)
+    effects = information.shrunk_effects(f, FEATURES, F.col("price"))
+    return rounded(information.additive_scores(f, effects, "id", FEATURES, f.agg(F.avg("price")).first()[0]), "score", digits=4)
+
+
+@query(
+    "funds_beating",
+    f"""with {_SCORE_SQL}, t as (select *, row_number() over (partition by vintage order by score desc, id) as r from fs),
+        e as (select vintage, avg(balance) filter (where r <= 20) - avg(balance) as excess from t group by 1) select count(*) as groups, round(avg((excess > 0)::int), 6) as share_beating from e""",
+)
+def funds_beating(spark, sf_dir):
+    """The share of vintages whose best twenty beat their market."""
+    return rounded(ranking.beats(ranking.top_by_group(_funds(spark, sf_dir), "vintage", "score", "id", "balance")), "share_beating")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from presage.functions import buckets, finance, text
 from presage.operators import ranking
@@ -68,7 +67,7 @@ def qcut_deciles(spark, sf_dir):
 )
 def theme_level(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    edges = c.agg(F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("edges"))
+    edges = ranking.quantiles(c, [], "c_acctbal", [0.25, 0.5, 0.75], "edges")
     return c.crossJoin(F.broadcast(edges)).select("c_custkey", buckets.level(F.col("c_acctbal"), F.col("edges")).alias("level"))  # one row
 
 
@@ -240,7 +239,7 @@ def items_theme(spark, sf_dir):
 def stratified_folds(spark, sf_dir):
     from presage.operators.bayes import stratified_fold
 
-    return firms(spark, sf_dir).select("id", stratified_fold("cls", "id").alias("k"))
+    return stratified_fold(firms(spark, sf_dir).select("id", "cls"), "cls", "id", 5, "k").select("id", "k")
 
 
 @query(
@@ -251,5 +250,5 @@ def stratified_folds(spark, sf_dir):
 def stratified_sample(spark, sf_dir):
     f = firms(spark, sf_dir)
     n = f.agg(F.greatest(F.lit(2), F.round(F.count("*") / 300.0)).cast("bigint").alias("k"))
-    pos = F.row_number().over(Window.partitionBy("cls").orderBy("id")) - 1
-    return f.withColumn("r", pos).crossJoin(F.broadcast(n)).where(F.col("r") % F.col("k") == 0).select("id", "cls")  # one row
+    placed = ranking.grouped_rank(f.select("id", "cls"), ["cls"], [F.col("id")], "r")
+    return placed.crossJoin(F.broadcast(n)).where((F.col("r") - 1) % F.col("k") == 0).select("id", "cls")  # one row

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from presage.operators import events, lift, ranking
 from presage.plans.core import CLASSES, FEATURES, FIRMS_SQL, PRESENT_SQL, PRICES_SQL, firms, prices, query, rounded, table
@@ -109,9 +108,8 @@ def weighted_mean(spark, sf_dir):
     "with r as (select c_mktsegment, c_acctbal, row_number() over (partition by c_mktsegment order by c_acctbal) - 1 as i, count(*) over (partition by c_mktsegment) as n from customer) select c_mktsegment, c_acctbal as upper_median from r where i = n // 2",
 )
 def upper_median(spark, sf_dir):
-    by = Window.partitionBy("c_mktsegment")
-    r = table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal", (F.row_number().over(by.orderBy("c_acctbal")) - 1).alias("i"), F.count("*").over(by).alias("n"))
-    return r.where(F.col("i") == F.floor(F.col("n") / 2)).select("c_mktsegment", F.col("c_acctbal").alias("upper_median"))
+    r = ranking.grouped_rank(table(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal"), ["c_mktsegment"], [F.col("c_acctbal")], "place", "n")
+    return r.where(F.col("place") - 1 == F.floor(F.col("n") / 2)).select("c_mktsegment", F.col("c_acctbal").alias("upper_median"))
 
 
 @query(
@@ -163,21 +161,24 @@ def custom_order(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).withColumn("place", place).orderBy("place", "c_mktsegment")
 
 
-_REACT = f"""{PRICES_SQL}, p as (select *, lag(close) over w as anchor, lead(close, 1) over w as c1, lead(close, 5) over w as c5, lead(close, 20) over w as c20 from prices window w as (partition by key order by ts)),
-  e as (select key, event_id, theme, ts + interval 1 minute as at from prices where event_id % 3 = 0),
-  x as (select e.key, e.event_id, e.theme, min(p.ts) as ts from e join p on p.key = e.key and p.ts >= e.at group by 1, 2, 3),
-  r as (select x.key, x.event_id, x.theme, (c1 / anchor - 1) * 100 as r_1, (c5 / anchor - 1) * 100 as r_5, (c20 / anchor - 1) * 100 as r_20 from x join p on p.key = x.key and p.ts = x.ts where anchor > 0)"""
+#: Events as news on twenty price series that are long enough for a year of rows.
+_REACT = f"""{PRICES_SQL}, q as (select key % 20 as key, ts, close, theme, event_id from prices),
+  p as (select *, lag(close) over w as anchor, lead(close, 1) over w as c1, lead(close, 5) over w as c5, lead(close, 20) over w as c20, lead(close, 252) over w as c252 from q window w as (partition by key order by ts, event_id)),
+  e as (select key, event_id, theme, ts + interval 1 minute as at from q),
+  x as (select e.key, e.event_id, e.theme, p.anchor, p.c1, p.c5, p.c20, p.c252 from e asof join p on p.key = e.key and p.ts >= e.at),
+  r as (select key, event_id, theme, (c1 / anchor - 1) * 100 as r_1, (c5 / anchor - 1) * 100 as r_5, (c20 / anchor - 1) * 100 as r_20, (c252 / anchor - 1) * 100 as r_252 from x where anchor > 0)"""
 
 
 def _reactions(spark, sf_dir):
-    p = prices(spark, sf_dir)
-    e = p.where("event_id % 3 = 0").select("key", "event_id", "theme", (F.col("ts") + F.expr("interval 1 minute")).alias("at"))
-    return events.reactions(p.select("key", "ts", "close"), e, "key", "ts", "close", "at", (1, 5, 20))
+    p = prices(spark, sf_dir).withColumn("key", F.col("key") % 20)
+    e = p.select("key", "event_id", "theme", (F.col("ts") + F.expr("interval 1 minute")).alias("at"))
+    return events.reactions(p.select("key", "ts", "close", "event_id"), e, "key", "ts", "close", "at", tie="event_id")
 
 
-@query("reaction_offsets", f"with {_REACT} select key, event_id, round(r_1, 4) as r_1, round(r_5, 4) as r_5, round(r_20, 4) as r_20 from r")
+@query("reaction_offsets", f"with {_REACT} select key, event_id, round(r_1, 4) as r_1, round(r_5, 4) as r_5, round(r_20, 4) as r_20, round(r_252, 4) as r_252 from r")
 def reaction_offsets(spark, sf_dir):
-    return rounded(_reactions(spark, sf_dir).select("key", "event_id", "r_1", "r_5", "r_20"), "r_1", "r_5", "r_20", digits=4)
+    r = ["r_1", "r_5", "r_20", "r_252"]
+    return rounded(_reactions(spark, sf_dir).select("key", "event_id", *r), *r, digits=4)
 
 
 @query(
@@ -192,32 +193,32 @@ def momentum_vol(spark, sf_dir):
 
 @query(
     "forward_20d",
-    f"""with {PRICES_SQL}, w as (select key, ts, lead(close, 21) over x as b, lead(close, 1) over x as a, lag(close, 1) over x as d, lag(close, 40) over x as c from prices window x as (partition by key order by ts))
+    f"""with {PRICES_SQL}, w as (select key, ts, lead(close, 21) over x as b, lead(close, 1) over x as a, lag(close, 1) over x as d, lag(close, 60) over x as c from prices window x as (partition by key order by ts))
         select key, ts, round(case when a > 0 then (b / a - 1) * 100 end, 4) as forward, round(case when c > 0 then (d / c - 1) * 100 end, 4) as momentum from w""",
 )
 def forward_20d(spark, sf_dir):
-    return rounded(events.forward_return(prices(spark, sf_dir), "key", "ts", "close", 20, 40), "forward", "momentum", digits=4)
+    return rounded(events.forward_return(prices(spark, sf_dir), "key", "ts", "close", 20, 60), "forward", "momentum", digits=4)
 
 
 @query(
     "theme_stats",
     f"""with {_REACT}, t as (select theme, count(*) as n, avg(r_1) as mean_1d, median(r_1) as median_1d, avg((r_1 > 0)::int) as share_up, corr(r_1, r_20) as corr, count(*) filter (where r_1 > 0) as n_up, count(*) filter (where r_1 < 0) as n_down,
-          median(r_1) filter (where r_1 > 0) - median(r_1) filter (where r_1 < 0) as gap_1d, median(r_20) filter (where r_1 > 0) - median(r_20) filter (where r_1 < 0) as gap_1yr from r where r_1 is not null group by 1 having count(*) >= 30)
+          median(r_1) filter (where r_1 > 0) - median(r_1) filter (where r_1 < 0) as gap_1d, median(r_252) filter (where r_1 > 0) - median(r_252) filter (where r_1 < 0) as gap_1yr from r where r_1 is not null group by 1 having count(*) >= 30)
         select theme, n, round(mean_1d, 4) as mean_1d, round(median_1d, 4) as median_1d, round(share_up, 6) as share_up, round(corr, 6) as corr, n_up, n_down, round(gap_1d, 4) as gap_1d, round(gap_1yr, 4) as gap_1yr,
           case when gap_1d > 0 and n_up >= 40 and n_down >= 40 then case when gap_1yr >= 4 then 'fundamentals' when gap_1yr <= 1.5 then 'sentiment' when gap_1yr is not null then 'mixed' end end as verdict from t""",
 )
 def theme_stats(spark, sf_dir):
-    out = events.theme_stats(_reactions(spark, sf_dir), "theme", "r_1", "r_20", "r_20")
+    out = events.theme_stats(_reactions(spark, sf_dir), "theme", "r_1", "r_20", "r_252")
     return rounded(rounded(out, "share_up", "corr"), "mean_1d", "median_1d", "gap_1d", "gap_1yr", digits=4)
 
 
 @query(
     "cohort_paths",
-    f"""with {_REACT} select theme, case when r_1 > 0 then 'up' else 'down' end as cohort, count(*) as n, round(median(r_1), 4) as median_r_1, round(median(r_5), 4) as median_r_5, round(median(r_20), 4) as median_r_20 from r where r_1 <> 0 group by 1, 2""",
+    f"""with {_REACT} select theme, case when r_1 > 0 then 'up' else 'down' end as cohort, count(*) as n, round(median(r_1), 4) as median_r_1, round(median(r_5), 4) as median_r_5, round(median(r_20), 4) as median_r_20, round(median(r_252), 4) as median_r_252 from r where r_1 <> 0 group by 1, 2""",
 )
 def cohort_paths(spark, sf_dir):
-    out = events.cohort_paths(_reactions(spark, sf_dir), "theme", "r_1", ["r_1", "r_5", "r_20"])
-    return rounded(out, "median_r_1", "median_r_5", "median_r_20", digits=4)
+    out = events.cohort_paths(_reactions(spark, sf_dir), "theme", "r_1", ["r_1", "r_5", "r_20", "r_252"])
+    return rounded(out, "median_r_1", "median_r_5", "median_r_20", "median_r_252", digits=4)
 
 
 @query(
@@ -231,13 +232,41 @@ def corr_gated(spark, sf_dir):
 
 @query(
     "signal_separation",
-    f"""with {FIRMS_SQL}, {PRESENT_SQL}, s as (select u.field, u.value, count(*) as n, avg(f.price) as m from u join (select id, price from firms) f using (id) group by 1, 2 having count(*) >= 15)
-        select field, count(*) as values, round(max(m) - min(m), 4) as separation from s group by 1 having count(*) >= 2""",
+    f"""with {_REACT}, f as (select event_id, case event_id % 3 when 0 then 'a' when 1 then 'b' else 'c' end as tone, case when event_id % 7 < 2 then 'low' else 'high' end as beat, theme, r_1, r_5, r_20 from r),
+        u as (select 'tone' as field, tone as value, r_1, r_5, r_20 from f union all select 'beat', beat, r_1, r_5, r_20 from f union all select 'theme', theme, r_1, r_5, r_20 from f),
+        m as (select field, value, avg(r_1) as m1, avg(r_5) as m5, avg(r_20) as m20 from u group by 1, 2 having count(*) >= 15)
+        select field, count(*) as values, round(max(m1) - min(m1), 4) as sep_r_1, round(max(m5) - min(m5), 4) as sep_r_5, round(max(m20) - min(m20), 4) as sep_r_20 from m group by 1 having count(*) >= 2""",
 )
 def signal_separation(spark, sf_dir):
-    u = lift.unpivot(firms(spark, sf_dir), ["price"], FEATURES).groupBy("field", "value").agg(F.count("*").alias("n"), F.avg("price").alias("m")).where("n >= 15")
-    out = u.groupBy("field").agg(F.count("*").alias("values"), F.round(F.max("m") - F.min("m"), 4).alias("separation"))
-    return out.where(F.col("values") >= 2)
+    """How far the means of a signal's values lie apart, at three horizons."""
+    tone = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("event_id") % 3 + 1).cast("int"))
+    r = _reactions(spark, sf_dir).withColumns({"tone": tone, "beat": F.when(F.col("event_id") % 7 < 2, "low").otherwise("high")})
+    out = lift.separation(r, ["tone", "beat", "theme"], ["r_1", "r_5", "r_20"], 15)
+    return rounded(out, "sep_r_1", "sep_r_5", "sep_r_20", digits=4)
+
+
+@query(
+    "drift_mean",
+    f"""with {FIRMS_SQL}, {PRESENT_SQL}, v as (select u.*, f.vintage from u join (select id, vintage from firms) f using (id)),
+        base as (select vintage, avg(case when {_HIT} then 1.0::double else 0 end) as b from firms group by 1),
+        l as (select v.vintage, field, value, avg(case when {_HIT} then 1.0::double else 0 end) / min(b) as lift from v join base on base.vintage = v.vintage where b > 0 group by 1, 2, 3 having count(*) >= 8),
+        d as (select field, value, (max(lift) - min(lift)) / avg(lift) as drift from l group by 1, 2 having count(*) >= 2) select count(*) as n, round(avg(drift), 6) as mean_drift from d""",
+)
+def drift_mean(spark, sf_dir):
+    lifts = lift.lift_table(firms(spark, sf_dir), FEATURES, F.col("cls") == CLASSES[0], 8, ["vintage"])
+    return rounded(lift.mean_drift(lift.drift(lifts, "vintage")), "mean_drift")
+
+
+@query(
+    "lift_strength",
+    f"""with {FIRMS_SQL}, {PRESENT_SQL}, base as (select avg(case when {_HIT} then 1.0 else 0 end) as b from firms),
+        t as (select field, value, avg(case when {_HIT} then 1.0::double else 0 end) / (select b from base) as lift from u group by 1, 2)
+        select field, value, round(case when lift > 0 then abs(ln(lift)) else 0 end, 6) as strength from t order by round(case when lift > 0 then abs(ln(lift)) else 0 end, 9) desc, field, value limit 10""",
+)
+def lift_strength(spark, sf_dir):
+    """The ten values that tell most, for or against."""
+    t = lift.by_strength(lift.lift_table(firms(spark, sf_dir), FEATURES, F.col("cls") == CLASSES[0]), "field", "value").limit(10)
+    return rounded(t.select("field", "value", "strength"), "strength")
 
 
 @query(
@@ -267,3 +296,15 @@ def stream_tumbling(spark, sf_dir):
 )
 def stream_sessions(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours")
+
+
+@query("stream_sliding", """with s as (select event_type, ts, time_bucket(interval 1 day, ts) as b from events), w as (select event_type, b as start from s union all select event_type, b - interval 1 day from s)
+    select event_type, start, count(*) as n from w group by 1, 2""")
+def stream_sliding(spark, sf_dir):
+    return windows.sliding(table(spark, sf_dir, "events"), "ts", ["event_type"], "2 days", "1 day")
+
+
+@query("stream_first_seen", "select distinct user_id, event_type from events")
+def stream_first_seen(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    return windows.first_seen(e, "ts", ["user_id", "event_type"]).select("user_id", "event_type")

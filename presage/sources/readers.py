@@ -18,12 +18,16 @@ FACTS = (
 TICKERS = "map<string, struct<cik_str: bigint, ticker: string, title: string>>"
 SUBMISSIONS = (
     "struct<filings: struct<recent: struct<form: array<string>, filingDate: array<string>, reportDate: array<string>, "
-    "accessionNumber: array<string>, primaryDocument: array<string>, items: array<string>>>>"
+    "accessionNumber: array<string>, primaryDocument: array<string>, items: array<string>>, files: array<struct<name: string>>>>"
 )
+#: A further page of submissions: the parallel arrays by themselves.
+PAGE = SUBMISSIONS[SUBMISSIONS.index("recent: ") + 8 : SUBMISSIONS.index(", files")]
+#: What a filing's folder says of it.
+METADATA = "struct<ticker: string, form: string, filed: string, accession: string>"
 
 
 class Source(Protocol):
-    """Anything that yields a table."""
+    """Anything that yields a table: Parquet and Csv below, or a caller's own."""
 
     def read(self, spark: SparkSession) -> DataFrame: ...
 
@@ -57,14 +61,55 @@ def ticker_index(docs: DataFrame, json: str = "json") -> DataFrame:
     return rows.select(F.upper(F.trim("t.ticker")).alias("ticker"), F.col("t.cik_str").alias("cik"), "t.title")
 
 
-def submissions(pages: DataFrame, key: str = "path", json: str = "json") -> DataFrame:
-    """A row for each filing of columnar submission files; pages of one company are just more rows."""
-    r = pages.select(key, F.from_json(json, SUBMISSIONS).alias("j")).select(key, "j.filings.recent.*")
+def _filings(pages: DataFrame, key: str, arrays: str) -> DataFrame:
     names = ["form", "filingDate", "reportDate", "accessionNumber", "primaryDocument", "items"]
-    zipped = r.select(key, F.inline(F.arrays_zip(*names)))
+    zipped = pages.select(key, f"{arrays}.*").select(key, F.inline(F.arrays_zip(*names)))
     return zipped.withColumn("filed", F.try_to_date("filingDate", "yyyy-MM-dd"))
 
 
+def submissions(docs: DataFrame, key: str = "path", json: str = "json", pages: DataFrame | None = None) -> DataFrame:
+    """A row for each filing of columnar submission files.
+
+    pages(name, json): the further files that a company's `filings.files` names;
+    their filings are rows of that company too.
+    """
+    parsed = docs.select(key, F.from_json(json, SUBMISSIONS).alias("j")).select(key, F.col("j.filings.recent").alias("recent"), F.col("j.filings.files.name").alias("names"))
+    out = _filings(parsed, key, "recent")
+    if pages is None:
+        return out
+    named = parsed.select(key, F.explode("names").alias("name")).join(pages.select("name", F.from_json("json", PAGE).alias("page")), "name")
+    return out.unionByName(_filings(named, key, "page"))
+
+
+def filing_folders(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, form, filed, accession, text): the folders below path, each with a metadata.json and a text.txt."""
+    whole = lambda name: spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
+    folder = F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]+$", 1).alias("folder")
+    said = whole("metadata.json").select(folder, F.from_json("value", METADATA).alias("m"))
+    said = said.select("folder", "m.ticker", "m.form", F.try_to_date("m.filed", "yyyy-MM-dd").alias("filed"), "m.accession")
+    return said.join(whole("text.txt").select(folder, F.col("value").alias("text")), "folder").drop("folder")
+
+
+class Parquet:
+    """A source of stored tables: folder/name.parquet."""
+
+    def __init__(self, folder: str, name: str):
+        self.folder, self.name = folder, name
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/{self.name}.parquet")
+
+
+class Csv:
+    """A source of CSV files under a given schema."""
+
+    def __init__(self, path: str, schema: str, comment: str | None = None):
+        self.path, self.schema, self.comment = path, schema, comment
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return csv(spark, self.path, self.schema, self.comment)
+
+
 def html_tables(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, table, row, cells): the cells' text of every table row."""
     tables = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table", "t"))

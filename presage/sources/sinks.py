@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
 
 from presage.operators.joins import resume
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles to `digits` places, for reports only."""
-    return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")} or {"_": F.lit(0)}).drop("_")
+def rounded(df: DataFrame, digits: int = 4, half_even: bool = False) -> DataFrame:
+    """Doubles to `digits` places, those in structs and arrays too; for reports only. half_even: ties go to the even digit."""
+    to = F.bround if half_even else F.round
 
+    def inside(x: Column, kind: DataType) -> Column:
+        if isinstance(kind, (DoubleType, FloatType)):
+            return to(x, digits)
+        if isinstance(kind, ArrayType):
+            return F.transform(x, lambda e: inside(e, kind.elementType))
+        if isinstance(kind, StructType):
+            return F.when(x.isNotNull(), F.struct(*[inside(x[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return x
 
-def json_rows(df: DataFrame, out: str = "json") -> DataFrame:
-    """A JSON object for each row; nulls are left out and whole doubles of integer columns are integers already."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias(out))
+    return df.select(*[inside(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def json_rows(df: DataFrame, out: str = "json", whole: list[str] | None = None) -> DataFrame:
+    """A JSON object for each row; nulls and NaN are left out; the columns of `whole` are integers."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    clean = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+    clean = clean.withColumns({c: F.col(c).cast("bigint") for c in whole}) if whole else clean
+    return clean.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "true"}).alias(out))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -32,8 +47,17 @@ def refresh(df: DataFrame, path: str) -> None:
 
 
 def refresh_table(df: DataFrame, name: str) -> None:
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    df.write.saveAsTable(name)
+    """Full refresh of a named table: the new one is written whole beside the old one and then takes its name."""
+    spark, new = df.sparkSession, f"{name}_new"
+    spark.sql(f"DROP TABLE IF EXISTS {new}")
+    df.write.saveAsTable(new)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+
+
+def insert_rows(df: DataFrame, name: str) -> None:
+    """Appends rows to a named table, which is made if there is none."""
+    df.write.mode("append").saveAsTable(name)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -42,9 +66,11 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     resume(df, df.sparkSession.table("_done"), keys).select(*df.columns).write.mode("append").parquet(path)
 
 
-def pending(spark: SparkSession, schema: str) -> DataFrame:
-    """The empty report of a stage whose inputs are absent."""
-    return spark.createDataFrame([], schema)
+def pending(spark: SparkSession, schema: str, missing: list[str] | None = None) -> DataFrame:
+    """The report of a stage whose inputs are absent: a row that is marked pending and names them, its other columns null."""
+    named = spark.createDataFrame([(True, ",".join(missing or []))], "_pending boolean, _missing string")
+    empty = spark.createDataFrame([], schema)
+    return named.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields], "_pending", "_missing")
 
 
 def meta(df: DataFrame, vintage: str, graded: Column, outcome: Column) -> DataFrame:

@@ -197,7 +197,8 @@ def test_append_new_and_refresh(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "y"), (3, "w")]
     sinks.write_json(spark.createDataFrame([(1, 0.123456)], "k int, x double"), f"file://{tmp_path}/j")
     assert spark.read.json(f"file://{tmp_path}/j").first()["x"] == 0.1235
-    assert sinks.pending(spark, "a int").count() == 0
+    marked = sinks.pending(spark, "a int", ["labels"]).first()
+    assert marked["a"] is None and marked["_pending"] and marked["_missing"] == "labels"
 
 
 def test_html_tables(spark):
@@ -262,3 +263,121 @@ def test_read_through(spark, tmp_path):
     for _ in range(2):
         assert readers.read_through(spark, f"file://{tmp_path}/c", make).count() == 3
     assert made == [1]
+
+
+def test_asof_by_keeps_rows_with_nulls_and_repeats(spark):
+    d = lambda x: dt.date(2020, 1, x)
+    left = spark.createDataFrame([("A", d(9), None), ("A", d(9), None), ("B", d(9), "x"), (None, d(9), "y"), ("A", None, "z")], "k string, c date, note string")
+    right = spark.createDataFrame([("A", d(1), d(1), 1.0), ("A", d(2), d(3), 2.0), ("A", d(3), d(3), 3.0), ("A", d(9), d(8), 9.0), (None, d(1), d(1), 7.0)], "k string, filed date, `end` date, v double")
+    got = sorted((r["k"] or "", str(r["c"]), r["note"] or "", r["v"] or 0) for r in joins.asof_by(left, right, ["k"], "c", "filed", "end", "v").collect())
+    assert got == [("", "2020-01-09", "y", 0), ("A", "2020-01-09", "", 2.0), ("A", "2020-01-09", "", 2.0), ("A", "None", "z", 0), ("B", "2020-01-09", "x", 0)]
+    years = spark.createDataFrame([("A", dt.date(2019, 1, 1), dt.date(2018, 6, 1), 5.0), ("A", dt.date(2019, 6, 1), dt.date(2017, 6, 1), 6.0)], "k string, filed date, `end` date, v double")
+    got = [r["v"] for r in joins.periods_back(left.where("k = 'A' and c is not null"), years, ["k"], "c", "filed", "end", "v", 1).collect()]
+    assert got == [6.0, 6.0]
+
+
+def test_search_orders_by_all_keys(spark):
+    df = spark.createDataFrame([(1, 2), (0, 9), (1, 1), (0, 3)], "a int, b int")
+    e = Engine(spark, {"t": df})
+    rows = lambda order: [tuple(r) for r in e.run("search", {"from": "t", "orderBy": order}).collect()]
+    assert rows(["a", "b"]) == [(0, 3), (0, 9), (1, 1), (1, 2)]
+    assert rows([{"a": "desc"}, {"field": "b", "desc": True}]) == [(1, 2), (1, 1), (0, 9), (0, 3)]
+
+
+def test_predict_takes_every_condition(spark):
+    rows = [(i, "abc"[i % 3], float(i), f"word{i % 2} other", "yes" if i % 3 == 0 and i < 40 else "no") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, f string, x double, note string, cls string")
+    e = Engine(spark, {"t": df}, {"note"})
+    for where in ({"x": {"$lt": 40}}, {"$and": [{"f": "a"}, {"x": {"$lt": 40}}]}, {"$or": [{"f": "a"}, {"f": "b"}]}, {"$not": {"f": "c"}}, {"note": "word1 other"}, {"x": 3.0}, {}):
+        for config in ({}, {"ai": "high"}):
+            got = e.run("predict", {"from": "t", "where": where, "predict": "cls", "config": config, "select": ["feature", "$p", "$why"]}).collect()
+            assert sum(r["p"] for r in got) == pytest.approx(1) and {r["feature"] for r in got} == {"yes", "no"}
+            for r in got:
+                product = 1.0
+                for w in r["why"]:
+                    product *= w["value"]
+                assert product == pytest.approx(r["p"])
+    with pytest.raises(QueryError):
+        e.run("predict", {"from": "t", "where": {"$or": [{"$on": {"prop": {"f": "a"}, "on": {"x": 1}}}]}, "predict": "cls"})
+
+
+def test_large_count_tables_give_the_same(spark):
+    rows = [(i, i % 3, "xy"[i % 2], "abc"[i % 3] if i % 5 else None, str(i % 7)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, fold int, cls string, f string, g string")
+    table = lambda out: {tuple(r)[:-1]: [round(x, 9) for x in r[-1]] for r in out.select("id", "p").collect()}
+    for run in (
+        lambda b: bayes.cross_validate(df, ["f", "g"], ["x", "y"], [0, 1, 2], bound=b),
+        lambda b: bayes.predict(df.where("fold > 0"), df.where("fold = 0"), ["f", "g"], ["x", "y"], bound=b),
+    ):
+        assert table(run(None)) == table(run(3))
+    sweep = lambda b: sorted((r["k"], r["n"], round(r["logloss"], 9), r["accuracy"]) for r in bayes.prefix_scores(df, ["f", "g"], ["x", "y"], [0, 1, 2], [1, 2], bound=b).collect())
+    assert sweep(None) == sweep(3)
+    told = lambda b: sorted((r["id"], r["c"], r["field"], r["value"], round(r["lift"], 9)) for r in bayes.explain(df, df.where("fold = 0"), ["f", "g"], ["x", "y"], bound=b).collect())
+    assert told(None) == told(3)
+
+
+def slow_clusters(near, features, linkage, floor):
+    """Merging by the definition of linkage: every two members of two clusters, each time anew."""
+    clusters = [[f] for f in features]
+    while True:
+        best = None
+        for i in range(len(clusters)):
+            for j in range(i + 1, len(clusters)):
+                found = [near[frozenset((a, b))] for a in clusters[i] for b in clusters[j]]
+                nmi, gain = ([f[k] for f in found] for k in (0, 1))
+                nmi, gain = (min(nmi), min(gain)) if linkage == "complete" else (sum(nmi) / len(nmi), sum(gain) / len(gain))
+                if gain > 0 and nmi >= floor and (best is None or nmi > best[0] + 1e-12):
+                    best = nmi, i, j
+        if best is None:
+            return sorted(sorted(c) for c in clusters)
+        _, i, j = best
+        clusters[i] += clusters.pop(j)
+
+
+@pytest.mark.parametrize("linkage", ["complete", "average"])
+def test_cluster_features_against_brute_force(spark, monkeypatch, linkage):
+    import random
+
+    rng, features = random.Random(9), list("abcdefgh")
+    for _ in range(6):
+        near = {frozenset((a, b)): (rng.random(), rng.uniform(-1, 5)) for a in features for b in features if a < b}
+        pairs = spark.createDataFrame([(min(p), max(p), *v) for p, v in near.items()], "fa string, fb string, nmi double, mdl_gain double")
+        monkeypatch.setattr(information, "mutual_information", lambda df, f, pairs=pairs: pairs)
+        got = information.cluster_features(None, features, linkage, 0.3)
+        assert sorted(sorted(c) for c in got) == slow_clusters(near, features, linkage, 0.3)
+
+
+def test_quantiles_and_grouped_ranks(spark):
+    import numpy as np
+
+    rows = [(k, float(x)) for k, n in (("a", 101), ("b", 1), (None, 50), ("c", 4)) for x in np.random.default_rng(3).integers(0, 30, n)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: r["q"] for r in ranking.quantiles(df, ["k"], "x", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    by = {}
+    for k, x in rows:
+        if x is not None:
+            by.setdefault(k, []).append(x)
+    assert set(got) == set(by) and all(np.allclose(got[k], np.quantile(v, [0.0, 0.25, 0.5, 0.9, 1.0])) for k, v in by.items())
+    placed = ranking.grouped_rank(df.where("x is not null"), ["k"], [F.col("x")], "r", "n").collect()
+    for k, v in by.items():
+        own = [r for r in placed if r["k"] == k]
+        assert sorted(r["r"] for r in own) == list(range(1, len(v) + 1)) and {r["n"] for r in own} == {len(v)}
+        assert [r["x"] for r in sorted(own, key=lambda r: r["r"])] == sorted(v)
+    assert ranking.quantiles(df.where("x > 99"), [], "x", [0.5]).count() == 1
+
+
+def test_similar_against_all_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, rng.choice("ab"), rng.choice(["x", "y", None]), rng.choice([None, "o"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, f string, g string, o string")
+    n = {c: {v: sum(r[i] == v for r in rows) for v in {r[i] for r in rows}} for c, i in (("f", 1), ("g", 2))}
+    got = {}
+    for r in ranking.similar(df, df.where("id % 4 = 0"), "id", ["f", "g"], 5, "o").orderBy("focal", "rank").collect():
+        got.setdefault(r["focal"], []).append(r["id"])
+    for focal in rows[::4]:
+        scores = [(-round(sum(math.log(60 / n[c][focal[i]]) for c, i in (("f", 1), ("g", 2)) if focal[i] is not None and focal[i] == r[i]), 9), r[0]) for r in rows
+                  if r[0] != focal[0] and r[3] and any(focal[i] is not None and focal[i] == r[i] for i in (1, 2))]
+        assert got[focal[0]] == [i for _, i in sorted(scores)[:5]]
