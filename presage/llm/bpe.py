@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 #: Characters of a text that is encoded at once, and of a part of a longer one.
 LONGEST, LEAF = 1 << 15, 4096
 #: Pre-tokens kept by a worker before its memo starts anew.
-MEMO = 400_000
+MEMO = 150_000
 
 
 def _safe(code: int) -> bool:
