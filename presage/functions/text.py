@@ -93,12 +93,16 @@ def columns_like(names: list[str], *parts: str) -> list[str]:
 
 
 def fold_of(key: Column, k: int = 5) -> Column:
-    """The MD5 of key as a number, modulo k, for the k that divide 15 (5, 3): the sum of its hex digits."""
+    """The MD5 of key as a number, modulo k, for the k that divide 15 (5, 3).
+
+    16 is 1 modulo such a k, so the number is its digits' sum, in parts of any
+    length: two of 15 digits and one of 2.
+    """
     if 15 % k:
         raise ValueError("16 must be 1 modulo k")
-    digits = F.split(F.md5(key), "")
-    total = F.aggregate(digits, F.lit(0), lambda acc, c: acc + F.coalesce(F.conv(c, 16, 10).cast("int"), F.lit(0)))
-    return (total % k).cast("string")
+    digest = F.md5(key)
+    parts = [F.conv(F.substring(digest, at, n), 16, 10).cast("bigint") % k for at, n in ((1, 15), (16, 15), (31, 2))]
+    return ((parts[0] + parts[1] + parts[2]) % k).cast("string")
 
 
 def html_to_text(html: Column) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +31,13 @@ def stratified_fold(df: DataFrame, label: str, key: str, k: int = 5, out: str =
     return grouped_rank(df, [label], [F.col(key)], "_place").withColumn(out, ((F.col("_place") - 1) % k).cast("int")).drop("_place")
 
 
+def _local(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of the driver as a relation whose size the optimizer knows: of at most BOUND rows, so it is broadcast."""
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    table = pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), columns)})
+    return F.broadcast(spark.createDataFrame(table))
+
+
 class Counts:
     """A count table on the driver: what smoothed probabilities need, for each held-out fold.
 
@@ -65,11 +73,18 @@ class Counts:
         counts = self.values.get((fold, field, value), [0] * len(self.classes))
         return [math.log((n + self.alpha) / (c + self.alpha * (self.seen[fold, field] + 1))) for n, c in zip(counts, self.sizes[fold])]
 
-    def table(self, spark: SparkSession, field: str) -> DataFrame:
-        """(fold, value, array of one double a class) of a field, and a row of value null for what is unseen."""
-        rows = [(f, v, self.likelihoods(f, field, v)) for f, g, v in self.values if g == field]
-        rows += [(f, None, self.likelihoods(f, field, None)) for f in self.folds]
-        return spark.createDataFrame(rows, "_f int, _v string, _ll array<double>")
+    def table(self, spark: SparkSession, i: int) -> DataFrame:
+        """(_f, _v, _l{i}_{c}...): the i-th field's values and their log-likelihoods, a column a class."""
+        field = self.features[i]
+        rows = [(f, v, *self.likelihoods(f, field, v)) for f, g, v in self.values if g == field]
+        return _local(spark, rows, {"_f": pa.int32(), "_v": pa.string()} | {f"_l{i}_{c}": pa.float64() for c in range(len(self.classes))})
+
+    def defaults(self, spark: SparkSession) -> DataFrame:
+        """(_f, _q_{c}..., _u{i}_{c}...): for each fold the log priors, and each field's log-likelihoods of an unseen value."""
+        k, n = len(self.classes), len(self.features)
+        rows = [(f, *self.prior(f), *[x for g in self.features for x in self.likelihoods(f, g, None)]) for f in self.folds]
+        names = [f"_q_{c}" for c in range(k)] + [f"_u{i}_{c}" for i in range(n) for c in range(k)]
+        return _local(spark, rows, {"_f": pa.int32()} | {x: pa.float64() for x in names})
 
 
 def counted(base: DataFrame, features: list[str]) -> DataFrame:
@@ -91,35 +106,29 @@ def fit(base: DataFrame, features: list[str], classes: list[str] | None, folds:
     return Counts(rows, features, names, folds, alpha)
 
 
-def _looked_up(df: DataFrame, model: Counts, fields: list[str]) -> DataFrame:
-    """df(fold, fields) with `_prior` and, for the i-th field, `_ll{i}`: arrays over classes."""
-    spark, folded = df.sparkSession, model.folds != [None]
-    same = (lambda t: F.col("fold") == F.col(f"{t}._f")) if folded else (lambda t: F.lit(True))
-    for i, f in enumerate(fields):
-        whole = model.table(spark, f)
-        seen = whole.where("_v is not null").alias(f"t{i}")
-        df = df.join(seen, (category(F.col(f)) == F.col(f"t{i}._v")) & same(f"t{i}"), "left").withColumn(f"_ll{i}", F.col(f"t{i}._ll")).drop("_f", "_v", "_ll")
-    unseen = {(f): [model.likelihoods(f, g, None) for g in fields] for f in model.folds}
-    lits = lambda x: F.array(*[F.lit(v) for v in x])
-
-    def by_fold(make) -> Column:
-        if not folded:
-            return make(None)
-        out = F.when(F.lit(False), make(model.folds[0]))
-        for f in model.folds:
-            out = out.when(F.col("fold") == f, make(f))
-        return out
-
-    df = df.withColumn("_prior", by_fold(lambda f: lits(model.prior(f))))
-    return df.withColumns({f"_ll{i}": F.coalesce(f"_ll{i}", by_fold(lambda f, i=i: lits(unseen[f][i]))) for i in range(len(fields))})
-
-
-def _probabilities(parts: list[str], k: int) -> Column:
-    """The softmax of a sum of arrays of k doubles, a column each."""
-    scores = [sum((F.col(p)[i] for p in parts[1:]), F.col(parts[0])[i]) for i in range(k)]
-    top = F.greatest(*scores) if k > 1 else scores[0]
-    e = F.array(*[F.exp(x - top) for x in scores])
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def _scores(df: DataFrame, model: Counts, sizes: list[int]) -> DataFrame:
+    """df(fold, features) with p{n} for each n of sizes: the probabilities by the first n features, as an array over classes.
+
+    Each look-up is a join with a table on the driver; sums, their maximum and the
+    exponentials are projections of their own, so that none is computed twice.
+    """
+    spark, k, names = df.sparkSession, len(model.classes), df.columns
+    folded = model.folds != [None]
+
+    def with_fold(other: DataFrame, on: Column, how: str) -> DataFrame:
+        on = on & (F.col("l.fold") == F.col("r._f")) if folded else on
+        return df.alias("l").join(other.alias("r"), on, how).drop("_f")
+
+    df = with_fold(model.defaults(spark), F.lit(True), "inner")
+    for i, f in enumerate(model.features):
+        df = with_fold(model.table(spark, i), category(F.col(f"l.{f}")) == F.col("r._v"), "left").drop("_v")
+    for n in sizes:
+        own = lambda i, c: F.coalesce(f"_l{i}_{c}", f"_u{i}_{c}")
+        df = df.withColumns({f"_s{n}_{c}": sum((own(i, c) for i in range(n)), F.col(f"_q_{c}")) for c in range(k)})
+    tops = {f"_t{n}": F.greatest(*[F.col(f"_s{n}_{c}") for c in range(k)]) if k > 1 else F.col(f"_s{n}_0") for n in sizes}
+    df = df.withColumns(tops).withColumns({f"_e{n}_{c}": F.exp(F.col(f"_s{n}_{c}") - F.col(f"_t{n}")) for n in sizes for c in range(k)})
+    df = df.withColumns({f"_w{n}": sum((F.col(f"_e{n}_{c}") for c in range(1, k)), F.col(f"_e{n}_0")) for n in sizes})
+    return df.select(*names, *[F.array(*[F.col(f"_e{n}_{c}") / F.col(f"_w{n}") for c in range(k)]).alias(f"p{n}") for n in sizes])
 
 
 def _log_likelihoods(base: DataFrame, features: list[str], classes: list[str], folds: list[int] | None, alpha: float) -> DataFrame:
@@ -199,9 +208,8 @@ def predict(train: DataFrame, test: DataFrame, features: list[str], classes: lis
 
 def apply(test: DataFrame, model: Counts) -> DataFrame:
     """(id, fold, cls, p) of test(id, fold, cls, features) under a model of the driver, in one stage."""
-    fields = model.features
-    looked = _looked_up(test.select("id", "fold", "cls", *fields), model, fields)
-    return looked.select("id", "fold", "cls", _probabilities(["_prior", *[f"_ll{i}" for i in range(len(fields))]], len(model.classes)).alias("p"))
+    n = len(model.features)
+    return _scores(test.select("id", "fold", "cls", *model.features), model, [n]).select("id", "fold", "cls", F.col(f"p{n}").alias("p"))
 
 
 def cross_validate(
@@ -262,7 +270,7 @@ def explain(train: DataFrame, test: DataFrame, features: list[str], classes: lis
     if model:
         n = sum(model.sizes[None])
         rows = [(g, v, [math.exp(x) * n / sum(c) for x in model.likelihoods(None, g, v)]) for (_, g, v), c in model.values.items() if g]
-        lifts = train.sparkSession.createDataFrame(rows, "field string, value string, lifts array<double>")
+        lifts = _local(train.sparkSession, rows, {"field": pa.string(), "value": pa.string(), "lifts": pa.list_(pa.float64())})
     else:
         table = _log_likelihoods(train.withColumn("fold", F.lit(-1)), features, classes, None, alpha)
         total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
@@ -336,10 +344,9 @@ def prefix_scores(
     """(k, n, logloss, accuracy): held-out quality of the first k ranked features, all k in one pass."""
     k, model = len(classes), fit(base, ranked, classes, folds, alpha, bound)
     if model:
-        looked = _looked_up(base.where(F.col("fold").isin(folds)).select("id", "fold", "cls", *ranked), model, ranked)
-        parts = ["_prior", *[f"_ll{i}" for i in range(len(ranked))]]
-        each = F.array(*[F.struct(F.lit(s).alias("k"), _probabilities(parts[: s + 1], k).alias("p")) for s in sizes])
-        scored = looked.select("id", "fold", "cls", F.explode(each).alias("x")).select("id", "fold", "cls", "x.k", "x.p")
+        found = _scores(base.where(F.col("fold").isin(folds)).select("id", "fold", "cls", *ranked), model, sizes)
+        each = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"p{n}").alias("p")) for n in sizes])
+        scored = found.select("id", "fold", "cls", F.explode(each).alias("x")).select("id", "fold", "cls", "x.k", "x.p")
     else:
         scored = _large_prefixes(base, ranked, classes, folds, sizes, alpha)
     true = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cls")).cast("int")

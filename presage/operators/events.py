@@ -32,8 +32,9 @@ def reactions(prices: DataFrame, events: DataFrame, key: str, ts: str, close: st
     both = ahead.select(key, "_ts", "_tie", F.lit(1).alias("_side"), "_p", F.lit(None).cast(events.select(F.struct(*extra)).schema[0].dataType).alias("_e")).unionByName(
         events.select(key, F.col(event_ts).alias("_ts"), F.lit(None).cast(ahead.schema["_tie"].dataType).alias("_tie"), F.lit(0).alias("_side"), F.lit(None).cast(ahead.schema["_p"].dataType).alias("_p"), F.struct(*extra).alias("_e"))
     )
-    line = Window.partitionBy(key).orderBy("_ts", "_side", "_tie").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_f", F.first("_p", ignorenulls=True).over(line)).where("_side = 0 and _f.anchor > 0")
+    # Backwards, so that the frame only grows: a frame that shrinks from the front is computed anew for every row.
+    line = Window.partitionBy(key).orderBy(F.desc("_ts"), F.desc("_side"), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_f", F.last("_p", ignorenulls=True).over(line)).where("_side = 0 and _f.anchor > 0")
     return found.select(key, "_e.*", *[percent(F.col(f"_f.c{h}"), F.col("_f.anchor")).alias(f"r_{h}") for h in horizons])
 
 

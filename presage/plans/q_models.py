@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from presage.operators import bayes, information, lift, ranking
@@ -32,8 +35,16 @@ _JUDGED_SQL = f"""{_CV_SQL}, j as (select id, cls, cast(cls[1] as int) - 1 as t,
   sum(p) filter (where r <= 1) as good, sum(power(p - (c = cls)::int, 2)) as b from p group by all)"""
 
 
+@lru_cache(maxsize=8)
+def _model(application: str, sf_dir: str) -> bayes.Counts | None:
+    """The count table of the registered firms, kept for an application as an engine keeps its tables' counts."""
+    return bayes.fit(firms(SparkSession.active(), sf_dir), FEATURES, CLASSES, FOLDS)
+
+
 def _scored(spark, sf_dir):
-    return bayes.cross_validate(firms(spark, sf_dir), FEATURES, CLASSES, FOLDS)
+    model = _model(spark.sparkContext.applicationId, sf_dir)
+    f = firms(spark, sf_dir)
+    return bayes.apply(f, model) if model else bayes.cross_validate(f, FEATURES, CLASSES, FOLDS)
 
 
 @query("nb_cv", f"with {_CV_SQL} select id, c, round(p, 6) as p from p")
@@ -174,7 +185,19 @@ def redundant_pairs(spark, sf_dir):
     return rounded(information.redundant_pairs(firms(spark, sf_dir), FEATURES, 3).select("fa", "fb", "nmi"), "nmi", digits=8)
 
 
-@query("cluster_features")
+@query(
+    "cluster_features",
+    f"""with {FIRMS_SQL}, l as (select id, unnest([('segment', 1, coalesce(segment, '(missing)')), ('status', 2, status), ('region', 3, region), ('size', 4, size), ('segment2', 5, coalesce(lower(segment), '(missing)')), ('region2', 6, substr(nation, 1, 3))]) as x from firms),
+        f as (select id, x[1] as name, x[2] as o, x[3] as v from l), t as (select count(*)::double as t from firms),
+        ce as (select a.o as oa, b.o as ob, a.v as va, b.v as vb, count(*)::double as n from f a join f b on a.id = b.id and a.o < b.o group by all),
+        m as (select oa, ob, va, vb, n, sum(n) over (partition by oa, ob, va) as na, sum(n) over (partition by oa, ob, vb) as nb from ce),
+        i as (select oa, ob, sum(n / t * ln(n * t / (na * nb))) as mi, count(distinct va) as ka, count(distinct vb) as kb from m, t group by 1, 2), h as (select o, sum(-n / t * ln(n / t)) as h from (select o, v, count(*) as n from f group by 1, 2), t group by 1),
+        near as (select i.oa, i.ob from i join h ha on ha.o = i.oa join h hb on hb.o = i.ob, t where mi / sqrt(ha.h * hb.h) >= 0.3 and t * mi / ln(2) - 0.5 * (ka - 1) * (kb - 1) * log2(t) > 0),
+        -- No feature is in two near pairs here, so that each pair is a cluster.
+        c as (select n.name, n.o, coalesce((select min(oa) from near where ob = n.o), n.o) as first from (select distinct name, o from f) n),
+        g as (select first, count(*) as size, string_agg(name, '|' order by o) as features from c group by 1)
+        select cast(row_number() over (order by size desc, features) - 1 as int) as cluster, cast(size as int) as size, features from g""",
+)
 def cluster_features(spark, sf_dir):
     """Clusters of features of which two are made to agree with others; the merging is held against brute force in the tests."""
     f = firms(spark, sf_dir).withColumns({"segment2": F.lower("segment"), "region2": F.substring("nation", 1, 3)})
@@ -355,6 +378,13 @@ def similarity(spark, sf_dir):
 
 
 def _engine(spark, sf_dir) -> Engine:
+    return _kept_engine(spark.sparkContext.applicationId, sf_dir)
+
+
+@lru_cache(maxsize=8)
+def _kept_engine(application: str, sf_dir: str) -> Engine:
+    """An engine over the registered firms, with its count tables, for an application."""
+    spark = SparkSession.active()
     f = firms(spark, sf_dir).withColumn("note", F.concat_ws(" ", "nation", "status", "size"))
     return Engine(spark, {"companies": f}, {"note"})
 
