@@ -57,18 +57,31 @@ def fingerprinted(df: DataFrame, text: str, out: str, pattern: str = PIECES) ->
     own = own.withColumns({"_first": F.transform("_pieces", lambda p: F.xxhash64(p)), "_sha": F.transform("_pieces", lambda p: F.sha2(p, 256))})
     own = own.withColumn("_second", F.transform("_sha", lambda s: F.xxhash64(s)))
 
-    def bits(hashes: str, j: int) -> Column:
-        """How many hashes have bit j, and bit j + 32, modulo 2**16 in the halves of a long."""
-        total = F.aggregate(hashes, zero, lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_PAIR)))
-        return total.bitwiseAND(F.lit(_HALVES))
+    def sums(w: int) -> Column:
+        """How many hashes have each bit, of both kinds, in fields of w bits: longs j hold bits j, j + w, ..."""
+        ones = F.lit(sum(1 << at for at in range(0, 63, w)))
+        each = lambda hashes, j: F.aggregate(hashes, zero, lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(ones))
+        return F.array(*[each(hashes, j) for hashes in ("_first", "_second") for j in range(w)])
+
+    def signs(w: int) -> Column:
+        """The longs of sign lanes from sums(w)."""
+        own = (1 << min(w, 16)) - 1
+        both = F.lit((own << 32) + own)
+        half = lambda at, i: F.shiftrightunsigned(F.element_at("_sums", at + i % w + 1), i // w * w).bitwiseAND(both)
+        return F.array(*[half(0, i).bitwiseOR(F.shiftleft(half(w, i), 16)) for i in range(PACKED)])
+
+    def by_size(make) -> Column:
+        """Fields as narrow as the number of pieces allows: the narrower, the fewer sums; all give the same lanes."""
+        n = F.size("_first")
+        return F.when(n < 1 << 7, make(8)).when(n < 1 << 15, make(16)).otherwise(make(32))  # below the sign bit
 
     def strong(i: int) -> Column:
         word = lambda s: F.conv(F.substring(s, 1 + 15 * i, 15), 16, 10).cast("bigint")
         return F.aggregate("_sha", zero, lambda acc, s: (acc + word(s)).bitwiseAND(F.lit(_MOD60)))
 
-    signs = [bits("_first", j).bitwiseOR(F.shiftleft(bits("_second", j), 16)) for j in range(PACKED)]
-    vector = F.array(F.size("_first").cast("bigint"), *signs, *[strong(i) for i in range(STRONG)])
-    return own.withColumn(out, vector).drop("_pieces", "_first", "_sha", "_second")
+    own = own.withColumn("_sums", by_size(sums)).withColumn("_strong", F.array(*[strong(i) for i in range(STRONG)]))
+    vector = F.concat(F.array(F.size("_first").cast("bigint")), by_size(signs), "_strong")
+    return own.withColumn(out, vector).drop("_pieces", "_first", "_sha", "_second", "_sums", "_strong")
 
 
 def _lanewise(a: Column, b: Column, sign: int) -> Column:
@@ -106,15 +119,21 @@ def as_text(vector: Column) -> Column:
 
 
 def _products(a: Column, b: Column) -> Column:
-    """The sum over sign lanes of the product of both vectors' sums of signs."""
-
-    def signed(x: Column, n: Column, at: int) -> Column:
-        lane = F.shiftrightunsigned(x, 16 * at).bitwiseAND(F.lit(0xFFFF))
-        return F.pmod(lane * 2 - n + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)  # the residue nearest to zero
-
+    """The sum over sign lanes of the product of both vectors' sums of signs, 2 x - m and 2 y - n."""
     m, n = F.element_at(a, 1), F.element_at(b, 1)
+    zero, lanes = F.lit(0).cast("bigint"), 4 * PACKED
+    lane = lambda x, at: F.shiftrightunsigned(x, 16 * at).bitwiseAND(F.lit(0xFFFF))
     pairs = F.arrays_zip(F.slice(a, 2, PACKED).alias("x"), F.slice(b, 2, PACKED).alias("y"))
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, p: acc + sum(signed(p["x"], m, k) * signed(p["y"], n, k) for k in range(4))).cast("double")
+
+    def total(of) -> Column:
+        return F.aggregate(pairs, zero, lambda acc, p: acc + sum((of(p["x"], p["y"], k) for k in range(1, 4)), of(p["x"], p["y"], 0)))
+
+    def signed(x: Column, count: Column, at: int) -> Column:
+        return F.pmod(lane(x, at) * 2 - count + F.lit(1 << 15), F.lit(1 << 16)) - F.lit(1 << 15)  # the residue nearest to zero
+
+    plain = total(lambda x, y, k: lane(x, k) * lane(y, k)) * 4 - (total(lambda x, y, k: lane(x, k)) * n + total(lambda x, y, k: lane(y, k)) * m) * 2 + m * n * lanes
+    wrapped = total(lambda x, y, k: signed(x, m, k) * signed(y, n, k))
+    return F.when((m < 1 << 15) & (n < 1 << 15), plain).otherwise(wrapped).cast("double")
 
 
 def likeness(a: Column, b: Column) -> Column:
