@@ -2,70 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A-Z to a-z on bytes; other bytes stay.
-ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
-#: Application folders that are marked for deletion.
-_KEPT: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The application's folder where all executors share files, under ``spark.checkpoint.dir``.
-
-    What lies in it is needed until the results are read, so it is deleted when
-    the driver's JVM ends. Where the setting is absent a local session gets a
-    temporary folder; on a cluster that would be wrong without notice, so it is
-    an error there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="presage-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    own = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
-    if own not in _KEPT:
-        _KEPT.add(own)
-        system, target = _file_system(spark, own)
-        system.mkdirs(target)
-        system.deleteOnExit(target)
-    return own
-
+from presage.operators.staging import materialize, new_path, remove_path, shared_folder
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+__all__ = ["ASCII_LOWER", "crc_mod", "materialize", "new_path", "remove_path", "shared_folder", "table"]
 
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    Unlike checkpoint(), which runs the plan once to count and once to save,
-    this computes df once, and the copy survives lost executors.
-    """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _file_system(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    system, target = _file_system(spark, path)
-    system.delete(target, True)
+#: A-Z to a-z on bytes; other bytes stay.
+ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def crc_mod(column: str, modulus: int) -> Column:

@@ -15,7 +15,7 @@ def op1_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id bigint, turn bigint, role string, text string")
-    return prefix_tree.read_back(prefix_tree.format_conversations(rows.unionByName(extra)))
+    return prefix_tree.read_back(prefix_tree.format_conversations(rows.unionByName(extra), tokenizer=tokenizer_path("byte_bpe_50k.json")))
 
 
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,31 @@ def test_chat_tree_shares_turns_and_masks_ancestors(spark):
     assert sorted(x for x in loss if x) == ["b", "c"]
 
 
+def test_chat_tokens_once_a_node(spark):
+    """Ids of shared turns stand once; positions, ancestors and the mask count tokens."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BYTE)
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "general <|end|> é"), (2, 0, "user", "hello there"), (2, 1, "assistant", "other words"), (2, 2, "user", "more")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").coalesce(1)
+    [block] = prefix_tree.format_conversations(df, tokenizer=BYTE).collect()
+    ids, nodes = block["ids"], block["nodes"]
+    assert len(nodes) == 4 and [n["token_start"] for n in nodes] == [0, *[n["token_end"] for n in nodes[:-1]]] and nodes[-1]["token_end"] == len(ids)
+    said = []
+    for n in nodes:
+        text = lambda a, b: t.decode(ids[a:b], skip_special_tokens=False)
+        assert text(n["token_start"], n["token_end"]) == block["text"][n["start"] : n["end"]]
+        assert text(n["loss_token_start"], n["loss_token_end"]) == block["text"][n["loss_start"] : n["loss_end"]]
+        said.append(prefix_tree.unescape(text(n["loss_token_start"], n["loss_token_end"])))
+        up, path = n["parent"], []
+        while up >= 0:
+            path.append(nodes[up])
+            up = nodes[up]["parent"]
+        assert n["position"] == sum(p["token_end"] - p["token_start"] for p in path)
+        assert {i for a in n["attends"] for i in range(a["start"], a["end"])} == {i for p in path for i in range(p["token_start"], p["token_end"])}
+    assert sorted(x for x in said if x) == ["general <|end|> é", "other words"]
+
+
 def test_chat_control_strings():
     rng = random.Random(2)
     for _ in range(3000):
