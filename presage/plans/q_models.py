@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from presage.operators import bayes, information, lift, ranking
@@ -35,15 +32,20 @@ _JUDGED_SQL = f"""{_CV_SQL}, j as (select id, cls, cast(cls[1] as int) - 1 as t,
   sum(p) filter (where r <= 1) as good, sum(power(p - (c = cls)::int, 2)) as b from p group by all)"""
 
 
-@lru_cache(maxsize=8)
-def _model(application: str, sf_dir: str) -> bayes.Counts | None:
-    """The count table of the registered firms, kept for an application as an engine keeps its tables' counts."""
-    return bayes.fit(firms(SparkSession.active(), sf_dir), FEATURES, CLASSES, FOLDS)
+#: What is kept for an application and a folder of tables, as an engine keeps its tables' counts.
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _kept(what: str, spark, sf_dir: str, make):
+    key = (what, spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def _scored(spark, sf_dir):
-    model = _model(spark.sparkContext.applicationId, sf_dir)
     f = firms(spark, sf_dir)
+    model = _kept("counts", spark, sf_dir, lambda: bayes.fit(f, FEATURES, CLASSES, FOLDS))
     return bayes.apply(f, model) if model else bayes.cross_validate(f, FEATURES, CLASSES, FOLDS)
 
 
@@ -378,15 +380,9 @@ def similarity(spark, sf_dir):
 
 
 def _engine(spark, sf_dir) -> Engine:
-    return _kept_engine(spark.sparkContext.applicationId, sf_dir)
-
-
-@lru_cache(maxsize=8)
-def _kept_engine(application: str, sf_dir: str) -> Engine:
-    """An engine over the registered firms, with its count tables, for an application."""
-    spark = SparkSession.active()
+    """An engine over the registered firms, with its count tables."""
     f = firms(spark, sf_dir).withColumn("note", F.concat_ws(" ", "nation", "status", "size"))
-    return Engine(spark, {"companies": f}, {"note"})
+    return _kept("engine", spark, sf_dir, lambda: Engine(spark, {"companies": f}, {"note"}))
 
 
 def _nb_sql(columns: dict[str, str], given: dict[str, str], scope: str = "true", classes: str = _NAMES, cls: str = "cls") -> str:
