@@ -21,35 +21,67 @@ def _same(left: str, right: str, keys: list[str]) -> Column:
 def grouped_rank(df: DataFrame, by: list[str], order: list[Column], out: str, total: str | None = None) -> DataFrame:
     """df with out: each row's place from 1 in its group's order; and with total, the group's size.
 
-    Rows are dealt by range of (by, order), so that a group of any size is spread
-    over tasks. Each task numbers its part of a group, and the sizes of the parts
-    before it, a row for each task and group, are summed ahead. The dealt rows are
-    a table, so that both uses see the same ranges.
+    Rows are dealt by range of (by, order, a hash of the row), so that neither a
+    group nor a tie of any size stays in one task: only rows that are equal in
+    every column do, and a caller who has many of those adds an id. Sorted ranges
+    are stored with their running number; a row's place is that number, less the
+    first of its group's part, more the sizes of the parts before, a row for each
+    task and group.
     """
-    dealt = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
-    dealt = materialize(dealt, "ranges")
-    keys = ["_part", *by]
-    placed = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    sizes = dealt.groupBy(*keys).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*[F.col(c) for c in by])
+    keys, salt = [F.col(c) for c in by], F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")])
+    dealt = df.repartitionByRange(*keys, *order, salt).sortWithinPartitions(*keys, *order, salt)
+    dealt = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    dealt = dealt.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    names = ["_part", *by]
+    sizes = dealt.groupBy(*names).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*keys, before.alias("_before"), F.sum("_n").over(group).alias("_all"))
-    joined = placed.alias("l").join(sizes.alias("r"), _same("l", "r", keys))
+    sizes = sizes.select(*names, (before + 1 - F.col("_first")).alias("_shift"), F.sum("_n").over(group).alias("_all"))
+    joined = dealt.alias("l").join(sizes.alias("r"), _same("l", "r", names))
     extra = [F.col("r._all").alias(total)] if total else []
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._nth")).alias(out), *extra)
-
-
-def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], out: str = "q") -> DataFrame:
-    """(by..., out): the exact linear quantiles of x as an array, for each group that has any x; without `by` always one row."""
-    rows = grouped_rank(df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias(x)), by, [F.col(x)], "_rn", "_total")
-    at = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    place = F.col("_rn") - 1
-    near = reduce(Column.__or__, [(place == F.floor(a)) | (place == F.ceil(a)) for a in at])
-    ends = [f(F.when(place == g(a), F.col(x))).alias(f"_{n}{i}") for i, a in enumerate(at) for n, f, g in (("a", F.max, F.floor), ("b", F.max, F.ceil))]
-    few = rows.where(near)
-    found = few.groupBy(*by).agg(F.max("_total").alias("_total"), *ends) if by else few.agg(F.max("_total").alias("_total"), *ends)
-    value = [F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]
-    return found.select(*by, F.array(*value).alias(out))
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._at") + F.col("r._shift")).alias(out), *extra)
+
+
+#: Distinct (group, value) pairs up to which one aggregate reads a quantile off their counts.
+HISTOGRAM = 1_000_000
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], out: str = "q", limit: int = HISTOGRAM) -> DataFrame:
+    """(by..., out): the exact linear quantiles of x as an array, for each group that has any x; without `by` always one row.
+
+    Equal values of a group become one row and a count before anything is
+    shuffled, so a constant column is a row a task. Up to `limit` such rows,
+    which are counted, one aggregate reads the quantiles off the counts. Beyond,
+    the distinct values are dealt by range; the counts' sums by range tell which
+    ranges hold the wanted places, and only those are numbered.
+    """
+    held = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias(x)).agg(F.count("*").alias("_n"))
+    ask = F.array(*[F.lit(float(p)) for p in probs])
+    counts = materialize(held, "histogram")
+    if counts.count() <= limit:
+        value = F.percentile(F.col(x), ask, F.col("_n")).alias(out)
+        return counts.groupBy(*by).agg(value) if by else counts.agg(value)
+    keys = [F.col(c) for c in by]
+    dealt = materialize(counts.repartitionByRange(*keys, x).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy("_part", *by).agg(F.sum("_n").alias("_m"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_m").over(group.orderBy("_part"))
+    parts = parts.select("_part", *by, (upto - F.col("_m")).alias("_before"), upto.alias("_upto"), F.sum("_m").over(group).alias("_all"))
+    places = F.flatten(F.transform(ask, lambda p: F.array(F.floor(p * (F.col("_all") - 1)), F.ceil(p * (F.col("_all") - 1)))))
+    wanted = F.array_distinct(F.filter(places, lambda at: (at >= F.col("_before")) & (at < F.col("_upto"))))
+    parts = parts.withColumn("_at", wanted).where(F.size("_at") > 0)
+    rows = dealt.alias("l").join(parts.alias("r"), _same("l", "r", ["_part", *by])).select("l.*", "_before", "_all", "_at")
+    ends = F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy(x)) + F.col("_before")
+    rows = rows.withColumn("_end", ends).withColumn("_at", F.filter("_at", lambda at: (at >= F.col("_end") - F.col("_n")) & (at < F.col("_end"))))
+    few = rows.where(F.size("_at") > 0).groupBy(*by) if by else rows.where(F.size("_at") > 0)
+    found = few.agg(F.max("_all").alias("_all"), F.map_from_entries(F.flatten(F.collect_list(F.transform("_at", lambda at: F.struct(at, F.col(x)))))).alias("_v"))
+
+    def read(p: Column) -> Column:
+        at = p * (F.col("_all") - 1)
+        low, high = F.col("_v")[F.floor(at)], F.col("_v")[F.ceil(at)]
+        return low + (high - low) * (at - F.floor(at))
+
+    return found.select(*by, F.transform(ask, read).alias(out))
 
 
 def calibration(df: DataFrame, p: str, hit: str, key: str, bins: int = 10) -> DataFrame:
