@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.llm import bpe, byte_cnn, language_mixture, multiset_hash, ngram_trie, packing, prefix_tree, simhash, topk_search, warc
+from presage.llm import bpe, byte_cnn, language_mixture, merkle, multiset_hash, ngram_trie, packing, patricia, piece_bpe, prefix_tree, simhash, topk_search, warc
 from presage.llm.common import crc_mod, table
+from presage.llm.merkle_sql import MERKLE_SQL
+from presage.llm.patricia_sql import PATRICIA_SQL
 
 
 def op1_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,19 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_patricia_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = patricia.turn_paths(table(spark, sf_dir, "conversations"))
+    return patricia.prefix_nodes(patricia.rebuilt(paths))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_prefix_tree_chat": op1_prefix_tree_chat,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_chain": op8_warc_chain,
     "op9_byte_cnn_quality": op9_byte_cnn_quality,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_patricia_trie": op13_patricia_trie,
 }
 
 _TOPK_SQL = """
@@ -112,4 +130,4 @@ select page_id, cast(n as bigint) as payload_bytes,
 from d
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": _TOPK_SQL, "op8_warc_chain": _WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": _TOPK_SQL, "op8_warc_chain": _WARC_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_patricia_trie": PATRICIA_SQL}
