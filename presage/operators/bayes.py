@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +107,20 @@ def fit(base: DataFrame, features: list[str], classes: list[str] | None, folds:
     return Counts(rows, features, names, folds, alpha)
 
 
+def fit_stated(base: DataFrame, stated: dict[str, str], classes: list[str], alpha: float = ALPHA) -> Counts:
+    """The part of the counts of base(cls, features) that says all about one row of stated values, whatever the size of the whole.
+
+    That is each stated value's row, the classes' sizes, and how many values each feature has.
+    """
+    counts = counted(base.where(F.col("cls").isNotNull()).withColumn("fold", F.lit(None).cast("int")), list(stated))
+    told = reduce(Column.__or__, [(F.col("field") == f) & (F.col("value") == v) for f, v in stated.items()], F.col("field").isNull())
+    rows = [tuple(r) for r in counts.where(told).collect()]  # a row a class for each feature
+    model = Counts(rows, list(stated), classes, None, alpha)
+    sizes = counts.where("field is not null").select("field", "value").distinct().groupBy("field").agg(F.count("*").alias("v")).collect()
+    model.seen.update({(None, r["field"]): r["v"] for r in sizes})
+    return model
+
+
 def _scores(df: DataFrame, model: Counts, sizes: list[int]) -> DataFrame:
     """df(fold, features) with p{n} for each n of sizes: the probabilities by the first n features, as an array over classes.
 
@@ -237,11 +252,30 @@ def cross_validate_clustered(
     wide = base.select("id", "fold", "cls", *[category(F.col(t)).alias(t) for t in themes], *[c.alias(n) for n, c in pair.items()])
     model = fit(wide, [*themes, *pair], classes, folds, alpha, bound)
     if model is None:
-        raise ValueError("the clusters' count table is over the bound")
+        return _large_residual(wide, themes, {n: t for t, fields in clusters.items() for n in (f"{t}|{f}" for f in fields)}, classes, folds, beta, alpha)
     residual = _Residual(model, clusters, beta)
     return apply(wide.where(F.col("fold").isin(folds)), residual)
 
 
+def _large_residual(wide: DataFrame, themes: list[str], pairs: dict[str, str], classes: list[str], folds: list[int], beta: float, alpha: float) -> DataFrame:
+    """cross_validate_clustered where the counts stay distributed: a pair's row meets its level's row, and rows are summed by id."""
+    k = len(classes)
+    table = _log_likelihoods(wide, [*themes, *pairs], classes, folds, alpha)
+    own = F.col("field").isin(list(pairs))
+    theme_of = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    levels = table.where(~own).select("fold", F.col("field").alias("theme"), F.col("value").alias("level"), F.col("counts").alias("of"))
+    met = table.where(own).withColumns({"theme": F.element_at(theme_of, F.col("field")), "level": F.substring_index("value", "|", 1)})
+    seen = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+    some = met.where(seen > 0).groupBy("fold", "field").agg(F.count_distinct(F.expr("substring(value, length(level) + 2)")).alias("d"))
+    met = met.join(levels, ["fold", "theme", "level"], "left").join(some, ["fold", "field"], "left")
+    more = alpha * (F.coalesce("d", F.lit(0)) + 1)
+    of = F.coalesce("of", F.array_repeat(F.lit(0).cast("long"), k))
+    whole = F.ln((seen + alpha) / (F.aggregate(of, F.lit(0).cast("long"), lambda a, b: a + b) + more))
+    residual = F.transform(F.arrays_zip(F.col("counts").alias("n"), of.alias("m")), lambda x: beta * (F.ln((x["n"] + alpha) / (x["m"] + more)) - whole))
+    joint = table.where(~own).select("fold", "field", "value", "ll", "prior").unionByName(met.select("fold", "field", "value", residual.alias("ll"), "prior"))
+    return _score(wide.where(F.col("fold").isin(folds)), [*themes, *pairs], classes, joint, alpha, closed=True)
+
+
 class _Residual(Counts):
     """Counts whose paired features answer with beta times their residual."""
 

@@ -2,13 +2,14 @@
 
 A body names its table in `from` and its conditions in `where`; each query is one
 Spark plan, but for the count tables of predict and match, which the engine keeps.
-Conditions: equality; text tokens (fields named in `text_fields`); {"$gt", "$gte",
+Conditions: equality; text terms (fields named in `text_fields`, alike in every
+kind: the text has one of the stated terms, also as {"$has": ..}); {"$gt", "$gte",
 "$lt", "$lte"}; {"$or": [..]}, {"$and": [..]}, {"$not": ..}; {"$has": v}; and
 {"$on": {"prop": .., "on": ..}}, at the top or in $and, which restricts the
 population to `on`. A null satisfies neither a condition nor its negation.
 
 predict and match take each condition as evidence: an equality is its field's
-value, a text one proposition a token, a range, $or or $not one proposition that
+value, a text one proposition a term, a range, $or or $not one proposition that
 is true, and $and all of its parts. Numbers with decimals count as the decile of
 their field. With {"config": {"ai": "high"}} conditions whose fields are
 correlated are one proposition, that they hold together. `select` picks result
@@ -19,15 +20,18 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presage.functions.analysis import stated_terms, term_counts, terms
 from presage.functions.buckets import quantile_bin
 from presage.functions.text import category, keyword_signals
 from presage.operators import bayes, information, lift, ranking
+from presage.operators.count_store import snapshot_key
 
 KINDS = ("predict", "relate", "match", "similarity", "search", "evaluate")
 _COMPARE = {"$gt": Column.__gt__, "$gte": Column.__ge__, "$lt": Column.__lt__, "$lte": Column.__le__, "$has": Column.__eq__}
@@ -42,25 +46,47 @@ class QueryError(ValueError):
 
 @dataclass
 class Proposition:
-    """Evidence: a category column of the table, and the category that the query states."""
+    """Evidence: a category column of the table, and the category that the query states. holds: the column is a condition itself."""
 
     name: str
     column: Column
     value: str
+    holds: bool = False
 
+    def said(self) -> str:
+        return self.name if self.holds else f"{self.name} = {self.value}"
 
-class Engine:
-    """Queries over registered tables. text_fields: fields matched by their tokens."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], text_fields: set[str] | None = None):
-        self.spark, self.tables, self.text_fields = spark, tables, text_fields or set()
+class Engine:
+    """Queries over registered tables. text_fields: fields matched by their terms, with the analyzer of each ("english", or None for plain words).
+
+    A table is a frame, or a function that reads it, which is asked anew by each
+    query. Counts and bins are kept for as long as the files that the table reads
+    stay as they are, and only those of a table's last state.
+    """
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]], text_fields: set[str] | dict[str, str | None] | None = None):
+        self.spark, self.sources = spark, tables
+        self.text_fields = text_fields if isinstance(text_fields, dict) else dict.fromkeys(text_fields or ())
+        #: Rows of a count table that the driver takes; None: the library's bound.
+        self.bound: int | None = None
+        self.tables: dict[str, DataFrame] = {}
+        self._seen: dict[str, str] = {}
         self._models: dict[tuple, bayes.Counts | None] = {}
         self._edges: dict[tuple[str, str], list[float]] = {}
 
     def table(self, body: dict) -> DataFrame:
+        """The table as it is now; what was kept of another state of it goes."""
         name = body.get("from")
-        if name not in self.tables:
+        if name not in self.sources:
             raise QueryError(f"unknown table {name!r}")
+        source = self.sources[name]
+        df = source() if callable(source) else source
+        now = snapshot_key(df)
+        if self._seen.get(name) != now:
+            self._models = {k: v for k, v in self._models.items() if k[0] != name}
+            self._edges = {k: v for k, v in self._edges.items() if k[0] != name}
+            self.tables[name], self._seen[name] = df, now
         return self.tables[name]
 
     def _field(self, df: DataFrame, field: str) -> Column:
@@ -91,11 +117,17 @@ class Engine:
             elif isinstance(value, dict):
                 parts.append(self._operators(df, field, value))
             elif field in self.text_fields:
-                parts.append(F.size(F.array_intersect(tokens(self._field(df, field)), F.array(*[F.lit(t) for t in _words(value)]))) > 0)
+                parts.append(self._shares(df, field, value))
             else:
                 parts.append(self._field(df, field) == self._literal(df, field, value))
         return reduce(Column.__and__, parts, F.lit(True))
 
+    def _shares(self, df: DataFrame, field: str, value: object) -> Column:
+        """Whether the text has one of the stated terms; a null text does not tell."""
+        how = self.text_fields[field]
+        stated = F.array(*[F.lit(t) for t in stated_terms(value, how)]).cast("array<string>")
+        return F.arrays_overlap(terms(self._field(df, field), how), stated)
+
     def _operators(self, df: DataFrame, field: str, ops: dict) -> Column:
         parts = []
         for op, value in ops.items():
@@ -103,6 +135,8 @@ class Engine:
                 parts.append(reduce(Column.__or__, [self.condition(df, {field: v}, False) for v in value]))
             elif op == "$not":
                 parts.append(~self.condition(df, {field: value}, False))
+            elif op == "$has" and field in self.text_fields:
+                parts.append(self._shares(df, field, value))
             elif op in _COMPARE:
                 parts.append(_COMPARE[op](self._field(df, field), self._literal(df, field, value)))
             else:
@@ -111,12 +145,18 @@ class Engine:
 
     def population(self, df: DataFrame, where: dict) -> DataFrame:
         """df restricted by the `on` part of $on conditions."""
-        if "$on" in where and "on" in where["$on"]:
-            df = df.where(self.condition(df, where["$on"]["on"]))
-        for part in where.get("$and", []):
-            df = self.population(df, part)
+        for on in self._restrictions(where):
+            df = df.where(self.condition(df, on))
         return df
 
+    def _restrictions(self, where: dict) -> list[dict]:
+        """The `on` parts of a clause, from any depth of $and and of $on's own prop."""
+        own = where.get("$on", {})
+        out = [own["on"]] if "on" in own else []
+        for part in [*([own["prop"]] if own.get("prop") else []), *where.get("$and", [])]:
+            out += self._restrictions(part)
+        return out
+
     def _decimal(self, df: DataFrame, field: str) -> bool:
         kind = df.schema[field].dataType.simpleString() if field in df.columns else ""
         return kind in ("double", "float") or kind.startswith("decimal") and not kind.endswith(",0)")
@@ -134,7 +174,7 @@ class Engine:
         df, out = self.tables[name], []
 
         def holds(label: str, condition: Column) -> Proposition:
-            return Proposition(label, condition.cast("string"), "true")
+            return Proposition(label, condition.cast("string"), "true", True)
 
         for field, value in where.items():
             if field == "$and":
@@ -149,7 +189,8 @@ class Engine:
                 out.append(holds(json.dumps({field: value}, sort_keys=True), self._operators(df, field, value)))
             elif field in self.text_fields:
                 given = value["$has"] if isinstance(value, dict) else value
-                out += [holds(f"{field} has {t}", F.array_contains(tokens(self._field(df, field)), t)) for t in _words(given)]
+                found = terms(self._field(df, field), self.text_fields[field])
+                out += [holds(f"{field} has {t}", F.array_contains(found, t)) for t in stated_terms(given, self.text_fields[field])]
             else:
                 literal = self._literal(df, field, value["$has"] if isinstance(value, dict) else value)
                 column = F.col(field)
@@ -167,7 +208,7 @@ class Engine:
         for cluster in information.cluster_features(wide, wide.columns):
             own = [given[int(c[1:])] for c in cluster]
             all_ = reduce(Column.__and__, [p.column == p.value for p in own])
-            out.append(own[0] if len(own) == 1 else Proposition(" and ".join(f"{p.name} = {p.value}" for p in own), all_.cast("string"), "true"))
+            out.append(own[0] if len(own) == 1 else Proposition(" and ".join(p.said() for p in own), all_.cast("string"), "true", True))
         return out
 
     def run(self, kind: str, body: dict) -> DataFrame:
@@ -201,17 +242,14 @@ class Engine:
         given = self.propositions(name, where)
         if body.get("config", {}).get("ai") == "high" and len(given) > 1:
             given = self._grouped(known, given)
-        scope = json.dumps([w.get("$on", {}).get("on") for w in (where, *where.get("$and", []))], sort_keys=True)
+        scope = json.dumps(self._restrictions(where), sort_keys=True)
         asked = (name, target, scope, *[p.name for p in given])
         columns = [p.column.alias(f"x{i}") for i, p in enumerate(given)]
         if asked not in self._models:
-            self._models[asked] = bayes.fit(known.select("cls", *columns), [f"x{i}" for i in range(len(given))], None)
+            self._models[asked] = bayes.fit(known.select("cls", *columns), [f"x{i}" for i in range(len(given))], None, bound=self.bound)
         model = self._models[asked]
-        if model is None:  # a count table too large for the driver
-            classes = self.classes(df, target)
-            row = self.spark.range(1).select("id", F.lit(None).cast("string").alias("cls"), *[F.lit(p.value).alias(f"x{i}") for i, p in enumerate(given)])
-            scored = bayes.predict(known.select("cls", *columns), row, [f"x{i}" for i in range(len(given))], classes)
-            return bayes.long(scored, classes).select(F.col("c").alias("feature"), "p").orderBy(F.desc("p"), "feature")
+        if model is None:  # a count table too large for the driver: only what the stated values need
+            model = bayes.fit_stated(known.select("cls", *columns), {f"x{i}": p.value for i, p in enumerate(given)}, self.classes(df, target))
         return self.spark.createDataFrame(_predicted(model, given), f"feature string, p double, why {_WHY}").orderBy(F.desc("p"), "feature").drop(
             *([] if "$why" in body.get("select", []) else ["why"])
         )
@@ -220,7 +258,7 @@ class Engine:
         """(feature, p) of the target for a text: its keyword signals that say something are the given fields."""
         if len(text) < least:
             raise QueryError(f"a text has at least {least} characters")
-        fields = [c for c in keyword_signals(F.lit("")) if c in self.tables[name].columns]
+        fields = [c for c in keyword_signals(F.lit("")) if c in self.table({"from": name}).columns]
         signals = self.spark.range(1).select(*[keyword_signals(F.lit(text))[c].alias(c) for c in fields]).first().asDict()
         where = {k: v for k, v in signals.items() if v not in ("not_stated", "none")}
         return self.predict({"from": name, "where": where, "predict": target})
@@ -257,14 +295,42 @@ class Engine:
         weights = [math.log(counts["n"] / counts[f"c{i}"]) if counts[f"c{i}"] else 0.0 for i in range(len(given))]
         return sum((F.when(p.column == p.value, F.lit(w)).otherwise(0.0) for p, w in zip(given, weights)), F.lit(0.0))
 
+    def _bm25(self, df: DataFrame, where: dict, k1: float = 1.2, b: float = 0.75) -> Column:
+        """The sum of the BM25 scores of the top-level text conditions; statistics are those of all rows whose text is known."""
+        score = F.lit(0.0)
+        for field, value in where.items():
+            if field not in self.text_fields:
+                continue
+            wanted = stated_terms(value["$has"] if isinstance(value, dict) and set(value) == {"$has"} else value, self.text_fields[field])
+            if not wanted:
+                continue
+            size, counts = term_counts(F.col(field), wanted, self.text_fields[field])
+            has = [F.count(F.when(F.col("_c")[i] > 0, 1)).alias(f"d{i}") for i in range(len(wanted))]
+            known = df.where(F.col(field).isNotNull()).select(size.alias("_s"), counts.alias("_c"))
+            facts = known.agg(F.count("*").alias("n"), F.avg("_s").alias("mean"), *has).first()  # one row
+            rare = [math.log(1 + (facts["n"] - facts[f"d{i}"] + 0.5) / (facts[f"d{i}"] + 0.5)) for i in range(len(wanted))]
+            weight = F.array(*[F.lit(x) for x in rare])
+            norm = k1 * (1 - b + b * size / F.lit(facts["mean"] or 1.0))
+            each = F.zip_with(counts, weight, lambda n, w: w * n * (k1 + 1) / (n + norm))
+            score = score + F.coalesce(F.aggregate(each, F.lit(0.0), lambda x, y: x + y), F.lit(0.0))
+        return score
+
     def search(self, body: dict) -> DataFrame:
-        """Rows under where, by orderBy: a field, {field: "desc"}, {"field": f, "desc": true}, "$similarity", or a list of those."""
+        """Rows under where, by orderBy: a field, {field: "desc"}, {"field": f, "desc": true}, "$similarity", "$bm25", or a list of those.
+
+        $bm25 ranks by the text conditions of where: how often a text has the stated
+        terms, its length, and how few texts have them. $similarity sums ln(N / its
+        rows) over the propositions that a row satisfies.
+        """
         df, where = self.table(body), body.get("where", {})
         out, keys, order = df.where(self.condition(df, where)), [], body.get("orderBy") or []
         for f in [order] if isinstance(order, (str, dict)) else order:
             if f == "$similarity":
                 out = out.withColumn("score", self._relevance(body["from"], where))
                 keys.append(F.desc(F.round("score", 9)))
+            elif f == "$bm25":
+                out = out.withColumn("score", self._bm25(df, where))
+                keys.append(F.desc(F.round("score", 9)))
             elif isinstance(f, dict) and "field" in f:
                 keys.append(F.desc(f["field"]) if f.get("desc") else F.asc(f["field"]))
             else:
@@ -302,14 +368,25 @@ def _predicted(model: bayes.Counts, given: list[Proposition]) -> list[tuple]:
         seen = sum(model.values.get((None, f"x{i}", p.value), [0]))
         shares.append(math.log(seen / n) if seen else math.log(model.alpha / (n + model.alpha * (model.seen[None, f"x{i}"] + 1))))
     for c, name in enumerate(model.classes):
-        lifts = sorted(((p.name, p.value, x[c] - s) for p, x, s in zip(given, parts, shares)), key=lambda y: (-round(abs(y[2]), 9), y[0]))
+        lifts = sorted(((p.name, p.said(), x[c] - s) for p, x, s in zip(given, parts, shares)), key=lambda y: (-round(abs(y[2]), 9), y[0]))
         factors = [("baseP", None, math.exp(prior[c]))]
-        factors += [("relatedPropositionLift", a if v == "true" else f"{a} = {v}", math.exp(x)) for a, v, x in lifts]
+        factors += [("relatedPropositionLift", said, math.exp(x)) for _, said, x in lifts]
         factors.append(("normalizer", None, math.exp(sum(shares) - top) / whole))
         out.append((name, math.exp(sums[c] - top) / whole, factors))
     return out
 
 
+def predicted(spark: SparkSession, model: bayes.Counts, stated: dict[str, str]) -> DataFrame:
+    """(feature, p) of stated values under a model's counts."""
+    renamed = bayes.Counts.__new__(bayes.Counts)
+    renamed.__dict__.update(model.__dict__)
+    places = {f: f"x{i}" for i, f in enumerate(stated)}
+    renamed.values = {(k, places.get(f, f), v): n for (k, f, v), n in model.values.items()}
+    renamed.seen = {(k, places.get(f, f)): n for (k, f), n in model.seen.items()}
+    given = [Proposition(f, F.lit(v), v) for f, v in stated.items()]
+    return spark.createDataFrame(_predicted(renamed, given), f"feature string, p double, why {_WHY}").select("feature", "p")
+
+
 class Gateway:
     """The checked way in for others' bodies: one table, four kinds, and a status with each answer."""
 
@@ -328,15 +405,6 @@ class Gateway:
             return 422, str(e)
 
 
-def _words(value: object) -> list[str]:
-    return [w for w in str(value).lower().split() if w]
-
-
-def tokens(text: Column) -> Column:
-    """Lower-case words of letters."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: t != "")
-
-
 def response(hits: DataFrame, value: str, p: str, classes: list[str]) -> DataFrame:
     """Hits in fixed class order, 0 where a class is missing."""
     grid = hits.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in classes])).alias("place", "feature"))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presage.functions.analysis import stated_terms, terms_sql
 from presage.operators import bayes, information, lift, ranking
-from presage.plans.core import CLASSES, FEATURES, FIRMS_SQL, FOLDS, LONG_SQL, PRESENT_SQL, firms, query, rounded
-from presage.plans.facade import Engine, Gateway, response
+from presage.operators.count_store import CountStore, fitted
+from presage.operators.staging import new_path
+from presage.plans.core import CLASSES, FEATURES, FIRMS_SQL, FOLDS, LONG_SQL, PRESENT_SQL, firms, query, rounded, table
+from presage.plans.facade import Engine, Gateway, predicted, response
+from presage.sources import sinks
 
 _NAMES = "['" + "', '".join(CLASSES) + "']"
 
@@ -32,21 +36,8 @@ _JUDGED_SQL = f"""{_CV_SQL}, j as (select id, cls, cast(cls[1] as int) - 1 as t,
   sum(p) filter (where r <= 1) as good, sum(power(p - (c = cls)::int, 2)) as b from p group by all)"""
 
 
-#: What is kept for an application and a folder of tables, as an engine keeps its tables' counts.
-_KEPT: dict[tuple[str, str, str], object] = {}
-
-
-def _kept(what: str, spark, sf_dir: str, make):
-    key = (what, spark.sparkContext.applicationId, sf_dir)
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
 def _scored(spark, sf_dir):
-    f = firms(spark, sf_dir)
-    model = _kept("counts", spark, sf_dir, lambda: bayes.fit(f, FEATURES, CLASSES, FOLDS))
-    return bayes.apply(f, model) if model else bayes.cross_validate(f, FEATURES, CLASSES, FOLDS)
+    return bayes.cross_validate(firms(spark, sf_dir), FEATURES, CLASSES, FOLDS)
 
 
 @query("nb_cv", f"with {_CV_SQL} select id, c, round(p, 6) as p from p")
@@ -380,9 +371,8 @@ def similarity(spark, sf_dir):
 
 
 def _engine(spark, sf_dir) -> Engine:
-    """An engine over the registered firms, with its count tables."""
-    f = firms(spark, sf_dir).withColumn("note", F.concat_ws(" ", "nation", "status", "size"))
-    return _kept("engine", spark, sf_dir, lambda: Engine(spark, {"companies": f}, {"note"}))
+    """An engine over the firms, which it reads anew for each query."""
+    return Engine(spark, {"companies": lambda: firms(spark, sf_dir).withColumn("note", F.concat_ws(" ", "nation", "status", "size"))}, {"note"})
 
 
 def _nb_sql(columns: dict[str, str], given: dict[str, str], scope: str = "true", classes: str = _NAMES, cls: str = "cls") -> str:
@@ -498,6 +488,46 @@ def query_search_similarity(spark, sf_dir):
     return rounded(_engine(spark, sf_dir).run("search", body), "score")
 
 
+_ASKED = "Stndeas of the reing, thatndou?"
+_BM25_SQL = " + ".join(
+    f"w{i} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i in range(len(stated_terms(_ASKED, "english")))
+)
+
+
+@query(
+    "query_search_ranked",
+    f"""with d as (select doc_id, {terms_sql("text", "english")} as t from documents where text is not null),
+        c as (select doc_id, len(t) as size, {", ".join(f"len(list_filter(t, lambda x: x = '{w}')) as f{i}" for i, w in enumerate(stated_terms(_ASKED, "english")))} from d),
+        m as (select avg(size) as mean, {", ".join(f"ln(1 + (count(*) - count(*) filter (where f{i} > 0) + 0.5) / (count(*) filter (where f{i} > 0) + 0.5)) as w{i}" for i in range(len(stated_terms(_ASKED, "english"))))} from c),
+        s as (select doc_id, {_BM25_SQL} as score from c, m where {" or ".join(f"f{i} > 0" for i in range(len(stated_terms(_ASKED, "english"))))})
+        select doc_id, round(score, 6) as score from s order by round(score, 9) desc, doc_id limit 100""",
+)
+def query_search_ranked(spark, sf_dir):
+    """Whole documents ranked by BM25 under the English analyzer, which takes the question's and the texts' words alike."""
+    engine = Engine(spark, {"documents": lambda: table(spark, sf_dir, "documents")}, {"text": "english"})
+    body = {"from": "documents", "where": {"text": _ASKED}, "orderBy": "$bm25", "ties": ["doc_id"], "select": ["doc_id", "$score"], "limit": 100}
+    return rounded(engine.run("search", body), "score")
+
+
+@query(
+    "counts_appended",
+    f"""with {_nb_sql({"region": "region", "size": "size"}, {"region": "ASIA", "size": "large"})} select feature, round(p, 6) as p from r""",
+)
+def counts_appended(spark, sf_dir):
+    """A prediction from kept counts of a table that was loaded in two steps: only the second step's files are counted after it."""
+    f, path, fields = firms(spark, sf_dir), new_path(spark, "companies"), ["region", "size"]
+    store = CountStore(spark, new_path(spark, "counts"))
+    view = lambda df: df.select(F.lit(None).cast("int").alias("fold"), "cls", *fields)
+    early = F.col("vintage") < 1996
+    sinks.refresh(f.where(early), path)
+    store.counts("companies", path, view, fields)
+    sinks.append_new(f.where(~early), path, ["id"])
+    counts = store.counts("companies", path, view, fields)
+    if store.did != "new":
+        raise AssertionError("the whole table was counted anew")
+    return rounded(predicted(spark, fitted(counts, fields), {"region": "ASIA", "size": "large"}), "p")
+
+
 @query(
     "query_on_scope",
     f"""with {_nb_sql({"size": "size"}, {"size": "large"}, "status = 'F'")} select feature, round(p, 6) as p from r""",

@@ -62,8 +62,8 @@ def insert_rows(df: DataFrame, name: str) -> None:
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     """Appends the rows whose keys the table lacks."""
-    df.sparkSession.read.schema(df.schema).parquet(path).createOrReplaceTempView("_done")
-    resume(df, df.sparkSession.table("_done"), keys).select(*df.columns).write.mode("append").parquet(path)
+    done = df.sparkSession.read.schema(df.schema).parquet(path)
+    resume(df, done, keys).select(*df.columns).write.mode("append").parquet(path)
 
 
 def pending(spark: SparkSession, schema: str, missing: list[str] | None = None) -> DataFrame:
