@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from presage.functions.buckets import verdict
 from presage.operators.ranking import quantiles
 from presage.operators.staging import materialize
+from presage.operators.timeline import is_hot, running, shifted
 
 HORIZONS = (1, 5, 20, 252)
 
@@ -17,47 +18,66 @@ def percent(later: Column, earlier: Column) -> Column:
     return F.when(earlier > 0, (later / earlier - 1) * 100)
 
 
-def reactions(prices: DataFrame, events: DataFrame, key: str, ts: str, close: str, event_ts: str, horizons: tuple[int, ...] = HORIZONS, tie: str | None = None) -> DataFrame:
+def reactions(
+    prices: DataFrame, events: DataFrame, key: str, ts: str, close: str, event_ts: str, horizons: tuple[int, ...] = HORIZONS, tie: str | None = None, limit: int | None = None
+) -> DataFrame:
     """events with r_k: the close k rows after the first one at or after the event, against the last close before it.
 
     An event without an earlier close, or with one of 0 or less, gives no row.
     Each price row carries the closes ahead of it; an event finds its row by one
-    pass over the key's merged timeline. Prices of one time are in order of tie.
+    pass over the key's merged timeline. A key of over `limit` rows is spread.
+    Prices of one time are in order of tie.
     """
-    w = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))
+    order, hot = [F.col(ts), *([F.col(tie)] if tie else [])], is_hot(prices, [key], limit)
     prices = prices.withColumn("_tie", F.col(tie) if tie else F.lit(0))
-    ahead = prices.select(key, F.col(ts).alias("_ts"), "_tie", F.struct(F.lag(close).over(w).alias("anchor"), *[F.lead(close, h).over(w).alias(f"c{h}") for h in horizons]).alias("_p"))
+    near = shifted(prices, [key], order, {"_anchor": (F.col(close), -1)} | {f"_c{h}": (F.col(close), h) for h in horizons}, hot)
+    ahead = near.select(key, F.col(ts).alias("_ts"), "_tie", F.struct(F.col("_anchor").alias("anchor"), *[F.col(f"_c{h}").alias(f"c{h}") for h in horizons]).alias("_p"))
     extra = [c for c in events.columns if c != key]
     # First price row at or after the event: the first one behind it on the timeline, prices after events of the same time.
     both = ahead.select(key, "_ts", "_tie", F.lit(1).alias("_side"), "_p", F.lit(None).cast(events.select(F.struct(*extra)).schema[0].dataType).alias("_e")).unionByName(
         events.select(key, F.col(event_ts).alias("_ts"), F.lit(None).cast(ahead.schema["_tie"].dataType).alias("_tie"), F.lit(0).alias("_side"), F.lit(None).cast(ahead.schema["_p"].dataType).alias("_p"), F.struct(*extra).alias("_e"))
     )
     # Backwards, so that the frame only grows: a frame that shrinks from the front is computed anew for every row.
-    line = Window.partitionBy(key).orderBy(F.desc("_ts"), F.desc("_side"), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_f", F.last("_p", ignorenulls=True).over(line)).where("_side = 0 and _f.anchor > 0")
+    back = [F.desc("_ts"), F.desc("_side"), F.desc("_tie")]
+    found = running(both, [key], back, {"_f": ("last", F.col("_p"))}, hot or is_hot(events, [key], limit)).where("_side = 0 and _f.anchor > 0")
     return found.select(key, "_e.*", *[percent(F.col(f"_f.c{h}"), F.col("_f.anchor")).alias(f"r_{h}") for h in horizons])
 
 
-def momentum_volatility(prices: DataFrame, key: str, ts: str, close: str, window: int = 252, least: int = 30) -> DataFrame:
-    """Per row: percent change over the window's closes, and yearly volatility of its daily log returns, where there are enough."""
-    w = Window.partitionBy(key).orderBy(ts)
-    trail = w.rowsBetween(-(window - 1), 0)
-    returns = prices.withColumns({"_r": F.when((F.col(close) > 0) & (F.lag(close).over(w) > 0), F.ln(F.col(close) / F.lag(close).over(w))), "_n": F.count("*").over(trail)})
-    first = F.first(close).over(trail)
-    return returns.select(
+def momentum_volatility(prices: DataFrame, key: str, ts: str, close: str, window: int = 252, least: int = 30, limit: int | None = None) -> DataFrame:
+    """Per row: percent change over the window's closes, and yearly volatility of its daily log returns, where there are enough.
+
+    Sums over a window are differences of running sums, so the work is linear in
+    the rows, whatever the window. The returns are centred on their key's mean
+    first, which keeps the sums of squares small.
+    """
+    hot, order, c = is_hot(prices, [key], limit), [F.col(ts)], F.col(close)
+    rows = shifted(prices.select(key, ts, close), [key], order, {"_past": (c, -1)}, hot)
+    rows = rows.withColumn("_r", F.when((c > 0) & (F.col("_past") > 0), F.ln(c / F.col("_past"))))
+    if hot:
+        means = rows.groupBy(key).agg(F.avg("_r").alias("_mean"))
+        rows = rows.alias("l").join(means.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))).select("l.*", "_mean")
+    else:
+        rows = rows.withColumn("_mean", F.avg("_r").over(Window.partitionBy(key)))
+    x = F.col("_r") - F.col("_mean")
+    sums = {"_n": ("sum", F.lit(1)), "_k": ("sum", F.col("_r").isNotNull().cast("long")), "_s": ("sum", F.coalesce(x, F.lit(0.0))), "_q": ("sum", F.coalesce(x * x, F.lit(0.0)))}
+    rows = running(rows, [key], order, sums, hot)
+    then = shifted(rows, [key], order, {"_close": (F.struct(c.alias("v")), -(window - 1)), "_then": (F.struct("_k", "_s", "_q"), -(window - 1))}, hot)
+    opening = F.when(F.col("_n") == 1, F.struct(c.alias("v")))
+    then = running(then, [key], order, {"_open": ("last", opening)}, hot)
+    k, s, q = (F.col(n) - F.coalesce(F.col(f"_then.{n}"), F.lit(0)) for n in ("_k", "_s", "_q"))
+    spread = F.sqrt(F.greatest((q - s * s / k) / (k - 1), F.lit(0.0)))
+    return then.select(
         key, ts,
-        F.when(F.col("_n") >= least, percent(F.col(close), first)).alias("momentum"),
-        F.when(F.count("_r").over(w.rowsBetween(-(window - 2), 0)) > 20, F.stddev_samp("_r").over(w.rowsBetween(-(window - 2), 0)) * F.sqrt(F.lit(252.0)) * 100).alias("volatility"),
+        F.when(F.col("_n") >= least, percent(c, F.coalesce("_close", "_open")["v"])).alias("momentum"),
+        F.when(k > 20, spread * F.sqrt(F.lit(252.0)) * 100).alias("volatility"),
     )
 
 
-def forward_return(prices: DataFrame, key: str, ts: str, close: str, days: int = 20, back: int = 60) -> DataFrame:
+def forward_return(prices: DataFrame, key: str, ts: str, close: str, days: int = 20, back: int = 60, limit: int | None = None) -> DataFrame:
     """Per row as the first at or after an event: the return from the next close over `days`, and the momentum of `back` earlier closes; null without enough rows."""
-    w = Window.partitionBy(key).orderBy(ts)
-    return prices.select(
-        key, ts, percent(F.lead(close, days + 1).over(w), F.lead(close, 1).over(w)).alias("forward"),
-        percent(F.lag(close, 1).over(w), F.lag(close, back).over(w)).alias("momentum"),
-    )
+    c = F.col(close)
+    near = shifted(prices.select(key, ts, close), [key], [F.col(ts)], {"_a": (c, days + 1), "_b": (c, 1), "_c": (c, -1), "_d": (c, -back)}, is_hot(prices, [key], limit))
+    return near.select(key, ts, percent(F.col("_a"), F.col("_b")).alias("forward"), percent(F.col("_c"), F.col("_d")).alias("momentum"))
 
 
 def theme_stats(events: DataFrame, theme: str, r1: str, r20: str, r252: str, least: int = 30) -> DataFrame:

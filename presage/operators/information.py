@@ -12,6 +12,7 @@ from presage.functions.buckets import level
 from presage.functions.text import category
 from presage.operators.lift import unpivot
 from presage.operators.ranking import quantiles
+from presage.operators.staging import materialize
 
 
 def mutual_information(df: DataFrame, features: list[str]) -> DataFrame:
@@ -83,26 +84,30 @@ def theme_encode(base: DataFrame, clusters: dict[str, list[str]], rank: str, fol
     A value's score is the mean outcome rank of its training rows (other folds
     than the row's own if folds are given); a theme is the mean over its
     features; levels cut it at the training themes' quantiles.
+
+    Rows with the same values of a cluster share its score, so scores and quantiles
+    are made of the distinct values and their counts by fold; rows are read to count
+    them and to look their own up.
     """
-    fields = [f for c in clusters.values() for f in c]
-    of = F.create_map(*[F.lit(x) for name, c in clusters.items() for f in c for x in (f, name)])
-    u = unpivot(base.withColumn("_rank", F.col(rank).cast("double")), ["id", "fold", "_rank"], fields, missing=True)
+    spark = base.sparkSession
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("theme"), F.array(*[category(F.col(f)) for f in fields]).alias("values")) for t, fields in clusters.items()]))
+    rows = base.select("id", "fold", F.col(rank).cast("double").alias("_rank"), each.alias("_t")).select("id", "fold", "_rank", "_t.*")
+    cells = materialize(rows.groupBy("fold", "theme", "values").agg(F.count("*").alias("n"), F.sum("_rank").alias("s"), F.count("_rank").alias("m")), "cells")
+    single = cells.select("fold", "theme", F.posexplode("values").alias("place", "value"), "s", "m")
+    own = single.groupBy("fold", "theme", "place", "value").agg(F.sum("s").alias("s"), F.sum("m").alias("m"))
+    total = own.groupBy("theme", "place", "value").agg(F.sum("s").alias("ts"), F.sum("m").alias("tm"))
+    models = spark.createDataFrame([(f,) for f in (folds if folds is not None else [-1])], "model int")
+    keys = ["model", "theme", "place", "value"]
+    known = total.crossJoin(F.broadcast(models)).join(own.withColumnRenamed("fold", "model"), keys, "left")  # a row a fold
+    means = known.select(*keys, F.try_divide(F.coalesce("ts", F.lit(0.0)) - F.coalesce("s", F.lit(0.0)), F.col("tm") - F.coalesce("m", F.lit(0))).alias("mean"))
+    distinct = cells.select("theme", "values").distinct().select("theme", "values", F.posexplode("values").alias("place", "value"))
+    raw = materialize(distinct.join(means, ["theme", "place", "value"]).groupBy("model", "theme", "values").agg(F.avg("mean").alias("raw")), "scores")
+    train = cells.select("fold", "theme", "values", "n").join(raw, ["theme", "values"])
+    edges = quantiles(train if folds is None else train.where("fold <> model"), ["model", "theme"], "raw", [i / levels for i in range(1, levels)], "edges", weight="n")
+    table = raw.join(edges, ["model", "theme"]).select("model", "theme", "values", "raw", level(F.col("raw"), F.col("edges")).alias("level"))
     if folds is None:
-        means = u.groupBy("field", "value").agg(F.avg("_rank").alias("m"))
-        scored = u.withColumn("model", F.lit(-1)).join(means, ["field", "value"])
-    else:
-        own = u.groupBy("fold", "field", "value").agg(F.sum("_rank").alias("s"), F.count("_rank").alias("n"))
-        total = own.groupBy("field", "value").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-        models = total.withColumn("model", F.explode(F.array(*[F.lit(f) for f in folds])))
-        means = models.join(own.withColumnRenamed("fold", "model"), ["model", "field", "value"], "left").select(
-            "model", "field", "value", F.try_divide(F.col("ts") - F.coalesce("s", F.lit(0.0)), F.col("tn") - F.coalesce("n", F.lit(0))).alias("m")
-        )
-        scored = u.join(means, ["field", "value"])
-    raw = scored.groupBy("model", "id", "fold", F.element_at(of, F.col("field")).alias("theme")).agg(F.avg("m").alias("raw"))
-    train = raw if folds is None else raw.where("fold <> model")
-    edges = quantiles(train, ["model", "theme"], "raw", [i / levels for i in range(1, levels)], "edges")
-    out = raw if folds is None else raw.where("fold = model")
-    return out.join(edges, ["model", "theme"]).select("id", "fold", "theme", "raw", level(F.col("raw"), F.col("edges")).alias("level"))
+        return rows.join(table, ["theme", "values"]).select("id", "fold", "theme", "raw", "level")
+    return rows.join(table.withColumnRenamed("model", "fold"), ["fold", "theme", "values"]).select("id", "fold", "theme", "raw", "level")
 
 
 def redundant_pairs(df: DataFrame, features: list[str], k: int = 12) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from presage.functions.buckets import bucket
 from presage.functions.finance import cagr_from_total_return
+from presage.operators.timeline import is_hot, running
 
 
 def left_merge(base: DataFrame, others: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -65,12 +66,12 @@ def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, key: str, cutoff: str, ts: str, value: str, tie: str, strict: bool = True) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, key: str, cutoff: str, ts: str, value: str, tie: str, strict: bool = True, limit: int | None = None) -> DataFrame:
     """left with `value` and `ts` of the key's latest right row before the cutoff (null if none).
 
     Both sides are one timeline per key, over which the last right row is carried
-    on: one shuffle and a sort, linear in the rows of a key. Of rows with equal ts
-    the one with the greatest tie counts.
+    on: linear in the rows of a key, which is spread over tasks if it has more than
+    `limit`. Of rows with equal ts the one with the greatest tie counts.
     """
     extra = [c for c in left.columns if c not in (key, cutoff)]
     last = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("value"))
@@ -84,17 +85,18 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, cutoff: str, ts:
         F.col(key), F.col(cutoff).alias("_at"), F.lit(0 if strict else 1).alias("_side"), none.cast(right.schema[tie].dataType).alias("_tie"),
         none.cast(r.schema["_right"].dataType).alias("_right"), *extra,
     )
-    line = Window.partitionBy(key).orderBy("_at", "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     both = r.withColumn("_left", F.lit(False)).unionByName(lft.withColumn("_left", F.lit(True)))
-    seen = both.withColumn("_last", F.last("_right", ignorenulls=True).over(line)).where("_left")
+    order = [F.col("_at"), F.col("_side"), F.col("_tie").asc_nulls_first()]
+    seen = running(both, [key], order, {"_last": ("last", F.col("_right"))}, is_hot(both, [key], limit)).where("_left")
     return seen.select(key, F.col("_at").alias(cutoff), *extra, F.col("_last.ts").alias(ts), F.col("_last.value").alias(value))
 
 
-def asof_by(left: DataFrame, right: DataFrame, keys: list[str], cutoff: str, filed: str, order: str, value: str) -> DataFrame:
+def asof_by(left: DataFrame, right: DataFrame, keys: list[str], cutoff: str, filed: str, order: str, value: str, limit: int | None = None) -> DataFrame:
     """left with `order` and `value` of the key's right row filed before the cutoff of greatest order; of equals, the earliest filed.
 
-    A running maximum over the keys' merged timeline, linear in its rows. Every
-    left row comes back once, repeated ones and those with nulls included.
+    A running maximum over the keys' merged timeline, linear in its rows and spread
+    over tasks beyond `limit` of them. Every left row comes back once, repeated ones
+    and those with nulls included.
     """
     extra = [c for c in left.columns if c not in (*keys, cutoff)]
     early = -F.unix_micros(F.col(filed).cast("timestamp"))
@@ -105,8 +107,7 @@ def asof_by(left: DataFrame, right: DataFrame, keys: list[str], cutoff: str, fil
     both = r.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in extra]).unionByName(
         left.select(*keys, F.col(cutoff).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(r.schema["_own"].dataType).alias("_own"), *extra)
     )
-    line = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_best", F.max("_own").over(line)).where("_side = 0")
+    seen = running(both, keys, [F.col("_at"), F.col("_side")], {"_best": ("max", F.col("_own"))}, is_hot(both, keys, limit)).where("_side = 0")
     known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]) & F.col("_at").isNotNull()  # a null key or cutoff matches nothing
     best = F.when(known, F.col("_best"))
     return seen.select(*keys, F.col("_at").alias(cutoff), *extra, best["order"].alias(order), best["value"].alias(value)).select(*left.columns, order, value)
@@ -118,16 +119,16 @@ def first_filed(points: DataFrame, keys: list[str], end: str, filed: str) -> Dat
     return points.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def periods_back(left: DataFrame, points: DataFrame, keys: list[str], cutoff: str, filed: str, end: str, value: str, n: int) -> DataFrame:
+def periods_back(left: DataFrame, points: DataFrame, keys: list[str], cutoff: str, filed: str, end: str, value: str, n: int, limit: int | None = None) -> DataFrame:
     """left with the value whose end-year is n before the latest known end-year, as of the cutoff.
 
     Two running maxima: the latest known year, then the greatest end of the year
     that is asked for (of equals, the earliest filed).
     """
     years = points.withColumns({"_year": F.year(end), "_end": F.col(end)})
-    latest = asof_by(left, years.withColumn("_none", F.lit(0)), keys, cutoff, filed, "_year", "_none").drop("_none")
+    latest = asof_by(left, years.withColumn("_none", F.lit(0)), keys, cutoff, filed, "_year", "_none", limit).drop("_none")
     asked = latest.withColumn("_year", F.col("_year") - n)
-    return asof_by(asked, years, [*keys, "_year"], cutoff, filed, "_end", value).select(*left.columns, value)
+    return asof_by(asked, years, [*keys, "_year"], cutoff, filed, "_end", value, limit).select(*left.columns, value)
 
 
 def first_known(columns: list[Column]) -> Column:

@@ -46,16 +46,18 @@ def grouped_rank(df: DataFrame, by: list[str], order: list[Column], out: str, to
 HISTOGRAM = 1_000_000
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], out: str = "q", limit: int = HISTOGRAM) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], out: str = "q", limit: int = HISTOGRAM, weight: str | None = None) -> DataFrame:
     """(by..., out): the exact linear quantiles of x as an array, for each group that has any x; without `by` always one row.
 
     Equal values of a group become one row and a count before anything is
     shuffled, so a constant column is a row a task. Up to `limit` such rows,
     which are counted, one aggregate reads the quantiles off the counts. Beyond,
     the distinct values are dealt by range; the counts' sums by range tell which
-    ranges hold the wanted places, and only those are numbered.
+    ranges hold the wanted places, and only those are numbered. weight: a column
+    that says how many rows a row stands for.
     """
-    held = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias(x)).agg(F.count("*").alias("_n"))
+    size = F.sum(weight) if weight else F.count("*")
+    held = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias(x)).agg(size.alias("_n"))
     ask = F.array(*[F.lit(float(p)) for p in probs])
     counts = materialize(held, "histogram")
     if counts.count() <= limit:
