@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presage.functions.buckets import equal_count_bin, equal_width_bin, quantile_bin
-from presage.operators.lift import unpivot
 from presage.operators.staging import materialize
 
 
@@ -160,33 +159,61 @@ def beats(funds: DataFrame) -> DataFrame:
     return funds.agg(F.count("*").alias("groups"), F.avg((F.col("excess") > 0).cast("double")).alias("share_beating"))
 
 
-def similar(df: DataFrame, focal: DataFrame, key: str, fields: list[str], k: int = 6, outcome: str | None = None) -> DataFrame:
+#: Tuples of each posting list that are scored first, to learn what a row must reach.
+HEAD = 32
+_SLACK = 1e-9
+
+
+def similar(df: DataFrame, focal: DataFrame, key: str, fields: list[str], k: int = 6, outcome: str | None = None, head: int = HEAD) -> DataFrame:
     """(focal, key, score, rank): for each focal row the k rows that share most, a shared value counting ln(N / its rows).
 
     The focal row itself, and rows without an outcome if one is named, are left
     out before the k are taken. Rows of the same values score alike, so what is
-    compared are the distinct tuples of values: each brings its k + 1 first keys,
-    each focal tuple takes the k + 1 best of those, and a focal row drops itself.
-    Rows that share nothing have no score and are not reported.
+    compared are the distinct tuples of values, each of which brings its k + 1
+    first keys. Rows that share nothing have no score and are not reported.
+
+    A threshold search: a focal tuple first scores the first `head` tuples of
+    each of its values' lists; the (k + 1)-th best of those is what any other must
+    reach. With its values in order of weight, a tuple whose first shared value is
+    the i-th can reach the sum of the weights from i on at most, so only lists up to
+    where that falls below are read: those of rare values, which are short. A pair is
+    taken from the list of its first shared value alone, and scored there.
     """
-    tuple_ = [F.col(f).cast("string").alias(f) for f in fields]
-    rows = materialize(df.select(key, (F.col(outcome).isNotNull() if outcome else F.lit(True)).alias("_known"), *tuple_), "rows")
-    tuples = rows.groupBy(*fields).agg(F.count("*").alias("_c"))
-    tuples = materialize(tuples.withColumn("_t", F.xxhash64(F.struct(*[F.struct(F.col(f).isNull(), F.col(f)) for f in fields]))), "tuples")
-    hashed = F.xxhash64(F.struct(*[F.struct(F.col(f).isNull(), F.col(f)) for f in fields]))
-    n = tuples.agg(F.sum("_c").alias("_n"))
-    long = unpivot(tuples, ["_t", "_c"], fields)
-    weight = long.groupBy("field", "value").agg(F.sum("_c").alias("_c")).crossJoin(F.broadcast(n))  # one row
-    weight = weight.select("field", "value", F.ln(F.col("_n") / F.col("_c")).alias("w"))
-    # The first keys of a tuple: of each of many parts of it first.
-    known = rows.where("_known").select(key, hashed.alias("_t"), F.pmod(F.xxhash64(key), F.lit(64)).alias("_b"))
+    n = len(fields)
+    values = F.array(*[F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("")) for f in fields])
+    rows = materialize(df.select(key, (F.col(outcome).isNotNull() if outcome else F.lit(True)).alias("_known"), values.alias("_v")), "rows")
+    tuples = rows.groupBy("_v").agg(F.count("*").alias("_c"), F.max("_known").alias("_any")).withColumn("_t", F.monotonically_increasing_id())
+    tuples = materialize(tuples, "tuples")
+    total = tuples.agg(F.sum("_c").alias("_n"))
+    long = tuples.select("_t", "_c", "_any", "_v", F.posexplode("_v").alias("_f", "_x")).where("_x <> ''")
+    weight = long.groupBy("_f", "_x").agg(F.sum("_c").alias("_c")).crossJoin(F.broadcast(total))  # one row
+    weight = weight.select("_f", "_x", F.ln(F.col("_n") / F.col("_c")).alias("_w"))
+    asked = focal.select(F.col(key).alias("focal"), values.alias("_v")).join(tuples.select("_v", F.col("_t").alias("_q")), "_v").select("focal", "_q")
+    asked = materialize(asked, "asked")
+    # A focal tuple: its values in order of weight, greatest first, with the sum of the weights from each on.
+    own = long.join(asked.select(F.col("_q").alias("_t")).distinct(), "_t", "left_semi").join(weight, ["_f", "_x"])
+    own = own.groupBy(F.col("_t").alias("_q")).agg(F.sort_array(F.collect_list(F.struct((-F.col("_w")).alias("m"), "_f", "_x"))).alias("_o"))
+    rest = F.transform("_o", lambda o, i: -F.aggregate(F.slice("_o", i + 1, n), F.lit(0.0), lambda x, y: x + y["m"]))
+    own = materialize(own.withColumn("_rest", rest), "focal")
+    met = lambda o: F.col("_v")[o["_f"]] == o["_x"]
+    score = -F.aggregate(F.filter("_o", met), F.lit(0.0), lambda x, y: x + y["m"])
+    lists = long.where("_any").select("_f", "_x", "_t", "_v")
+    wanted = own.select("_q", "_o", "_rest", F.posexplode("_o").alias("_i", "_a")).select("*", F.col("_a._f").alias("_f"), F.col("_a._x").alias("_x")).drop("_a")
+    # The first tuples of a list: of each of many parts of it first.
+    heads = lists.join(wanted.select("_f", "_x").distinct(), ["_f", "_x"], "left_semi").withColumn("_b", F.pmod(F.xxhash64("_t"), F.lit(64)))
+    for part in (["_f", "_x", "_b"], ["_f", "_x"]):
+        heads = heads.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy("_t"))).where(F.col("_r") <= head).drop("_r")
+    tried = wanted.join(heads.drop("_b"), ["_f", "_x"]).groupBy("_q", "_t").agg(F.max(score).alias("s"))
+    bar = tried.groupBy("_q").agg(F.sort_array(F.collect_list("s"), asc=False).alias("s"))  # at most head scores for each field
+    bar = bar.select("_q", F.coalesce(F.try_element_at("s", F.lit(k + 1)), F.lit(0.0)).alias("_bar"))
+    open_ = wanted.join(bar, "_q").where(F.col("_rest")[F.col("_i")] >= F.col("_bar") - _SLACK)
+    pairs = open_.join(lists, ["_f", "_x"]).where(~F.exists(F.slice("_o", F.lit(1), F.col("_i")), met)).withColumn("score", score)
+    pairs = pairs.where(F.col("score") >= F.col("_bar") - _SLACK).select("_q", "_t", "score")
+    known = rows.where("_known").join(tuples.select("_v", "_t"), "_v").select(key, "_t", F.pmod(F.xxhash64(key), F.lit(64)).alias("_b"))
     for part in (["_t", "_b"], ["_t"]):
         known = known.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy(key))).where(F.col("_r") <= k + 1).drop("_r")
-    asked = focal.select(key, *tuple_).select(F.col(key).alias("focal"), hashed.alias("_f"))
-    wanted = long.select(F.col("_t").alias("_f"), "field", "value").join(asked.select("_f").distinct(), "_f", "left_semi").join(weight, ["field", "value"])
-    scores = wanted.join(long.select("_t", "field", "value"), ["field", "value"]).groupBy("_f", "_t").agg(F.sum("w").alias("score"))
-    best = Window.partitionBy("_f").orderBy(F.desc(F.round("score", 9)), key)
-    lists = scores.join(known.select("_t", key), "_t").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
-    found = asked.join(lists.select("_f", key, "score"), "_f").where(F.col("focal") != F.col(key))
+    best = Window.partitionBy("_q").orderBy(F.desc(F.round("score", 9)), key)
+    found = pairs.join(known.select("_t", key), "_t").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
+    found = asked.join(found.select("_q", key, "score"), "_q").where(F.col("focal") != F.col(key))
     w = Window.partitionBy("focal").orderBy(F.desc(F.round("score", 9)), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("focal", key, "score", "rank")

@@ -381,3 +381,26 @@ def test_similar_against_all_pairs(spark):
         scores = [(-round(sum(math.log(60 / n[c][focal[i]]) for c, i in (("f", 1), ("g", 2)) if focal[i] is not None and focal[i] == r[i]), 9), r[0]) for r in rows
                   if r[0] != focal[0] and r[3] and any(focal[i] is not None and focal[i] == r[i] for i in (1, 2))]
         assert got[focal[0]] == [i for _, i in sorted(scores)[:5]]
+
+
+@pytest.mark.parametrize("head", [1, 32])
+def test_similar_on_many_fields(spark, head):
+    """Sixteen fields of which some are common and some rare; nulls, equal rows and ties."""
+    import math
+    import random
+
+    rng, names = random.Random(12), [f"f{i}" for i in range(16)]
+    rows = [(i, *[rng.choice([None, *range(1 + j)]) for j in range(16)]) for i in range(150)]
+    rows += [(1000 + i, *r[1:]) for i, r in enumerate(rows[:20])]
+    df = spark.createDataFrame([tuple(x if x is None else (x if c == 0 else str(x)) for c, x in enumerate(r)) for r in rows], "id int, " + ", ".join(f"{n} string" for n in names))
+    n = [{v: sum(r[j + 1] == v for r in rows) for v in {r[j + 1] for r in rows}} for j in range(16)]
+    got = {}
+    for r in ranking.similar(df, df.where("id % 7 = 0"), "id", names, 6, head=head).orderBy("focal", "rank").collect():
+        got.setdefault(r["focal"], []).append((r["id"], round(r["score"], 6)))
+    for f in (r for r in rows if r[0] % 7 == 0):
+        scores = []
+        for r in rows:
+            shared = [math.log(len(rows) / n[j][f[j + 1]]) for j in range(16) if f[j + 1] is not None and f[j + 1] == r[j + 1]]
+            if r[0] != f[0] and shared:
+                scores.append((-round(sum(shared), 9), r[0]))
+        assert got[f[0]] == [(i, round(-s, 6)) for s, i in sorted(scores)[:6]]
