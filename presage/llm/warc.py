@@ -119,6 +119,9 @@ class _File:
         return self.handle.read(n)
 
 
+_LENGTH = re.compile(rb"\r\nContent-Length: *(\d{1,18})\r\n")
+
+
 class _Window:
     """The bytes of a file from `start` on, of which more are read as headers need them."""
 
@@ -126,6 +129,7 @@ class _Window:
         self.file, self.length, self.start = file, length, start
         self.data = file.read(start, size)
         self.blank = -1  # the empty line found last
+        self.field, self.size, self.sought = -1, 0, 0  # the length field found last, what it says, and from where to seek the next
 
     def header(self, at: int) -> tuple[int, int] | None:
         """(offset behind the header, Content-Length), if a record's header stands at `at`; both ends count from start."""
@@ -138,8 +142,14 @@ class _Window:
                 begin = max(at, len(self.data) - 3)
                 self.data += self.file.read(have, max(AHEAD, len(self.data)))
             self.blank = end
-        found = re.search(rb"\r\nContent-Length: *(\d{1,18})\r\n", self.data[at : self.blank + 2])
-        return (self.blank + 4, int(found[1])) if found else None
+        if self.field < at:  # no byte is searched twice, however many headers begin before one empty line
+            end = self.blank + 2
+            found = _LENGTH.search(self.data, max(at, self.sought), end) if self.sought < end else None
+            if found:
+                self.field, self.size, self.sought = found.start(), int(found[1]), found.start() + 1
+            else:
+                self.sought = max(self.sought, end)
+        return (self.blank + 4, self.size) if at <= self.field < self.blank else None
 
 
 def _candidates(path: str, length: int, start: int, end: int) -> list[tuple[int, int]]:
