@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from presage.llm.common import materialize
+
 CANDIDATES, QUERIES = 1 << 14, 1 << 12
 
 
@@ -78,19 +80,23 @@ def best_of_block(ids: np.ndarray, weights: np.ndarray, query_ids: np.ndarray, q
         if kind is np.int32:  # one key of score and place
             keys = scores.astype(np.int64) * n + place
             best = np.argpartition(keys, n - m)[n - m :] if m < n else np.arange(n)
-        else:
-            best = np.array(sorted(range(n), key=lambda i: (-scores[i], i))[:m], np.int64)
+        else:  # what is above the m-th score, and of those that are equal to it the first
+            least = np.partition(scores, n - m)[n - m] if m < n else scores.min(initial=0)
+            above = np.flatnonzero(scores > least)
+            best = np.concatenate((above, np.flatnonzero(scores == least)[: m - len(above)]))
         best = best[(best < own.start) | (best >= own.stop)]
         yield qid, ids[best], scores[best]
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) from rows (vec_id bigint, weights array<bigint>)."""
+    # Dealt by row number, so that repeated rows spread; the numbers are stored, so that they stay.
+    candidates = materialize(candidates.select("vec_id", "weights", F.monotonically_increasing_id().alias("row")), "candidates")
     n, m = candidates.count(), queries.count()
     blocks, sets = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
 
-    def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        df = df.withColumn(own, F.pmod(F.xxhash64("vec_id", "weights"), F.lit(own_n)))
+    def dealt(df: DataFrame, by: list[str], own: str, own_n: int, other: str, other_n: int) -> DataFrame:
+        df = df.withColumn(own, F.pmod(F.xxhash64(*by), F.lit(own_n))).drop("row")
         return df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_n - 1).cast("bigint"))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -106,8 +112,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 out[3] += [max(-(2**63), min(2**63 - 1, s)) for s in scores.tolist()]
         return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "query_key", "vec_id", "score"), out)})
 
-    left = dealt(candidates.select("vec_id", "weights"), "block", blocks, "part", sets)
-    right = dealt(queries.select("vec_id", "weights").distinct().withColumn("query_key", F.xxhash64("weights")), "part", sets, "block", blocks)
+    left = dealt(candidates, ["row"], "block", blocks, "part", sets)
+    right = dealt(queries.select("vec_id", "weights").distinct().withColumn("query_key", F.xxhash64("weights")), ["vec_id", "weights"], "part", sets, "block", blocks)
     lists = (
         left.groupBy("block", "part")
         .cogroup(right.groupBy("block", "part"))
