@@ -1,23 +1,25 @@
 """Homomorphic multiset hash of a text's paragraphs, in SQL expressions only.
 
-A text is cut into paragraphs and these into sentences; the white space between
-pieces is dropped. Every piece hashes to a wide vector and a text's fingerprint
-is the sum of its pieces' vectors, each lane modulo a power of two:
-
-* one count lane (each piece adds 1),
-* 128 sign lanes modulo 2**16 (lane k adds bit k of two 64-bit hashes of the
-  piece), four lanes to a long,
-* 4 strong lanes modulo 2**60 (240 bits of the piece's SHA-256).
-
-So the order of pieces does not count, and a piece can be put in or taken out
-by adding or subtracting its vector. Twice a sign lane less the count is a sum
+A text is cut into paragraphs, at white space that holds a line end, and these
+into sentences; white space between pieces is dropped. Every paragraph hashes to a
+wide vector and a text's fingerprint is the sum of its paragraphs' vectors, each
+lane modulo a power of two:
+
+* 4 strong lanes modulo 2**60 (240 bits of the paragraph's SHA-256),
+* one count lane (the number of its sentences),
+* 128 sign lanes modulo 2**16 (lane k adds bit k of two 64-bit hashes of each of
+  its sentences), four lanes to a long.
+
+So the order of paragraphs does not count, and a paragraph can be put in or taken
+out by adding or subtracting its vector. The strong lanes tell multisets of
+paragraphs apart; the others compare. Twice a sign lane less the count is a sum
 of random signs, hence the mean square of the difference of two such vectors
-estimates how many pieces the texts do not share: that gives a likeness, with a
+estimates how many sentences the texts do not share: that gives a likeness, with a
 deviation of about 0.09.
 
 Defined results: a null text counts as empty; an empty text, or one of white
 space only, has the zero vector; two such texts have likeness 1; texts that
-differ only in the white space between pieces or in the pieces' order have equal
+differ only in the white space between paragraphs or in their order have equal
 fingerprints; rows are never merged, so ties and repeated rows each give their
 own row; an empty table gives no rows; extra columns are ignored; very long
 texts are hashed whole, and a piece that repeats over 2**15 times in one may
@@ -32,6 +34,8 @@ from pyspark.sql.window import Window
 
 from presage.llm.common import materialize
 
+#: White space that has a line end parts paragraphs.
+PARAGRAPHS, BLANK = r"[\n\r]\s*", " \t\x0b\x0c"
 #: White space that has a line end or stands behind a sentence end or table bar.
 PIECES = r"\s(?:(?<=[\n\r])|(?<=[.!?|]\s))\s*"
 PACKED, STRONG = 32, 4
@@ -45,17 +49,17 @@ def _clean(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def fingerprinted(df: DataFrame, text: str, out: str, pattern: str = PIECES) -> DataFrame:
+def fingerprinted(df: DataFrame, text: str, out: str, pattern: str = PIECES, paragraphs: str = PARAGRAPHS) -> DataFrame:
     """df with out, array<bigint>: the count, 32 longs of sign lanes, 4 strong lanes of the column text.
 
     Each step is a projection of its own, so that pieces and hashes are computed
     once and not for every lane that uses them.
     """
     zero = F.lit(0).cast("bigint")
-    pieces = F.filter(F.transform(F.split(_clean(F.col(text)), pattern, -1), lambda p: F.trim(p)), lambda p: p != F.lit(""))
-    own = df.withColumn("_pieces", pieces)
-    own = own.withColumns({"_first": F.transform("_pieces", lambda p: F.xxhash64(p)), "_sha": F.transform("_pieces", lambda p: F.sha2(p, 256))})
-    own = own.withColumn("_second", F.transform("_sha", lambda s: F.xxhash64(s)))
+    cut = lambda by, blank: F.filter(F.transform(F.split(_clean(F.col(text)), by, -1), lambda p: F.trim(p, F.lit(blank))), lambda p: p != F.lit(""))
+    own = df.withColumn("_pieces", cut(pattern, " "))
+    own = own.withColumns({"_first": F.transform("_pieces", lambda p: F.xxhash64(p)), "_second": F.transform("_pieces", lambda p: F.xxhash64(F.lit(1), p))})
+    own = own.withColumn("_sha", F.transform(cut(paragraphs, BLANK), lambda p: F.sha2(p, 256)))
 
     def sums(w: int) -> Column:
         """How many hashes have each bit, of both kinds, in fields of w bits: longs j hold bits j, j + w, ..."""
