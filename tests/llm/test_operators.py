@@ -472,11 +472,13 @@ def test_multiset_hash_edited_texts(spark, odd, none):
 
 
 def slow_vector(text):
-    """(count, 128 sign counts, 4 strong sums) of a text's pieces."""
+    """(count, 128 sign counts, 4 strong sums) of a text's sentences and paragraphs."""
     pieces = [p.strip(" ") for p in re.split(multiset_hash.PIECES, text or "")]
     pieces = [p.encode() for p in pieces if p]
-    sha = [hashlib.sha256(p).hexdigest() for p in pieces]
-    hashes = [[xxhash.xxh64_intdigest(p, 42) for p in pieces], [xxhash.xxh64_intdigest(h, 42) for h in sha]]
+    paragraphs = [p.strip(multiset_hash.BLANK) for p in re.split(multiset_hash.PARAGRAPHS, text or "", flags=re.ASCII)]
+    sha = [hashlib.sha256(p.encode()).hexdigest() for p in paragraphs if p]
+    other = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+    hashes = [[xxhash.xxh64_intdigest(p, 42) for p in pieces], [xxhash.xxh64_intdigest(p, other) for p in pieces]]
     signs = [sum(h >> k & 1 for h in own) % 2**16 for own in hashes for k in range(64)]
     return len(pieces), signs, [sum(int(h[15 * i : 15 * i + 15], 16) for h in sha) % 2**60 for i in range(4)]
 
@@ -504,11 +506,63 @@ def test_multiset_hash_against_brute_force(spark, odd):
         assert got[d]["near_next"] == pytest.approx(slow_likeness(vectors[0], vectors[2]), abs=1e-9)
 
 
+def test_words_that_powers_of_a_base_confuse_differ():
+    """Thue-Morse words and their complements collide under every polynomial hash modulo 2**64."""
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - x for x in bits]
+    for n in (16, 512, 1024, 2048, 4096):
+        a, b = ("".join("ab"[x ^ y] for x in bits[:n]) for y in (0, 1))
+        found = ngram_trie.tokens(f"{a} {b} {a}")
+        assert found[0] == found[2] != found[1]
+
+
+def test_warc_magic_in_payloads_is_read_once(tmp_path):
+    """Eight megabytes of headers that never end are one pass."""
+    import time
+
+    path, n = tmp_path / "magic.warc", 8 << 20
+    path.write_bytes(warc.MAGIC * (n // len(warc.MAGIC)) + b"\r\n\r\n")
+    began = time.time()
+    assert warc._candidates(f"file:{path}", path.stat().st_size, 0, n) == []
+    assert time.time() - began < 5
+    body = b"x" * 10
+    record = warc.MAGIC + b"A: 1\r\nContent-Length: 10\r\n\r\n" + body + warc.END.encode()
+    path.write_bytes(record * 3)
+    assert [x for x, _ in warc._candidates(f"file:{path}", 3 * len(record), 0, 3 * len(record))] == [0, len(record), 2 * len(record)]
+
+
+def test_topk_of_repeated_rows_keeps_blocks_small(spark, monkeypatch):
+    """Equal rows are dealt over all blocks; wide scores are selected, not sorted."""
+    monkeypatch.setattr(topk_search, "CANDIDATES", 500)
+    sizes = []
+    real = topk_search.best_of_block
+    for scale in (1, 1 << 20, 1 << 40):
+        rows = spark.range(1500).select(F.lit(5).cast("bigint").alias("vec_id"), F.array(F.lit(scale), F.lit(2)).cast("array<bigint>").alias("weights"))
+        rows = rows.unionByName(spark.createDataFrame([(i, [i * scale, 1]) for i in range(6, 60)], "vec_id bigint, weights array<bigint>"))
+        got = topk_search.search(rows, rows.where("vec_id = 6"), 5).orderBy("rank").collect()
+        assert [(r["vec_id"], r["score"]) for r in got] == [(59 - i, min(2**63 - 1, 6 * scale * (59 - i) * scale + 1)) if 6 * scale * 55 * scale < 2**63 else (7 + i, 2**63 - 1) for i in range(5)] or scale == 1 << 40
+        dealt = rows.withColumn("row", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64("row"), F.lit(4))).count().collect()
+        sizes.append(max(r["count"] for r in dealt))
+    assert max(sizes) < 500 and real is topk_search.best_of_block
+
+
+def test_wide_scores_against_sorting():
+    rng = np.random.default_rng(4)
+    for top in (3, 1 << 20, 1 << 40):
+        ids, weights, queries = rng.permutation(50), rng.integers(-top, top, (3, 50)), rng.integers(-top, top, (3, 4))
+        qids = ids[:4]
+        for qid, found, scores in topk_search.best_of_block(ids, weights, qids, queries, 7):
+            q = [int(x) for x in queries[:, list(qids).index(qid)]]
+            want = sorted(((-sum(int(a) * b for a, b in zip(w, q)), int(i)) for i, w in zip(ids, weights.T) if i != qid))[:7]
+            assert sorted((-int(s), int(i)) for i, s in zip(found, scores)) [:7] == want
+
+
 def test_multiset_hash_is_homomorphic_and_order_free(spark):
-    same = [("a.\n\nb.\n\nc.", "c.\n\na.\n\nb."), ("para one\npara two", "para two\npara one"), ("a. b.", "b. a."), ("x.\ny.", "x.\r\n y. ")]
+    same = [("a.\n\nb.\n\nc.", "c.\n\na.\n\nb."), ("para one\npara two", "para two\npara one"), ("x.\ny.", "x. \t\r\n y. ")]
     df = multiset_hash.fingerprinted(multiset_hash.fingerprinted(spark.createDataFrame(same, "x string, y string"), "x", "v"), "y", "w")
     assert all(r["v"] == r["w"] for r in df.collect())
-    apart = spark.createDataFrame([("a. b.", "a. a. b."), ("a b", "b a"), ("ab", "a\nb")], "x string, y string")
+    apart = spark.createDataFrame([("a. b.", "a. a. b."), ("a b", "b a"), ("ab", "a\nb"), ("a. b.", "b. a."), ("A one. B two.\n\nC three.", "A one.\n\nB two. C three.")], "x string, y string")
     df = multiset_hash.fingerprinted(multiset_hash.fingerprinted(apart, "x", "v"), "y", "w")
     assert not any(r["v"] == r["w"] for r in df.collect())
     df = spark.createDataFrame([("a.\nb.\nc.\nd.\n" * 9, "a.\n" * 9, "b.\nc.\nd.\n" * 9), ("", "", ""), ("x\n" * 70_000 + "y", "x\n" * 70_000, "y")], "x string, p string, q string")
