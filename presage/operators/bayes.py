@@ -121,8 +121,8 @@ def fit_stated(base: DataFrame, stated: dict[str, str], classes: list[str], alph
     return model
 
 
-def _scores(df: DataFrame, model: Counts, sizes: list[int]) -> DataFrame:
-    """df(fold, features) with p{n} for each n of sizes: the probabilities by the first n features, as an array over classes.
+def _scores(df: DataFrame, model: Counts, sets: dict[int | str, list[int]]) -> DataFrame:
+    """df(fold, features) with p{n} for each n of sets: the probabilities by the features at those places, as an array over classes.
 
     Each look-up is a join with a table on the driver; sums, their maximum and the
     exponentials are projections of their own, so that none is computed twice.
@@ -137,13 +137,13 @@ def _scores(df: DataFrame, model: Counts, sizes: list[int]) -> DataFrame:
     df = with_fold(model.defaults(spark), F.lit(True), "inner")
     for i, f in enumerate(model.features):
         df = with_fold(model.table(spark, i), category(F.col(f"l.{f}")) == F.col("r._v"), "left").drop("_v")
-    for n in sizes:
+    for n, places in sets.items():
         own = lambda i, c: F.coalesce(f"_l{i}_{c}", f"_u{i}_{c}")
-        df = df.withColumns({f"_s{n}_{c}": sum((own(i, c) for i in range(n)), F.col(f"_q_{c}")) for c in range(k)})
-    tops = {f"_t{n}": F.greatest(*[F.col(f"_s{n}_{c}") for c in range(k)]) if k > 1 else F.col(f"_s{n}_0") for n in sizes}
-    df = df.withColumns(tops).withColumns({f"_e{n}_{c}": F.exp(F.col(f"_s{n}_{c}") - F.col(f"_t{n}")) for n in sizes for c in range(k)})
-    df = df.withColumns({f"_w{n}": sum((F.col(f"_e{n}_{c}") for c in range(1, k)), F.col(f"_e{n}_0")) for n in sizes})
-    return df.select(*names, *[F.array(*[F.col(f"_e{n}_{c}") / F.col(f"_w{n}") for c in range(k)]).alias(f"p{n}") for n in sizes])
+        df = df.withColumns({f"_s{n}_{c}": sum((own(i, c) for i in places), F.col(f"_q_{c}")) for c in range(k)})
+    tops = {f"_t{n}": F.greatest(*[F.col(f"_s{n}_{c}") for c in range(k)]) if k > 1 else F.col(f"_s{n}_0") for n in sets}
+    df = df.withColumns(tops).withColumns({f"_e{n}_{c}": F.exp(F.col(f"_s{n}_{c}") - F.col(f"_t{n}")) for n in sets for c in range(k)})
+    df = df.withColumns({f"_w{n}": sum((F.col(f"_e{n}_{c}") for c in range(1, k)), F.col(f"_e{n}_0")) for n in sets})
+    return df.select(*names, *[F.array(*[F.col(f"_e{n}_{c}") / F.col(f"_w{n}") for c in range(k)]).alias(f"p{n}") for n in sets])
 
 
 def _log_likelihoods(base: DataFrame, features: list[str], classes: list[str], folds: list[int] | None, alpha: float) -> DataFrame:
@@ -224,7 +224,7 @@ def predict(train: DataFrame, test: DataFrame, features: list[str], classes: lis
 def apply(test: DataFrame, model: Counts) -> DataFrame:
     """(id, fold, cls, p) of test(id, fold, cls, features) under a model of the driver, in one stage."""
     n = len(model.features)
-    return _scores(test.select("id", "fold", "cls", *model.features), model, [n]).select("id", "fold", "cls", F.col(f"p{n}").alias("p"))
+    return _scores(test.select("id", "fold", "cls", *model.features), model, {n: list(range(n))}).select("id", "fold", "cls", F.col(f"p{n}").alias("p"))
 
 
 def cross_validate(
@@ -378,7 +378,7 @@ def prefix_scores(
     """(k, n, logloss, accuracy): held-out quality of the first k ranked features, all k in one pass."""
     k, model = len(classes), fit(base, ranked, classes, folds, alpha, bound)
     if model:
-        found = _scores(base.where(F.col("fold").isin(folds)).select("id", "fold", "cls", *ranked), model, sizes)
+        found = _scores(base.where(F.col("fold").isin(folds)).select("id", "fold", "cls", *ranked), model, {n: list(range(n)) for n in sizes})
         each = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"p{n}").alias("p")) for n in sizes])
         scored = found.select("id", "fold", "cls", F.explode(each).alias("x")).select("id", "fold", "cls", "x.k", "x.p")
     else:
@@ -401,6 +401,81 @@ def _large_prefixes(base: DataFrame, ranked: list[str], classes: list[str], fold
     return sums.select("id", "fold", "cls", "k", _softmax(F.array(*[F.col(f"s{i}") + F.col(f"q{i}") for i in range(k)])).alias("p"))
 
 
+def subset_scores(
+    base: DataFrame, features: list[str], sets: dict[str, list[str]], classes: list[str], folds: list[int], alpha: float = ALPHA, bound: int | None = None, keep: list[str] | None = None
+) -> DataFrame:
+    """(id, fold, cls, keep..., p_{name} for each name of sets): held-out probabilities by several sets of features, from one count and one scan."""
+    keep, model = keep or [], fit(base, features, classes, folds, alpha, bound)
+    rows = base.where(F.col("fold").isin(folds))
+    if model:
+        found = _scores(rows.select("id", "fold", "cls", *keep, *features), model, {f"_{name}": [features.index(x) for x in own] for name, own in sets.items()})
+        return found.select("id", "fold", "cls", *keep, *[f"p_{name}" for name in sets])
+    k = len(classes)
+    table = _log_likelihoods(base, features, classes, folds, alpha)
+    joined = unpivot(rows, ["id", "fold", "cls"], features, missing=True).join(table.select("fold", "field", "value", "ll", "prior"), ["fold", "field", "value"])
+    part = lambda own, i: F.sum(F.when(F.col("field").isin(own), F.col("ll")[i]).otherwise(0.0))
+    sums = joined.groupBy("id", "fold", "cls").agg(F.max("prior").alias("prior"), *[F.array(*[part(own, i) for i in range(k)]).alias(f"s_{name}") for name, own in sets.items()])
+    probs = [_softmax(F.zip_with(f"s_{name}", "prior", lambda a, b: a + b)).alias(f"p_{name}") for name in sets]
+    out = sums.select("id", "fold", "cls", *probs)
+    return out.join(rows.select("id", *keep), "id") if keep else out
+
+
+def rank_features(base: DataFrame, features: list[str], classes: list[str], folds: list[int], alpha: float = ALPHA, bound: int | None = None) -> DataFrame:
+    """(field, n, logloss, gain), most telling first: each single feature's held-out log loss, and how far it is below the class shares'.
+
+    What one feature says of a row depends on its value and fold alone, so the
+    losses are sums over the count table: the rows are read once, to count them.
+    Of equal gains the first name comes first.
+    """
+    model = fit(base, features, classes, folds, alpha, bound)
+    kinds = "field string, n bigint, logloss double, gain double"
+    if model:
+        total = {(field, value): n for (_, field, value), n in _totals(model).items()}
+        out = []
+        base_loss, m = _loss(model, None, total)
+        for field in features:
+            loss, n = _loss(model, field, total)
+            out.append((field, n, loss / n if n else None, base_loss / m - loss / n if n else None))
+        return base.sparkSession.createDataFrame(sorted(out, key=lambda r: (-(r[3] or 0.0), r[0])), kinds)
+    table = _log_likelihoods(base, features, classes, folds, alpha)
+    own = unpivot(base, ["fold", "cls"], features, missing=True).groupBy("fold", "field", "value", "cls").agg(F.count("*").alias("n"))
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("cls")).cast("int")
+    sums = F.transform(F.arrays_zip(F.col("ll").alias("a"), F.col("prior").alias("b")), lambda x: x["a"] + x["b"])
+    met = own.where(F.col("cls").isin(classes)).join(table, ["fold", "field", "value"])
+    met = met.withColumns({"_p": F.element_at(_softmax(sums), place), "_q": F.element_at(_softmax(F.col("prior")), place)})
+    loss = lambda p: F.sum(-F.col("n") * F.ln(F.greatest(F.col(p), F.lit(1e-12)))) / F.sum("n")
+    found = met.groupBy("field").agg(F.sum("n").alias("n"), loss("_p").alias("logloss"), (loss("_q") - loss("_p")).alias("gain"))
+    return found.orderBy(F.desc("gain"), "field")
+
+
+def _totals(model: Counts) -> dict[tuple, list[int]]:
+    """The counts of all rows: with k held-out folds, each count is left out of one, so the sum over folds has it k - 1 times."""
+    out: dict[tuple, list[int]] = {}
+    for (_, field, value), n in model.values.items():
+        key = (None, field, value)
+        out[key] = [a + b for a, b in zip(out.get(key, [0] * len(n)), n)]
+    k = len(model.folds) - 1
+    return {key: [x // k for x in n] for key, n in out.items()}
+
+
+def _loss(model: Counts, field: str | None, total: dict[tuple, list[int]]) -> tuple[float, int]:
+    """(sum of -ln p of the true class, rows) by one feature, or by the class shares alone."""
+    loss, rows = 0.0, 0
+    values = [v for f, v in total if f == field]
+    for fold in model.folds:
+        prior = model.prior(fold)
+        for value in values:
+            own = [a - b for a, b in zip(total[field, value], model.values[fold, field, value])]
+            if not any(own):
+                continue
+            scores = [p + x for p, x in zip(prior, model.likelihoods(fold, field, value))] if field is not None else prior
+            top = max(scores)
+            whole = sum(math.exp(s - top) for s in scores)
+            loss -= sum(n * math.log(max(math.exp(s - top) / whole, 1e-12)) for n, s in zip(own, scores))
+            rows += sum(own)
+    return loss, rows
+
+
 def peak(sweep: DataFrame) -> DataFrame:
     """The k of least log loss, the smallest of equals: one row of a sweep."""
     return sweep.orderBy("logloss", "k").limit(1)

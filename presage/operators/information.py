@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,15 +18,68 @@ from presage.operators.ranking import quantiles
 from presage.operators.staging import materialize
 
 
+#: Features beyond which value pairs are counted by matrices, and rows that these are made of.
+WIDE, STRIDE = 8, 1 << 16
+
+
+def pair_counts(df: DataFrame, features: list[str], wide: int = WIDE) -> DataFrame:
+    """(fa, fb, va, vb, n): how many rows have values va and vb of features fa and fb.
+
+    Few features: a row is taken apart into its pairs. Many, since the pairs grow
+    with their square: each task codes the columns of some thousands of rows, counts
+    every pair's codes at once, and emits the cells that are not empty. Either way
+    the cells are added up before they are shuffled, so what is shuffled does not
+    grow with the rows.
+    """
+    cat = {f: category(F.col(f)) for f in features}
+    if len(features) <= wide:
+        pairs = [F.struct(F.lit(a).alias("fa"), F.lit(b).alias("fb"), cat[a].alias("va"), cat[b].alias("vb")) for a, b in combinations(features, 2)]
+        return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").groupBy("fa", "fb", "va", "vb").agg(F.count("*").alias("n"))
+
+    def cells(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        coded = [table.column(i).combine_chunks().dictionary_encode() for i in range(len(features))]
+        codes = [c.indices.to_numpy().astype(np.int64) for c in coded]
+        names = [c.dictionary.to_pylist() for c in coded]
+        for a in range(len(features) - 1):
+            out: list[list] = [[], [], [], [], []]
+            for b in range(a + 1, len(features)):
+                k = len(names[b])
+                both = codes[a] * k + codes[b]
+                if len(names[a]) * k <= 4 * STRIDE:
+                    n = np.bincount(both)
+                    at = np.flatnonzero(n)
+                    n = n[at]
+                else:
+                    at, n = np.unique(both, return_counts=True)
+                out[0] += [features[a]] * len(at)
+                out[1] += [features[b]] * len(at)
+                out[2] += [names[a][i] for i in (at // k).tolist()]
+                out[3] += [names[b][i] for i in (at % k).tolist()]
+                out[4] += n.tolist()
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in out[:4]), pa.array(out[4], pa.int64())], ["fa", "fb", "va", "vb", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= STRIDE:
+                yield from cells(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from cells(pa.Table.from_batches(held))
+
+    found = df.select(*[c.alias(f"x{i}") for i, c in enumerate(cat.values())]).mapInArrow(run, "fa string, fb string, va string, vb string, n bigint")
+    return found.groupBy("fa", "fb", "va", "vb").agg(F.sum("n").alias("n"))
+
+
 def mutual_information(df: DataFrame, features: list[str]) -> DataFrame:
     """(fa, fb, n, mi, nmi, mdl_gain) for each pair of features, from one count of value pairs.
 
     mi in nats; nmi = mi / sqrt(Ha Hb), 0 if that divisor is 0; mdl_gain =
     n mi / ln 2 - (|A| - 1)(|B| - 1) log2(n) / 2. Missing values are a category.
     """
-    cat = {f: category(F.col(f)) for f in features}
-    pairs = [F.struct(F.lit(a).alias("fa"), F.lit(b).alias("fb"), cat[a].alias("va"), cat[b].alias("vb")) for a, b in combinations(features, 2)]
-    counts = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").groupBy("fa", "fb", "va", "vb").agg(F.count("*").alias("n"))
+    counts = pair_counts(df, features)
     # The cells of a pair of features are few; their marginals are windows over them.
     by = lambda *c: Window.partitionBy("fa", "fb", *c)
     cells = counts.select(

@@ -154,6 +154,32 @@ def top_by_group(df: DataFrame, group: str, score: str, key: str, ret: str, k: i
     return fund.join(market, group).withColumn("excess", F.col("fund_mean") - F.col("market_mean"))
 
 
+def fold_means(df: DataFrame, fold: str, cls: str, x: str, classes: list[str], folds: list[int]) -> DataFrame:
+    """(fold, means): for each held-out fold, x's mean over the other folds' rows of each class, as an array."""
+    own = df.where(F.col(cls).isin(classes)).groupBy(fold, cls).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
+    names = F.array(*[F.lit(c) for c in classes])
+    each = own.withColumn("model", F.explode(F.array(*[F.lit(f) for f in folds]))).where(F.col(fold) != F.col("model"))
+    mean = each.groupBy("model", cls).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
+    found = mean.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct(F.col(cls), F.col("m")))).alias("m"))  # an entry a class
+    return found.select(F.col("model").alias(fold), F.transform(names, lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0))).alias("means"))
+
+
+def fund_table(df: DataFrame, scores: str, names: list[str], key: str, ret: str, group: str, sizes: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """(names..., size, mean, share_beating) of the best `sizes` rows under each of many scores, and the share of them above their group's mean.
+
+    scores: an array of structs (names..., score), one for each portfolio, all made
+    in the one scan. Each task keeps its best rows of each portfolio alone, so what
+    is shuffled are so many rows a task. Ties go by key.
+    """
+    df = materialize(df, "scores")
+    market = df.groupBy(group).agg(F.avg(ret).alias("_market"))
+    flat = df.select(key, ret, group, F.explode(scores).alias("_s")).select(key, ret, group, "_s.*")
+    order = Window.partitionBy(*names).orderBy(F.desc("score"), key)
+    best = flat.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(sizes))
+    met = best.join(market, group).withColumn("size", F.explode(F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: s >= F.col("_r"))))
+    return met.groupBy(*names, "size").agg(F.avg(ret).alias("mean"), F.avg((F.col(ret) > F.col("_market")).cast("double")).alias("share_beating"))
+
+
 def beats(funds: DataFrame) -> DataFrame:
     """One row: groups, and the share of them whose fund has a positive excess."""
     return funds.agg(F.count("*").alias("groups"), F.avg((F.col("excess") > 0).cast("double")).alias("share_beating"))

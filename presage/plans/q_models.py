@@ -141,6 +141,35 @@ def feature_sweep(spark, sf_dir):
     return rounded(out, "logloss", "accuracy")
 
 
+#: Held-out log loss of each single feature, and of the class shares.
+_SINGLE_SQL = f"""{_CV_SQL}, one as (select e.id, e.cls, e.field, e.c, e.ll + q.lp as s from each e join prior q on q.k = e.fold and q.c = e.c),
+  ox as (select *, exp(s - max(s) over (partition by id, field)) as e from one), op as (select *, e / sum(e) over (partition by id, field) as p from ox),
+  base as (select avg(-q.lp + ln(z.z)) as b from firms f join prior q on q.k = f.fold and q.c = f.cls join (select k, sum(exp(lp)) as z from prior group by 1) z on z.k = f.fold),
+  ranked as (select field, count(*) as n, avg(-ln(greatest(p, 1e-12))) as logloss, min(b) - avg(-ln(greatest(p, 1e-12))) as gain from op, base where c = cls group by 1)"""
+
+
+@query("feature_rank", f"with {_SINGLE_SQL} select field, n, round(logloss, 6) as logloss, round(gain, 6) as gain from ranked")
+def feature_rank(spark, sf_dir):
+    """Features by what each alone gains on held-out rows, from one count table."""
+    return rounded(bayes.rank_features(firms(spark, sf_dir), FEATURES, CLASSES, FOLDS), "logloss", "gain")
+
+
+@query(
+    "ranked_sweep",
+    f"""with {_SINGLE_SQL}, pl as (select field, row_number() over (order by gain desc, field) as place from ranked),
+        sw as (select z.k, e.id, e.cls, e.c, sum(e.ll) + min(q.lp) as s from each e join prior q on q.k = e.fold and q.c = e.c join pl using (field), (select unnest([1, 2, 3, 4]) as k) z where pl.place <= z.k group by all),
+        sx as (select *, exp(s - max(s) over (partition by k, id)) as e from sw), sp as (select k, id, cls, c, e / sum(e) over (partition by k, id) as p from sx)
+        select k, (select field from pl where place = k) as added, count(*) as n, round(avg(-ln(greatest(p, 1e-12))), 6) as logloss from sp where c = cls group by 1""",
+)
+def ranked_sweep(spark, sf_dir):
+    """Features are ranked by their held-out gain first; then the first k of them are scored, for every k."""
+    f = firms(spark, sf_dir)
+    order = [r["field"] for r in bayes.rank_features(f, FEATURES, CLASSES, FOLDS).collect()]  # a row a feature
+    out = bayes.prefix_scores(f, order, CLASSES, FOLDS, [1, 2, 3, 4])
+    names = F.element_at(F.array(*[F.lit(x) for x in order]), F.col("k"))
+    return rounded(out.select("k", names.alias("added"), "n", "logloss"), "logloss")
+
+
 @query(
     "prob_fallback",
     f"""with {FIRMS_SQL}, pr as (select cls, count(*) / (select count(*) from firms) as p from firms group by 1)
@@ -358,6 +387,34 @@ def schools(spark, sf_dir):
     return out.withColumn("decay", F.round(F.col("top100") - F.col("top20"), 4))
 
 
+_SCORED_SQL = f"""{_CV_SQL}, sets as (select * from (values {_SCHOOL_ROWS}) v(school, field)),
+  sw as (select sets.school, e.id, e.fold, e.c, sum(e.ll) + min(q.lp) as s from each e join sets using (field) join prior q on q.k = e.fold and q.c = e.c group by all),
+  sx as (select *, exp(s - max(s) over (partition by school, id)) as e from sw), sp as (select school, id, fold, c, e / sum(e) over (partition by school, id) as p from sx),
+  m as (select k.k, cls, avg(balance) filter (where fold <> k.k) as m from firms, k group by all),
+  sc as (select school, id, unnest([('rank', round(sum(p * (5 - cast(c[1] as int))), 9)), ('top', round(sum(case when c = '1-URGENT' then p else 0 end), 9)), ('expected', round(sum(p * m.m), 6))]) as x
+    from sp join m on m.k = sp.fold and m.cls = sp.c group by 1, 2)"""
+
+
+@query(
+    "schools_scored",
+    f"""with {_SCORED_SQL}, mk as (select vintage, avg(balance) as market from firms group by 1),
+        r as (select school, x[1] as scoring, f.balance, mk.market, row_number() over (partition by school, x[1] order by x[2] desc, id) as r from sc join firms f using (id) join mk using (vintage))
+        select school, scoring, cast(size as int) as size, round(avg(balance), 4) as mean, round(avg((balance > market)::int), 6) as share_beating from r, (select unnest([20, 50, 100]) as size) where r <= size group by 1, 2, 3""",
+)
+def schools_scored(spark, sf_dir):
+    """Four schools by three scorings by three fund sizes, from one scan of the rows, with the share of holdings that beat their vintage's market."""
+    f = firms(spark, sf_dir)
+    means = ranking.fold_means(f, "fold", "cls", "balance", CLASSES, FOLDS)
+    scored = bayes.subset_scores(f, FEATURES, _SCHOOLS, CLASSES, FOLDS, keep=["vintage", "balance"]).join(F.broadcast(means), "fold")  # a row a fold
+    over = lambda p, w: F.aggregate(F.zip_with(p, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    ranks = F.array(*[F.lit(float(4 - i)) for i in range(5)])
+    ways = {"rank": lambda p: F.round(over(p, ranks), 9), "top": lambda p: F.round(p[0], 9), "expected": lambda p: F.round(over(p, F.col("means")), 6)}
+    each = F.array(*[F.struct(F.lit(s).alias("school"), F.lit(w).alias("scoring"), of(F.col(f"p_{s}")).alias("score")) for s in _SCHOOLS for w, of in ways.items()])
+    rows = scored.select("id", "vintage", "balance", each.alias("s"))
+    out = ranking.fund_table(rows, "s", ["school", "scoring"], "id", "balance", "vintage", (20, 50, 100))
+    return rounded(rounded(out, "share_beating"), "mean", digits=4)
+
+
 @query(
     "similarity",
     f"""with {FIRMS_SQL}, {PRESENT_SQL}, w as (select field, value, ln((select count(*) from firms) / count(*)) as w from u group by 1, 2),

@@ -8,7 +8,7 @@ from presage.functions import text
 from presage.operators import joins
 from presage.operators.staging import new_path
 from presage.plans.core import FIRMS_SQL, PRICES_SQL, firms, prices, query, rounded, table
-from presage.sources import readers, sinks
+from presage.sources import connector, readers, sinks
 
 
 @query("csv_file", "select s_suppkey, s_name, case when s_suppkey % 3 = 0 then null else s_acctbal end as s_acctbal from supplier")
@@ -122,15 +122,20 @@ def html_rows(spark, sf_dir):
     return rows.select("c_custkey", "row", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("segment"))
 
 
-_FILED = """f as (select o_custkey % 50 as ticker, cast(o_orderdate as date) as filed, o_orderkey as id from orders where o_orderkey % 50 = 7)"""
+_FILED = """f as (select c_custkey % 50 as ticker, cast('1995-01-01' as date) + cast(c_custkey * 37 % 1500 as int) as filed, c_custkey as id from customer)"""
+
+
+def _filing_rows(spark, sf_dir):
+    """A filing for each customer: (ticker, filed, id)."""
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") * 37 % 1500).cast("int"))
+    return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("ticker"), F.date_format(day, "yyyy-MM-dd").alias("filed"), F.col("c_custkey").alias("id"))
 
 
 @query("filing_scan", f"""with {_FILED} select c as ticker, max_by(case when id is not null then concat('report ', id) end, (filed, id)) as text, max(filed) as filed from (select unnest(range(50)) as c) left join f on f.ticker = c and filed < date '1997-01-01' group by 1""")
 def filing_scan(spark, sf_dir):
     """Folders of metadata and text, written a file a filing, scanned, and the latest before a cutoff taken for each ticker."""
     root = new_path(spark, "filings")
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 7")  # the feature: one folder a filing, and few of them
-    o = o.select((F.col("o_custkey") % 50).alias("ticker"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"), F.col("o_orderkey").alias("id"))
+    o = _filing_rows(spark, sf_dir)
     said = F.to_json(F.struct(F.col("ticker").cast("string").alias("ticker"), F.lit("10-K").alias("form"), "filed", F.col("id").cast("string").alias("accession")))
     both = o.select("id", F.explode(F.create_map(F.lit("metadata.json"), said, F.lit("text.txt"), F.concat(F.lit("report "), F.col("id").cast("string")))).alias("name", "value"))
     _write_files(both.select(F.concat_ws("/", F.col("id").cast("string"), "name").alias("name"), "value"), root)
@@ -139,6 +144,30 @@ def filing_scan(spark, sf_dir):
     return joins.asof_backward(cuts, scanned, "ticker", "cutoff", "filed", "text", "id").select("ticker", "text", "filed")
 
 
+@query("filing_source", f"""with {_FILED} select cast(ticker as varchar) as ticker, case when ticker % 2 = 0 then '10-K' else '8-K' end as form, filed, concat('report ', id) as text from f where ticker % 2 = 0 and filed >= date '1996-01-01' and ticker in (4, 8, 15, 16)""")
+def filing_source(spark, sf_dir):
+    """The folders as a data source: form, ticker and date are filtered on the metadata, and only what is left is opened."""
+    connector.register(spark)
+    root = new_path(spark, "filings")
+    said = F.to_json(F.struct(F.col("ticker").cast("string").alias("ticker"), F.when(F.col("ticker") % 2 == 0, "10-K").otherwise("8-K").alias("form"), "filed", F.col("id").cast("string").alias("accession")))
+    both = _filing_rows(spark, sf_dir).select("id", F.explode(F.create_map(F.lit("metadata.json"), said, F.lit("text.txt"), F.concat(F.lit("report "), F.col("id").cast("string")))).alias("name", "value"))
+    _write_files(both.select(F.concat_ws("/", F.col("id").cast("string"), "name").alias("name"), "value"), root)
+    rows = spark.read.format("filings").option("path", root).load()
+    return rows.where((F.col("form") == "10-K") & (F.col("filed") >= F.lit("1996-01-01").cast("date")) & F.col("ticker").isin("4", "8", "15", "16")).drop("accession")
+
+
+@query("batch_sink", "select c_mktsegment as segment, count(*) as n, round(sum(c_acctbal), 2) as balance from customer group by 1")
+def batch_sink(spark, sf_dir):
+    """Rows written in batches of at most a thousand, appended to once, and read back from the committed files."""
+    connector.register(spark)
+    path, schema = new_path(spark, "batches"), "c_custkey bigint, c_mktsegment string, c_acctbal double"
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_mktsegment", "c_acctbal")
+    for part, mode in ((F.col("c_acctbal") < 0, "overwrite"), (F.col("c_acctbal") >= 0, "append")):
+        c.where(part).write.format("batches").option("path", path).option("rows", 1000).mode(mode).save()
+    back = spark.read.format("batches").schema(schema).option("path", path).load()
+    return back.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
 def _write_files(rows, root: str) -> None:
     """Each row (name, value) as a file of its own below root, written by the tasks that hold the rows."""
 
