@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,8 +107,43 @@ def fold_of(key: Column, k: int = 5) -> Column:
     return ((parts[0] + parts[1] + parts[2]) % k).cast("string")
 
 
+#: An entity behind its ampersand; what browsers take numbers 128 to 159 for.
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+WINDOWS = [bytes([b]).decode("cp1252", "replace") for b in range(128, 160)]
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its named and numbered entities read, each once; what is none stays."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))])
+
+    def read(part: Column) -> Column:
+        said = F.regexp_extract(part, ENTITY, 1)
+        number = F.when(F.rlike(said, F.lit("^#[0-9]")), F.substring(said, 2, 9)).when(F.rlike(said, F.lit("^#[xX]")), F.conv(F.substring(said, 3, 9), 16, 10)).cast("int")
+        wrong = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        char = F.when(wrong, "\ufffd").when(number.between(128, 159), F.try_element_at(F.array(*[F.lit(c) for c in WINDOWS]), number - 127))
+        char = char.otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        value = F.when(number.isNotNull(), char).when(said != "", F.try_element_at(names, said))
+        return F.coalesce(F.concat(value, F.substring(part, F.char_length(said) + 2, F.char_length(part))), F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), read), ""))
+
+
+def unescaped_sql(text: str) -> str:
+    """unescaped() of an SQL expression."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    names = "map {" + ", ".join(f"{quoted(n)}: {quoted(chr(c))}" for n, c in sorted(name2codepoint.items())) + "}"
+    said = f"regexp_extract(p, '{ENTITY}', 1)"
+    number = f"case when regexp_matches({said}, '^#[0-9]') then cast(substr({said}, 2) as int) when regexp_matches({said}, '^#[xX]') then cast(concat('0x', substr({said}, 3)) as int) end"
+    windows = "[" + ", ".join(quoted(c) for c in WINDOWS) + "]"
+    char = f"case when ({number}) = 0 or ({number}) > 1114111 or ({number}) between 55296 and 57343 then chr(65533) when ({number}) between 128 and 159 then {windows}[({number}) - 127] else chr({number}) end"
+    value = f"case when ({number}) is not null then {char} when {said} <> '' then {names}[{said}] end"
+    read = f"coalesce({value} || substr(p, length({said}) + 2), '&' || p)"
+    return f"concat(string_split({text}, '&')[1], array_to_string(list_transform(string_split({text}, '&')[2:], lambda p: {read}), ''))"
+
+
 def html_to_text(html: Column) -> Column:
-    """Text of a page: scripts and styles go, tags become line ends, runs of blank shrink."""
+    """Text of a page: scripts and styles go, tags become line ends, five entities are read, runs of blank shrink."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
     out = F.regexp_replace(out, r"(?s)<[^>]+>", "\n")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
@@ -203,8 +240,12 @@ def proxy_sections(text: Column) -> dict[str, Column]:
     return {"cd_a": pay, "biographies": people, "head": F.when(pay.isNull() & people.isNull(), F.substring(text, 1, PROXY_HEAD))}
 
 
-def within_budget(sections: dict[str, Column], max_tokens: Column | int, per_token: int = 4) -> Column:
-    """Sections in order as array<struct<name, body>>: all but the largest whole, that one cut to what is left."""
+# Fixed value: what stands where a section was cut.
+CUT = "\n\n[…section truncated for token budget…]"
+
+
+def within_budget(sections: dict[str, Column], max_tokens: Column | int, per_token: int = 4, mark: str = "") -> Column:
+    """Sections in order as array<struct<name, body>>: all but the largest whole, that one cut to what is left, and marked."""
     budget = (F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens) * per_token
     all_ = F.filter(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("body")) for k, v in sections.items()]), lambda s: s["body"].isNotNull())
     total = F.aggregate(all_, F.lit(0), lambda acc, s: acc + F.char_length(s["body"]))
@@ -215,7 +256,7 @@ def within_budget(sections: dict[str, Column], max_tokens: Column | int, per_tok
     trimmed = F.transform(
         all_,
         lambda s: F.struct(
-            s["name"].alias("name"), F.when((total > budget) & (s["name"] == largest), F.substring(s["body"], F.lit(1), left)).otherwise(s["body"]).alias("body")
+            s["name"].alias("name"), F.when((total > budget) & (s["name"] == largest), F.concat(F.substring(s["body"], F.lit(1), left), F.lit(mark))).otherwise(s["body"]).alias("body")
         ),
     )
     return F.when(F.size(all_) > 0, trimmed)

@@ -113,14 +113,14 @@ def cohort_paths(events: DataFrame, theme: str, first: str, horizons: list[str])
     return sizes.alias("l").join(mid.alias("r"), same, "left").select("l.*", *[f"r.median_{h}" for h in horizons])
 
 
-def terminal_return(prices: DataFrame, holdings: DataFrame, key: str, ts: str, close: str, start: str, end: str) -> DataFrame:
-    """holdings with the first close at or within 14 days after start, the last close up to end, the total return and the years between.
+def terminal_return(prices: DataFrame, holdings: DataFrame, key: str, ts: str, close: str, start: str, end: str, before: int = 0) -> DataFrame:
+    """holdings with the first close from `before` days before to 14 days after start, the last close up to end, the total return and the years between.
 
     A last close over 14 days before the end means that the row did not survive.
     """
     ids = holdings.columns
     p = prices.select(key, F.col(ts).alias("_ts"), F.col(close).alias("_close"))
-    near = holdings.join(p, key, "left").where(F.col("_ts").isNull() | ((F.col("_ts") >= F.col(start)) & (F.col("_ts") <= F.col(end))))
+    near = holdings.join(p, key, "left").where(F.col("_ts").isNull() | ((F.col("_ts") >= F.col(start) - F.expr(f"interval {before} days")) & (F.col("_ts") <= F.col(end))))
     agg = near.groupBy(*ids).agg(
         F.min(F.when(F.col("_ts") < F.col(start) + F.expr("interval 14 days"), F.struct("_ts", "_close"))).alias("first"), F.max(F.struct("_ts", "_close")).alias("last")
     )

@@ -145,6 +145,30 @@ def fund_stats(df: DataFrame, score: str, key: str, ret: str, sizes: tuple[int,
     return out.crossJoin(F.broadcast(base)).select("fund", "n", "mean", "median", (F.col("mean") - F.col("_base")).alias("excess"), "hit_rate")  # one row
 
 
+def fund_report(df: DataFrame, score: str, key: str, ret: str, growth: str, cls: str, good: list[str], sizes: tuple[int, ...] = (20, 50, 100), bottom: int = 20) -> DataFrame:
+    """(fund, n, mean_total, median_total, growth, excess_growth, upside_hit, holdings) of the best `sizes` by score and the worst `bottom`; ties by key.
+
+    excess_growth is against all rows' mean growth, upside_hit the share of holdings
+    of a good class, holdings the keys from the best down. The top and the bottom are
+    bounded top-k plans, and so are the arrays.
+    """
+    most = max(sizes)
+    df = materialize(df.select(key, score, ret, growth, cls), "scores")
+    top = df.orderBy(F.desc(score), key).limit(most)  # a top-k report
+    top = top.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(score), key)))
+    funds = F.filter(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(f"top{s}").alias("fund")) for s in sizes]), lambda f: f["s"] >= F.col("_r"))
+    top = top.withColumn("_f", F.explode(funds)).withColumn("fund", F.col("_f.fund")).drop("_f")
+    low = df.orderBy(score, F.desc(key)).limit(bottom).withColumn("_r", -F.row_number().over(Window.orderBy(score, F.desc(key))))
+    held = top.unionByName(low.withColumn("fund", F.lit(f"bottom{bottom}")))
+    out = held.groupBy("fund").agg(
+        F.count("*").alias("n"), F.avg(ret).alias("mean_total"), F.median(ret).alias("median_total"), F.avg(growth).alias("growth"),
+        F.avg(F.col(cls).isin(good).cast("double")).alias("upside_hit"), F.transform(F.array_sort(F.collect_list(F.struct("_r", key))), lambda h: h[key]).alias("holdings"),
+    )
+    base = df.agg(F.avg(growth).alias("_base"))
+    out = out.crossJoin(F.broadcast(base))  # one row
+    return out.select("fund", "n", "mean_total", "median_total", "growth", (F.col("growth") - F.col("_base")).alias("excess_growth"), "upside_hit", "holdings")
+
+
 def top_by_group(df: DataFrame, group: str, score: str, key: str, ret: str, k: int = 20) -> DataFrame:
     """(group, n, fund_mean, market_mean, excess): each group's k best against the group's mean."""
     df = materialize(df.select(group, key, score, ret), "scores")

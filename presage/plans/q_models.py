@@ -302,6 +302,22 @@ def fund_stats(spark, sf_dir):
     return rounded(rounded(out, "hit_rate"), "mean", "median", "excess", digits=4)
 
 
+@query(
+    "fund_report",
+    f"""with {_SCORE_SQL}, g as (select *, balance / 100 as growth from fs), b as (select avg(growth) as b from g),
+        t as (select *, row_number() over (order by score desc, id) as r, row_number() over (order by score, id desc) as q from g),
+        h as (select concat('top', size) as fund, t.*, r as place from t, (select unnest([20, 50, 100]) as size) where r <= size union all select 'bottom20', *, -q from t where q <= 20)
+        select fund, count(*) as n, round(avg(price), 4) as mean_total, round(median(price), 4) as median_total, round(avg(growth), 6) as growth, round(avg(growth) - min(b.b), 6) as excess_growth,
+          round(avg((cls in ('1-URGENT', '2-HIGH'))::int), 6) as upside_hit, string_agg(cast(id as varchar), ',' order by place) as holdings from h, b group by 1""",
+)
+def fund_report(spark, sf_dir):
+    """Funds with their totals, growth against the universe, hits by class and holdings."""
+    f = _funds(spark, sf_dir).withColumn("growth", F.col("balance") / 100)
+    out = ranking.fund_report(f, "score", "id", "price", "growth", "cls", CLASSES[:2])
+    out = out.withColumn("holdings", F.array_join(F.transform("holdings", lambda x: x.cast("string")), ","))
+    return rounded(rounded(out, "growth", "excess_growth", "upside_hit"), "mean_total", "median_total", digits=4)
+
+
 @query(
     "per_vintage_topn",
     f"""with {_SCORE_SQL}, t as (select *, row_number() over (partition by vintage order by score desc, id) as r from fs)
@@ -607,6 +623,22 @@ def query_gateway(spark, sf_dir):
     return spark.createDataFrame([(gate.post(*body)[0], name) for name, body in asked.items()], "status int, asked string")
 
 
+@query(
+    "gateway_hits",
+    f"""with {_nb_sql({"region": "region", "size": "size"}, {"region": "ASIA", "size": "large"})}, m as (select region as feature, count(*) / (select count(*) from firms) as p from firms group by 1)
+        select 200 as status, 'predict' as asked, feature, round(p, 6) as p from r union all select 200, 'match', feature, round(p, 6) from m""",
+)
+def gateway_hits(spark, sf_dir):
+    """What served bodies answer: the gateway's rows with their status."""
+    gate, out = Gateway(_engine(spark, sf_dir)), None
+    bodies = {"predict": {"from": "companies", "where": {"region": "ASIA", "size": "large"}, "predict": "cls"}, "match": {"from": "companies", "match": "region"}}
+    for kind, body in bodies.items():
+        status, rows = gate.post(kind, body)
+        rows = rows.select(F.lit(status).alias("status"), F.lit(kind).alias("asked"), "feature", F.round("p" if kind == "predict" else "score", 6).alias("p"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "query_predict",
     f"""with {FIRMS_SQL}, {LONG_SQL}, c as (select unnest({_NAMES}) as c), g as (select * from (values ('region', 'ASIA'), ('size', 'large')) g(field, value)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from presage.functions import text
@@ -19,9 +21,7 @@ def csv_file(spark, sf_dir):
     lines = s.select(F.explode(F.array(F.concat(F.lit("# supplier "), F.col("s_suppkey").cast("string")), line)).alias("value"))
     lines.write.text(path)
     # The lines have no header: a partitioned text file has none to give.
-    return spark.read.schema("s_suppkey bigint, s_name string, s_acctbal double").option("comment", "#").option("nanValue", "NaN").csv(path).withColumn(
-        "s_acctbal", F.when(~F.isnan("s_acctbal"), F.col("s_acctbal"))
-    )
+    return readers.csv(spark, path, "s_suppkey bigint, s_name string, s_acctbal double", "#", header=False)
 
 
 @query("csv_sink", "select c_custkey, c_name, round(c_acctbal, 2) as c_acctbal, c_mktsegment from customer")
@@ -383,13 +383,15 @@ def excerpt_combined(spark, sf_dir):
 @query("insert_table", "select c_nationkey, count(*) + 1 as n from customer group by 1")
 def insert_table(spark, sf_dir):
     """A named table made anew, then rows inserted into it: counts of what it holds."""
-    name = f"presage_insert_{abs(hash(sf_dir))}"
+    name = f"presage_insert_{uuid.uuid4().hex}"
     c = table(spark, sf_dir, "customer").select("c_nationkey")
-    sinks.refresh_table(c.limit(0), name)
-    sinks.refresh_table(c, name)
-    sinks.insert_rows(c.distinct(), name)
-    out = spark.table(name).groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    path = new_path(spark, "counts")
-    sinks.refresh(out, path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        sinks.refresh_table(c.limit(0), name, new_path(spark, "table"))
+        sinks.refresh_table(c, name, new_path(spark, "table"))
+        sinks.insert_rows(c.distinct(), name)
+        out = spark.table(name).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+        path = new_path(spark, "counts")
+        sinks.refresh(out, path)
+    finally:
+        sinks.drop_table(spark, name)
     return spark.read.schema(out.schema).parquet(path)

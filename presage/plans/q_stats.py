@@ -284,6 +284,21 @@ def terminal_outcome(spark, sf_dir):
     return rounded(rounded(out, "years"), "total_return", digits=4)
 
 
+@query(
+    "terminal_window",
+    f"""with {PRICES_SQL}, b as (select min(ts) as lo, max(ts) as hi from prices), h as (select distinct key, lo + interval 9 day as s, hi - interval 1 day as e from prices, b),
+        g as (select h.key, h.s, h.e, min(p.ts) filter (where p.ts < h.s + interval 14 day) as f, max(p.ts) as l from h left join prices p on p.key = h.key and p.ts between h.s - interval 7 day and h.e group by 1, 2, 3)
+        select g.key, round(case when a.close > 0 then (z.close / a.close - 1) * 100 end, 4) as total_return, l >= e - interval 14 day as survived
+        from g left join prices a on a.key = g.key and a.ts = f left join prices z on z.key = g.key and z.ts = l""",
+)
+def terminal_window(spark, sf_dir):
+    """The first close of a window that opens seven days before the start."""
+    p = prices(spark, sf_dir)
+    b = p.agg((F.min("ts") + F.expr("interval 9 day")).alias("s"), (F.max("ts") - F.expr("interval 1 day")).alias("e"))
+    h = p.select("key").distinct().crossJoin(F.broadcast(b))  # one row
+    return rounded(events.terminal_return(p, h, "key", "ts", "close", "s", "e", before=7).select("key", "total_return", "survived"), "total_return", digits=4)
+
+
 @query("stream_tumbling", "select event_type, time_bucket(interval 1 day, ts) as start, count(*) as n from events group by 1, 2")
 def stream_tumbling(spark, sf_dir):
     return windows.tumbling(table(spark, sf_dir, "events"), "ts", ["event_type"], "1 day")

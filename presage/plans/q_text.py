@@ -44,6 +44,28 @@ def excerpt_budget(spark, sf_dir):
     return kept.select("doc_id", F.col("s")[0]["body"].alias("head"), F.col("s")[1]["body"].alias("body"))
 
 
+_MARKS = " &#8217;&#x2019;&ndash;&#146;&bogus; &amp;lt; &#0;&copy AT&T"
+
+
+@query("html_entities", f"""with p as (select page_id, html || '{_MARKS}' as t from pages) select page_id, md5({text.unescaped_sql("t")}) as digest, length({text.unescaped_sql("t")}) as n from p""")
+def html_entities(spark, sf_dir):
+    """Whole pages with every named and numbered entity read once."""
+    p = table(spark, sf_dir, "pages").select("page_id", text.unescaped(F.concat("html", F.lit(_MARKS))).alias("t"))
+    return p.select("page_id", F.md5("t").alias("digest"), F.char_length("t").cast("bigint").alias("n"))
+
+
+@query(
+    "excerpt_marked",
+    """with s as (select doc_id, text as a, concat('source ', source) as b from documents), n as (select *, length(a) + length(b) > 2000 and length(a) > length(b) as cut from s)
+       select doc_id, md5(case when cut then concat(substr(a, 1, 2000 - length(b)), chr(10), chr(10), '[…section truncated for token budget…]') else a end) as digest, cut from n""",
+)
+def excerpt_marked(spark, sf_dir):
+    """Whole texts within a budget; where one is cut a mark says so."""
+    d = table(spark, sf_dir, "documents")
+    body = text.within_budget({"text": F.col("text"), "source": F.concat(F.lit("source "), "source")}, 500, mark=text.CUT)[0]["body"]
+    return d.select("doc_id", F.md5(body).alias("digest"), body.endswith(text.CUT).alias("cut"))
+
+
 @query(
     "keyword_signals",
     """with t as (select doc_id, lower(text) as t from documents),

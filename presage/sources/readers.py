@@ -32,9 +32,9 @@ class Source(Protocol):
     def read(self, spark: SparkSession) -> DataFrame: ...
 
 
-def csv(spark: SparkSession, path: str, schema: str, comment: str | None = None) -> DataFrame:
-    """A CSV with a header; lines that begin with `comment` are skipped; NaN and empty fields are null."""
-    reader = spark.read.schema(schema).option("header", True).option("nanValue", "nan")
+def csv(spark: SparkSession, path: str, schema: str, comment: str | None = None, header: bool = True) -> DataFrame:
+    """A CSV, with a header or without; lines that begin with `comment` are skipped; NaN and empty fields are null."""
+    reader = spark.read.schema(schema).option("header", header).option("nanValue", "NaN" if not header else "nan")
     df = (reader.option("comment", comment) if comment else reader).csv(path)
     floats = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df

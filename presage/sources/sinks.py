@@ -46,18 +46,29 @@ def refresh(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def refresh_table(df: DataFrame, name: str) -> None:
-    """Full refresh of a named table: the new one is written whole beside the old one and then takes its name."""
-    spark, new = df.sparkSession, f"{name}_new"
-    spark.sql(f"DROP TABLE IF EXISTS {new}")
-    df.write.saveAsTable(new)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+def refresh_table(df: DataFrame, name: str, path: str) -> None:
+    """Full refresh of a named table: its rows are written whole at a new path, and then the name points there.
+
+    A name that is there is pointed elsewhere in one step of the catalog, so readers
+    find either the old rows or the new ones, and never none.
+    """
+    spark = df.sparkSession
+    df.write.parquet(path)
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
 
 
 def insert_rows(df: DataFrame, name: str) -> None:
-    """Appends rows to a named table, which is made if there is none."""
-    df.write.mode("append").saveAsTable(name)
+    """Appends rows to a named table."""
+    df.write.insertInto(name)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """The name goes; it need not be there. Its files stay in the shared folder until that goes."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
