@@ -306,7 +306,7 @@ def fund_stats(spark, sf_dir):
     "fund_report",
     f"""with {_SCORE_SQL}, g as (select *, balance / 100 as growth from fs), b as (select avg(growth) as b from g),
         t as (select *, row_number() over (order by score desc, id) as r, row_number() over (order by score, id desc) as q from g),
-        h as (select concat('top', size) as fund, t.*, r as place from t, (select unnest([20, 50, 100]) as size) where r <= size union all select 'bottom20', *, -q from t where q <= 20)
+        h as (select concat('top', z) as fund, t.*, r as place from t, (select unnest([20, 50, 100]) as z) where r <= z union all select 'bottom20', *, -q from t where q <= 20)
         select fund, count(*) as n, round(avg(price), 4) as mean_total, round(median(price), 4) as median_total, round(avg(growth), 6) as growth, round(avg(growth) - min(b.b), 6) as excess_growth,
           round(avg((cls in ('1-URGENT', '2-HIGH'))::int), 6) as upside_hit, string_agg(cast(id as varchar), ',' order by place) as holdings from h, b group by 1""",
 )
