@@ -7,9 +7,10 @@ whole.
 
 A text of over `longest` characters is halved, wherever that falls, until its
 parts are small, and the parts are encoded in parallel tasks. At each join a
-window grows on both sides until its ends are places where any text is cut alike
-(between a printable character and a space before another), is encoded anew, and
-takes the place of its tokens: outside it both sides agree with the whole. A text
+window grows on both sides to places where any text is cut alike (between a
+printable character and a space before another), is encoded anew, and takes the
+place of its tokens if it begins and ends with the tokens that both sides have
+there; where it does not agree with them, it grows to the next such places. A text
 with an unsplit stretch longer than a part is cut into pre-tokens first and the
 long ones are halved; there the window grows until its first and last token
 agree with the sides. Adjacent tokens of one BPE encoding are valid wherever each
@@ -17,7 +18,8 @@ pair of neighbours is, hence the result is the encoding of the whole.
 
 Defined results: a null text counts as empty; empty texts have no ids; every row
 gives a row, repeated or not; an empty table gives no rows; extra columns are
-ignored; the ids of a very long text, 4 bytes each, are joined in one task.
+ignored; the ids of a very long text are joined in one task, which holds them as
+Python integers (36 bytes an id or less).
 """
 
 from __future__ import annotations
@@ -222,13 +224,26 @@ def join_texts(left: list[int], right: list[int], encode: Callable[[str], list[i
         a, b = table[i], table[j]
         return 0x21 <= a[-1] <= 0x7E and len(b) > 1 and b[0] == 0x20 and 0x21 <= b[1] <= 0x7E
 
-    k = m = 1
+    k = m = 1  # a first guess: the nearest places where any text is cut alike
     while k < len(left) and not sure(left[-k - 1], left[-k]):
         k += 1
     while m < len(right) and not sure(right[m - 1], right[m]):
         m += 1
-    window = encode(b"".join(map(table.__getitem__, left[-k:] + right[:m])).decode())
-    return left[: len(left) - k] + window + right[m:]
+    while True:
+        window = encode(b"".join(map(table.__getitem__, left[-k:] + right[:m])).decode())
+        # Both sides agree where the window, cut by itself, begins and ends with their own tokens, or with a text's end.
+        agree = (k >= len(left) or window[:1] == left[-k : len(left) - k + 1]) and (m >= len(right) or window[-1:] == right[m - 1 : m])
+        if agree and (k >= len(left) or sure(left[-k - 1], left[-k])) and (m >= len(right) or sure(right[m - 1], right[m])):
+            return left[: len(left) - k] + window + right[m:]
+        k, m = _farther(left, k, lambda at: sure(left[-at - 1], left[-at])), _farther(right, m, lambda at: sure(right[at - 1], right[at]))
+
+
+def _farther(side: list[int], at: int, sure: Callable[[int], bool]) -> int:
+    """The next place behind `at` tokens where any text is cut alike, or the side's end."""
+    at = min(len(side), 2 * at)
+    while at < len(side) and not sure(at):
+        at += 1
+    return at
 
 
 #: A place where any text is cut alike.

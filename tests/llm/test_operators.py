@@ -506,6 +506,44 @@ def test_multiset_hash_against_brute_force(spark, odd):
         assert got[d]["near_next"] == pytest.approx(slow_likeness(vectors[0], vectors[2]), abs=1e-9)
 
 
+def test_bpe_of_five_million_characters(spark):
+    """One text by the tree, against the library's encoding of the whole."""
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] or "" for r in docs_of(spark).select("text").collect()]
+    text = "\n".join(texts)
+    text = (text * (5_000_000 // len(text) + 1))[:5_000_000]
+    library = Tokenizer.from_file(BYTE)
+    library.no_truncation()
+    library.no_padding()
+    ids = library.encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = bpe.encode_digests(df, BYTE).first()
+    assert tuple(got) == (1, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_bpe_windows_grow_until_both_sides_agree():
+    """Halves cut anywhere, joined by windows, are the whole's encoding; a first window that disagrees is not taken."""
+    rng = random.Random(3)
+    encode = lambda s: np.frombuffer(next(bpe.encoder(BYTE).encode([s])), "<u4").tolist()
+    table = bpe.decoder(BYTE).table
+    words = ["a", "the", "don't", "x1", "12345", "...", "?!", "é", "naïve", "  ", "\n", "\t"]
+    for _ in range(300):
+        text = " ".join(rng.choices(words, k=rng.randint(2, 40)))
+        at = rng.randint(0, len(text))
+        assert bpe.join_texts(encode(text[:at]), encode(text[at:]), encode, table) == encode(text)
+    seen = []
+    text = "one two three four five six seven eight nine ten eleven twelve"
+
+    def wrong_at_first(s):
+        seen.append(s)
+        return encode(s) if len(seen) > 1 else [0, *encode(s)]
+
+    left, right = encode(text[:30]), encode(text[30:])
+    assert bpe.join_texts(left, right, wrong_at_first, table) == encode(text)
+    assert len(seen) == 2 and seen[0] in seen[1] and len(seen[1]) > len(seen[0])
+
+
 def test_words_that_powers_of_a_base_confuse_differ():
     """Thue-Morse words and their complements collide under every polynomial hash modulo 2**64."""
     bits = [0]
