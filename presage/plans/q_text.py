@@ -103,7 +103,7 @@ def classify_releases(spark, sf_dir):
     "select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda t: t <> '')) as n from documents",
 )
 def text_tokens(spark, sf_dir):
-    from presage.plans.facade import tokens
+    from presage.functions.analysis import words as tokens
 
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n"))
 
