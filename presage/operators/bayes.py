@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from presage.functions.text import category
 from presage.operators.lift import unpivot
 from presage.operators.ranking import grouped_rank
+from presage.operators.staging import local_rows
 
 ALPHA = 1.0
 #: Rows of a count table that the driver takes.
@@ -34,9 +35,7 @@ def stratified_fold(df: DataFrame, label: str, key: str, k: int = 5, out: str =
 
 def _local(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
     """Rows of the driver as a relation whose size the optimizer knows: of at most BOUND rows, so it is broadcast."""
-    columns = list(zip(*rows)) or [()] * len(kinds)
-    table = pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), columns)})
-    return F.broadcast(spark.createDataFrame(table))
+    return F.broadcast(local_rows(spark, rows, kinds))
 
 
 class Counts:

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Application folders that are marked for deletion.
@@ -58,6 +59,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of the driver, in their order, as a relation whose size the optimizer knows; projections of it run no job."""
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), columns)}))
+
+
+def one_row(spark: SparkSession) -> DataFrame:
+    """A single row, to evaluate stated values on the driver."""
+    return local_rows(spark, [(0,)], {"_": pa.int32()})
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     system, target = _file_system(spark, path)
     system.delete(target, True)

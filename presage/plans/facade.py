@@ -24,6 +24,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +33,14 @@ from presage.functions.buckets import quantile_bin
 from presage.functions.text import category, keyword_signals
 from presage.operators import bayes, information, lift, ranking
 from presage.operators.count_store import snapshot_key
+from presage.operators.staging import local_rows, one_row
 
 KINDS = ("predict", "relate", "match", "similarity", "search", "evaluate")
 _COMPARE = {"$gt": Column.__gt__, "$gte": Column.__ge__, "$lt": Column.__lt__, "$lte": Column.__le__, "$has": Column.__eq__}
 #: Result columns by their names in `select`.
 _SELECT = {"$p": "p", "$score": "score", "$why": "why"}
-_WHY = "array<struct<kind: string, proposition: string, value: double>>"
+#: A prediction's rows: the factors of why are (kind, proposition, value).
+_ANSWER = {"feature": pa.string(), "p": pa.float64(), "why": pa.list_(pa.struct([("kind", pa.string()), ("proposition", pa.string()), ("value", pa.float64())]))}
 
 
 class QueryError(ValueError):
@@ -196,7 +199,7 @@ class Engine:
                 column = F.col(field)
                 if self._decimal(df, field):
                     column, literal = self.binned(name, field, column), self.binned(name, field, literal)
-                [given] = self.spark.range(1).select(category(literal).alias("v")).collect()
+                [given] = one_row(self.spark).select(category(literal).alias("v")).collect()
                 out.append(Proposition(field, category(column), given["v"]))
         names = [p.name for p in out]
         return [p for i, p in enumerate(out) if p.name not in names[:i]]
@@ -250,16 +253,15 @@ class Engine:
         model = self._models[asked]
         if model is None:  # a count table too large for the driver: only what the stated values need
             model = bayes.fit_stated(known.select("cls", *columns), {f"x{i}": p.value for i, p in enumerate(given)}, self.classes(df, target))
-        return self.spark.createDataFrame(_predicted(model, given), f"feature string, p double, why {_WHY}").orderBy(F.desc("p"), "feature").drop(
-            *([] if "$why" in body.get("select", []) else ["why"])
-        )
+        rows = sorted(_predicted(model, given), key=lambda r: (-r[1], r[0]))
+        return local_rows(self.spark, rows, _ANSWER).drop(*([] if "$why" in body.get("select", []) else ["why"]))
 
     def classify(self, name: str, text: str, target: str, least: int = 40) -> DataFrame:
         """(feature, p) of the target for a text: its keyword signals that say something are the given fields."""
         if len(text) < least:
             raise QueryError(f"a text has at least {least} characters")
         fields = [c for c in keyword_signals(F.lit("")) if c in self.table({"from": name}).columns]
-        signals = self.spark.range(1).select(*[keyword_signals(F.lit(text))[c].alias(c) for c in fields]).first().asDict()
+        signals = one_row(self.spark).select(*[keyword_signals(F.lit(text))[c].alias(c) for c in fields]).first().asDict()
         where = {k: v for k, v in signals.items() if v not in ("not_stated", "none")}
         return self.predict({"from": name, "where": where, "predict": target})
 
@@ -384,7 +386,7 @@ def predicted(spark: SparkSession, model: bayes.Counts, stated: dict[str, str])
     renamed.values = {(k, places.get(f, f), v): n for (k, f, v), n in model.values.items()}
     renamed.seen = {(k, places.get(f, f)): n for (k, f), n in model.seen.items()}
     given = [Proposition(f, F.lit(v), v) for f, v in stated.items()]
-    return spark.createDataFrame(_predicted(renamed, given), f"feature string, p double, why {_WHY}").select("feature", "p")
+    return local_rows(spark, _predicted(renamed, given), _ANSWER).select("feature", "p")
 
 
 class Gateway:
@@ -407,5 +409,5 @@ class Gateway:
 
 def response(hits: DataFrame, value: str, p: str, classes: list[str]) -> DataFrame:
     """Hits in fixed class order, 0 where a class is missing."""
-    grid = hits.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in classes])).alias("place", "feature"))
+    grid = one_row(hits.sparkSession).select(F.posexplode(F.array(*[F.lit(c) for c in classes])).alias("place", "feature"))
     return grid.join(hits.select(F.col(value).alias("feature"), F.col(p).alias("p")), "feature", "left").select("place", "feature", F.coalesce("p", F.lit(0.0)).alias("p"))
