@@ -13,7 +13,8 @@ Scoring reads every byte of every document, with a chunk in memory at a time.
 
 Defined results: a null text counts as empty; an empty text is scored from the
 zero features; without usable labels every score is 0.5; of labels that differ
-for one doc_id the least counts; rows repeated whole count once in the sample
+for one doc_id the least counts; of equal hashes at the sample's bounds the lesser
+doc_id, and then the lesser hash of the text, is taken first; rows repeated whole count once in the sample
 and score alike; rows that share a doc_id and differ in text share its label; an
 empty table gives no rows; extra columns pass through, but for one of the
 score's name, which the score replaces.

@@ -13,7 +13,9 @@ Defined results: `und` with score 0 for a null text, one without a letter, or
 if no labels exist; ties go to the language first by name; rows with a null
 lang are not learned from; repeated rows score alike; a text of over 4 BUCKETS
 trigrams is inferred from its counts, with the same result; an empty table gives
-no rows; extra columns pass through, but for those of the results' names.
+no rows; extra columns pass through, but for those of the results' names. Over
+LANGUAGES labels are an error, since a model holds BUCKETS numbers for each: no
+language is dropped without notice.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from presage.llm.common import ASCII_LOWER, crc_mod
 BUCKETS = 1 << 16
 #: Expected labelled documents a language that are learned from.
 SAMPLE = 6000
+#: Languages of a model: 64 MB at this number, which go to every task.
+LANGUAGES = 256
 #: Add-this smoothing of a bucket; EM rounds; penalty of a language, in log(trigrams).
 SMOOTHING, ROUNDS, PENALTY = 0.1, 12, 4.0
 #: Trigrams whose likelihoods are held at a time.
@@ -103,15 +107,17 @@ class Mixture:
         return self.names[top], min(1.0, max(0.0, found[top]))
 
 
-def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Mixture:
-    """Trigram counts over about `sample` whole documents of each language, where `learn` holds.
+def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, most: int = LANGUAGES) -> Mixture:
+    """Trigram counts over about `sample` whole documents of each language, of at most `most`, where `learn` holds.
 
     A language's documents are taken if the hash of their id is below a bound
     set from the language's count, so nothing is sorted or collected but the
     summed counts, BUCKETS to a language.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row a language
+    sizes = sorted(rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect(), key=lambda r: r["lang"])  # a row a language
+    if len(sizes) > most:
+        raise ValueError(f"lang has over {most} values, a model holds {most} languages at most")
     names = [r["lang"] for r in sizes]
     if not names:
         return Mixture([], np.zeros((0, BUCKETS)))

@@ -15,9 +15,11 @@ are within 4 bits just when they share such a midpoint, so one min() a midpoint
 links them exactly, in rows that grow linearly.
 
 Defined results: a null or wordless text has fingerprint zero and links like
-any other; texts of fewer words than a shingle hash as a whole; rows that repeat
-(even with their doc_id) each give a row; an empty table gives no rows; extra
-columns are ignored.
+any other; texts of fewer words than a shingle hash as a whole; a very long text
+is hashed whole, a block of shingles at a time; rows that repeat (even with their
+doc_id) each give a row; one with a null doc_id links like any other but names no
+component, so where all ids are null the component's is; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations

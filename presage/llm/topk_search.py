@@ -7,8 +7,8 @@ one at a time, and each scatters weight times posting into a dense array of
 scores. A partition selects the block's best k, and the blocks' lists merge into
 the query's k best. Equal scores go to the smaller id.
 
-Defined results: a vector that is null or holds a null, NaN or infinity takes no
-part; shorter vectors count as padded by zeros; the rows that share a query's id
+Defined results: a vector that is null or holds a null, NaN or infinity, or whose
+vec_id is null, takes no part; shorter vectors count as padded by zeros; the rows that share a query's id
 are not its candidates; queries repeated exactly are answered once, candidates
 that repeat count each; fewer than k candidates are all returned. Scores are
 exact, and clipped to 64 bits beyond them. An empty table gives no rows; extra

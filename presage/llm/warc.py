@@ -13,8 +13,11 @@ tasks read on until its empty line.
 Defined results: a null html counts as empty and a null url as absent; line ends
 in a url become %0A; extra columns are ignored; a payload
 of fewer than min_bytes is always a response; rows that repeat the least page_id
-of a payload are all responses; an empty table gives no records; an archive
-whose chain breaks before its end raises an error.
+of a payload are all responses; a null page_id is written and read back as null
+and stands behind all others, so its row is a response only if no row of its payload
+has an id; a payload of any length is one record, which the task that reads it
+holds whole; an empty table gives no records; an archive whose chain breaks before
+its end raises an error.
 """
 
 from __future__ import annotations

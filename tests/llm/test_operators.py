@@ -112,6 +112,45 @@ def test_chat_tokens_once_a_node(spark):
     assert sorted(x for x in said if x) == ["general <|end|> é", "other words"]
 
 
+@pytest.mark.parametrize("budget", [200, 1 << 20])
+def test_chat_token_trees_of_random_conversations(spark, budget):
+    """Each leaf's path gives its conversation's tokens, positions from 0 on, and the ancestors' intervals, in blocks of any size."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(WORDS), random.Random(11)
+    texts = ["hello there", "</s> ok", "é 日本 \\ x", "", "a longer answer of some words", "no"]
+    said = {c: [(rng.choice(["user", "assistant"]), rng.choice(texts)) for _ in range(rng.randint(1, 6))] for c in range(60)}
+    rows = [(c, i, *turn) for c, turns in said.items() for i, turn in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+
+    def parts(role, text):
+        whole, a, b = prefix_tree.format_turn(role, text)
+        body = len(whole) - len(prefix_tree.CLOSE)
+        own = [t.encode(x, add_special_tokens=False).ids for x in (whole[:a], whole[a:body], whole[body:])]
+        return own, [len(own[0]), len(own[0]) + (len(own[1]) if b > a else 0)]
+
+    seen = []
+    for block in prefix_tree.format_conversations(df, budget=budget, tokenizer=WORDS).collect():
+        ids, nodes = block["ids"], block["nodes"]
+        for leaf in block["leaves"]:
+            path, i = [], leaf["node"]
+            while i >= 0:
+                path.insert(0, nodes[i])
+                i = nodes[i]["parent"]
+            assert len(path) == len(said[leaf["conv_id"]])
+            at, before = 0, []
+            for n, turn in zip(path, said[leaf["conv_id"]]):
+                own, mask = parts(*turn)
+                assert ids[n["token_start"] : n["token_end"]] == sum(own, [])
+                assert [n["loss_token_start"] - n["token_start"], n["loss_token_end"] - n["token_start"]] == mask
+                assert n["position"] == at
+                assert [i for a in n["attends"] for i in range(a["start"], a["end"])] == before
+                at += n["token_end"] - n["token_start"]
+                before = [*before, *range(n["token_start"], n["token_end"])]
+            seen.append(leaf["conv_id"])
+    assert sorted(seen) == sorted(said)
+
+
 def test_chat_control_strings():
     rng = random.Random(2)
     for _ in range(3000):
@@ -168,6 +207,10 @@ def test_simhash_components(spark, odd, none):
     assert [r["component_id"] for r in got] == slow_components(pairs)
     rows = {r["doc_id"]: r for r in simhash.near_duplicates(odd).collect()}
     assert simhash.near_duplicates(odd).count() == len(ODD)
+    unnamed = spark.createDataFrame([(None, "one two three four five"), (None, "one two three four five")], "doc_id bigint, text string")
+    assert [r["component_id"] for r in simhash.near_duplicates(unnamed).collect()] == [None, None]
+    linked = simhash.near_duplicates(unnamed.unionByName(unnamed.withColumn("doc_id", F.lit(3).cast("bigint")))).collect()
+    assert [r["component_id"] for r in linked] == [3] * 4
     assert rows[5]["component_id"] == 4 and rows[1]["fp"] == rows[2]["fp"] == rows[3]["fp"] == 0 and rows[3]["component_id"] == 1
     assert simhash.near_duplicates(none).count() == 0
 
@@ -229,6 +272,31 @@ def test_plan_uses_every_piece_once_and_few_sequences(capacity):
     assert packing.plan({}, capacity) == []
 
 
+def best_fit_decreasing(sizes, capacity):
+    """Loads of the sequences, a piece at a time: each goes to the fullest one that holds it."""
+    loads = []
+    for n in sorted(sizes.elements(), reverse=True):
+        fits = [i for i, x in enumerate(loads) if x + n <= capacity]
+        if fits:
+            loads[max(fits, key=lambda i: loads[i])] += n
+        else:
+            loads.append(n)
+    return sorted(loads)
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 40, 2048])
+def test_plan_against_best_fit_of_single_pieces(capacity):
+    rng = random.Random(capacity + 1)
+    for _ in range(30):
+        top = rng.randint(1, capacity)
+        sizes = Counter(rng.randint(1, top) for _ in range(rng.randint(1, 250)))
+        load = Counter()
+        for length, _, each, first, n, _ in packing.plan(dict(sizes), capacity):
+            for s in range(first, first + n):
+                load[s] += each * length
+        assert sorted(load.values()) == best_fit_decreasing(sizes, capacity)
+
+
 def test_packing_documents(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -276,6 +344,20 @@ def test_languages(spark, odd, none):
     assert len(unlabelled) == len(ODD) and all(r["lang_pred"] == "und" for r in unlabelled)
 
 
+def test_many_languages(spark):
+    """As many labels as a model may hold are learned, one more is an error."""
+    rng = random.Random(4)
+    letters = {f"l{i:03}": rng.sample("abcdefghijklmnopqrstuvwxyz", 6) for i in range(60)}
+    rows = [(i, " ".join("".join(rng.choices(own, k=5)) for _ in range(80)), lang) for i, (lang, own) in enumerate(letters.items())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_mixture.fit(docs, F.lit(True), most=60)
+    assert model.names == sorted(letters)
+    found = language_mixture.identify(docs, model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found)
+    with pytest.raises(ValueError, match="over 59 values"):
+        language_mixture.fit(docs, F.lit(True), most=59)
+
+
 def slow_mixture(model, text):
     """Shares of the selected languages, a trigram at a time."""
     raw = b" " + text.encode().lower() + b" "

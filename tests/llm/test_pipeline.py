@@ -5,8 +5,10 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
-from presage.llm import near_copies, queries
+from presage.llm import byte_cnn, language_mixture, near_copies, queries
+from presage.llm.common import crc_mod
 from pyspark.sql import functions as F
+from test_operators import slow_mixture, slow_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,6 +57,29 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_filters_against_brute_force(spark):
+    """Quality and language keep what plain loops over the fitted models keep."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    short = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] and len(r["text"]) < 700}
+    net = byte_cnn.fit(*byte_cnn.sample(docs, labels.where(crc_mod("doc_id", 5) != 0)))
+    p = {d: slow_quality(net, text.encode()) for d, text in short.items()}
+    good = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, sf).collect()}
+    assert p and all((d in good) == (x >= 0.3) for d, x in p.items() if abs(x - 0.3) > 1e-3)
+    # Texts of one language, and of up to five, whose greatest share is small.
+    by = {}
+    for r in docs.collect():
+        if r["doc_id"] in short:
+            by.setdefault(r["lang"], r["text"][:300])
+    mixed = [" ".join(list(by.values())[i : i + k]) for k in (1, 2, 3, 5) for i in range(len(by))]
+    rows = spark.createDataFrame([(10**9 + i, t, None, None, len(t)) for i, t in enumerate(mixed)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    all_ = docs.select(*rows.columns).unionByName(rows)
+    model = language_mixture.fit(all_, crc_mod("doc_id", 4) != 2)
+    share = {10**9 + i: max(slow_mixture(model, t).values()) for i, t in enumerate(mixed)}
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, all_, sf).collect()}
+    assert any(x < 0.4 for x in share.values()) and all((d in kept) == (x >= 0.4) for d, x in share.items() if abs(x - 0.4) > 0.01)
+
+
 def test_run_is_its_stages(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
