@@ -16,6 +16,23 @@ def unpivot(df: DataFrame, keep: list[str], fields: list[str], missing: bool = F
     return long if missing else long.where(F.col("value").isNotNull())
 
 
+def _with_base(known: DataFrame, by: list[str], fields: list[str], marks: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(counts, base): n and the sums of marks for each (by..., field, value), and for each group of by whole, from one scan.
+
+    Each row gives a pair without a field besides its fields' own. Both results
+    choose from one aggregate by a value that it computes, not by a key, which
+    would be pushed below it: so they share its exchange.
+    """
+    pairs = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]
+    whole = F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
+    long = known.select(*by, *marks, F.explode(F.array(whole, *pairs)).alias("_p")).select(*by, *marks, "_p.field", "_p.value")
+    long = long.where(F.col("field").isNull() | F.col("value").isNotNull())
+    sums = [F.sum(c).alias(n) for c, n in marks.items()]
+    found = long.groupBy(*by, "field", "value").agg(F.count("*").alias("n"), *sums, F.count("field").alias("_own"))
+    base = found.where("_own = 0").select(*by, *[(F.col(n) / F.col("n")).alias(f"base_{n}") for n in marks.values()])
+    return found.where("_own > 0").drop("_own"), base
+
+
 def lift_table(df: DataFrame, fields: list[str], target: Column, least: int = 1, by: list[str] | None = None) -> DataFrame:
     """(by..., field, value, n, lift): P(target | field = value) / P(target), within each group of by.
 
@@ -23,20 +40,19 @@ def lift_table(df: DataFrame, fields: list[str], target: Column, least: int = 1,
     """
     by = by or []
     known = df.withColumn("_t", target.cast("int")).where(F.col("_t").isNotNull())
-    counts = unpivot(known, [*by, "_t"], fields).groupBy(*by, "field", "value").agg(F.count("*").alias("n"), F.sum("_t").alias("hits"))
-    base = known.groupBy(*by).agg(F.avg("_t").alias("base")) if by else known.agg(F.avg("_t").alias("base"))
+    counts, base = _with_base(known, by, fields, {"_t": "hits"})
     joined = counts.join(base, by) if by else counts.crossJoin(F.broadcast(base))  # one row
-    return joined.where((F.col("base") > 0) & (F.col("n") >= least)).select(*by, "field", "value", "n", (F.col("hits") / F.col("n") / F.col("base")).alias("lift"))
+    rate = F.col("base_hits")
+    return joined.where((rate > 0) & (F.col("n") >= least)).select(*by, "field", "value", "n", (F.col("hits") / F.col("n") / rate).alias("lift"))
 
 
 def two_way_lift(df: DataFrame, fields: list[str], up: Column, down: Column, least: int = 12) -> DataFrame:
     """(field, value, n, lift_up, lift_down) in one pass."""
     known = df.withColumns({"_u": up.cast("int"), "_d": down.cast("int")}).where(F.col("_u").isNotNull() & F.col("_d").isNotNull())
-    counts = unpivot(known, ["_u", "_d"], fields).groupBy("field", "value").agg(F.count("*").alias("n"), F.sum("_u").alias("u"), F.sum("_d").alias("d"))
-    base = known.agg(F.avg("_u").alias("bu"), F.avg("_d").alias("bd"))
+    counts, base = _with_base(known, [], fields, {"_u": "u", "_d": "d"})
     out = counts.where(F.col("n") >= least).crossJoin(F.broadcast(base))  # one row
-    lift = lambda hits, rate: F.try_divide(F.col(hits) / F.col("n"), F.col(rate))
-    return out.select("field", "value", "n", lift("u", "bu").alias("lift_up"), lift("d", "bd").alias("lift_down"))
+    lift = lambda hits: F.try_divide(F.col(hits) / F.col("n"), F.col(f"base_{hits}"))
+    return out.select("field", "value", "n", lift("u").alias("lift_up"), lift("d").alias("lift_down"))
 
 
 def scoped_lift(df: DataFrame, fields: list[str], target: Column, scopes: dict[str, Column], least: int = 1) -> DataFrame:

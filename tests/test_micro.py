@@ -404,3 +404,14 @@ def test_similar_on_many_fields(spark, head):
             if r[0] != f[0] and shared:
                 scores.append((-round(sum(shared), 9), r[0]))
         assert got[f[0]] == [(i, round(-s, 6)) for s, i in sorted(scores)[:6]]
+
+
+def test_lifts_and_their_base_come_from_one_scan(spark):
+    rows = [(1, "a", None), (1, "a", "x"), (0, "b", "x"), (0, None, "x"), (None, "a", "x")]
+    df = spark.createDataFrame(rows, "t int, f string, g string")
+    got = lift.lift_table(df, ["f", "g"], F.col("t"))
+    assert {(r["field"], r["value"]): (r["n"], r["lift"]) for r in got.collect()} == {("f", "a"): (2, 2.0), ("f", "b"): (1, 0.0), ("g", "x"): (3, pytest.approx(2 / 3))}
+    plan = got._jdf.queryExecution().toString().partition("Final Plan")[2].partition("Initial Plan")[0]
+    assert plan.count("Generate explode") == 1 and "ReusedExchange" in plan
+    assert lift.lift_table(df.where("t is null"), ["f"], F.col("t")).count() == 0
+    assert lift.two_way_lift(df, ["f"], F.col("t") == 1, F.col("t") == 0, 1).count() == 2
