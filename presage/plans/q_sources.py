@@ -125,20 +125,18 @@ def html_rows(spark, sf_dir):
 _FILED = """f as (select c_custkey % 50 as ticker, cast('1995-01-01' as date) + cast(c_custkey * 37 % 1500 as int) as filed, c_custkey as id from customer)"""
 
 
-def _filing_rows(spark, sf_dir):
-    """A filing for each customer: (ticker, filed, id)."""
+def _filing_rows(spark, sf_dir, form):
+    """A filing for each customer: (ticker, form, filed, accession, text)."""
     day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") * 37 % 1500).cast("int"))
-    return table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("ticker"), F.date_format(day, "yyyy-MM-dd").alias("filed"), F.col("c_custkey").alias("id"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("ticker"), F.date_format(day, "yyyy-MM-dd").alias("filed"), F.col("c_custkey").cast("string").alias("id"))
+    return c.select(F.col("ticker").cast("string").alias("ticker"), form.alias("form"), "filed", F.col("id").alias("accession"), F.concat(F.lit("report "), "id").alias("text"))
 
 
 @query("filing_scan", f"""with {_FILED} select c as ticker, max_by(case when id is not null then concat('report ', id) end, (filed, id)) as text, max(filed) as filed from (select unnest(range(50)) as c) left join f on f.ticker = c and filed < date '1997-01-01' group by 1""")
 def filing_scan(spark, sf_dir):
-    """Folders of metadata and text, written a file a filing, scanned, and the latest before a cutoff taken for each ticker."""
+    """Folders of metadata and texts, each of many filings, written and scanned, and the latest before a cutoff taken for each ticker."""
     root = new_path(spark, "filings")
-    o = _filing_rows(spark, sf_dir)
-    said = F.to_json(F.struct(F.col("ticker").cast("string").alias("ticker"), F.lit("10-K").alias("form"), "filed", F.col("id").cast("string").alias("accession")))
-    both = o.select("id", F.explode(F.create_map(F.lit("metadata.json"), said, F.lit("text.txt"), F.concat(F.lit("report "), F.col("id").cast("string")))).alias("name", "value"))
-    _write_files(both.select(F.concat_ws("/", F.col("id").cast("string"), "name").alias("name"), "value"), root)
+    sinks.write_filings(_filing_rows(spark, sf_dir, F.lit("10-K")), root)
     scanned = readers.filing_folders(spark, root).select(F.col("ticker").cast("bigint").alias("ticker"), "filed", F.col("accession").cast("bigint").alias("id"), "text")
     cuts = spark.range(50).select(F.col("id").alias("ticker"), F.lit("1997-01-01").cast("date").alias("cutoff"))
     return joins.asof_backward(cuts, scanned, "ticker", "cutoff", "filed", "text", "id").select("ticker", "text", "filed")
@@ -149,10 +147,8 @@ def filing_source(spark, sf_dir):
     """The folders as a data source: form, ticker and date are filtered on the metadata, and only what is left is opened."""
     connector.register(spark)
     root = new_path(spark, "filings")
-    said = F.to_json(F.struct(F.col("ticker").cast("string").alias("ticker"), F.when(F.col("ticker") % 2 == 0, "10-K").otherwise("8-K").alias("form"), "filed", F.col("id").cast("string").alias("accession")))
-    both = _filing_rows(spark, sf_dir).select("id", F.explode(F.create_map(F.lit("metadata.json"), said, F.lit("text.txt"), F.concat(F.lit("report "), F.col("id").cast("string")))).alias("name", "value"))
-    _write_files(both.select(F.concat_ws("/", F.col("id").cast("string"), "name").alias("name"), "value"), root)
-    rows = spark.read.format("filings").option("path", root).load()
+    sinks.write_filings(_filing_rows(spark, sf_dir, F.when(F.col("ticker") % 2 == 0, "10-K").otherwise("8-K")), root)
+    rows = spark.read.format("filings").option("path", root).option("folders", 16).load()
     return rows.where((F.col("form") == "10-K") & (F.col("filed") >= F.lit("1996-01-01").cast("date")) & F.col("ticker").isin("4", "8", "15", "16")).drop("accession")
 
 
@@ -168,25 +164,6 @@ def batch_sink(spark, sf_dir):
     return back.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-def _write_files(rows, root: str) -> None:
-    """Each row (name, value) as a file of its own below root, written by the tasks that hold the rows."""
-
-    def run(batches):
-        import os
-
-        from pyarrow import fs
-
-        for b in batches:
-            for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                system, base = (fs.LocalFileSystem(), "/" + root[5:].lstrip("/")) if root.startswith("file:") else fs.FileSystem.from_uri(root)
-                system.create_dir(f"{base}/{os.path.dirname(name)}", recursive=True)
-                with system.open_output_stream(f"{base}/{name}") as f:
-                    f.write(value.encode())
-            yield b
-
-    rows.mapInArrow(run, rows.schema).count()
-
-
 _PAGED_SQL = "select o_custkey as ticker, o_orderkey as id, o_orderstatus as form from orders"
 
 

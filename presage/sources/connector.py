@@ -1,9 +1,9 @@
 """Filings and engine tables as Spark data sources: spark.read.format("filings"), df.write.format("batches").
 
 register(spark) makes both known. `filings` reads folders of metadata.json and
-text.txt; its partitions are ranges of folders, and filters on ticker, form and
-filed date are applied to the metadata, so that texts of other filings are never
-opened. `batches` writes rows as JSON lines in files of a bounded number of rows;
+text.txt, of one filing each or of many (readers.filing_folders says how); its
+partitions are ranges of folders, and filters on ticker, form and filed date are
+applied to the metadata, so that texts of other filings are never read. `batches` writes rows as JSON lines in files of a bounded number of rows;
 a file counts only once the commit has named it, so a failed or repeated task
 leaves nothing behind that is read.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -75,22 +75,43 @@ class FilingReader(DataSourceReader):
         for name in partition.names:
             try:
                 with system.open_input_stream(f"{name}/metadata.json") as f:
-                    said = json.loads(f.read())
+                    told = json.loads(f.read())
             except FileNotFoundError:  # a folder of something else
                 continue
-            try:
-                filed = date.fromisoformat(said.get("filed") or "")
-            except ValueError:
-                filed = None
-            row = {"ticker": said.get("ticker"), "form": said.get("form"), "filed": filed}
-            if not all(_holds(f, row) for f in self.filters):
-                continue
-            try:
-                with system.open_input_stream(f"{name}/text.txt") as f:
-                    text = f.read().decode("utf-8", "replace")
-            except FileNotFoundError:
-                text = None
-            yield row["ticker"], row["form"], filed, said.get("accession"), text
+            wanted = []
+            for said in told if isinstance(told, list) else [told]:
+                try:
+                    filed = date.fromisoformat(said.get("filed") or "")
+                except ValueError:
+                    filed = None
+                row = {"ticker": said.get("ticker"), "form": said.get("form"), "filed": filed}
+                if all(_holds(f, row) for f in self.filters):
+                    wanted.append((said, (*row.values(), said.get("accession"))))
+            for (_, row), text in zip(wanted, _texts(system, f"{name}/text.txt", [said for said, _ in wanted])):
+                yield *row, text
+
+
+def _texts(system, name: str, wanted: list[dict]) -> Iterator[str | None]:
+    """The texts of some filings of a folder: the file's, or their bytes of it."""
+    if not wanted:
+        return
+    try:
+        if any(said.get("start") is None for said in wanted):
+            with system.open_input_stream(name) as f:
+                raw = f.read()
+            cut = lambda start, size: raw[start : start + size]
+            yield from (_text(said, raw, cut) for said in wanted)
+            return
+        with system.open_input_file(name) as f:
+            yield from (_text(said, None, lambda start, size: f.read_at(size, start)) for said in wanted)
+    except FileNotFoundError:
+        yield from [None] * len(wanted)
+
+
+def _text(said: dict, whole: bytes | None, cut: Callable[[int, int], bytes]) -> str | None:
+    if said.get("start") is not None and said.get("size") is None:
+        return None
+    return (whole if said.get("start") is None else cut(said["start"], said["size"])).decode("utf-8", "replace")
 
 
 class Filings(DataSource):

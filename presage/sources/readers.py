@@ -22,8 +22,8 @@ SUBMISSIONS = (
 )
 #: A further page of submissions: the parallel arrays by themselves.
 PAGE = SUBMISSIONS[SUBMISSIONS.index("recent: ") + 8 : SUBMISSIONS.index(", files")]
-#: What a filing's folder says of it.
-METADATA = "struct<ticker: string, form: string, filed: string, accession: string>"
+#: What a filing's folder says of it; start and size are given where the folder holds several.
+METADATA = "struct<ticker: string, form: string, filed: string, accession: string, start: bigint, size: bigint>"
 
 
 class Source(Protocol):
@@ -82,12 +82,21 @@ def submissions(docs: DataFrame, key: str = "path", json: str = "json", pages: D
 
 
 def filing_folders(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, form, filed, accession, text): the folders below path, each with a metadata.json and a text.txt."""
-    whole = lambda name: spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
+    """(ticker, form, filed, accession, text): the folders below path, each with a metadata.json and a text.txt.
+
+    metadata.json holds one filing's object, whose text is the whole of text.txt, or
+    an array of many filings' objects, whose start and size are the bytes of
+    text.txt that each has; one with a start and no size has no text.
+    """
+    whole = lambda name: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path, wholetext=True)
     folder = F.regexp_extract(F.input_file_name(), r"^(.*)/[^/]+$", 1).alias("folder")
-    said = whole("metadata.json").select(folder, F.from_json("value", METADATA).alias("m"))
-    said = said.select("folder", "m.ticker", "m.form", F.try_to_date("m.filed", "yyyy-MM-dd").alias("filed"), "m.accession")
-    return said.join(whole("text.txt").select(folder, F.col("value").alias("text")), "folder").drop("folder")
+    unread = F.array(F.lit(None).cast(METADATA))
+    said = whole("metadata.json").select(folder, F.coalesce(F.from_json("value", f"array<{METADATA}>"), unread).alias("m"))
+    texts = whole("text.txt").select(folder, F.col("value").alias("_text"), F.col("value").cast("binary").alias("_bytes"))
+    part = lambda m: F.substring(F.col("_bytes"), (m["start"] + 1).cast("int"), m["size"].cast("int")).cast("string")
+    own = F.transform("m", lambda m: F.struct(m.alias("m"), F.when(m["start"].isNull(), F.col("_text")).otherwise(part(m)).alias("text")))
+    each = said.join(texts, "folder").select(F.explode(own).alias("f"))
+    return each.select("f.m.ticker", "f.m.form", F.try_to_date("f.m.filed", "yyyy-MM-dd").alias("filed"), "f.m.accession", "f.text")
 
 
 class Parquet:

@@ -1,12 +1,19 @@
-"""Sinks: CSV, JSON reports, tables with full refresh and resumed appends."""
+"""Sinks: CSV, JSON reports, folders of filings, tables with full refresh and resumed appends."""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
 
 from presage.operators.joins import resume
+from presage.sources.connector import _system
+
+#: Filings, and bytes of their texts, that a folder holds on average.
+FOLDER_ROWS, FOLDER_BYTES = 4096, 64 << 20
 
 
 def rounded(df: DataFrame, digits: int = 4, half_even: bool = False) -> DataFrame:
@@ -77,6 +84,36 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     resume(df, done, keys).select(*df.columns).write.mode("append").parquet(path)
 
 
+def write_filings(df: DataFrame, path: str, rows: int = FOLDER_ROWS, size: int = FOLDER_BYTES) -> None:
+    """(ticker, form, filed, accession, text) as folders below path, each of about `rows` filings and at most about `size` bytes of text.
+
+    A folder's metadata.json is an array of the filings' objects, its text.txt their
+    texts one behind another. A task that is repeated writes the same files again.
+    """
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    folders = max(1, -(-found["n"] // rows), -(-found["bytes"] // size))
+
+    def write(table: pa.Table) -> pa.Table:
+        system, base = _system(path)
+        own = f"{base}/{table['_folder'][0].as_py():08d}"
+        said, texts, at = [], [], 0
+        for r in table.drop_columns("_folder").sort_by([(c, "ascending") for c in names]).to_pylist():
+            text = r.pop("text")
+            raw = (text or "").encode()
+            said.append({k: v for k, v in (r | {"start": at, "size": None if text is None else len(raw)}).items() if v is not None})
+            texts.append(raw)
+            at += len(raw)
+        system.create_dir(own, recursive=True)
+        for name, content in (("text.txt", b"".join(texts)), ("metadata.json", json.dumps(said).encode())):
+            with system.open_output_stream(f"{own}/{name}") as f:
+                f.write(content)
+        return pa.table({"n": pa.array([len(said)], pa.int64())})
+
+    names = ["accession", "ticker", "form", "filed", "text"]
+    dealt = df.select(*names, F.pmod(F.xxhash64("accession", "ticker", "form", "filed"), F.lit(folders)).alias("_folder"))
+    dealt.groupBy("_folder").applyInArrow(write, "n bigint").collect()
+
+
 def pending(spark: SparkSession, schema: str, missing: list[str] | None = None) -> DataFrame:
     """The report of a stage whose inputs are absent: a row that is marked pending and names them, its other columns null."""
     named = spark.createDataFrame([(True, ",".join(missing or []))], "_pending boolean, _missing string")

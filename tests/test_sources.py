@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from presage.operators import bayes, information, ranking
-from presage.sources import connector
+from presage.plans import q_sources, registry
+from presage.sources import connector, readers, sinks
 
 
 def put(root, name, said, text):
@@ -43,6 +44,28 @@ def test_filings_are_filtered_before_texts_are_opened(spark, tmp_path):
     assert spark.read.format("filings").option("path", str(tmp_path / "none")).load().count() == 0
 
 
+def test_folders_of_many_filings_are_read_alike(spark, tmp_path):
+    connector.register(spark)
+    rows = [(f"T{i % 5}", "10-K" if i % 2 else "8-K", f"2020-01-{1 + i % 28:02d}", str(i), None if i % 7 == 0 else "" if i % 7 == 1 else f"té\nxt €{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "ticker string, form string, filed string, accession string, text string")
+    sinks.write_filings(df, f"file:{tmp_path}/t", rows=50)
+    assert len(list((tmp_path / "t").iterdir())) <= 6
+    put(tmp_path / "t", "one", {"ticker": "T9", "form": "10-K", "filed": "2021-05-01", "accession": "x"}, "a wholé text")
+    want = sorted(((t, f, date.fromisoformat(d), a, x) for t, f, d, a, x in [*rows, ("T9", "10-K", "2021-05-01", "x", "a wholé text")]), key=lambda r: r[3])
+    read = lambda: spark.read.format("filings").option("path", f"file:{tmp_path}/t").load()
+    assert sorted(map(tuple, read().collect()), key=lambda r: r[3]) == want
+    assert sorted(map(tuple, readers.filing_folders(spark, f"file:{tmp_path}/t").collect()), key=lambda r: r[3]) == want
+    assert sorted(map(tuple, read().where("ticker = 'T3' and form = '8-K'").collect()), key=lambda r: r[3]) == [r for r in want if r[:2] == ("T3", "8-K")]
+
+
+@pytest.mark.parametrize("name", ["filing_scan", "filing_source"])
+def test_filing_queries_write_few_files(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(q_sources, "new_path", lambda spark, tag: f"file:{tmp_path}/{tag}")
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert 0 < sum(1 for p in tmp_path.rglob("*") if p.is_file()) < customers
+
+
 def test_batches_count_once_they_are_committed(spark, tmp_path):
     connector.register(spark)
     path = str(tmp_path / "t")
