@@ -62,13 +62,34 @@ def stated_terms(text: object, analyzer: str | None = None) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def term_counts(text: Column, wanted: list[str], analyzer: str | None = None) -> tuple[Column, Column]:
-    """(terms in the text, how often it has each wanted one as an array); endings are cut only of words that begin like a wanted term."""
+def near_terms(found: Column, wanted: list[str], analyzer: str | None = None) -> Column:
+    """Of a text's words, the terms of those that begin like a wanted term: no other word can be one, so no other's endings are cut.
+
+    An ending that goes leaves the start of its word, but for a last letter that a rule may change.
+    """
+    starts = sorted({t[: max(KEPT, len(t) - 1)] for t in wanted})
+    like = lambda w: reduce(Column.__or__, [F.startswith(w, F.lit(s)) for s in starts], F.lit(False))
+    near = F.filter(found, lambda w: F.left(w, F.lit(KEPT)).isin(sorted({s[:KEPT] for s in starts})) & like(w))
+    return near if analyzer is None else F.transform(near, stem)
+
+
+def has_term(text: Column, wanted: list[str], analyzer: str | None = None) -> Column:
+    """Whether the text has one of the terms."""
+    found = words(text)
+    near = near_terms(found if analyzer is None else telling(found), wanted, analyzer)
+    return F.arrays_overlap(near, F.array(*[F.lit(t) for t in wanted]).cast("array<string>"))
+
+
+def term_counts(text: Column, wanted: list[str], analyzer: str | None = None) -> Column:
+    """(size, counts): terms in the text, and how often it has each wanted one as an array. The text is cut into words once."""
+
+    def counted(found: Column) -> Column:
+        own = near_terms(found, wanted, analyzer)
+        each = F.transform(F.array(own), lambda o: F.transform(F.array(*[F.lit(t) for t in wanted]), lambda t: F.size(F.filter(o, lambda x: x == t))))[0]
+        return F.struct(F.size(found).alias("size"), each.alias("counts"))
+
     found = words(text) if analyzer is None else telling(words(text))
-    starts = sorted({t[:KEPT] for t in wanted})
-    near = F.filter(found, lambda w: F.left(w, F.lit(KEPT)).isin(starts))
-    own = near if analyzer is None else F.transform(near, stem)
-    return F.size(found), F.transform(F.array(*[F.lit(t) for t in wanted]), lambda t: F.size(F.filter(own, lambda x: x == t)))
+    return F.transform(F.array(found), counted)[0]
 
 
 def terms_sql(text: str, analyzer: str | None = None) -> str:

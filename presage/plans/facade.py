@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presage.functions.analysis import stated_terms, term_counts, terms
+from presage.functions.analysis import has_term, stated_terms, term_counts, terms
 from presage.functions.buckets import quantile_bin
 from presage.functions.text import category, keyword_signals
 from presage.operators import bayes, information, lift, ranking
@@ -128,8 +128,7 @@ class Engine:
     def _shares(self, df: DataFrame, field: str, value: object) -> Column:
         """Whether the text has one of the stated terms; a null text does not tell."""
         how = self.text_fields[field]
-        stated = F.array(*[F.lit(t) for t in stated_terms(value, how)]).cast("array<string>")
-        return F.arrays_overlap(terms(self._field(df, field), how), stated)
+        return has_term(self._field(df, field), stated_terms(value, how), how)
 
     def _operators(self, df: DataFrame, field: str, ops: dict) -> Column:
         parts = []
@@ -306,15 +305,18 @@ class Engine:
             wanted = stated_terms(value["$has"] if isinstance(value, dict) and set(value) == {"$has"} else value, self.text_fields[field])
             if not wanted:
                 continue
-            size, counts = term_counts(F.col(field), wanted, self.text_fields[field])
-            has = [F.count(F.when(F.col("_c")[i] > 0, 1)).alias(f"d{i}") for i in range(len(wanted))]
-            known = df.where(F.col(field).isNotNull()).select(size.alias("_s"), counts.alias("_c"))
-            facts = known.agg(F.count("*").alias("n"), F.avg("_s").alias("mean"), *has).first()  # one row
+            found = term_counts(F.col(field), wanted, self.text_fields[field])
+            has = [F.count(F.when(F.col("_t.counts")[i] > 0, 1)).alias(f"d{i}") for i in range(len(wanted))]
+            known = df.where(F.col(field).isNotNull()).select(found.alias("_t"))
+            facts = known.agg(F.count("*").alias("n"), F.avg("_t.size").alias("mean"), *has).first()  # one row
             rare = [math.log(1 + (facts["n"] - facts[f"d{i}"] + 0.5) / (facts[f"d{i}"] + 0.5)) for i in range(len(wanted))]
             weight = F.array(*[F.lit(x) for x in rare])
-            norm = k1 * (1 - b + b * size / F.lit(facts["mean"] or 1.0))
-            each = F.zip_with(counts, weight, lambda n, w: w * n * (k1 + 1) / (n + norm))
-            score = score + F.coalesce(F.aggregate(each, F.lit(0.0), lambda x, y: x + y), F.lit(0.0))
+
+            def scored(t: Column) -> Column:
+                norm = k1 * (1 - b + b * t["size"] / F.lit(facts["mean"] or 1.0))  # noqa: B023
+                return F.aggregate(F.zip_with(t["counts"], weight, lambda n, w: w * n * (k1 + 1) / (n + norm)), F.lit(0.0), lambda x, y: x + y)  # noqa: B023
+
+            score = score + F.coalesce(F.transform(F.array(found), scored)[0], F.lit(0.0))  # the text is analysed once a row
         return score
 
     def search(self, body: dict) -> DataFrame:

@@ -10,6 +10,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from presage.functions import analysis
 from presage.operators import bayes, information, ranking
 from presage.plans import q_sources, registry
 from presage.sources import connector, readers, sinks
@@ -155,3 +156,20 @@ def test_portfolios_by_many_scores(spark):
         for i, c in enumerate("xyz"):
             own_ = [r[6] for r in rows if r[1] != k and r[2] == c]
             assert means[k][i] == pytest.approx(sum(own_) / len(own_))
+
+
+def test_only_words_like_a_term_are_stemmed(spark):
+    rng, ends = random.Random(3), ["", "s", "es", "ies", "ing", "ed", "ly", "e", "y", "sses", "lies", "nning", "ily", "eed", "'s"]
+    words = ["".join(rng.choice("aerstyl") for _ in range(rng.randrange(1, 6))) + rng.choice(ends) for _ in range(3000)]
+    df = spark.createDataFrame([(w,) for w in words] + [(None,), ("",), ("The Reing is of; stndeas é",)], "t string")
+    stems = [r[0] for r in df.select(F.explode(analysis.terms(F.col("t"), "english"))).distinct().collect()]
+    for wanted in (stems[:3], stems[3:60], ["re", "stndea"], []):
+        asked = F.array(*[F.lit(w) for w in wanted]).cast("array<string>")
+        whole = analysis.terms(F.col("t"), "english")
+        each = F.transform(asked, lambda w: F.size(F.filter(whole, lambda x: x == w)))
+        found = analysis.term_counts(F.col("t"), wanted, "english")
+        got = df.select(analysis.has_term(F.col("t"), wanted, "english").alias("a"), F.arrays_overlap(whole, asked).alias("b"), found["counts"].alias("c"), each.alias("d"), found["size"].alias("e"), F.size(whole).alias("f"))
+        bad = got.where("not (a <=> b) or (b is not null and (c <> d or e <> f))").collect()
+        assert not bad
+    like = analysis.near_terms(F.array(F.lit("running"), F.lit("stone"), F.lit("sting")), ["ston"], "english")
+    assert spark.range(1).select(like).first()[0] == ["ston"]  # "sting" kept as "st" before: its ending was cut for nothing
