@@ -204,6 +204,21 @@ def fund_table(df: DataFrame, scores: str, names: list[str], key: str, ret: str,
     return met.groupBy(*names, "size").agg(F.avg(ret).alias("mean"), F.avg((F.col(ret) > F.col("_market")).cast("double")).alias("share_beating"))
 
 
+def fund_means(df: DataFrame, scores: list[str], key: str, ret: str, sizes: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
+    """(name, top{size}...): the mean return of the best `sizes` rows under each column of scores; ties by key.
+
+    All scores are computed once, into one table; each portfolio is a bounded top-k plan over it.
+    """
+    df, out = materialize(df.select(key, ret, *scores), "scores"), None
+    for s in scores:
+        order = [F.desc(s), F.col(key)]
+        top = df.select(key, ret, s).orderBy(*order).limit(max(sizes))  # a top-k report
+        top = top.withColumn("_r", F.row_number().over(Window.orderBy(*order)))
+        row = top.groupBy(F.lit(s).alias("name")).agg(*[F.avg(F.when(F.col("_r") <= n, F.col(ret))).alias(f"top{n}") for n in sizes])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def beats(funds: DataFrame) -> DataFrame:
     """One row: groups, and the share of them whose fund has a positive excess."""
     return funds.agg(F.count("*").alias("groups"), F.avg((F.col("excess") > 0).cast("double")).alias("share_beating"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from presage.functions.analysis import stated_terms, terms_sql
 from presage.operators import bayes, information, lift, ranking
 from presage.operators.count_store import CountStore, fitted
-from presage.operators.staging import new_path
+from presage.operators.staging import materialize, new_path
 from presage.plans.core import CLASSES, FEATURES, FIRMS_SQL, FOLDS, LONG_SQL, PRESENT_SQL, firms, query, rounded, table
 from presage.plans.facade import Engine, Gateway, predicted, response
 from presage.sources import sinks
@@ -393,13 +393,12 @@ _SCHOOL_ROWS = ", ".join(f"('{name}', '{f}')" for name, fields in _SCHOOLS.items
 )
 def schools(spark, sf_dir):
     """Feature sets as investing schools: the mean of each one's best 20, 50 and 100, and the decay between."""
-    f, out = firms(spark, sf_dir), None
-    for name, fields in _SCHOOLS.items():
-        p = F.col("p")
-        scored = bayes.cross_validate(f, fields, CLASSES, FOLDS).select("id", F.round(sum((p[i] * (4 - i) for i in range(1, 5)), p[0] * 4), 9).alias("score"))
-        means = ranking.fund_stats(f.join(scored, "id"), "score", "id", "balance").where("fund <> 'bottom20'")
-        row = means.groupBy(F.lit(name).alias("school")).pivot("fund", ["top20", "top50", "top100"]).agg(F.round(F.first("mean"), 4))
-        out = row if out is None else out.unionByName(row)
+    # What the model counts and scores, stored: the joins that make firms run once.
+    f = materialize(firms(spark, sf_dir).select("id", "fold", "cls", "balance", *FEATURES), "firms")
+    scored = bayes.subset_scores(f, FEATURES, _SCHOOLS, CLASSES, FOLDS, keep=["balance"])
+    score = lambda p: F.round(sum((p[i] * (4 - i) for i in range(1, 5)), p[0] * 4), 9)
+    means = ranking.fund_means(scored.select("id", "balance", *[score(F.col(f"p_{s}")).alias(s) for s in _SCHOOLS]), list(_SCHOOLS), "id", "balance")
+    out = rounded(means, "top20", "top50", "top100", digits=4).withColumnRenamed("name", "school")
     return out.withColumn("decay", F.round(F.col("top100") - F.col("top20"), 4))
 
 

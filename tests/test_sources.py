@@ -173,3 +173,21 @@ def test_only_words_like_a_term_are_stemmed(spark):
         assert not bad
     like = analysis.near_terms(F.array(F.lit("running"), F.lit("stone"), F.lit("sting")), ["ston"], "english")
     assert spark.range(1).select(like).first()[0] == ["ston"]  # "sting" kept as "st" before: its ending was cut for nothing
+
+
+def test_schools_score_and_store_all_sets_at_once(spark, monkeypatch):
+    kept, store = [], ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, tag: kept.append(tag) or store(df, tag))
+    assert registry.QUERIES["schools"](spark, "/root/testdata/sf0.001").count() == 4
+    assert kept == ["scores"]  # one for each of the four sets before
+
+
+def test_fund_means_are_those_of_the_best_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.uniform(-1, 1), float(rng.randrange(6)), rng.random()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, ret double, a double, b double")
+    got = {r["name"]: (r["top5"], r["top40"]) for r in ranking.fund_means(df, ["a", "b"], "id", "ret", (5, 40)).collect()}
+    for at, name in ((2, "a"), (3, "b")):
+        best = [r[1] for r in sorted(rows, key=lambda r: (-r[at], r[0]))]
+        assert got[name] == pytest.approx((sum(best[:5]) / 5, sum(best[:40]) / 40))
+    assert ranking.fund_means(df.where("id < 0"), ["a"], "id", "ret").count() == 0
