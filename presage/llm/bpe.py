@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 #: Characters of a text that is encoded at once, and of a part of a longer one.
 LONGEST, LEAF = 1 << 15, 4096
-#: Pre-tokens kept by a worker before its memo starts anew.
+#: Pre-tokens kept by a worker before a memo begins its next generation (word) or starts anew (byte).
 MEMO = 150_000
 
 
@@ -88,12 +88,15 @@ class Encoder:
             self.kind = "byte"
         elif plain and steps == ["Split", "ByteLevel"] and "[\\p{N}]" in json.dumps(pre, ensure_ascii=False).replace("\\\\", "\\"):
             self.kind = "word"
-        self.memo = _Memo(self._piece)
-        self.chunks = _Memo(self._chunk)
+        if self.kind == "word":  # chunks and pre-tokens are spelled alike: one memo holds both
+            self.memo = self.chunks = _Memo(self._word)
+        else:
+            self.memo, self.chunks = _Memo(self._piece), _Memo(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one pre-token."""
-        stand_in = piece.encode().decode("latin-1").translate(_stand_ins())
+        plain = piece.isascii() and piece.isprintable() and " " not in piece  # stands for itself
+        stand_in = piece if plain else piece.encode().decode("latin-1").translate(_stand_ins())
         return array("I", [t.id for t in self.tokenizer.model.tokenize(stand_in)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
@@ -101,6 +104,13 @@ class Encoder:
         chunk = " " + chunk if self.kind == "byte" else chunk
         return b"".join(map(self.memo.__getitem__, _patterns()[self.kind].findall(chunk)))
 
+    def _word(self, chunk: str) -> bytes:
+        """The ids of what stands between white space, or of one pre-token of it."""
+        if chunk.isalpha():
+            return self._piece(chunk)
+        pieces = _patterns()["word"].findall(chunk)
+        return self._piece(chunk) if len(pieces) == 1 else b"".join(map(self.memo.__getitem__, pieces))
+
     def _text(self, text: str) -> bytes:
         if self.kind is None or _patterns()["unsafe"].search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -111,26 +121,42 @@ class Encoder:
         first, *rest = text.split(" ")
         return b"".join(map(self.memo.__getitem__, _patterns()["byte"].findall(first))) + b"".join(map(self.chunks.__getitem__, rest))
 
+    def forget(self) -> None:
+        """Empties the memos."""
+        for memo in (self.memo, self.chunks):
+            memo.clear()
+            memo.old = {}
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
         for t in texts:
             yield self._text(t or "")
+            if self.kind == "word":
+                if len(self.memo) > MEMO:
+                    self.memo.turn()
+                continue
             for memo in (self.memo, self.chunks):
                 if len(memo) > MEMO:
                     memo.clear()
 
 
 class _Memo(dict):
-    """A dict that makes what it misses."""
+    """A dict that takes what it misses from the generation before, or makes it."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        self[key] = value = self.make(key)
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
         return value
 
+    def turn(self) -> None:
+        """Begins a generation: what is in use comes back from the last one, the rest goes with it."""
+        self.old = dict(self)
+        self.clear()
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
