@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presage.llm.bpe import encoder
-from presage.llm.common import materialize
+from presage.llm.common import materialize, release
 
 CAPACITY = 2048
 
@@ -133,6 +133,13 @@ def tokenized_pieces(docs: DataFrame, path: str, end_id: int = 0, limit: int = C
     """(doc_id, piece, start, length, ids_crc32): each text's ids and end_id, cut every `limit` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from cut(batches)
+        finally:  # idle workers keep no words: later stages have the memory
+            encoder(path).forget()
+            release()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
