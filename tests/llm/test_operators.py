@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -466,6 +467,35 @@ def test_language_model(spark, monkeypatch, shard, words, least):
     assert sum(p3("one", "two.", w) for w in [*c, "unseen"]) == pytest.approx(1, abs=1e-6)
 
 
+def test_language_model_searches_do_not_grow_with_shards(spark, monkeypatch):
+    """A group of texts is searched for in all shards at once, not in one shard after the other."""
+    df = docs_of(spark).select("doc_id", "text")
+    hashes, lengths = next(ngram_trie._groups(pa.array([r["text"] for r in df.limit(50).collect()])))
+    calls, select = [], elias_fano._select
+    monkeypatch.setattr(elias_fano, "_select", lambda *a: calls.append(1) or select(*a))
+    used = []
+    for shard in (1 << 22, 1000):
+        monkeypatch.setattr(ngram_trie, "TOKENS", shard)
+        path, facts = ngram_trie.train(df, F.lit(True))
+        calls.clear()
+        ngram_trie.score_tokens(ngram_trie.Trie(path, facts), hashes, lengths)
+        used.append((len(facts["triples"]), len(calls)))
+    assert used[0][0] == 1 and used[1][0] > 50
+    assert used[1][1] <= used[0][1] + 10
+
+
+def test_elias_fano_many():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, top, n)) for n, top in [(50_000, 1 << 40), (9, 10), (40_000, 90_000), (1, 1), (300, 1 << 20)]] + [np.zeros(0, np.int64)]
+    many = elias_fano.EliasFanos([elias_fano.EliasFano.arrays(v) for v in sets])
+    asked = [np.concatenate((v, v + 1, rng.integers(0, 1 << 41, 50))) for v in sets]
+    which = np.repeat(np.arange(len(sets)), [len(x) for x in asked])
+    want = [np.where(np.isin(x, v), np.searchsorted(v, x), -1) for v, x in zip(sets, asked)]
+    assert (many.find(which, np.concatenate(asked)) == np.concatenate(want)).all()
+    at = np.concatenate([np.arange(len(v)) for v in sets])
+    assert (many.get(np.repeat(np.arange(len(sets)), [len(v) for v in sets]), at) == np.concatenate(sets)).all()
+
+
 def test_language_model_without_text(spark, none, odd):
     path, facts = ngram_trie.train(none, F.lit(True))
     assert ngram_trie.score(none, path, facts).count() == 0
